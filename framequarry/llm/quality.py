@@ -31,8 +31,8 @@ MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 #: Limits of the rules whose excess the forest sees (characters a word; shares of words, lines, characters).
 LEAST_LENGTH, MOST_LENGTH = 3.0, 10.0
-MOST_SYMBOLS, MOST_EXCLAIM, MOST_REPEATS = 0.1, 0.1, 0.3
-MOST_DUP_LINES, MOST_UPPER = 0.3, 0.3
+MOST_SYMBOLS, MOST_EXCLAIM, MOST_REPEATS = 0.1, 0.1, 0.5
+MOST_DUP_LINES, MOST_UPPER = 0.5, 0.3
 
 #: The forest: its bound on labelled rows, trees, rows a tree, and the share of good rows it may lose.
 TRAIN_ROWS = 8192

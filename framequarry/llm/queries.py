@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts, url_filter
+from . import bpe, dedup, quality, token_counts, url_filter
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 512
@@ -61,6 +61,11 @@ FROM ruled
 """
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup.near_duplicates(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
