@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, quality, token_counts, url_filter
+from . import bpe, dedup, pii, quality, token_counts, url_filter
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 512
@@ -22,6 +22,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email, n_ip, n_card and n_phone count base spans; the spans that the method adds are in `spans` and n_added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs)
+    base = F.filter("spans", lambda s: ~s["added"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -79,6 +95,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op9_near_dedup": op9_near_dedup,
