@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, pii, quality, token_counts, url_filter
+from . import bpe, dedup, mixing, pii, quality, token_counts, url_filter, warc
+from .common import scratch_path
 
 #: Documents with more tokens are over the limit.
 TOKEN_LIMIT = 512
@@ -21,6 +22,27 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.round_trip(spark, pages, scratch_path(spark, "warc"), zip64=True)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), l AS (
+  SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM d LEFT JOIN l ON d.payload_digest = l.payload_digest AND payload_bytes >= 1000
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -100,6 +122,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_warc_zip": op2_warc_zip,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
@@ -108,4 +131,4 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL = {"op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op2_warc_zip": OP2_SQL, "op7_url_filter": OP7_SQL}
