@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, pii, quality, token_counts, url_filter, warc
+from . import bpe, dedup, mixing, pii, quality, token_counts, token_output, topk, url_filter, warc
 from .common import scratch_path
 
 #: Documents with more tokens are over the limit.
@@ -43,6 +43,11 @@ FROM d LEFT JOIN l ON d.payload_digest = l.payload_digest AND payload_bytes >= 1
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch_path(spark, "token-files"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -104,6 +109,27 @@ FROM ruled
 """
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS items
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.items, c.items) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup.near_duplicates(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -123,12 +149,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_zip": op2_warc_zip,
+    "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op8_exact_topk": op8_exact_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL = {"op2_warc_zip": OP2_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL = {"op2_warc_zip": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_exact_topk": OP8_SQL}
