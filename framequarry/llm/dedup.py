@@ -38,8 +38,9 @@ ERRORS = 1
 #: Guaranteed by pigeonhole: (chunks) * (ERRORS + 1) - 1.  A pair with similarity 0.8 differs in
 #: 9.6 symbols on average (standard deviation 2.8), so 23 is beyond 4.8 deviations.
 DISTANCE = SYMBOLS // CHUNK * (ERRORS + 1) - 1
-#: Members of one key that are compared in one task: two blocks at most.
+#: A block's members and shingles; two blocks are compared in one task.
 BLOCK = 512
+BLOCK_ITEMS = 4_000_000
 
 RESULTS = ["n_shingles", "component_id", "kept"]
 _MULT = np.random.default_rng(7).integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,10 +132,9 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(step, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = need.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node")
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node, items: the full sets of some classes, made anew from the texts of their smallest doc_ids."""
+    need = nodes.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node")
     texts = docs.join(need, F.col("_id").eqNullSafe(F.col("_rep"))).select("node", "cls", "_text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
                 values = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), values], ["node", "items"])
 
-    sets = written(texts.mapInArrow(step, "node long, items array<long>").dropDuplicates(["node"]), "dedup-sets")
+    return written(texts.mapInArrow(step, "node long, items array<long>").dropDuplicates(["node"]), "dedup-sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(nodes, classes, docs, n)
     both = pairs.join(sets.toDF("a", "_x"), "a").join(sets.toDF("b", "_y"), "b")
     shared = F.size(F.array_intersect("_x", "_y"))
     both = both.select("a", "b", shared.alias("_i"), (F.size("_x") + F.size("_y")).alias("_n"))
@@ -172,63 +178,133 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _across(busy: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and lie within DISTANCE; busy: key, node, comp.
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int, columns: list[str]) -> Iterator[list]:
+    """Column lists of each run of equal keys in sorted batches; the first n_keys columns are the keys.
 
-    Members of a key are dealt to blocks by a hash of their id; each task compares two blocks.
+    Binary signatures become one matrix, lists of items stay Python lists of arrays.
     """
-    mixed = busy.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = busy.join(mixed, "key").join(classes.select("node", "sig"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    held = None
 
-    def compared(node, comp, sig) -> list[np.ndarray]:
+    def opened(batch):
         out = []
-        for i in range(len(node) - 1):
-            rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if len(rest):
-                hit = rest[(sig[rest] != sig[i]).sum(axis=1) <= DISTANCE]
-                if len(hit):
-                    out.append(np.stack([np.full(len(hit), node[i]), node[hit]]))
+        for c in columns:
+            col = batch.column(c)
+            if c == "sig":
+                out.append(np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, SYMBOLS))
+            elif c == "items":
+                flat, ends = col.flatten().to_numpy(), col.offsets.to_numpy()
+                rows = np.empty(len(col), object)
+                for i in range(len(col)):
+                    rows[i] = flat[ends[i] - ends[0] : ends[i + 1] - ends[0]]
+                out.append(rows)
+            else:
+                out.append(col.to_numpy())
         return out
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "node", "comp"]
-        held = None  # the group at the end of a batch may go on in the next
-
-        def groups():
-            nonlocal held
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cols = [batch.column(c).to_numpy() for c in names]
-                cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS))
-                if held is not None:
-                    cols = [np.concatenate(x) for x in zip(held, cols)]
-                new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-                cuts = [0, *new.tolist()]
-                for a, b in zip(cuts, cuts[1:]):
-                    yield [x[a:b] for x in cols]
-                held = [x[cuts[-1] :] for x in cols]
-            if held is not None:
-                yield held
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = opened(batch)
+        if held is not None:  # the last group may go on in this batch
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        change = np.zeros(len(cols[0]) - 1, bool)
+        for k in cols[:n_keys]:
+            change |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield [x[a:b] for x in cols]
+        held = [x[cuts[-1] :] for x in cols]
+    if held is not None:
+        yield held
+
+
+def _joined_labels(label: np.ndarray, sig: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Merges of labels over rows with different labels within DISTANCE for which linked(i, others) holds.
+
+    A pair whose labels have been merged isn't looked at again: what comes out is a forest.
+    """
+    label, out = label.copy(), []
+    for i in range(len(label) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(rest):
+            continue
+        rest = rest[(sig[rest] != sig[i]).sum(axis=1) <= DISTANCE]
+        if len(rest):
+            rest = rest[linked(i, rest)]
+        for other in np.unique(label[rest]).tolist():
+            out.append((min(other, int(label[i])), max(other, int(label[i]))))
+            label[label == other] = label[i]
+    return out
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """Deal a key's rows to blocks by a hash of their node, and each pair of blocks (i, j) to one group.
+
+    blocks: key and `blocks`, their number for the key; no task has more than two blocks at once.
+    """
+    rows = rows.join(blocks, key)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "own", "other")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
+
+
+def _near_components(busy: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that hold signatures within DISTANCE under a common key; busy: key, node, comp.
+
+    For each key and task a forest of such pairs: as many rows as components at most.
+    """
+    mixed = busy.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = busy.join(classes.select("node", "sig"), "node")
+    rows = _in_blocks(rows.select("key", "node", "comp", "sig"), mixed, "key")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, _, _, node, comp, sig in groups():
-            out += compared(node, comp, sig)
-            if len(out) >= 1000:
-                pairs = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        for _, _, _, comp, sig in _grouped(batches, 3, ["key", "i", "j", "comp", "sig"]):
+            out += _joined_labels(comp, sig, lambda i, others: slice(None))
+            if len(out) >= 10_000:
+                yield _pairs_batch(out)
                 out = []
         if out:
-            pairs = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            yield _pairs_batch(out)
+
+    return rows.mapInArrow(step, "a long, b long").distinct()
+
+
+def _links_within(groups: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of one group, confirmed on full sets; groups: node, comp, grp.
+
+    All pairs within DISTANCE of a group whose components aren't linked yet are compared, two blocks a task.
+    """
+    sets = _sets(groups.select("node"), classes, docs, n)
+    sizes = groups.join(sets.select("node", F.size("items").alias("n")), "node").groupBy("grp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks = sizes.select("grp", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    rows = groups.join(classes.select("node", "sig"), "node").join(sets, "node")
+    rows = _in_blocks(rows.select("grp", "node", "comp", "sig", "items"), blocks, "grp")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, comp, sig, items in _grouped(batches, 3, ["grp", "i", "j", "comp", "sig", "items"]):
+            size = np.array([len(x) for x in items])
+            ends = np.concatenate([[0], np.cumsum(size)])
+            local = np.unique(np.concatenate(items), return_inverse=True)[1]
+            mark = np.zeros(int(local.max()) + 1, bool)
+
+            def linked(i: int, others: np.ndarray) -> np.ndarray:
+                own = local[ends[i] : ends[i + 1]]
+                mark[own] = True
+                shared = np.array([np.count_nonzero(mark[local[ends[o] : ends[o + 1]]]) for o in others.tolist()])
+                mark[own] = False
+                return 100 * shared >= percent * (size[i] + size[others] - shared)
+
+            if found := _joined_labels(comp, sig, linked):
+                yield _pairs_batch(found)
 
-    found = rows.mapInArrow(step, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(step, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -248,11 +324,15 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     links = written(_confirmed(star, classes, docs, shingle, percent), "dedup-links")
     first = components(links)
 
+    # what the stars left apart: components with near signatures form groups, and their links are sought within these
     labelled = busy.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    more = _across(written(labelled, "dedup-labelled"), classes).join(star, ["a", "b"], "left_anti")
-    more = written(more, "dedup-across")
-    links = links.union(_confirmed(more, classes, docs, shingle, percent))
-    roots = components(first.toDF("a", "b").union(links))
+    labelled = written(labelled, "dedup-labelled")
+    near = written(_near_components(labelled, classes), "dedup-near")
+    group = components(near)
+    group = group.union(group.select("root", "root").distinct()).toDF("comp", "grp")
+    members = written(labelled.select("node", "comp").distinct().join(group, "comp"), "dedup-members")
+    links = first.toDF("a", "b").union(_links_within(members, classes, docs, shingle, percent))
+    roots = components(links)
 
     of_class = classes.join(roots, "node", "left").select("cls", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
