@@ -1,6 +1,915 @@
-"""Registered queries of the detection-analytics library and their SQL for DuckDB."""
+"""Registered queries of the detection-analytics library and their SQL for DuckDB.
+
+All of them run over the adapter views of `adapt`.  Fractions that depend on the order of additions are
+rounded to nine places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framequarry.functions import box as B
+from framequarry.operators import bootstrap, coco, kpi, matching, need, prevalence, runs, splits, state, tiles, tracks
+
+from . import adapt
+from .adapt import SQL as VIEWS
+from .adapt import iou_sql, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+IOU, CONF, SMALL = 0.5, 0.25, 1500.0
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL (following the views' WITH clause)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = VIEWS + sql
+        return f
+
+    return add
+
+
+def _r(c, name: str | None = None):
+    out = F.round(F.col(c) if isinstance(c, str) else c, 9)
+    return out.alias(name or c)
+
+
+# --- masks and prevalence ----------------------------------------------------------------------
+
+_MASK = """, mask AS (
+  SELECT f.image_id, f.video_id, f.frame_idx, count(g.image_id) AS gt_num_boxes, count(g.image_id) = 0 AS is_empty
+  FROM vx_frames f LEFT JOIN vx_gt g ON f.image_id = g.image_id GROUP BY ALL
+), scores AS (
+  SELECT image_id, tau, count(*) FILTER (score >= tau) AS n FROM vx_pred, vx_taus GROUP BY ALL
+), tops AS (
+  SELECT image_id, max(score) AS top_score, count(*) AS pred_count FROM vx_pred GROUP BY ALL
+), labels AS (
+  SELECT m.image_id, m.video_id, m.is_empty, c.sahi_on, t.tau, coalesce(s.n, 0) AS pred_count_ge,
+         m.is_empty AND coalesce(s.n, 0) > 0 AS has_high_conf_fp,
+         CASE WHEN m.is_empty THEN coalesce(s.n, 0) ELSE 0 END AS fp_count,
+         CASE WHEN m.is_empty AND coalesce(s.n, 0) > 0 THEN p.top_score ELSE CAST(0 AS DOUBLE) END AS max_fp_conf
+  FROM mask m JOIN vx_cost c USING (image_id) CROSS JOIN vx_taus t
+  LEFT JOIN scores s ON s.image_id = m.image_id AND s.tau = t.tau LEFT JOIN tops p ON p.image_id = m.image_id
+)
+"""
+
+
+def _labels(v: adapt.Views) -> DataFrame:
+    mask = prevalence.empty_mask(v.frames, v.gt, adapt.TARGET)
+    return prevalence.high_conf_labels(prevalence.prevalence_input(mask, v.pred, v.cost))
+
+
+@query(
+    _MASK
+    + """, agg AS (
+  SELECT tau, count(*) AS num_empty_frames, count(*) FILTER (has_high_conf_fp) AS num_empty_fp_frames,
+         count(*) FILTER (sahi_on = 1) AS num_empty_sahi_on_frames, count(*) FILTER (sahi_on = 1 AND has_high_conf_fp) AS num_empty_fp_on_frames,
+         count(*) FILTER (sahi_on <> 1) AS num_empty_sahi_off_frames, count(*) FILTER (sahi_on <> 1 AND has_high_conf_fp) AS num_empty_fp_off_frames,
+         sum(fp_count) AS fp, sum(CAST(round(max_fp_conf * 1e6) AS BIGINT)) FILTER (has_high_conf_fp) AS conf
+  FROM labels WHERE is_empty GROUP BY tau
+)
+SELECT tau, num_empty_frames, num_empty_fp_frames, num_empty_sahi_on_frames, num_empty_fp_on_frames, num_empty_sahi_off_frames, num_empty_fp_off_frames,
+       round(num_empty_fp_frames / num_empty_frames, 9) AS prevalence_on_empty,
+       round(num_empty_fp_on_frames / num_empty_sahi_on_frames, 9) AS prevalence_given_on,
+       round(num_empty_fp_off_frames / num_empty_sahi_off_frames, 9) AS prevalence_given_off,
+       round((num_empty_fp_on_frames / num_empty_sahi_on_frames) / (num_empty_fp_off_frames / num_empty_sahi_off_frames), 9) AS amplification_ratio,
+       round(num_empty_fp_on_frames / num_empty_sahi_on_frames - num_empty_fp_off_frames / num_empty_sahi_off_frames, 9) AS amplification_diff,
+       round(CAST(fp AS DOUBLE) / num_empty_frames, 9) AS mean_fp_count_on_empty,
+       round(CAST(conf AS DOUBLE) / num_empty_fp_frames / 1e6, 9) AS mean_max_fp_conf
+FROM agg"""
+)
+def empty_fp_prevalence(spark, sf_dir):
+    table = prevalence.prevalence_table(_labels(views(spark, sf_dir)))
+    exact = [c for c in table.columns if c == "tau" or c.startswith("num_")]
+    return table.select(*exact, *[_r(c) for c in table.columns if c not in exact])
+
+
+@query(_MASK + "SELECT image_id, video_id, frame_idx, gt_num_boxes, is_empty FROM mask")
+def empty_mask(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return prevalence.empty_mask(v.frames, v.gt).select("image_id", "video_id", "frame_idx", "gt_num_boxes", "is_empty")
+
+
+@query(
+    _MASK
+    + """SELECT video_id, count(*) AS num_frames, count(*) FILTER (is_empty) AS num_empty_frames, round(count(*) FILTER (is_empty) / count(*), 9) AS empty_ratio
+FROM mask GROUP BY GROUPING SETS ((video_id), ())"""
+)
+def empty_mask_summary(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return prevalence.empty_mask_summary(prevalence.empty_mask(v.frames, v.gt)).select("video_id", "num_frames", "num_empty_frames", _r("empty_ratio"))
+
+
+@query(_MASK + "SELECT image_id, video_id, is_empty, sahi_on, tau, pred_count_ge, has_high_conf_fp, fp_count, max_fp_conf FROM labels")
+def high_conf_fp_labels(spark, sf_dir):
+    return _labels(views(spark, sf_dir))
+
+
+@query(
+    _MASK
+    + """SELECT tau, count(*) AS num_empty, round(count(*) FILTER (has_high_conf_fp) / count(*), 9) AS effr, round(CAST(sum(fp_count) AS DOUBLE) / count(*), 9) AS efpd
+FROM labels WHERE is_empty GROUP BY tau"""
+)
+def effr_efpd(spark, sf_dir):
+    return prevalence.effr_efpd(_labels(views(spark, sf_dir))).select("tau", "num_empty", _r("effr"), _r("efpd"))
+
+
+@query(
+    _MASK
+    + """SELECT sahi_on, tau, count(*) AS num_empty, round(count(*) FILTER (has_high_conf_fp) / count(*), 9) AS effr, round(CAST(sum(fp_count) AS DOUBLE) / count(*), 9) AS efpd
+FROM labels WHERE is_empty GROUP BY sahi_on, tau"""
+)
+def effr_efpd_on_off(spark, sf_dir):
+    return prevalence.effr_efpd(_labels(views(spark, sf_dir)), "sahi_on").select("sahi_on", "tau", "num_empty", _r("effr"), _r("efpd"))
+
+
+@query(
+    _MASK
+    + """, a AS (SELECT image_id, max(score) AS m FROM vx_pred GROUP BY image_id), b AS (SELECT image_id, max(score) AS m FROM vx_pred WHERE ord % 2 = 0 GROUP BY image_id)
+SELECT mask.image_id, mask.video_id, coalesce(a.m, CAST(0 AS DOUBLE)) AS max_a, coalesce(b.m, CAST(0 AS DOUBLE)) AS max_b
+FROM mask LEFT JOIN a ON a.image_id = mask.image_id LEFT JOIN b ON b.image_id = mask.image_id
+WHERE is_empty AND coalesce(a.m, 0) >= 0.7 AND coalesce(b.m, 0) < 0.3"""
+)
+def disagreement_mining(spark, sf_dir):
+    v = views(spark, sf_dir)
+    mask = prevalence.empty_mask(v.frames, v.gt)
+    return prevalence.disagreement(mask, v.pred, v.pred.where("ord % 2 = 0"), 0.7, 0.3)
+
+
+# --- boxes -------------------------------------------------------------------------------------
+
+
+@query(f", hits AS (SELECT DISTINCT g.image_id, g.ord FROM vx_gt g JOIN vx_pred p ON g.image_id = p.image_id WHERE {iou_sql('g', 'p')} >= 0.5)\nSELECT * FROM hits")
+def iou_any_hit(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.any_hit(v.gt, v.pred, IOU).select("image_id", "ord")
+
+
+@query(
+    """, hits AS (
+  SELECT DISTINCT g.image_id, g.ord FROM vx_gt g JOIN vx_pred p ON g.image_id = p.image_id
+  WHERE sqrt(((g.x + g.w / 2) - (p.x + p.w / 2)) ** 2 + ((g.y + g.h / 2) - (p.y + p.h / 2)) ** 2) <= 12.5
+) SELECT * FROM hits"""
+)
+def center_any_hit(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.any_hit(v.gt, v.pred, None, center_px=12.5).select("image_id", "ord")
+
+
+@query(
+    f""", pairs AS (
+  SELECT p.image_id, p.ord, {iou_sql('p', 'g')} AS v,
+         ((p.x + p.w / 2) - (g.x + g.w / 2)) * ((p.x + p.w / 2) - (g.x + g.w / 2)) + ((p.y + p.h / 2) - (g.y + g.h / 2)) * ((p.y + p.h / 2) - (g.y + g.h / 2)) AS apart,
+         greatest(p.x + p.w, g.x + g.w) - least(p.x, g.x) AS wide, greatest(p.y + p.h, g.y + g.h) - least(p.y, g.y) AS high, g.image_id AS has
+  FROM vx_pred p LEFT JOIN vx_gt g ON p.image_id = g.image_id
+)
+SELECT image_id, ord, round(max(CASE WHEN has IS NOT NULL THEN v - apart / greatest(wide * wide + high * high, 1e-9) END), 9) AS best_diou
+FROM pairs GROUP BY image_id, ord"""
+)
+def diou_pairs(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.best_overlap(v.gt, v.pred, B.diou, "best_diou").select("image_id", "ord", _r("best_diou"))
+
+
+_SHIFTED = "x - 300 AS x, y - 100 AS y, w, h"
+
+
+@query(
+    f""", b AS (SELECT image_id, ord, {_SHIFTED} FROM vx_pred), c AS (
+  SELECT *, greatest(0, least(x, 640)) AS x1, greatest(0, least(y, 360)) AS y1, greatest(0, least(x + w, 640)) AS x2, greatest(0, least(y + h, 360)) AS y2,
+         least(greatest(x, 0), 640) AS sx, least(greatest(y, 0), 360) AS sy
+  FROM b
+)
+SELECT image_id, ord, CAST(x1 AS DOUBLE) AS cx, CAST(y1 AS DOUBLE) AS cy, CAST(x2 - x1 AS DOUBLE) AS cw, CAST(y2 - y1 AS DOUBLE) AS ch,
+       CAST(greatest(least(w, 640 - sx), 0) AS DOUBLE) AS sw, CAST(greatest(least(h, 360 - sy), 0) AS DOUBLE) AS sh,
+       sx <> x OR sy <> y OR greatest(least(w, 640 - sx), 0) <> w OR greatest(least(h, 360 - sy), 0) <> h AS oob
+FROM c"""
+)
+def clamp_boxes(spark, sf_dir):
+    v = views(spark, sf_dir)
+    b = B.Box(F.col("x") - F.lit(300.0), F.col("y") - F.lit(100.0), F.col("w"), F.col("h"))
+    width, height = F.lit(float(adapt.WIDTH)), F.lit(float(adapt.HEIGHT))
+    cut = B.clip_corners(b, width, height)
+    shifted, oob = B.shift_clamp(b, width, height)
+    return v.pred.select("image_id", "ord", cut.x.alias("cx"), cut.y.alias("cy"), cut.w.alias("cw"), cut.h.alias("ch"), shifted.w.alias("sw"), shifted.h.alias("sh"), oob.alias("oob"))
+
+
+@query()
+def nms_greedy(spark, sf_dir):
+    """Class-agnostic greedy suppression; held to brute force in the tests."""
+    return matching.suppress(views(spark, sf_dir).pred, 0.35, ["image_id"])
+
+
+@query()
+def diou_nms(spark, sf_dir):
+    return matching.suppress(views(spark, sf_dir).pred, 0.35, ["image_id", "category_id"], B.diou)
+
+
+@query()
+def postprocess_preset(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.postprocess(v.pred, v.frames)
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.frame_match(v.frames, v.gt, v.pred, IOU, CONF)
+
+
+@query()
+def gt_to_pred_match(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.gt_matches(v.gt, v.pred, IOU)
+
+
+# --- projections, filters, ETL -----------------------------------------------------------------
+
+
+@query(
+    """, r AS (
+  SELECT image_id, ord, score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS INTEGER) AS rank FROM vx_pred WHERE score >= 0.25
+) SELECT * FROM r WHERE rank <= 3"""
+)
+def slim_topk(spark, sf_dir):
+    return splits.slim(views(spark, sf_dir).pred, CONF, 3, adapt.TARGET).select("image_id", "ord", "score", "rank")
+
+
+@query(
+    """, r AS (
+  SELECT score, row_number() OVER (PARTITION BY image_id, score < 0.25 ORDER BY score DESC, ord) AS k FROM vx_pred
+)
+SELECT CASE WHEN score < 0.25 THEN 'score' WHEN k > 3 THEN 'topk' ELSE 'kept' END AS reason, count(*) AS n FROM r GROUP BY ALL"""
+)
+def slim_drop_counts(spark, sf_dir):
+    return splits.slim_counts(views(spark, sf_dir).pred, CONF, 3, adapt.TARGET)
+
+
+@query("SELECT image_id, ord, area FROM vx_gt WHERE area / CAST(230400 AS DOUBLE) <= 0.005")
+def small_object_subset(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return splits.small_subset(v.frames, v.gt, 0.005).select("image_id", "ord", "area")
+
+
+@query("SELECT image_id, video_id FROM vx_frames WHERE image_id NOT IN (SELECT image_id FROM vx_gt)")
+def target_absent_images(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return splits.target_absent(v.frames, v.gt, adapt.TARGET).select("image_id", "video_id")
+
+
+_PRESENCE = """, pos AS (SELECT DISTINCT image_id FROM vx_gt), clips AS (
+  SELECT video_id, count(*) AS n_frames, count(pos.image_id) AS n_pos FROM vx_frames LEFT JOIN pos ON pos.image_id = vx_frames.image_id GROUP BY video_id
+)
+"""
+
+
+@query(_PRESENCE + "SELECT video_id, n_frames, n_pos, round(n_pos / n_frames, 9) AS presence FROM clips WHERE n_frames >= 5 AND n_pos / n_frames <= 0.8")
+def clip_presence(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return splits.clip_presence(v.frames, v.gt, 5, 0.8).select("video_id", "n_frames", "n_pos", _r("presence"))
+
+
+def _flags(v: adapt.Views) -> DataFrame:
+    pos = v.gt.select("image_id").distinct().withColumn("_p", F.lit(1))
+    return v.frames.join(pos, "image_id", "left").select("image_id", "video_id", "frame_idx", F.col("_p").isNotNull().alias("flag"))
+
+
+_FLAGS = """, pos AS (SELECT DISTINCT image_id FROM vx_gt), flags AS (
+  SELECT f.image_id, video_id, frame_idx, pos.image_id IS NOT NULL AS flag FROM vx_frames f LEFT JOIN pos ON pos.image_id = f.image_id
+), seg AS (
+  SELECT video_id, flag, min(frame_idx) AS s, max(frame_idx) AS e, count(*) AS length
+  FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, flag ORDER BY frame_idx) AS island FROM flags) GROUP BY video_id, flag, island
+)
+"""
+
+_META = """, meta AS (
+  SELECT f.video_id, count(*) AS video_len, count(*) FILTER (flag) AS n_pos, any_value(ns) AS num_pos_segments, any_value(mp) AS max_pos_run, any_value(mn) AS max_neg_run
+  FROM flags f LEFT JOIN (SELECT video_id, count(*) FILTER (flag) AS ns, coalesce(max(length) FILTER (flag), 0) AS mp, coalesce(max(length) FILTER (NOT flag), 0) AS mn FROM seg GROUP BY video_id) q
+  ON q.video_id = f.video_id GROUP BY f.video_id
+), binned AS (
+  SELECT *, n_pos / video_len AS presence,
+         CASE WHEN video_len <= 30 THEN 'L<=30' WHEN video_len <= 60 THEN '31-60' WHEN video_len <= 120 THEN '61-120' ELSE '>120' END AS len_bin,
+         CASE WHEN num_pos_segments = 0 THEN '0' WHEN num_pos_segments = 1 THEN '1' ELSE '>=2' END AS seg_bin,
+         CASE WHEN n_pos = 0 THEN '0' WHEN n_pos / video_len <= 0.1 THEN '(0,0.1]' WHEN n_pos / video_len <= 0.3 THEN '(0.1,0.3]' ELSE '>0.3' END AS ratio_bin
+  FROM meta
+)
+"""
+
+
+@query(_FLAGS + _META + "SELECT video_id, video_len, n_pos, num_pos_segments, max_pos_run, max_neg_run, round(presence, 9) AS presence, len_bin, seg_bin, ratio_bin FROM binned")
+def video_meta_bins(spark, sf_dir):
+    m = splits.bins(splits.video_meta(_flags(views(spark, sf_dir))))
+    return m.select("video_id", "video_len", "n_pos", "num_pos_segments", "max_pos_run", "max_neg_run", _r("presence"), "len_bin", "seg_bin", "ratio_bin")
+
+
+@query(
+    _FLAGS
+    + _META
+    + """, ranked AS (
+  SELECT video_id, len_bin, seg_bin, ratio_bin, count(*) OVER (PARTITION BY len_bin, seg_bin, ratio_bin) AS n,
+         row_number() OVER (PARTITION BY len_bin, seg_bin, ratio_bin ORDER BY md5('7/' || video_id), video_id) AS k
+  FROM binned
+)
+SELECT video_id, len_bin, seg_bin, ratio_bin,
+       CASE WHEN k <= CASE WHEN n > 1 THEN least(greatest(1, CAST(round_even(n * CAST(0.4 AS DOUBLE), 0) AS INTEGER)), n - 1) ELSE 1 END THEN 'holdout' ELSE 'dev' END AS split
+FROM ranked"""
+)
+def stratified_split(spark, sf_dir):
+    meta = splits.bins(splits.video_meta(_flags(views(spark, sf_dir))))
+    return splits.stratified_split(meta, ["len_bin", "seg_bin", "ratio_bin"], 0.4, 7).select("video_id", "len_bin", "seg_bin", "ratio_bin", "split")
+
+
+@query(
+    """, loc AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS location, count(*) AS n_frames FROM vx_frames JOIN customer ON c_custkey = video_id GROUP BY ALL
+), ordered AS (
+  SELECT *, coalesce(sum(n_frames) OVER (ORDER BY n_frames DESC, md5('3/' || location), location ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(n_frames) OVER () AS total FROM loc
+)
+SELECT location, n_frames, CASE WHEN before < floor(0.7 * total) THEN 'dev' ELSE 'holdout' END AS split FROM ordered"""
+)
+def leakfree_location_split(spark, sf_dir):
+    v = views(spark, sf_dir)
+    where = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("video_id"), F.col("c_nationkey").cast("string").alias("location"))
+    per = v.frames.join(where, "video_id").groupBy("location").agg(F.count("*").alias("n_frames"))
+    return splits.location_split(per, 0.7, 3)
+
+
+@query(
+    """, a AS (SELECT c_name AS file_name, 0 AS source_nr, c_custkey AS old_id FROM customer WHERE c_custkey % 3 <> 0), b AS (
+  SELECT c_name AS file_name, 1 AS source_nr, c_custkey + 1000000 AS old_id FROM customer WHERE c_custkey % 2 = 0
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY source_nr) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
+)
+SELECT file_name, CAST(source_nr AS INTEGER) AS source_nr, old_id, row_number() OVER (ORDER BY file_name) AS id FROM u WHERE k = 1"""
+)
+def union_dedupe_reid(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    a = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("file_name"), F.col("c_custkey").alias("old_id"))
+    b = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("file_name"), (F.col("c_custkey") + 1000000).alias("old_id"))
+    return splits.union_dedupe([a, b], "file_name").select("file_name", "source_nr", "old_id", "id")
+
+
+@query(
+    _FLAGS
+    + """, n AS (SELECT video_id, count(*) AS n FROM flags GROUP BY video_id), w AS (
+  SELECT video_id, least(6, n) AS l, unnest(generate_series(0, n - least(6, n), 2)) AS start FROM n
+), c AS (
+  SELECT w.video_id, CAST(w.start AS INTEGER) AS start, CAST(w.start + l - 1 AS INTEGER) AS "end", count(*) FILTER (flag) AS pos_frames, l AS len_frames
+  FROM w JOIN flags f ON f.video_id = w.video_id AND f.frame_idx BETWEEN w.start AND w.start + l - 1 GROUP BY ALL
+)
+SELECT video_id, start, "end", pos_frames, len_frames, round(pos_frames / len_frames, 9) AS pos_ratio FROM c WHERE pos_frames / len_frames <= 0.5"""
+)
+def neg_windows_slide(spark, sf_dir):
+    w = runs.sliding_windows(_flags(views(spark, sf_dir)), 6, 2, 0.5)
+    return w.select("video_id", "start", "end", "pos_frames", "len_frames", _r("pos_ratio"))
+
+
+@query(
+    _FLAGS
+    + """, w AS (SELECT video_id, greatest(0, s - 1) AS start, e + 1 AS "end" FROM seg WHERE flag), o AS (
+  SELECT *, max("end") OVER (PARTITION BY video_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM w
+), r AS (
+  SELECT *, sum(CASE WHEN seen IS NULL OR start > seen + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM o
+), m AS (
+  SELECT video_id, CAST(run AS INTEGER) AS run, min(start) AS start, max("end") AS "end" FROM r GROUP BY ALL
+)
+SELECT video_id, run, start, "end", start - lag("end") OVER (PARTITION BY video_id ORDER BY run) - 1 AS gap FROM m"""
+)
+def interval_merge_gaps(spark, sf_dir):
+    seg = runs.segments(_flags(views(spark, sf_dir)), F.col("flag"))
+    windows = seg.select("video_id", F.greatest(F.lit(0), F.col("s") - 1).alias("start"), (F.col("e") + 1).alias("end"))
+    return runs.merged_intervals(windows)
+
+
+@query()
+def event_windows_balanced(spark, sf_dir):
+    """Seeded windows around segments, then a round robin over videos (a report of 500 windows)."""
+    return splits.balanced(splits.event_windows(_flags(views(spark, sf_dir)), 8, (1, 3), 5), 500, 2, 5)
+
+
+# --- runs --------------------------------------------------------------------------------------
+
+
+@query(_FLAGS + "SELECT video_id, s, e, CAST(length AS INTEGER) AS length FROM seg WHERE flag")
+def segments(spark, sf_dir):
+    s = runs.segments(_flags(views(spark, sf_dir)), F.col("flag"))
+    return s.select("video_id", "s", "e", F.col("length").cast("int").alias("length"))
+
+
+_TP = f""", hit AS (
+  SELECT DISTINCT g.image_id FROM vx_gt g JOIN vx_pred p ON g.image_id = p.image_id WHERE p.score >= 0.25 AND {iou_sql('g', 'p')} >= 0.5
+), tpf AS (
+  SELECT f.*, CASE WHEN hit.image_id IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN flag AND hit.image_id IS NULL THEN 1 ELSE 0 END AS fn
+  FROM flags f LEFT JOIN hit ON hit.image_id = f.image_id
+)
+"""
+
+
+def _tp_flags(v: adapt.Views) -> DataFrame:
+    """Frame-level tp and fn: the first match by score always finds its box free, so tp is the existence of an overlap."""
+    hit = matching.any_hit(v.gt, v.pred.where(F.col("score") >= CONF), IOU).select("image_id").distinct().withColumn("_h", F.lit(1))
+    f = _flags(v).join(hit, "image_id", "left")
+    return f.withColumns({"tp": F.col("_h").isNotNull().cast("int"), "fn": (F.col("flag") & F.col("_h").isNull()).cast("int")}).drop("_h")
+
+
+@query(
+    _FLAGS
+    + _TP
+    + """, j AS (SELECT s.video_id, s.s, s.e, t.frame_idx, t.tp, t.fn FROM seg s JOIN tpf t ON s.flag AND t.video_id = s.video_id AND t.frame_idx BETWEEN s.s AND s.e),
+i AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, s, fn ORDER BY frame_idx) AS island FROM j),
+k AS (SELECT video_id, s, fn, island, count(*) AS l FROM i GROUP BY ALL),
+m AS (SELECT video_id, s, coalesce(max(l) FILTER (fn = 1), 0) AS miss_streak FROM k GROUP BY ALL)
+SELECT j.video_id, j.s, j.e, j.e - j.s + 1 AS length, coalesce(min(frame_idx) FILTER (tp = 1) - j.s, j.e - j.s + 1) AS delay, CAST(any_value(miss_streak) AS INTEGER) AS miss_streak
+FROM j JOIN m ON m.video_id = j.video_id AND m.s = j.s GROUP BY j.video_id, j.s, j.e"""
+)
+def segments_delay(spark, sf_dir):
+    out = runs.segment_delay_miss(_tp_flags(views(spark, sf_dir)), F.col("flag"))
+    return out.select("video_id", "s", "e", "length", "delay", F.col("miss_streak").cast("int").alias("miss_streak"))
+
+
+@query(
+    """, ev AS (
+  SELECT user_id, event_id, event_type <> 'error' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), l AS (SELECT *, max(CASE WHEN hit THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS last FROM ev)
+SELECT user_id, event_id, CAST(n - coalesce(last, 0) AS INTEGER) AS streak,
+       CASE WHEN n - coalesce(last, 0) <= 1 THEN '0_1' WHEN n - coalesce(last, 0) <= 5 THEN '2_5' ELSE '6p' END AS bucket
+FROM l"""
+)
+def no_det_streak(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type")
+    out = runs.streak_since(ev, F.col("event_type") != "error", "user_id", ["ts", "event_id"])
+    return out.select("user_id", "event_id", F.col("streak").cast("int").alias("streak"), runs.streak_bucket(F.col("streak")).alias("bucket"))
+
+
+_RUNS = """, i AS (
+  SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, tp ORDER BY frame_idx) AS island FROM tpf
+), r AS (SELECT video_id, tp, island, count(*) AS l, min(frame_idx) AS s FROM i GROUP BY ALL)
+"""
+
+
+@query(_FLAGS + _TP + _RUNS + "SELECT video_id, coalesce(max(l) FILTER (tp = 1), 0) >= 3 AS locked FROM r GROUP BY video_id")
+def sustained_lock(spark, sf_dir):
+    return runs.sustained_lock(_tp_flags(views(spark, sf_dir)), F.col("tp") == 1, ["video_id"], "frame_idx", 3)
+
+
+@query(_FLAGS + _TP + _RUNS + "SELECT video_id, min(s) FILTER (tp = 1 AND l >= 2) AS start FROM r GROUP BY video_id")
+def first_run_start(spark, sf_dir):
+    return runs.first_run_start(_tp_flags(views(spark, sf_dir)), F.col("tp") == 1, ["video_id"], "frame_idx", 2)
+
+
+@query(_FLAGS + _TP + _RUNS.replace("tp ORDER", "fn ORDER").replace("tp, island, count", "fn AS tp, island, count") + "SELECT video_id, coalesce(max(l) FILTER (tp = 1), 0) AS longest FROM r GROUP BY video_id")
+def miss_streak(spark, sf_dir):
+    return runs.longest_run(_tp_flags(views(spark, sf_dir)), F.col("fn") == 1, ["video_id"], "frame_idx")
+
+
+# --- tiles -------------------------------------------------------------------------------------
+
+_SIZES = ((1920, 1080), (2150, 921), (640, 360), (300, 700))
+_GRID = """, sizes AS (SELECT * FROM (VALUES (1920, 1080), (2150, 921), (640, 360), (300, 700)) t(width, height)), axis AS (
+  SELECT length, unnest(CASE WHEN length <= 512 THEN [0] ELSE list_distinct(list_concat(generate_series(0, length - 512, 409), [length - 512])) END) AS start
+  FROM (SELECT width AS length FROM sizes UNION SELECT height FROM sizes)
+), ranked AS (SELECT length, start, row_number() OVER (PARTITION BY length ORDER BY start) - 1 AS k, count(*) OVER (PARTITION BY length) AS n FROM axis), grid AS (
+  SELECT width, height, CAST(b.k * a.n + a.k AS INTEGER) AS tile_id, CAST(a.start AS INTEGER) AS x, CAST(b.start AS INTEGER) AS y,
+         CAST(least(512, width - a.start) AS INTEGER) AS w, CAST(least(512, height - b.start) AS INTEGER) AS h, CAST(b.k AS INTEGER) AS "row", CAST(a.k AS INTEGER) AS col
+  FROM sizes JOIN ranked a ON a.length = width JOIN ranked b ON b.length = height
+)
+"""
+
+
+def _sizes(spark) -> DataFrame:
+    return spark.createDataFrame(list(_SIZES), "width int, height int")
+
+
+@query(_GRID + 'SELECT width, height, tile_id, x, y, w, h, "row", col FROM grid')
+def tile_grid(spark, sf_dir):
+    return tiles.grid(_sizes(spark))
+
+
+@query(
+    """, sizes AS (SELECT unnest(generate_series(100, 4000, 50)) AS width, 1080 AS height)
+SELECT CAST(width AS INTEGER) AS width,
+       CAST((CASE WHEN width <= 512 THEN 1 ELSE ceil((width - 512) / (512 * (1 - CAST(0.2 AS DOUBLE)))) + 1 END) * (ceil((1080 - 512) / (512 * (1 - CAST(0.2 AS DOUBLE)))) + 1) AS INTEGER) AS estimated
+FROM sizes"""
+)
+def tile_estimate(spark, sf_dir):
+    sizes = spark.range(100, 4001, 50).select(F.col("id").cast("int").alias("width"), F.lit(1080).alias("height"))
+    return sizes.select("width", tiles.estimated_tiles(F.col("width"), F.col("height"), 512, 512, 0.2, 0.2).cast("int").alias("estimated"))
+
+
+@query(
+    _GRID
+    + """SELECT a.width, a.height, a.tile_id, b.tile_id AS near_id FROM grid a JOIN grid b ON a.width = b.width AND a.height = b.height
+AND abs(a."row" - b."row") + abs(a.col - b.col) BETWEEN 1 AND 2"""
+)
+def tile_neighbors(spark, sf_dir):
+    return tiles.neighbours(tiles.grid(_sizes(spark)), hops=2)
+
+
+@query(
+    _GRID
+    + """SELECT a.width, a.height, a.tile_id, b.tile_id AS near_id FROM grid a JOIN grid b ON a.width = b.width AND a.height = b.height
+AND greatest(abs(a."row" - b."row"), abs(a.col - b.col)) <= 1"""
+)
+def tile_neighbors_diagonal(spark, sf_dir):
+    return tiles.neighbours(tiles.grid(_sizes(spark)), hops=1, diagonal=True, with_self=True)
+
+
+@query()
+def adaptive_tile_grid(spark, sf_dir):
+    return tiles.adaptive_grid(_sizes(spark))
+
+
+_SMALLGRID = """, xs AS (SELECT unnest([0, 204, 408, 384]) AS x), tl AS (
+  SELECT CAST(r * 4 + c AS INTEGER) AS tile_id, xv AS x, yv AS y, 256 AS w, 256 AS h
+  FROM (VALUES (0, 0), (1, 204), (2, 384)) a(c, xv), (VALUES (0, 0), (1, 104)) b(r, yv)
+), tls AS (SELECT CAST((tile_id // 4) * 3 + tile_id % 4 AS INTEGER) AS tile_id, x, y, w, h FROM tl), placed AS (
+  SELECT b.image_id, b.ord, t.tile_id FROM vx_gt b JOIN tls t ON t.x <= b.x + b.w / 2 AND b.x + b.w / 2 < t.x + t.w AND t.y <= b.y + b.h / 2 AND b.y + b.h / 2 < t.y + t.h
+), chosen AS (
+  SELECT DISTINCT p.image_id, t.tile_id FROM vx_pred p JOIN tls t ON t.x <= p.x + p.w / 2 AND p.x + p.w / 2 < t.x + t.w AND t.y <= p.y + p.h / 2 AND p.y + p.h / 2 < t.y + t.h WHERE p.score >= 0.5
+)
+"""
+
+
+def _small_grid(v: adapt.Views) -> DataFrame:
+    return tiles.grid(v.frames.sparkSession.createDataFrame([(adapt.WIDTH, adapt.HEIGHT)], "width int, height int"), 256, 256)
+
+
+@query(_SMALLGRID + "SELECT image_id, ord, tile_id FROM placed")
+def box_in_tile(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return tiles.boxes_in_tiles(v.gt, v.frames, _small_grid(v))
+
+
+@query(
+    _SMALLGRID
+    + """, n AS (SELECT DISTINCT image_id, tile_id FROM placed)
+SELECT n.image_id, count(*) AS n_needed, count(c.tile_id) AS n_hit, round(count(c.tile_id) / count(*), 9) AS covered, count(c.tile_id) < count(*) AS miss
+FROM n LEFT JOIN chosen c ON c.image_id = n.image_id AND c.tile_id = n.tile_id GROUP BY n.image_id"""
+)
+def oracle_coverage(spark, sf_dir):
+    v = views(spark, sf_dir)
+    grid = _small_grid(v)
+    needed = tiles.boxes_in_tiles(v.gt, v.frames, grid)
+    chosen = tiles.boxes_in_tiles(v.pred.where("score >= 0.5"), v.frames, grid)
+    return tiles.coverage(chosen, needed).select("image_id", "n_needed", "n_hit", _r("covered"), "miss")
+
+
+@query(
+    _SMALLGRID
+    + """SELECT c.image_id, round(sum(w * h) / CAST(230400 AS DOUBLE), 9) AS area_ratio FROM chosen c JOIN tls USING (tile_id) GROUP BY c.image_id"""
+)
+def tile_area_ratio(spark, sf_dir):
+    v = views(spark, sf_dir)
+    grid = _small_grid(v)
+    chosen = tiles.boxes_in_tiles(v.pred.where("score >= 0.5"), v.frames, grid).select("image_id", "tile_id").distinct()
+    return tiles.area_ratio(chosen, v.frames, grid).select("image_id", _r("area_ratio"))
+
+
+# --- need --------------------------------------------------------------------------------------
+
+_RESCUED = f""", small AS (SELECT * FROM vx_gt WHERE area <= 1500), on_hit AS (
+  SELECT DISTINCT g.image_id, g.ord FROM small g JOIN vx_pred p ON g.image_id = p.image_id WHERE p.score >= 0.25 AND {iou_sql('g', 'p')} >= 0.5
+), off_hit AS (
+  SELECT DISTINCT g.image_id, g.ord FROM small g JOIN vx_pred p ON g.image_id = p.image_id WHERE p.score >= 0.6 AND {iou_sql('g', 'p')} >= 0.5
+), rescued AS (
+  SELECT s.* FROM small s SEMI JOIN on_hit o ON o.image_id = s.image_id AND o.ord = s.ord ANTI JOIN off_hit f ON f.image_id = s.image_id AND f.ord = s.ord
+), new_obj AS (
+  SELECT r.image_id, r.ord FROM rescued r JOIN vx_frames a ON a.image_id = r.image_id WHERE NOT EXISTS (
+    SELECT 1 FROM small s JOIN vx_frames b ON b.image_id = s.image_id
+    WHERE b.video_id = a.video_id AND b.frame_idx < a.frame_idx AND b.frame_idx >= a.frame_idx - 5
+      AND sqrt(((r.x + r.w / 2) - (s.x + s.w / 2)) ** 2 + ((r.y + r.h / 2) - (s.y + s.h / 2)) ** 2) <= 20.5)
+)
+"""
+
+
+def _need(v: adapt.Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Small boxes, and predictions without and with the verifier (here: all, and the sure ones)."""
+    return need.small_boxes(v.gt, SMALL), v.pred.where("score >= 0.6"), v.pred.where(F.col("score") >= CONF)
+
+
+@query(_RESCUED + "SELECT image_id, ord FROM rescued")
+def rescued_gt(spark, sf_dir):
+    return need.rescued(*_need(views(spark, sf_dir)), IOU).select("image_id", "ord")
+
+
+@query(_RESCUED + "SELECT image_id, ord FROM new_obj")
+def new_object_lookback(spark, sf_dir):
+    v = views(spark, sf_dir)
+    small, off, on = _need(v)
+    return need.new_objects(need.rescued(small, off, on, IOU), small, need.time_index(v.frames), 5, 20.5).select("image_id", "ord")
+
+
+_FAIL = _RESCUED + """, loose AS (
+  SELECT s.image_id, bool_or(o.ord IS NOT NULL) AS on_ok, bool_or(f.ord IS NOT NULL) AS off_ok
+  FROM small s LEFT JOIN on_hit o ON o.image_id = s.image_id AND o.ord = s.ord LEFT JOIN off_hit f ON f.image_id = s.image_id AND f.ord = s.ord GROUP BY s.image_id
+), fails AS (SELECT image_id, on_ok AND NOT off_ok AS failure FROM loose)
+"""
+
+
+@query(
+    _FAIL
+    + """SELECT count(*) AS eval_frames, count(*) FILTER (failure) AS failure_frames, round(count(*) FILTER (failure) / count(*), 9) AS ffr,
+       (SELECT count(*) FROM rescued) AS rescued_total, (SELECT count(*) FROM new_obj) AS rescued_new,
+       round((SELECT count(*) FROM new_obj) / (SELECT count(*) FROM rescued), 9) AS nodr
+FROM fails"""
+)
+def need_ffr(spark, sf_dir):
+    v = views(spark, sf_dir)
+    small, off, on = _need(v)
+    saved = need.rescued(small, off, on, IOU)
+    new = need.new_objects(saved, small, need.time_index(v.frames), 5, 20.5)
+    t = need.need_summary(need.failure_frames(small, off, on, IOU, strict=False), saved, new)
+    return t.select("eval_frames", "failure_frames", _r("ffr"), "rescued_total", "rescued_new", _r("nodr"))
+
+
+@query(
+    _FAIL
+    + """, tt AS (SELECT image_id, video_id, row_number() OVER (ORDER BY frame_idx, image_id) - 1 AS t FROM vx_frames),
+d AS (SELECT t - lag(t) OVER (ORDER BY t) AS delta FROM fails JOIN tt USING (image_id) WHERE failure)
+SELECT count(*) AS n_intervals, round(avg(delta), 9) AS mean_delta, round(quantile_cont(delta, 0.95), 9) AS p95_delta,
+       round(1 / avg(delta), 9) AS csf_mean, round(1 / quantile_cont(delta, 0.95), 9) AS csf_p95
+FROM d WHERE delta IS NOT NULL"""
+)
+def csf_intervals(spark, sf_dir):
+    v = views(spark, sf_dir)
+    small, off, on = _need(v)
+    t = need.intervals(need.failure_frames(small, off, on, IOU, strict=False), need.time_index(v.frames, per_video=False))
+    return t.select("n_intervals", *[_r(c) for c in ("mean_delta", "p95_delta", "csf_mean", "csf_p95")])
+
+
+# --- KPI tables --------------------------------------------------------------------------------
+
+
+def _facts(v: adapt.Views) -> DataFrame:
+    return kpi.frame_facts(v.frames, v.gt, v.pred, v.cost, IOU, CONF)
+
+
+@query()
+def frame_facts(spark, sf_dir):
+    """The frame-grain table; fp counts need the greedy fold, so tests hold it to brute force."""
+    return _facts(views(spark, sf_dir))
+
+
+@query()
+def frame_kpi_video(spark, sf_dir):
+    return kpi.per_video(_facts(views(spark, sf_dir)))
+
+
+@query()
+def kpi_summary(spark, sf_dir):
+    return kpi.summary(_facts(views(spark, sf_dir)))
+
+
+@query(
+    """, small AS (SELECT image_id, count(*) AS n, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.01 AS INTEGER)) AS s0, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.02 AS INTEGER)) AS s1 FROM vx_gt GROUP BY image_id)
+SELECT f.image_id, coalesce(n, 0) AS n_gt, coalesce(s0, 0) AS has_small_0, coalesce(s1, 0) AS has_small_1, coalesce(n, 0) > 0 AS is_pos, coalesce(n, 0) = 0 AS is_empty
+FROM vx_frames f LEFT JOIN small s ON s.image_id = f.image_id"""
+)
+def gt_index(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return kpi.gt_index(v.frames, v.gt).select("image_id", "n_gt", "has_small_0", "has_small_1", "is_pos", "is_empty")
+
+
+@query(
+    """SELECT sahi_on, count(*) AS frames, round(avg(latency_ms), 9) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 9) AS p50_ms, round(quantile_cont(latency_ms, 0.9), 9) AS p90_ms,
+       round(quantile_cont(latency_ms, 0.95), 9) AS p95_ms, round(1000 / avg(latency_ms), 9) AS fps
+FROM vx_cost GROUP BY sahi_on"""
+)
+def latency_percentiles(spark, sf_dir):
+    t = kpi.latency_stats(views(spark, sf_dir).cost, "sahi_on")
+    return t.select("sahi_on", "frames", *[_r(c) for c in ("mean_ms", "p50_ms", "p90_ms", "p95_ms", "fps")])
+
+
+@query("SELECT video_id, list_sort(list(latency_ms))[CAST(floor(0.9 * (count(*) - 1)) AS INTEGER) + 1] AS p90_truncated FROM vx_cost JOIN vx_frames USING (image_id) GROUP BY video_id")
+def truncated_percentiles(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return v.cost.join(v.frames, "image_id").groupBy("video_id").agg(kpi.truncated_percentile(F.col("latency_ms"), 0.9).alias("p90_truncated"))
+
+
+@query("SELECT tiles_used, count(*) AS n, round(count(*) / (SELECT count(*) FROM vx_cost), 9) AS share FROM vx_cost GROUP BY tiles_used")
+def mode_histogram(spark, sf_dir):
+    return kpi.histogram(views(spark, sf_dir).cost, "tiles_used").select("tiles_used", "n", _r("share"))
+
+
+_STREAK = _FLAGS + """, np AS (SELECT f.*, EXISTS (SELECT 1 FROM vx_pred p WHERE p.image_id = f.image_id AND p.score >= 0.5) AS det FROM flags f),
+ns AS (SELECT *, frame_idx + 1 - coalesce(max(CASE WHEN det THEN frame_idx + 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) AS streak FROM np)
+"""
+
+
+@query(
+    _STREAK
+    + """, tagged AS (
+  SELECT unnest(['all', 'streak_' || CASE WHEN streak <= 1 THEN '0_1' WHEN streak <= 5 THEN '2_5' ELSE '6p' END, CASE WHEN det THEN 'not_seed_empty' ELSE 'seed_empty' END]) AS bucket, tiles_used
+  FROM ns JOIN vx_cost USING (image_id)
+)
+SELECT bucket, count(*) AS frames, round(avg(tiles_used), 9) AS mean_value FROM tagged GROUP BY bucket"""
+)
+def coverage_buckets(spark, sf_dir):
+    v = views(spark, sf_dir)
+    det = v.pred.where("score >= 0.5").select("image_id").distinct().withColumn("_d", F.lit(1))
+    rows = v.frames.join(det, "image_id", "left").join(v.cost, "image_id")
+    rows = runs.streak_since(rows, F.col("_d").isNotNull(), "video_id", ["frame_idx"])
+    return kpi.coverage_buckets(rows, F.col("streak"), F.col("_d").isNull(), F.col("tiles_used")).select("bucket", "frames", _r("mean_value"))
+
+
+# --- tracks ------------------------------------------------------------------------------------
+
+
+def _tracks(v: adapt.Views) -> DataFrame:
+    return tracks.pseudo_tracks(v.frames, v.gt, 0.3)
+
+
+@query()
+def pseudo_tracks(spark, sf_dir):
+    return tracks.global_ids(_tracks(views(spark, sf_dir))).select("track_id", "video_id", "image_id", "ord", "pos")
+
+
+@query()
+def track_kpis(spark, sf_dir):
+    v = views(spark, sf_dir)
+    facts = tracks.track_facts(tracks.track_hits(_tracks(v), v.pred.where(F.col("score") >= CONF), IOU), 2)
+    return tracks.track_kpis(facts)
+
+
+@query()
+def track_motion_sets(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return tracks.evaluation_sets(_tracks(v), v.frames, v.gt, max_len=1, gap=2)
+
+
+# --- state machines ----------------------------------------------------------------------------
+
+
+def _frame_boxes(v: adapt.Views, score_thr: float = 0.5) -> DataFrame:
+    """frames with an array of their predictions by score."""
+    item = F.struct((-F.col("score")).alias("_n"), "ord", "x", "y", "w", "h", "score", "category_id")
+    boxes = v.pred.where(F.col("score") >= score_thr).groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("boxes"))
+    return v.frames.join(boxes, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)))
+
+
+@query()
+def tracker_fold(spark, sf_dir):
+    return state.fold(_frame_boxes(views(spark, sf_dir)), state.tracker())
+
+
+@query()
+def confirmation_gate(spark, sf_dir):
+    return state.fold(_frame_boxes(views(spark, sf_dir)), state.confirmation_gate())
+
+
+@query()
+def confirmation_times(spark, sf_dir):
+    return state.fold(_frame_boxes(views(spark, sf_dir)), state.confirmation_times())
+
+
+_EMA = """, m AS (
+  SELECT user_id, event_id, CAST(value AS DOUBLE) AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+)"""
+
+
+@query(
+    _EMA.replace(", m AS", ", m AS")
+    + """, lists AS (SELECT user_id, list(g ORDER BY n) AS gs, list(event_id ORDER BY n) AS ids FROM m GROUP BY user_id)
+, w AS (SELECT user_id, unnest(ids) AS event_id, unnest(list_transform(range(1, len(gs) + 1), lambda k: list_sum(list_transform(range(1, k + 1), lambda i: 0.02::DOUBLE * gs[i] * pow(0.98::DOUBLE, k - i))))) AS mu FROM lists)
+SELECT user_id, event_id, round(mu, 6) AS mu FROM w"""
+)
+def ema_mean(spark, sf_dir):
+    """The exponential mean of the motion z-score, in closed form in SQL."""
+    return _ema(spark, sf_dir).select("user_id", "event_id", F.round("mu", 6).alias("mu"))
+
+
+def _ema(spark, sf_dir) -> DataFrame:
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.col("value").cast("double").alias("motion"))
+    return state.fold(ev, state.motion_z(), "user_id", ["ts", "event_id"], ["event_id"])
+
+
+@query()
+def ema_zscore(spark, sf_dir):
+    return _ema(spark, sf_dir)
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    v = views(spark, sf_dir)
+    wants = v.frames.join(v.cost.select("image_id", (F.col("sahi_on") == 1).alias("wants")), "image_id")
+    return state.fold(wants, state.token_bucket(rate=0.2))
+
+
+def _evidence(v: adapt.Views) -> DataFrame:
+    """Evidence of each frame from scalar signals: detections, tracker and motion of the views."""
+    rows = _frame_boxes(v)
+    tracked = state.fold(rows.select("video_id", "frame_idx", "image_id", "boxes"), state.tracker(), carry=["frame_idx", "image_id"])
+    det = rows.select("image_id", (F.size("boxes") > 0).alias("has_det"), F.size("boxes").alias("n_det"))
+    out = tracked.join(det, "image_id").join(v.cost.select("image_id", "latency_ms"), "image_id")
+    out = runs.streak_since(out, F.col("has_det"), "video_id", ["frame_idx"], "no_det_streak")
+    return out.select(
+        "video_id",
+        "frame_idx",
+        "image_id",
+        "has_det",
+        F.col("no_det_streak").cast("int").alias("no_det_streak"),
+        "num_active",
+        "max_miss_streak",
+        "recent_lost",
+        ((F.col("latency_ms") - 10) / F.lit(10.0)).alias("motion_z"),
+        F.lit(0.0).alias("motion_peak"),
+        (F.col("image_id") % 7).cast("double").alias("diff_gap"),
+        F.lit(2.0).alias("diff_std"),
+        F.col("has_det").alias("has_target"),
+        F.greatest(F.col("n_det") - 1, F.lit(0)).alias("num_unconfirmed"),
+        F.least(F.col("n_det"), F.lit(1)).alias("num_confirmed"),
+    )
+
+
+@query()
+def policy_v7(spark, sf_dir):
+    return state.fold(_evidence(views(spark, sf_dir)), state.policy(7))
+
+
+@query()
+def policy_v6(spark, sf_dir):
+    return state.fold(_evidence(views(spark, sf_dir)), state.policy(6))
+
+
+@query()
+def keyframe_burst(spark, sf_dir):
+    return state.fold(_evidence(views(spark, sf_dir)), state.keyframe_burst(61))
+
+
+@query()
+def controller_generations(spark, sf_dir):
+    """The controllers of generations 3 to 5 over the same signals, side by side."""
+    e = _evidence(views(spark, sf_dir)).withColumns(
+        {
+            "risk": F.col("no_det_streak") / F.lit(2.0) + F.when(F.col("motion_z") > 1, F.lit(1.0)).otherwise(F.lit(0.0)),
+            "tracking_fail": F.col("max_miss_streak") >= 3,
+            "escape_soft": ~F.col("has_det") & (F.col("no_det_streak") >= 2),
+            "escape_hard": F.col("no_det_streak") >= 6,
+            "strong_skip": ~F.col("has_det") & (F.col("motion_z") < 0),
+            "escape_soft_streak": F.col("no_det_streak"),
+            "subset_ok": F.col("has_det"),
+        }
+    )
+    keys = ["video_id", "frame_idx"]
+    v3 = state.fold(e, state.heartbeat_controller()).select(*keys, F.col("mode").alias("mode_v3"))
+    v4 = state.fold(e, state.priority_controller()).select(*keys, F.col("mode").alias("mode_v4"))
+    v5 = state.fold(e, state.subset_first_controller()).select(*keys, F.col("mode").alias("mode_v5"), "fail_streak")
+    return v3.join(v4, keys).join(v5, keys)
+
+
+@query(
+    "SELECT image_id, video_id, frame_idx, CASE WHEN frame_idx % 4 = 0 THEN 1 ELSE 0 END AS sahi_on FROM vx_frames"
+)
+def keyframe_schedule(spark, sf_dir):
+    return views(spark, sf_dir).frames.select("image_id", "video_id", "frame_idx", (F.col("frame_idx") % 4 == 0).cast("int").alias("sahi_on"))
+
+
+# --- AP, bootstrap -----------------------------------------------------------------------------
+
+
+@query()
+def coco_ap(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return coco.summary(v.gt, v.pred)
+
+
+@query()
+def coco_ap_small(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return coco.summary(v.gt, v.pred, area=(0.0, SMALL))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    v = views(spark, sf_dir)
+    clips = splits.clip_presence(v.frames, v.gt)
+    return bootstrap.mean_ci(clips, "presence", ["video_id"], trials=200)
+
+
+@query()
+def bootstrap_track_ci(spark, sf_dir):
+    v = views(spark, sf_dir)
+    facts = tracks.track_facts(tracks.track_hits(_tracks(v), v.pred.where(F.col("score") >= CONF), IOU), 2)
+    return bootstrap.track_ci(facts, trials=100)
+
+
+@query(
+    _FLAGS
+    + _TP
+    + """SELECT c.sahi_on, flag AS has_gt, count(*) AS frames, CAST(sum(tp) AS BIGINT) AS tp_frames, CAST(sum(fn) AS BIGINT) AS fn_frames, round(sum(fn) / (SELECT sum(fn) FROM tpf), 9) AS fn_share
+FROM tpf JOIN vx_cost c USING (image_id) GROUP BY c.sahi_on, flag"""
+)
+def miss_breakdown(spark, sf_dir):
+    """Misses by verifier and ground truth, with each cell's share of all misses."""
+    v = views(spark, sf_dir)
+    t = _tp_flags(v).join(v.cost, "image_id").groupBy("sahi_on", F.col("flag").alias("has_gt")).agg(F.count("*").alias("frames"), F.sum("tp").alias("tp_frames"), F.sum("fn").alias("fn_frames"))
+    total = F.sum("fn_frames").over(Window.partitionBy())  # four rows at most
+    return t.select("sahi_on", "has_gt", "frames", "tp_frames", "fn_frames", _r(F.col("fn_frames") / total, "fn_share"))
