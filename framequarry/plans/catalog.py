@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import box as B
-from framequarry.operators import bootstrap, coco, kpi, matching, need, prevalence, runs, splits, state, tiles, tracks
+from framequarry.operators import bootstrap, coco, etl, kpi, matching, need, planner, prevalence, reports, runs, splits, state, tiles, tracks
 
 from . import adapt
 from .adapt import SQL as VIEWS
@@ -913,3 +913,112 @@ def miss_breakdown(spark, sf_dir):
     t = _tp_flags(v).join(v.cost, "image_id").groupBy("sahi_on", F.col("flag").alias("has_gt")).agg(F.count("*").alias("frames"), F.sum("tp").alias("tp_frames"), F.sum("fn").alias("fn_frames"))
     total = F.sum("fn_frames").over(Window.partitionBy())  # four rows at most
     return t.select("sahi_on", "has_gt", "frames", "tp_frames", "fn_frames", _r(F.col("fn_frames") / total, "fn_share"))
+
+
+# --- reports and ETL ---------------------------------------------------------------------------
+
+_LOCATIONS = """, im AS (SELECT image_id, CAST(c_nationkey AS VARCHAR) AS location FROM vx_frames JOIN customer ON c_custkey = video_id)
+, an AS (SELECT image_id, CASE WHEN ord % 3 = 0 THEN 0 ELSE 1 END AS category_id FROM vx_pred)
+"""
+
+
+def _located(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    v = views(spark, sf_dir)
+    where = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("video_id"), F.col("c_nationkey").cast("string").alias("location"))
+    notes = v.pred.select("image_id", F.when(F.col("ord") % 3 == 0, F.lit(0)).otherwise(F.lit(1)).alias("category_id"))
+    return v.frames.join(where, "video_id").select("image_id", "location"), notes
+
+
+@query(_LOCATIONS + "SELECT location, count(*) AS num_images, count(*) FILTER (category_id = 0) AS num_empty, round(count(*) FILTER (category_id = 0) / count(*), 9) AS empty_ratio FROM an JOIN im USING (image_id) GROUP BY location")
+def location_stats(spark, sf_dir):
+    return reports.location_stats(*_located(spark, sf_dir)).select("location", "num_images", "num_empty", _r("empty_ratio"))
+
+
+@query(_LOCATIONS + """, d AS (SELECT image_id, location, min(CASE WHEN category_id = 0 THEN 1 ELSE 0 END) AS e FROM an JOIN im USING (image_id) GROUP BY ALL)
+SELECT location, count(*) AS num_images, count(*) FILTER (e = 1) AS num_empty, round(count(*) FILTER (e = 1) / count(*), 9) AS empty_ratio FROM d GROUP BY location""")
+def location_stats_distinct(spark, sf_dir):
+    return reports.location_stats(*_located(spark, sf_dir), distinct_images=True).select("location", "num_images", "num_empty", _r("empty_ratio"))
+
+
+@query()
+def location_bundles(spark, sf_dir):
+    return reports.bundles(reports.location_stats(*_located(spark, sf_dir)), [2, 5, 10])
+
+
+@query("""SELECT 'score' AS "column", CAST(unnest([0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS DOUBLE) AS q,
+       round(unnest(quantile_cont(score, [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])), 9) AS value FROM vx_pred""")
+def score_quantiles(spark, sf_dir):
+    return reports.quantile_table(views(spark, sf_dir).pred, ["score"]).select("column", "q", _r("value"))
+
+
+@query()
+def policy_log_summary(spark, sf_dir):
+    plans = state.fold(_evidence(views(spark, sf_dir)), state.policy(7)).select("mode", F.col("k").alias("num_tiles"), "risk", (F.col("reason") == "seed_empty_skip").alias("seed_empty"))
+    return reports.mode_log(plans, ["seed_empty"])
+
+
+@query()
+def budget_stats(spark, sf_dir):
+    return reports.budget_stats(state.fold(_evidence(views(spark, sf_dir)), state.policy(7)))
+
+
+@query()
+def confirmation_stats(spark, sf_dir):
+    rows = _frame_boxes(views(spark, sf_dir))
+    gate = state.fold(rows, state.confirmation_gate())
+    times = state.fold(rows, state.confirmation_times())
+    return reports.confirmation_stats(gate.join(times, ["video_id", "frame_idx"]))
+
+
+@query()
+def tile_plans(spark, sf_dir):
+    """Policy budgets turned into tiles: tracks protect, scores explore."""
+    v = views(spark, sf_dir)
+    grid = [(x, y, 256, 256) for y in (0, 104) for x in (0, 204, 384)]
+    budget = state.fold(_evidence(v), state.policy(7, k_full=len(grid)), carry=["frame_idx", "image_id"])
+    rows = budget.join(_frame_boxes(v).select("image_id", F.col("boxes").alias("tracks")), "image_id")
+    score = lambda m: F.array(*[((F.col("image_id") * (i + m)) % 11).cast("double") for i in range(len(grid))])
+    rows = rows.withColumns({"diff": score(3), "motion": score(5), "hard": F.col("reason").startswith("seed_empty")})
+    return state.fold(rows, planner.tile_planner(grid, planner.PlannerConfig(memory_ttl=2)))
+
+
+@query(_LOCATIONS + """, s AS (SELECT image_id, location, image_id % 5 = 0 OR location IN ('1', '3') AS keep FROM im)
+SELECT image_id, location FROM s WHERE keep""")
+def keep_by_either(spark, sf_dir):
+    images, _ = _located(spark, sf_dir)
+    rows = images.withColumnRenamed("location", "seq_id")
+    kept = etl.keep_by_either(rows, rows.where("image_id % 5 = 0"), rows.where("seq_id in ('1', '3')"))
+    return kept.select("image_id", F.col("seq_id").alias("location"))
+
+
+@query("SELECT video_id, frame_idx AS t, image_id, 1 AS sahi_on, 15 AS tiles_used, CAST(0 AS DOUBLE) AS latency_ms FROM vx_frames")
+def dense_cost_log(spark, sf_dir):
+    return etl.static_cost_log(views(spark, sf_dir).frames, True, 15)
+
+
+@query("""SELECT string_split(n, '/')[1] AS location, string_split(n, '/')[2] AS session, string_split(n, '/')[3] AS base_name, c_custkey
+FROM (SELECT c_custkey, 'loc' || c_nationkey || '/' || c_mktsegment || '/' || c_name AS n FROM customer)""")
+def parsed_file_names(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    names = c.select("c_custkey", F.concat(F.lit("loc"), "c_nationkey", F.lit("/"), "c_mktsegment", F.lit("/"), "c_name").alias("file_name"))
+    return etl.parsed_names(names).select("location", "session", "base_name", "c_custkey")
+
+
+@query(f""", best AS (SELECT p.image_id, p.ord, max({iou_sql('p', 'g')}) AS v FROM vx_pred p LEFT JOIN vx_gt g ON p.image_id = g.image_id GROUP BY ALL)
+SELECT image_id, ord, round(coalesce(v, CAST(0 AS DOUBLE)), 9) AS best_iou FROM best""")
+def best_iou(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return matching.best_overlap(v.gt, v.pred, B.iou, "best_iou").select("image_id", "ord", _r(F.coalesce("best_iou", F.lit(0.0)), "best_iou"))
+
+
+@query(_FAIL + """, lm AS (SELECT image_id, CASE WHEN image_id % 4 = 0 THEN 'full' WHEN image_id % 3 = 0 THEN 'subset' ELSE 'skip' END AS mode FROM vx_frames WHERE image_id % 7 <> 0),
+j AS (SELECT f.image_id, mode FROM fails f LEFT JOIN lm ON lm.image_id = f.image_id WHERE failure)
+SELECT count(*) AS num_failures, count(*) FILTER (mode IS NULL) AS missing, count(*) FILTER (mode = 'skip') AS n_skip, count(*) FILTER (mode = 'subset') AS n_subset,
+       count(*) FILTER (mode = 'full') AS n_full, round(count(*) FILTER (mode = 'skip') / (count(*) - count(*) FILTER (mode IS NULL)), 9) AS skip_rate FROM j""")
+def skipped_failures(spark, sf_dir):
+    v = views(spark, sf_dir)
+    fails = need.failure_frames(*_need(v), IOU, strict=False).where("failure")
+    mode = F.when(F.col("image_id") % 4 == 0, F.lit("full")).when(F.col("image_id") % 3 == 0, F.lit("subset")).otherwise(F.lit("skip"))
+    log = v.frames.where("image_id % 7 <> 0").select("image_id", F.lit(0).alias("ord"), mode.alias("mode"))
+    t = reports.skipped_failures(fails, log)
+    return t.select(*t.columns[:-1], _r("skip_rate"))
