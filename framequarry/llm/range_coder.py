@@ -3,11 +3,12 @@
 A block of ids is coded with a model that starts empty.  Three predictors work at once: order 2
 (the id that last followed the two previous ids), order 1 (that last followed the previous id) and
 order 0 (recently seen ids in a direct-mapped table, else any id alike).  The probability of an id
-is their mixture; its weights depend on how often the predictors of orders 1 and 2 were right in this
-context, whether they agree, and adapt after each id.  The mixture drives a carry-less range coder.
+is their mixture; its weights depend on whether the predictors of orders 1 and 2 were right for the
+last two ids and whether they agree now, and adapt after each id.  The mixture drives a range coder.
 
 Blocks don't depend on each other, so all blocks of a file are coded in step: every operation works
-on one id of each block at once (a lane for each block).
+on one id of each block at once (a lane for each block).  Words are written with room for a carry;
+carries run through each lane's words at the end.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ RATE = 4
 LEAST = 24
 STATES = 32
 
-_TOP = np.uint64(48)
-_BOTTOM = np.uint64(1 << 40)
-_SHIFT = np.uint64(16)
-_LOW = np.uint64((1 << 40) - 1)
+#: The range lies in [BOTTOM, BOTTOM << 16); a word of 16 bits leaves or enters below.
+_LOW_BITS = np.uint64(32)
+_BOTTOM = np.uint64(1 << 32)
+_REST = np.uint64((1 << 32) - 1)
+_FULL = (1 << 48) - 1
+_WORD = np.uint64(16)
+_MASK = (1 << TABLE_BITS) - 1
+_SLOTS = (1 << SLOT_BITS) - 1
+
+#: where each interval's end is drawn to after an id of each class
+_GOALS = np.array([[(1 << WEIGHT_BITS) - (3 - k) * LEAST if cls <= k else (k + 1) * LEAST for k in range(3)] + [1 << WEIGHT_BITS] for cls in range(4)], np.int16)
 
 
 class _Model:
@@ -33,47 +41,56 @@ class _Model:
 
     def __init__(self, n: int, width: int):
         self.kind = np.uint16 if width <= 16 else np.uint32
-        size = 1 << TABLE_BITS
         self.base = np.arange(n, dtype=np.int64) << TABLE_BITS
         self.slots = np.arange(n, dtype=np.int64) << SLOT_BITS
-        self.lane = np.arange(n, dtype=np.int64)
-        self.next1, self.next2 = np.zeros(n * size, self.kind), np.zeros(n * size, self.kind)
-        self.sure1, self.sure2 = np.zeros(n * size, np.uint8), np.zeros(n * size, np.uint8)
+        self.states = np.arange(n, dtype=np.int64) * STATES
+        self.lane5 = np.arange(n, dtype=np.int64) * 5
+        self.next1, self.next2 = np.zeros(n << TABLE_BITS, self.kind), np.zeros(n << TABLE_BITS, self.kind)
         self.recent = np.zeros(n << SLOT_BITS, self.kind)
-        #: upper ends of the intervals of order 2, order 1, order 0's table; "any id" takes the rest
-        self.ends = np.tile(np.array([800, 1600, 2800], np.int32), (n * STATES, 1))
-        self.before1, self.before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        #: ends of the intervals of order 2, order 1, order 0's table and "any id"
+        self.ends = np.tile(np.array([800, 1600, 2800, 1 << WEIGHT_BITS], np.int16), (n * STATES, 1))
+        self.edges = np.zeros((n, 5), np.int16)
+        self.before, self.context = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.right = np.zeros(n, np.int64)  # two bits for order 2, two for order 1
 
     def predict(self, n: int) -> None:
         """For the next id of the first n lanes."""
-        b1, b2 = self.before1[:n], self.before2[:n]
-        mask = (1 << TABLE_BITS) - 1
-        self.i1 = self.base[:n] + (((b1 * 40503) >> 4) & mask)
-        self.i2 = self.base[:n] + (((b1 * 40503 + b2 * 60493) >> 5) & mask)
-        self.p1, self.p2 = self.next1[self.i1], self.next2[self.i2]
-        self.k1, self.k2 = self.sure1[self.i1], self.sure2[self.i2]
-        self.state = (self.lane[:n] << 5) + (self.k2.astype(np.int64) << 2) + self.k1 + ((self.p1 == self.p2) << 4)
-        self.edges = np.empty((n, 5), np.int32)
-        self.edges[:, 0], self.edges[:, 4] = 0, 1 << WEIGHT_BITS
-        self.edges[:, 1:4] = self.ends[self.state]
-
-    def learn(self, n: int, x: np.ndarray, cls: np.ndarray) -> None:
-        """x: the ids that came; cls: 0 order 2, 1 order 1, 2 order 0's table, 3 any."""
-        for nxt, sure, at, p, k in ((self.next1, self.sure1, self.i1, self.p1, self.k1), (self.next2, self.sure2, self.i2, self.p2, self.k2)):
-            right = p == x
-            nxt[at] = np.where(k == 0, x, p)
-            sure[at] = np.where(right, np.minimum(k + 1, 3), k - (k > 0))
-        self.recent[self.slots[:n] + (x & ((1 << SLOT_BITS) - 1))] = x
-        own = self.edges[:, 1:4]
-        rows = self.state
-        goal = _GOALS[cls]
-        self.ends[rows] = own + ((goal - own) >> RATE)
-        self.before2[:n] = self.before1[:n]
-        self.before1[:n] = x
-
-
-#: where each end is drawn to after an id of each class
-_GOALS = np.array([[(1 << WEIGHT_BITS) - (3 - k) * LEAST if cls <= k else (k + 1) * LEAST for k in range(3)] for cls in range(4)], np.int32)
+        self.i1 = (self.before[:n] & _MASK) + self.base[:n]
+        self.i2 = self.context[:n] + self.base[:n]
+        self.p1, self.p2 = self.next1.take(self.i1), self.next2.take(self.i2)
+        self.state = self.states[:n] + self.right[:n]
+        self.state[self.p1 == self.p2] += 16
+        self.edges[:n, 1:] = self.ends.take(self.state, axis=0)
+
+    def bounds(self, n: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the class's interval."""
+        at = self.lane5[:n] + cls
+        flat = self.edges.ravel()
+        low = flat.take(at).astype(np.int64)
+        at += 1
+        return low, flat.take(at) - low
+
+    def learn(self, n: int, x: np.ndarray, x16: np.ndarray, cls: np.ndarray) -> None:
+        """x: the ids that came (x16: in the tables' type); cls: 0 order 2, 1 order 1, 2 order 0's table, 3 any."""
+        self.next1[self.i1] = x16
+        self.next2[self.i2] = x16
+        self.recent[self.slots[:n] + (x & _SLOTS)] = x16
+        own = self.edges[:n, 1:]
+        step = _GOALS.take(cls, axis=0)
+        step -= own
+        step >>= RATE
+        step += own
+        self.ends[self.state] = step
+        right = self.right[:n]
+        right <<= 1
+        right &= 10  # the older bit of each order stays
+        right += (self.p2 == x16) * 4 + (self.p1 == x16)
+        c = self.before[:n] * 40503
+        c += x * 60493
+        c ^= c >> 7
+        c &= _MASK
+        self.context[:n] = c
+        self.before[:n] = x
 
 
 def _lengths(total: int, block: int) -> np.ndarray:
@@ -84,56 +101,76 @@ def _lengths(total: int, block: int) -> np.ndarray:
     return out
 
 
+def _carried(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """words (a row for each lane, each up to 17 bits) with carries added to the words before."""
+    over = np.zeros(len(words), np.uint32)
+    for k in range(int(ends.max()) - 1, -1, -1):
+        w = words[:, k]
+        w += over
+        over = w >> 16
+        w &= 0xFFFF
+    return words.astype("<u2")
+
+
 def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
     """One byte string for each block of `block` ids (the last may be shorter); ids below 2**width, width <= 20."""
     sizes = _lengths(len(ids), block)
     lanes = len(sizes)
     if not lanes:
         return []
-    padded = np.zeros(lanes * block, np.int64)
+    padded = np.zeros(lanes * block, np.int32)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)  # one row for each step
+    del padded
     m = _Model(lanes, width)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out = np.zeros((lanes, 2 * block + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
-    total_bits = np.uint64(WEIGHT_BITS + width)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
+    most = 2 * block + 8
+    out = np.zeros(lanes * most, np.uint32)
+    at = np.arange(lanes, dtype=np.int64) * most
+    unit_bits = np.uint64(WEIGHT_BITS + width)
     scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
-    slot_mask = (1 << SLOT_BITS) - 1
-    short = sizes[-1]
     for t in range(block):
-        n = lanes if t < short else lanes - 1
+        n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
-        x = steps[t, :n]
+        x = steps[t, :n].astype(np.int64)
+        x16 = x.astype(m.kind)
         m.predict(n)
-        slot = x & slot_mask
-        cls = np.where(m.p2 == x, 0, np.where(m.p1 == x, 1, np.where(m.recent[m.slots[:n] + slot] == x, 2, 3)))
-        lo = m.edges[m.lane[:n], cls].astype(np.int64)
-        size = m.edges[m.lane[:n], cls + 1] - lo
-        size <<= scale[cls]
-        start = (lo << width) + size * np.where(cls == 2, slot, np.where(cls == 3, x, 0))
+        slot = x & _SLOTS
+        cls = np.full(n, 3)
+        cls[m.recent.take(m.slots[:n] + slot) == x16] = 2
+        cls[m.p1 == x16] = 1
+        cls[m.p2 == x16] = 0
+        start, size = m.bounds(n, cls)
+        size <<= scale.take(cls)
+        start <<= width
+        flat = np.flatnonzero(cls >= 2)
+        start[flat] += size[flat] * np.where(cls[flat] == 2, slot[flat], x[flat])
         l, s = low[:n], span[:n]
-        unit = s >> total_bits
-        l += unit * start.astype(np.uint64)
-        s[:] = unit * size.astype(np.uint64)
-        m.learn(n, x.astype(m.kind), cls)
-        open_ = np.flatnonzero((((l ^ (l + s)) >> _TOP) == 0) | (s < _BOTTOM))
+        unit = s >> unit_bits
+        l += unit * start.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=s)
+        m.learn(n, x, x16, cls)
+        open_ = np.flatnonzero(s < _BOTTOM)
         while len(open_):
-            lo_, sp = l[open_], s[open_]
-            cut = ((lo_ ^ (lo_ + sp)) >> _TOP) != 0  # the top isn't settled: the span ends where it would be
-            if cut.any():
-                sp = np.where(cut, (~lo_ + np.uint64(1)) & _LOW, sp)
-            out[open_, at[open_]] = (lo_ >> _TOP).astype(np.uint16)
-            at[open_] += 1
-            lo_, sp = lo_ << _SHIFT, sp << _SHIFT
-            l[open_], s[open_] = lo_, sp
-            open_ = open_[(((lo_ ^ (lo_ + sp)) >> _TOP) == 0) | (sp < _BOTTOM)]
-    done = []
-    for i in range(lanes):
-        tail = np.array([(int(low[i]) >> s) & 0xFFFF for s in (48, 32, 16, 0)], np.uint16)
-        done.append(np.concatenate([out[i, : at[i]], tail]).astype("<u2").tobytes())
-    return done
+            part = l.take(open_)
+            to = at.take(open_)
+            out[to] = part >> _LOW_BITS
+            to += 1
+            at[open_] = to
+            part &= _REST
+            part <<= _WORD
+            l[open_] = part
+            part = s.take(open_) << _WORD
+            s[open_] = part
+            open_ = open_[part < _BOTTOM]
+    for _ in range(3):  # the rest of low
+        out[at] = (low >> _LOW_BITS).astype(np.uint32)
+        at += 1
+        low = (low & _REST) << _WORD
+    ends = at - np.arange(lanes) * most
+    words = _carried(out.reshape(lanes, most), ends)
+    return [words[i, : ends[i]].tobytes() for i in range(lanes)]
 
 
 def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
@@ -142,54 +179,58 @@ def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarra
     lanes = len(sizes)
     if not lanes:
         return np.empty(0, np.int64)
-    words = [np.frombuffer(b, "<u2") for b in blocks]
-    data = np.zeros((lanes, max(map(len, words)) + 4), np.uint16)
-    for i, w in enumerate(words):
-        data[i, : len(w)] = w
+    most = max(map(len, blocks)) // 2 + 4
+    data = np.zeros((lanes, most), np.uint16)
+    for i, b in enumerate(blocks):
+        data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
     m = _Model(lanes, width)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << _SHIFT) | data[:, k].astype(np.uint64)
-    at = np.full(lanes, 4, np.int64)
-    out = np.zeros((block, lanes), np.int64)
-    total_bits = np.uint64(WEIGHT_BITS + width)
-    most = np.uint64((1 << (WEIGHT_BITS + width)) - 1)
+    span = np.full(lanes, _FULL, np.uint64)
+    code = np.zeros(lanes, np.uint64)  # the code's distance from the range's low end
+    for k in range(3):
+        code = (code << _WORD) | data[:, k].astype(np.uint64)
+    data = data.ravel()
+    at = np.arange(lanes, dtype=np.int64) * most + 3
+    out = np.zeros((block, lanes), np.int32)
+    unit_bits = np.uint64(WEIGHT_BITS + width)
+    last = (1 << (WEIGHT_BITS + width)) - 1
     scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
-    short = sizes[-1]
     for t in range(block):
-        n = lanes if t < short else lanes - 1
+        n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
         m.predict(n)
-        l, s, c = low[:n], span[:n], code[:n]
-        unit = s >> total_bits
-        value = np.minimum((c - l) // unit, most).astype(np.int64)
+        c, s = code[:n], span[:n]
+        unit = s >> unit_bits
+        value = (c // unit).view(np.int64)
+        np.minimum(value, last, out=value)
         weight = value >> width
-        cls = (weight >= m.edges[:, 1]).astype(np.int64) + (weight >= m.edges[:, 2]) + (weight >= m.edges[:, 3])
-        lo = m.edges[m.lane[:n], cls].astype(np.int64)
-        size = m.edges[m.lane[:n], cls + 1] - lo
-        size <<= scale[cls]
-        start = lo << width
-        x = np.where(cls == 0, m.p2, m.p1).astype(np.int64)
+        edges = m.edges[:n]
+        cls = (weight >= edges[:, 1]).astype(np.int64)
+        cls += weight >= edges[:, 2]
+        cls += weight >= edges[:, 3]
+        start, size = m.bounds(n, cls)
+        size <<= scale.take(cls)
+        start <<= width
+        x16 = np.where(cls == 0, m.p2, m.p1)
         flat = np.flatnonzero(cls >= 2)
-        if len(flat):
-            nr = (value[flat] - start[flat]) // size[flat]
-            start[flat] += nr * size[flat]
-            x[flat] = np.where(cls[flat] == 2, m.recent[m.slots[flat] + (nr & ((1 << SLOT_BITS) - 1))], nr)
+        own = size[flat]
+        nr = (value[flat] - start[flat]) // own
+        start[flat] += nr * own
+        x16[flat] = np.where(cls[flat] == 2, m.recent.take(m.slots[flat] + (nr & _SLOTS)), nr)
+        x = x16.astype(np.int64)
         out[t, :n] = x
-        l += unit * start.astype(np.uint64)
-        s[:] = unit * size.astype(np.uint64)
-        m.learn(n, x.astype(m.kind), cls)
-        open_ = np.flatnonzero((((l ^ (l + s)) >> _TOP) == 0) | (s < _BOTTOM))
+        c -= unit * start.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=s)
+        m.learn(n, x, x16, cls)
+        open_ = np.flatnonzero(s < _BOTTOM)
         while len(open_):
-            lo_, sp = l[open_], s[open_]
-            cut = ((lo_ ^ (lo_ + sp)) >> _TOP) != 0
-            if cut.any():
-                sp = np.where(cut, (~lo_ + np.uint64(1)) & _LOW, sp)
-            c[open_] = (c[open_] << _SHIFT) | data[open_, at[open_]].astype(np.uint64)
-            at[open_] += 1
-            lo_, sp = lo_ << _SHIFT, sp << _SHIFT
-            l[open_], s[open_] = lo_, sp
-            open_ = open_[(((lo_ ^ (lo_ + sp)) >> _TOP) == 0) | (sp < _BOTTOM)]
-    return np.ascontiguousarray(out.T).reshape(-1)[:total]
+            to = at.take(open_)
+            part = c.take(open_) << _WORD
+            part |= data.take(to)
+            c[open_] = part
+            to += 1
+            at[open_] = to
+            part = s.take(open_) << _WORD
+            s[open_] = part
+            open_ = open_[part < _BOTTOM]
+    return np.ascontiguousarray(out.T).reshape(-1)[:total].astype(np.int64)

@@ -34,38 +34,83 @@ BLOCK_IDS = 4096
 FILE_IDS = 8_000_000
 WIDTH = 16
 #: Distinct words a worker keeps encoded; the table is emptied when it is full.
-KEEP = 500_000
+KEEP = 600_000
+#: Words that one call of the library encodes as one text.
+TOGETHER = 256
 
-_WORDS: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str):
-    """From texts to ids (bytes, little-endian unsigned 32-bit).
+class WordEncoder:
+    """From texts to ids (bytes, little-endian unsigned 32-bit), for word-end BPE that lower-cases.
 
-    For vocabularies whose pre-tokens hold no white space, as word-end BPE has them: the library encodes
-    each distinct stretch without ASCII white space once.
+    Pre-tokens of such vocabularies hold no white space, so the library encodes each distinct stretch without ASCII
+    white space once.  New stretches go to it many at a time, with a special token between them, which it splits off
+    before all else.
     """
-    if path not in _WORDS:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _WORDS[path] = (t, {})
-    tokenizer, known = _WORDS[path]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        marks = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not any(map(str.isspace, t.content))]
+        self.mark, self.mark_id = marks[0] if marks else (None, None)
+        self.specials = [m.encode() for m, _ in marks]
+        self.known: dict[bytes, bytes] = {}
+
+    def _split(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        # A-Z may be lower-cased beforehand, unless that could make a special token
+        return (raw if b"<" in raw else raw.lower()).split()
+
+    def _ids(self, words: list[bytes]) -> None:
+        """Encode words that aren't known."""
+        alone = [w for w in words if self.mark is None or any(m in w for m in self.specials)]
+        rest = [w for w in words if w not in set(alone)] if alone else words
+        if alone:
+            for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        texts = [self.mark.join([w.decode() for w in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(g, ends, strict=True):
+                self.known[w] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        known = self.known
         if len(known) > KEEP:
             known.clear()
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
+        split = [self._split(t) for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new = dict.fromkeys(w for words, ids in zip(split, found) for w, x in zip(words, ids) if x is None)
         if new:
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
-
-    return encode
+            # a full stop or comma after a letter is a pre-token of its own
+            ended = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+            cut = dict.fromkeys(w[:-1] for w in ended)
+            cut.update(dict.fromkeys([b".", b","]))
+            whole = dict.fromkeys(new)
+            for w in ended:
+                del whole[w]
+            whole.update(cut)
+            self._ids([w for w in whole if w not in known])
+            for w in ended:
+                known[w] = known[w[:-1]] + known[w[-1:]]
+            found = [[known[w] if x is None else x for w, x in zip(words, ids)] for words, ids in zip(split, found)]
+        return [b"".join(ids) for ids in found]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a vocabulary file; built once in each process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def file_bytes(docs: list[tuple[int | None, int]], ids: np.ndarray, block: int = BLOCK_IDS, width: int = WIDTH) -> bytes:
