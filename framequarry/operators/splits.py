@@ -159,3 +159,31 @@ def window_frames(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """The windows' frames; a frame in two windows appears twice."""
     rows = windows.select("video_id", "start", F.explode(F.sequence("start", "end")).alias("frame_idx"))
     return rows.join(frames.select("video_id", "frame_idx", "image_id"), ["video_id", "frame_idx"])
+
+
+def with_negatives(events: DataFrame, negatives: DataFrame, target: float, tolerance: float, max_per_video: int, seed: int = 0, rounds: int = 10) -> DataFrame:
+    """events and as many shuffled negative windows as bring the share of flagged frames to `target`.
+
+    events, negatives: video_id, start, end, pos_frames, len_frames.  A video gives max_per_video windows in all; a number
+    near the target is computed, then corrected one window at a time.  Windows are selected by rank in one ordered
+    list; the driver gets sums and at most `rounds` rows beyond the first guess.
+    """
+    pos, size = events.agg(F.sum("pos_frames"), F.sum("len_frames")).first()
+    used = events.groupBy("video_id").agg(F.count("*").alias("_u"))
+    inside = F.row_number().over(Window.partitionBy("video_id").orderBy(draw(seed, F.col("video_id"), F.col("start")), "start"))
+    free = negatives.join(used, "video_id", "left").withColumn("_k", inside).where(F.col("_k") + F.coalesce("_u", F.lit(0)) <= max_per_video).drop("_u", "_k")
+    mean = negatives.agg(F.avg("len_frames")).first()[0] or 50.0
+    need = -(-max(0, -(-(pos or 0) // target) - (size or 0)) // round(mean)) if target > 0 else 0
+    order = [draw(seed + 1, F.col("video_id"), F.col("start")), F.col("video_id"), F.col("start")]
+    first = free.orderBy(*order).limit(int(need) + rounds)
+    listed = first.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
+    sums = {r["_i"]: (r["pos_frames"], r["len_frames"]) for r in listed.select("_i", "pos_frames", "len_frames").collect()}
+    n = min(int(need), len(sums))
+    for _ in range(rounds):
+        p = (pos or 0) + sum(sums[i][0] for i in range(1, n + 1))
+        t = (size or 0) + sum(sums[i][1] for i in range(1, n + 1))
+        share = p / t if t else 0.0
+        if abs(share - target) <= tolerance or (share > target and n == len(sums)) or (share < target and n == 0):
+            break
+        n += 1 if share > target else -1
+    return events.unionByName(listed.where(F.col("_i") <= n).drop("_i"), allowMissingColumns=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import box as B
-from framequarry.operators import bootstrap, coco, etl, kpi, matching, need, planner, prevalence, reports, runs, splits, state, tiles, tracks
+from framequarry.operators import bootstrap, coco, etl, kpi, matching, need, planner, prevalence, reports, runs, signals, splits, state, tiles, tracks
 
 from . import adapt
 from .adapt import SQL as VIEWS
@@ -1022,3 +1022,76 @@ def skipped_failures(spark, sf_dir):
     log = v.frames.where("image_id % 7 <> 0").select("image_id", F.lit(0).alias("ord"), mode.alias("mode"))
     t = reports.skipped_failures(fails, log)
     return t.select(*t.columns[:-1], _r("skip_rate"))
+
+
+# --- signals -----------------------------------------------------------------------------------
+
+
+@query(""", a AS (SELECT image_id, list(score ORDER BY ord) AS v FROM vx_pred GROUP BY image_id)
+SELECT image_id, round(list_avg(v), 9) AS mean, round(list_stddev_pop(v), 9) AS std, round(list_aggregate(v, 'quantile_cont', 0.95), 9) AS p95, round(list_aggregate(v, 'quantile_cont', 0.99), 9) AS p99,
+       round(list_reverse_sort(v)[1] - coalesce(list_reverse_sort(v)[2], CAST(0 AS DOUBLE)), 9) AS top1_gap FROM a""")
+def score_array_stats(spark, sf_dir):
+    rows = views(spark, sf_dir).pred.groupBy("image_id").agg(F.collect_list("score").alias("v"))
+    return rows.select("image_id", *[_r(c, n) for n, c in signals.array_stats(F.col("v")).items()])
+
+
+@query("""SELECT event_id, user_id, round(coalesce(abs(v - lag(v, 4) OVER w), CAST(0 AS DOUBLE)), 9) AS motion,
+       round(avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS accumulated
+FROM (SELECT *, CAST(value AS DOUBLE) AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def motion_signals(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = ev.select("user_id", "event_id", F.col("value").cast("double").alias("v"), F.row_number().over(order).alias("n"))
+    rows = signals.accumulated(signals.lagged_difference(ev, "v", 4, "user_id", "n"), "v", 5, "user_id", "n", "accumulated")
+    return rows.select("event_id", "user_id", _r("motion"), _r("accumulated"))
+
+
+@query(""", q AS (SELECT quantile_cont(latency_ms, 0.8) AS a, quantile_cont(tiles_used, 0.5) AS b FROM vx_cost)
+SELECT 'overall' AS bucket, image_id FROM vx_cost
+UNION ALL SELECT CASE WHEN latency_ms <= a THEN 'latency_ms_low' ELSE 'latency_ms_high' END, image_id FROM vx_cost, q
+UNION ALL SELECT CASE WHEN tiles_used <= b THEN 'tiles_used_low' ELSE 'tiles_used_high' END, image_id FROM vx_cost, q""")
+def percentile_buckets(spark, sf_dir):
+    return signals.threshold_buckets(views(spark, sf_dir).cost, {"latency_ms": 0.8, "tiles_used": 0.5})
+
+
+@query(""", s AS (SELECT image_id, count(*) AS n, max(score) AS top, max(score) - coalesce(list_reverse_sort(list(score))[2], CAST(0 AS DOUBLE)) AS margin FROM vx_pred GROUP BY image_id),
+x AS (SELECT f.image_id, coalesce(n, 0) AS n, coalesce(top, CAST(0 AS DOUBLE)) AS top, coalesce(margin, CAST(0 AS DOUBLE)) AS margin, CAST(f.image_id % 3 AS DOUBLE) AS m, f.image_id % 5 = 0 AS fail FROM vx_frames f LEFT JOIN s ON s.image_id = f.image_id),
+y AS (SELECT *, n > 0 AND (top < 0.15 OR margin < 0.05) AS u, m < 1 AS still FROM x)
+SELECT image_id, still AS low_motion, u AS uncertain, CAST(CAST(still AND (u OR fail OR n = 0) AS INTEGER) + CAST(fail AS INTEGER) + CAST(u AS INTEGER) AS DOUBLE) AS risk FROM y""")
+def additive_risk(spark, sf_dir):
+    v = views(spark, sf_dir)
+    s = v.pred.groupBy("image_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.sort_array(F.collect_list("score"), False).alias("_s"))
+    zero = F.lit(0.0)
+    rows = v.frames.join(s, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top", zero).alias("top"), F.coalesce(F.get("_s", 0) - F.coalesce(F.get("_s", 1), zero), zero).alias("margin"))
+    r = signals.additive_risk((F.col("image_id") % 3).cast("double"), F.lit(100.0), F.col("n"), F.col("top"), F.col("margin"), F.col("image_id") % 5 == 0)
+    return rows.select("image_id", *[r[k].alias(k) for k in ("low_motion", "uncertain", "risk")])
+
+
+@query(_STREAK + """SELECT image_id, soft AS escape_soft, soft AND streak >= 6 AS escape_hard, NOT det AND z < -1 AND streak >= 4 AS strong_skip
+FROM (SELECT *, NOT det AND NOT z < -1 AND (z > 1.5 OR streak >= 3) AS soft FROM (SELECT *, CAST(image_id % 7 AS DOUBLE) - 3 AS z FROM ns))""")
+def escape_rules(spark, sf_dir):
+    v = views(spark, sf_dir)
+    det = v.pred.where("score >= 0.5").select("image_id").distinct().withColumn("_d", F.lit(1))
+    rows = runs.streak_since(v.frames.join(det, "image_id", "left"), F.col("_d").isNotNull(), "video_id", ["frame_idx"])
+    n = F.coalesce("_d", F.lit(0))
+    e = signals.escapes((F.col("image_id") % 7).cast("double") - F.lit(3.0), n, n, F.col("streak"), F.col("streak"), soft=3, hard=6, skip=4)
+    return rows.select("image_id", *[c.alias(k) for k, c in e.items()])
+
+
+@query()
+def event_and_negative_windows(spark, sf_dir):
+    """Windows around segments and negative windows, in numbers that bring the flagged share to 0.4."""
+    flags = _flags(views(spark, sf_dir))
+    neg = runs.sliding_windows(flags, 6, 2, 0.5).select("video_id", "start", "end", "pos_frames", "len_frames")
+    marks = flags.select("video_id", "frame_idx", F.col("flag").cast("int").alias("f"))
+    ev = splits.balanced(splits.event_windows(flags, 6, (1, 3), 5), 200, 2, 5).drop("type")
+    pos = splits.window_frames(ev, flags).join(marks, ["video_id", "frame_idx"]).groupBy("video_id", "start").agg(F.sum("f").alias("pos_frames"), F.count("*").alias("len_frames"))
+    return splits.with_negatives(ev.join(pos, ["video_id", "start"]), neg, 0.4, 0.01, 3)
+
+
+@query()
+def miss_signal_table(spark, sf_dir):
+    v = views(spark, sf_dir)
+    grid = _small_grid(v)
+    miss = tiles.coverage(tiles.boxes_in_tiles(v.pred.where("score >= 0.5"), v.frames, grid), tiles.boxes_in_tiles(v.gt, v.frames, grid))
+    return signals.miss_signals(miss.join(v.cost, "image_id"), "miss", ["latency_ms", "tiles_used"])
