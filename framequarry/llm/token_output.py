@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -33,19 +34,90 @@ MAGIC = b"FQTOK001"
 BLOCK_IDS = 4096
 FILE_IDS = 8_000_000
 WIDTH = 16
-#: Distinct words a worker keeps encoded; the table is emptied when it is full.
-KEEP = 600_000
+#: Distinct words a worker keeps encoded (some 50 bytes each); the table is emptied when it is full.
+KEEP = 3_000_000
+#: New words that are looked for one by one before the index takes them in.
+RECENT = 200_000
 #: Words that one call of the library encodes as one text.
 TOGETHER = 256
+#: Bytes of text that are split and looked up together.
+CHUNK_BYTES = 8 << 20
 
 _ENCODERS: dict[str, WordEncoder] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: masks of the first n bytes of a little-endian 64-bit number
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _digests(eights: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each word; eights[i]: the eight bytes from i on."""
+    h = _mixed((eights[first] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    at, k = np.flatnonzero(size > 8), 8
+    while len(at):
+        h[at] = _mixed((h[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (eights[first[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    return h
+
+
+class _Pool:
+    """Ids of words by digest: arrays that grow, an index over most digests and a dictionary of recent ones."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        self.starts, self.lengths, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32), 0
+        self.keys = np.empty(1 << 18, np.uint64)
+        self.index, self.indexed = pd.Index(np.empty(0, np.uint64)), 0
+        self.recent: dict[int, int] = {}
+
+    def places(self, digests: np.ndarray) -> np.ndarray:
+        """The words' places; -1: unknown."""
+        out = self.index.get_indexer(digests).astype(np.int64)
+        if self.recent:
+            open_ = np.flatnonzero(out < 0)
+            out[open_] = [self.recent.get(d, -1) for d in digests[open_].tolist()]
+        return out
+
+    def add(self, digests: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words whose ids follow each other."""
+        n, m = len(digests), len(ids)
+        while self.used + m > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.count + n > len(self.keys):
+            self.keys, self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.keys, self.starts, self.lengths))
+        self.ids[self.used : self.used + m] = ids
+        new = slice(self.count, self.count + n)
+        self.keys[new], self.lengths[new] = digests, lengths
+        self.starts[new] = self.used + np.cumsum(lengths) - lengths
+        self.recent.update(zip(digests.tolist(), range(self.count, self.count + n)))
+        self.used, self.count = self.used + m, self.count + n
+        if len(self.recent) > RECENT:
+            self.index = pd.Index(self.keys[: self.count].copy())
+            self.recent.clear()
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        lengths = self.lengths[places].astype(np.int64)
+        ends = np.cumsum(lengths)
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[places] - (ends - lengths), lengths)]
 
 
 class WordEncoder:
-    """From texts to ids (bytes, little-endian unsigned 32-bit), for word-end BPE that lower-cases.
+    """From texts to ids, for word-end BPE that lower-cases.
 
     Pre-tokens of such vocabularies hold no white space, so the library encodes each distinct stretch without ASCII
-    white space once.  New stretches go to it many at a time, with a special token between them, which it splits off
+    white space once.  Stretches are found and told apart (by a 64-bit digest) with array operations over many texts
+    at once; new ones go to the library many at a time, with a special token between them, which it splits off
     before all else.
     """
 
@@ -59,51 +131,91 @@ class WordEncoder:
         marks = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not any(map(str.isspace, t.content))]
         self.mark, self.mark_id = marks[0] if marks else (None, None)
         self.specials = [m.encode() for m, _ in marks]
-        self.known: dict[bytes, bytes] = {}
-
-    def _split(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode()
-        # A-Z may be lower-cased beforehand, unless that could make a special token
-        return (raw if b"<" in raw else raw.lower()).split()
-
-    def _ids(self, words: list[bytes]) -> None:
-        """Encode words that aren't known."""
-        alone = [w for w in words if self.mark is None or any(m in w for m in self.specials)]
-        rest = [w for w in words if w not in set(alone)] if alone else words
-        if alone:
-            for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.pool = _Pool()
+
+    def _library(self, words: list[bytes], digests: np.ndarray) -> None:
+        """Encode and keep words that aren't known."""
+        alone = np.array([self.mark is None or (b"<" in w and any(m in w for m in self.specials)) for w in words], bool)
+        for i in np.flatnonzero(alone).tolist():
+            ids = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
+            self.pool.add(digests[i : i + 1], ids, np.array([len(ids)]))
+        rest = np.flatnonzero(~alone)
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        texts = [self.mark.join([w.decode() for w in g]) for g in groups]
+        texts = [self.mark.join([words[i].decode() for i in g]) for g in groups]
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(g, ends, strict=True):
-                self.known[w] = raw[4 * at : 4 * end]
-                at = end + 1
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEEP:
-            known.clear()
-        split = [self._split(t) for t in texts]
-        found = [list(map(known.get, words)) for words in split]
-        new = dict.fromkeys(w for words, ids in zip(split, found) for w, x in zip(words, ids) if x is None)
-        if new:
-            # a full stop or comma after a letter is a pre-token of its own
-            ended = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
-            cut = dict.fromkeys(w[:-1] for w in ended)
-            cut.update(dict.fromkeys([b".", b","]))
-            whole = dict.fromkeys(new)
-            for w in ended:
-                del whole[w]
-            whole.update(cut)
-            self._ids([w for w in whole if w not in known])
-            for w in ended:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-            found = [[known[w] if x is None else x for w, x in zip(words, ids)] for words, ids in zip(split, found)]
-        return [b"".join(ids) for ids in found]
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(g) - 1:
+                raise ValueError("the tokenizer doesn't keep its special token apart")
+            self.pool.add(digests[g], ids[ids != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+
+    def _learn(self, data: bytes, text: np.ndarray, eights: np.ndarray, first: np.ndarray, size: np.ndarray, digests: np.ndarray) -> None:
+        """Make new distinct words known."""
+        last = first + size - 1
+        # a full stop or comma after a letter is a pre-token of its own
+        ended = (size > 1) & ((text[last] == 46) | (text[last] == 44)) & _LETTER[text[last - 1]]
+        e = np.flatnonzero(ended)
+        stems = _digests(eights, first[e], size[e] - 1)
+        marks = _digests(eights, last[e], np.ones(len(e), np.int64))
+        keys = np.concatenate([digests[~ended], stems, marks])
+        starts, sizes = np.concatenate([first[~ended], first[e], last[e]]), np.concatenate([size[~ended], size[e] - 1, np.ones(len(e), np.int64)])
+        keys, at = np.unique(keys, return_index=True)
+        fresh = self.pool.places(keys) < 0
+        at = at[fresh]
+        self._library([data[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist())], keys[fresh])
+        if len(e):
+            parts = np.stack([self.pool.places(stems), self.pool.places(marks)], axis=1)
+            self.pool.add(digests[e], self.pool.of(parts.ravel()), self.pool.lengths[parts].sum(axis=1))
+
+    def _chunk(self, raws: list[bytes], end: np.uint32) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, each followed by `end`, and their numbers."""
+        if self.pool.count > KEEP:
+            self.pool = _Pool()
+        limits = np.cumsum([len(r) + 1 for r in raws])
+        text = np.frombuffer(b" ".join(raws) + b" " * 40, np.uint8)
+        if not (text == 60).any():
+            text = _LOWER[text]  # A-Z may be lower-cased beforehand, unless that could make a special token
+        edge = np.diff(_SPACE[text].view(np.int8), prepend=np.int8(1))
+        first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # the joined text ends with white space
+        size = stop - first
+        data = text.tobytes()
+        eights = np.ndarray((len(text) - 7,), np.dtype("<u8"), data, 0, (1,))
+        code, distinct = pd.factorize(_digests(eights, first, size))
+        places = self.pool.places(distinct)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            sample = np.empty(len(distinct), np.int64)
+            sample[code] = np.arange(len(code))
+            where = sample[new]
+            self._learn(data, text, eights, first[where], size[where], distinct[new])
+            places[new] = self.pool.places(distinct[new])
+        # the words of a text stand before its end; -1 marks the ends
+        words = np.insert(places[code], np.searchsorted(first, limits), -1)
+        stops = np.flatnonzero(words < 0)
+        lengths = np.where(words < 0, 1, self.pool.lengths[words]).astype(np.int64)
+        starts = self.pool.starts[words]
+        ends = np.cumsum(lengths)
+        last = ends[stops] - 1
+        at = np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)
+        at[last] = 0
+        ids = self.pool.ids[at]
+        ids[last] = end
+        return ids, np.diff(last, prepend=-1)
+
+    def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, `end` after each, and how many each text has."""
+        raws = [(t or "").encode() for t in texts]
+        out, k = [], 0
+        while k < len(raws):
+            stop, size = k, 0
+            while stop < len(raws) and (stop == k or size + len(raws[stop]) <= CHUNK_BYTES):
+                size += len(raws[stop])
+                stop += 1
+            out.append(self._chunk(raws[k:stop], np.uint32(end)))
+            k = stop
+        if not out:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -155,7 +267,6 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, text: st
     """
     rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    end = struct.pack("<I", end_id)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path)
@@ -165,7 +276,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, text: st
 
         def close() -> pa.RecordBatch:
             nonlocal docs, parts, n, nr
-            raw = file_bytes(docs, np.frombuffer(b"".join(parts), "<u4").astype(np.int64))
+            raw = file_bytes(docs, np.concatenate(parts))
             name = f"{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(raw)
@@ -174,13 +285,19 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, text: st
             return pa.RecordBatch.from_arrays(cols, ["part", "nr", "file", "n_ids", "n_docs", "n_bytes"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                for d, ids in zip(part.column("_id").to_pylist(), encode(part.column("_text").to_pylist())):
-                    docs.append((d, len(ids) // 4 + 1))
-                    parts += [ids, end]
-                    n += docs[-1][1]
-                    if n >= file_ids:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids, sizes = encode(part.column("_text").to_pylist(), end_id)
+                names, stops, begun, k = part.column("_id").to_pylist(), np.cumsum(sizes), 0, 0
+                while k < len(names):
+                    # documents up to the file's size, at least one
+                    stop = max(k + 1, int(np.searchsorted(stops, begun + file_ids - n, side="right")))
+                    stop = min(stop, len(names))
+                    docs += list(zip(names[k:stop], sizes[k:stop].tolist()))
+                    parts.append(ids[begun : stops[stop - 1]])
+                    n += int(stops[stop - 1]) - begun
+                    begun, k = int(stops[stop - 1]), stop
+                    if n >= file_ids or k < len(names):
                         yield close()
         if docs:
             yield close()
