@@ -14,26 +14,42 @@ from framequarry.llm import bpe, dedup, mixing, pii, quality
 from framequarry.llm.common import written
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that no result of an operator clashes with, and the new names by the old."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*names.values()).toDF(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the calibrated forest reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(docs, labels).where("kept").select(*docs.columns)
+    rows, names = _renamed(docs)
+    return _back(quality.judge(rows, labels, text=names["text"], doc_id=names["doc_id"]).where("kept"), docs, names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    return dedup.without_duplicates(docs).select(*docs.columns)
+    rows, names = _renamed(docs)
+    return _back(dedup.without_duplicates(rows, text=names["text"], doc_id=names["doc_id"]), docs, names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind, as in <email>; n_chars follows the new text."""
-    out = pii.detect(docs, clean="text")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, names = _renamed(docs)
+    out = pii.detect(rows, text=names["text"], doc_id=names["doc_id"], clean=names["text"])
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType))
+    return _back(out, docs, names)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand in the result as often as the mix takes them."""
-    return mixing.mixed(docs).select(*docs.columns)
+    rows, names = _renamed(docs)
+    return _back(mixing.mixed(rows, text=names["text"], doc_id=names["doc_id"], source=names["source"]), docs, names)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
