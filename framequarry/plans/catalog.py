@@ -568,7 +568,17 @@ def tile_neighbors_diagonal(spark, sf_dir):
     return tiles.neighbours(tiles.grid(_sizes(spark)), hops=1, diagonal=True, with_self=True)
 
 
-@query()
+@query(
+    _GRID
+    + """, ad AS (SELECT width, height, CASE WHEN greatest(width, height) > 512 * (4 - 3 * CAST(0.15 AS DOUBLE)) + 1 THEN 12 ELSE 6 END AS patches FROM sizes),
+ab AS (SELECT *, CASE WHEN width >= height THEN CASE WHEN patches = 12 THEN 4 ELSE 3 END ELSE CASE WHEN patches = 12 THEN 3 ELSE 2 END END AS a FROM ad),
+pp AS (SELECT *, patches // a AS b, ceil(greatest(width / (a - (a - 1) * CAST(0.15 AS DOUBLE)), height / (patches // a - (patches // a - 1) * CAST(0.15 AS DOUBLE)))) AS p FROM ab),
+ss AS (SELECT *, greatest(1, round_even(p * (1 - CAST(0.15 AS DOUBLE)), 0)) AS s FROM pp),
+cells AS (SELECT ss.*, r.i AS r, c.i AS c FROM ss JOIN (SELECT unnest(range(0, 4)) AS i) r ON r.i < b JOIN (SELECT unnest(range(0, 4)) AS i) c ON c.i < a)
+SELECT width, height, patches, CAST(r * a + c AS INTEGER) AS tile_id, CAST(CASE WHEN p >= width THEN 0 ELSE least(c * s, width - p) END AS INTEGER) AS x,
+       CAST(CASE WHEN p >= height THEN 0 ELSE least(r * s, height - p) END AS INTEGER) AS y, CAST(p AS INTEGER) AS w, CAST(p AS INTEGER) AS h, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col
+FROM cells"""
+)
 def adaptive_tile_grid(spark, sf_dir):
     return tiles.adaptive_grid(_sizes(spark))
 
@@ -698,15 +708,48 @@ def _facts(v: adapt.Views) -> DataFrame:
     return kpi.frame_facts(v.frames, v.gt, v.pred, v.cost, IOU, CONF)
 
 
-@query()
+_FACTS = (
+    _MATCHED
+    + """, sm AS (SELECT image_id, count(*) AS n_gt, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.01 AS INTEGER)) AS s0, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.02 AS INTEGER)) AS s1 FROM vx_gt GROUP BY image_id),
+ge AS (SELECT image_id, count(*) FILTER (score >= 0.3) AS a, count(*) FILTER (score >= 0.5) AS b, count(*) FILTER (score >= 0.7) AS c FROM vx_pred GROUP BY image_id), facts AS (
+  SELECT f.image_id, f.video_id, f.frame_idx, coalesce(n_gt, 0) AS n_gt, coalesce(s0, 0) AS has_small_0, coalesce(s1, 0) AS has_small_1, coalesce(n_gt, 0) > 0 AS is_pos, coalesce(n_gt, 0) = 0 AS is_empty,
+         tp, fp, fn, max_conf, coalesce(np.n, 0) AS n_pred, coalesce(a, 0) AS n_ge_03, coalesce(b, 0) AS n_ge_05, coalesce(c, 0) AS n_ge_07, sahi_on, tiles_used, latency_ms
+  FROM vx_frames f JOIN fm USING (image_id) JOIN vx_cost USING (image_id) LEFT JOIN sm ON sm.image_id = f.image_id LEFT JOIN ge ON ge.image_id = f.image_id LEFT JOIN np ON np.image_id = f.image_id
+)
+"""
+)
+
+
+@query(_FACTS + "SELECT * FROM facts")
 def frame_facts(spark, sf_dir):
-    """The frame-grain table; fp counts need the greedy fold, so tests hold it to brute force."""
-    return _facts(views(spark, sf_dir))
+    """The frame-grain table."""
+    f = _facts(views(spark, sf_dir)).drop("width", "height")
+    taus = [F.col("n_ge")[i].alias(n) for i, n in enumerate(("n_ge_03", "n_ge_05", "n_ge_07"))]
+    return f.select(*[c for c in f.columns if c != "n_ge"], *taus)
 
 
-@query()
+@query(
+    _FACTS
+    + """, isl AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, is_pos ORDER BY frame_idx) AS island FROM facts),
+sg AS (SELECT video_id, island, min(frame_idx) AS s, max(frame_idx) AS e, coalesce(min(frame_idx) FILTER (tp = 1) - min(frame_idx), count(*)) AS delay FROM isl WHERE is_pos GROUP BY ALL),
+ms AS (SELECT video_id, island, frame_idx - row_number() OVER (PARTITION BY video_id, island, fn ORDER BY frame_idx) AS miss_run, fn FROM isl WHERE is_pos),
+mr AS (SELECT video_id, island, max(l) AS miss FROM (SELECT video_id, island, CASE WHEN fn = 1 THEN count(*) ELSE 0 END AS l FROM ms GROUP BY video_id, island, fn, miss_run) GROUP BY ALL),
+sv AS (SELECT video_id, count(*) AS num_segments, avg(delay) AS dm, quantile_cont(delay, 0.5) AS d5, quantile_cont(delay, 0.9) AS d9, avg(miss) AS mm, quantile_cont(miss, 0.9) AS m9 FROM sg JOIN mr USING (video_id, island) GROUP BY video_id)
+SELECT f.video_id, count(*) AS num_frames, count(*) FILTER (is_pos) AS num_pos_frames, count(*) FILTER (is_empty) AS num_empty_frames,
+       round(avg(sahi_on), 9) AS sahi_on_ratio, round(avg(tiles_used), 9) AS avg_tiles, round(avg(latency_ms), 9) AS avg_latency_ms,
+       round(avg(tiles_used) FILTER (is_empty), 9) AS empty_avg_tiles, round(avg(tiles_used) FILTER (NOT is_empty), 9) AS pos_avg_tiles, max(has_small_0) AS has_small,
+       round(count(*) FILTER (is_pos) / count(*), 9) AS presence_ratio, round(1000 / avg(latency_ms), 9) AS fps,
+       round(coalesce(count(*) FILTER (is_empty AND sahi_on = 1) / nullif(count(*) FILTER (is_empty), 0), 0), 9) AS empty_sahi_on_ratio,
+       round(coalesce(count(*) FILTER (NOT is_empty AND sahi_on = 1) / nullif(count(*) FILTER (NOT is_empty), 0), 0), 9) AS pos_sahi_on_ratio,
+       round(coalesce(count(*) FILTER (is_empty AND fp > 0) / nullif(count(*) FILTER (is_empty), 0), 0), 9) AS empty_fp_rate,
+       coalesce(any_value(num_segments), 0) AS num_segments, round(any_value(dm), 9) AS delay_mean, round(any_value(d5), 9) AS delay_p50, round(any_value(d9), 9) AS delay_p90,
+       round(any_value(mm), 9) AS miss_mean, round(any_value(m9), 9) AS miss_p90
+FROM facts f LEFT JOIN sv ON sv.video_id = f.video_id GROUP BY f.video_id"""
+)
 def frame_kpi_video(spark, sf_dir):
-    return kpi.per_video(_facts(views(spark, sf_dir)))
+    t = kpi.per_video(_facts(views(spark, sf_dir)))
+    exact = ("video_id", "num_frames", "num_pos_frames", "num_empty_frames", "num_segments", "has_small")
+    return t.select(*[c if c in exact else _r(c) for c in t.columns])
 
 
 @query(
@@ -834,7 +877,7 @@ _EMA = """, m AS (
 
 
 @query(
-    _EMA.replace(", m AS", ", m AS")
+    _EMA
     + """, lists AS (SELECT user_id, list(g ORDER BY n) AS gs, list(event_id ORDER BY n) AS ids FROM m GROUP BY user_id)
 , w AS (SELECT user_id, unnest(ids) AS event_id, unnest(list_transform(range(1, len(gs) + 1), lambda k: list_sum(list_transform(range(1, k + 1), lambda i: 0.02::DOUBLE * gs[i] * pow(0.98::DOUBLE, k - i))))) AS mu FROM lists)
 SELECT user_id, event_id, round(mu, 6) AS mu FROM w"""
@@ -1016,9 +1059,13 @@ def location_stats_distinct(spark, sf_dir):
     return reports.location_stats(*_located(spark, sf_dir), distinct_images=True).select("location", "num_images", "num_empty", _r("empty_ratio"))
 
 
-@query()
+@query(_LOCATIONS + """, st AS (SELECT location, count(*) AS n, count(*) FILTER (category_id = 0) AS e FROM an JOIN im USING (image_id) GROUP BY location),
+rk AS (SELECT *, row_number() OVER (ORDER BY e / n DESC, n DESC, location) AS k FROM st), sz AS (SELECT CAST(unnest([2, 5, 10]) AS INTEGER) AS bundle_size)
+SELECT bundle_size, string_agg(location, ',' ORDER BY k) AS locations, CAST(sum(n) AS BIGINT) AS num_images, CAST(sum(e) AS BIGINT) AS num_empty, round(CAST(sum(e) AS DOUBLE) / sum(n), 9) AS empty_ratio
+FROM sz JOIN rk ON k <= bundle_size GROUP BY bundle_size""")
 def location_bundles(spark, sf_dir):
-    return reports.bundles(reports.location_stats(*_located(spark, sf_dir)), [2, 5, 10])
+    t = reports.bundles(reports.location_stats(*_located(spark, sf_dir)), [2, 5, 10])
+    return t.select("bundle_size", F.array_join("locations", ",").alias("locations"), "num_images", "num_empty", _r("empty_ratio"))
 
 
 @query("""SELECT 'score' AS "column", CAST(unnest([0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS DOUBLE) AS q,
