@@ -20,11 +20,11 @@ RECALL_POINTS = 101
 
 
 def detections(gt: DataFrame, pred: DataFrame, thresholds=THRESHOLDS, max_dets: int = 100, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
-    """category_id, thr, image_id, ord, score, tp, ignored: the best max_dets of each image and category.
+    """category_id, image_id, ord, score and, by threshold, arrays tp and ignored: the best max_dets of each image and category.
 
     A detection takes the free box with the largest overlap of at least the threshold (later boxes win ties), boxes
     outside the area range last.  It is ignored if its box is, or if it has none and lies outside the range.
-    Overlaps are computed once for an image; ten thresholds are matched on them.
+    Overlaps are computed once for an image; all thresholds are matched on them.
     """
     keys = ["image_id", "category_id"]
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "ord")
@@ -33,55 +33,66 @@ def detections(gt: DataFrame, pred: DataFrame, thresholds=THRESHOLDS, max_dets:
     boxes = gt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "area", *"xywh"))).alias("_g"))
     both = dets.join(boxes, keys, "left")
     low, high = area
+    limits = [min(t, 1 - 1e-10) for t in thresholds]
 
-    def matched(found: list[dict], boxes: list[dict], thr) -> Iterator[tuple[float, dict, bool, bool]]:
-        shape = lambda b: (b["x"], b["y"], b["w"], b["h"])
+    def matched(found: list[dict], boxes: list[dict]) -> list[tuple[list[bool], list[bool]]]:
+        shapes = [(b["x"], b["y"], b["w"], b["h"]) for b in boxes]
         outside = [not low <= b["area"] <= high for b in boxes]
-        table = [[iou(shape(d), shape(b)) for b in boxes] for d in found]
-        for t in thr:
-            free = set(range(len(boxes)))
-            for d, row in zip(found, table):
-                fits = [(not outside[j], row[j], j) for j in free if row[j] >= min(t, 1 - 1e-10)]
-                if fits:
-                    j = max(fits)[2]
-                    free.discard(j)
-                    yield t, d, True, outside[j]
-                else:
-                    yield t, d, False, not low <= d["w"] * d["h"] <= high
+        far = [not low <= d["w"] * d["h"] <= high for d in found]
+        out = [([False] * len(limits), [f] * len(limits)) for f in far]
+        # candidates of each detection, the preferred first
+        near = []
+        for d in found:
+            own = (d["x"], d["y"], d["w"], d["h"])
+            near.append(sorted(((not outside[j], v, j) for j, s in enumerate(shapes) if (v := iou(own, s)) >= limits[0]), reverse=True))
+        for k, t in enumerate(limits):
+            taken: set[int] = set()
+            for (tp, ignored), row in zip(out, near):
+                j = next((j for _, v, j in row if v >= t and j not in taken), None)
+                if j is not None:
+                    taken.add(j)
+                    tp[k], ignored[k] = True, outside[j]
+        return out
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
         for batch in batches:
-            rows = [(r["category_id"], t, r["image_id"], d["ord"], d["score"], tp, ign) for r in batch.to_pylist() for t, d, tp, ign in matched(r["_d"], r["_g"] or [], thresholds)]
-            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
+            rows = [(r["category_id"], r["image_id"], d["ord"], d["score"], tp, ign) for r in batch.to_pylist() for d, (tp, ign) in zip(r["_d"], matched(r["_d"], r["_g"] or []))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names)
 
-    names = ["category_id", "thr", "image_id", "ord", "score", "tp", "ignored"]
+    names = ["category_id", "image_id", "ord", "score", "tp", "ignored"]
     rows = both.select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), "_d", "_g")
-    return rows.mapInArrow(step, "category_id int, thr double, image_id long, ord int, score double, tp boolean, ignored boolean")
+    return rows.mapInArrow(step, "category_id int, image_id long, ord int, score double, tp array<boolean>, ignored array<boolean>")
 
 
-def average_precision(gt: DataFrame, dets: DataFrame, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
-    """category_id, thr, n_gt, ap (101 recall points), recall; categories with boxes in the range."""
+def average_precision(gt: DataFrame, dets: DataFrame, thresholds=THRESHOLDS, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
+    """category_id, thr, n_gt, ap (101 recall points), recall; categories with boxes in the range.
+
+    Detections are ranked once for a category.  A curve needs its hits only: precision peaks at hits, and a hit's
+    place is its rank less the ignored detections before it.
+    """
     n = gt.where((F.col("area") >= F.lit(area[0])) & (F.col("area") <= F.lit(area[1]))).groupBy("category_id").agg(F.count("*").alias("n_gt"))
-    thr = dets.select("thr").distinct()
-    curve = Window.partitionBy("category_id", "thr").orderBy(F.col("score").desc(), "image_id", "ord")
-    rows = dets.where("not ignored").withColumns({"_tp": F.sum(F.col("tp").cast("int")).over(curve), "_k": F.row_number().over(curve)})
-    rows = rows.withColumn("precision", F.col("_tp") / F.col("_k").cast("double"))
+    thr = dets.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "_t int, thr double")
+    ranked = dets.withColumn("_r", F.row_number().over(Window.partitionBy("category_id").orderBy(F.col("score").desc(), "image_id", "ord")))
+    each = ranked.select("category_id", "_r", F.posexplode(F.arrays_zip("tp", "ignored")).alias("_t", "z"))
+    each = each.select("category_id", "_r", "_t", F.col("z.tp").alias("tp"), F.col("z.ignored").alias("ignored")).where("tp or ignored")
+    curve = Window.partitionBy("category_id", "_t").orderBy("_r")
+    hit = F.col("tp") & ~F.col("ignored")
+    rows = each.withColumns({"_gone": F.sum(F.col("ignored").cast("int")).over(curve), "_tp": F.sum(hit.cast("int")).over(curve)}).where(hit)
+    rows = rows.withColumn("precision", F.col("_tp") / (F.col("_r") - F.col("_gone")).cast("double"))
     # the largest precision at this recall or beyond: a running maximum from the curve's end
-    back = Window.partitionBy("category_id", "thr").orderBy("score", F.col("image_id").desc(), F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("category_id", "_t").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_best", F.max("precision").over(back)).join(F.broadcast(n), "category_id")
-    # the point r / 100 is read at the first row whose recall reaches it: a row that raises recall from a / n to b / n
-    # serves the points between
+    # the point r / 100 is read at the first hit whose recall reaches it: a hit that raises recall from a / n to b / n
+    # serves the points between; the point 0 is read at the curve's start
     here, gone = F.col("_tp") / F.col("n_gt").cast("double"), (F.col("_tp") - 1) / F.col("n_gt").cast("double")
     points = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(RECALL_POINTS - 1)), lambda i: i / F.lit(float(RECALL_POINTS - 1))), lambda p: (p <= here) & (p > gone)))
-    # the point 0 is read at the first row, whatever it is
-    served = F.when(F.col("tp"), points).otherwise(F.lit(0)) + (F.col("_k") == 1).cast("int")
-    per = rows.groupBy("category_id", "thr").agg(F.sum(F.col("_best") * served).alias("_s"), F.max("_tp").alias("_m"))
-    out = n.join(thr).join(per, ["category_id", "thr"], "left")
+    per = rows.groupBy("category_id", "_t").agg((F.sum(F.col("_best") * points) + F.max("_best")).alias("_s"), F.max("_tp").alias("_m"))
+    out = n.join(F.broadcast(thr)).join(per, ["category_id", "_t"], "left")
     return out.select("category_id", "thr", "n_gt", (F.coalesce("_s", F.lit(0.0)) / F.lit(float(RECALL_POINTS))).alias("ap"), (F.coalesce("_m", F.lit(0)) / F.col("n_gt").cast("double")).alias("recall"))
 
 
 def summary(gt: DataFrame, pred: DataFrame, max_dets: int = 100, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
     """One row: map, ap50, ar (mean recall at max_dets)."""
-    ap = average_precision(gt, detections(gt, pred, max_dets=max_dets, area=area), area)
+    ap = average_precision(gt, detections(gt, pred, max_dets=max_dets, area=area), area=area)
     return ap.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"), F.coalesce(F.avg(F.when(F.col("thr") == 0.5, F.col("ap"))), F.lit(0.0)).alias("ap50"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("ar"))

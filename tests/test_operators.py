@@ -182,7 +182,7 @@ def test_average_precision(spark, seed):
     rng = random.Random(seed)
     gt, pred = random_boxes(rng, 25, 3), random_boxes(rng, 25, 5)
     d = coco.detections(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), thresholds=(0.3, 0.5))
-    for r in coco.average_precision(spark.createDataFrame(gt, BOX), d).collect():
+    for r in coco.average_precision(spark.createDataFrame(gt, BOX), d, (0.3, 0.5)).collect():
         ap, recall = naive_ap(gt, pred, r.thr)
         assert r.ap == pytest.approx(ap) and r.recall == pytest.approx(recall)
 
