@@ -127,11 +127,11 @@ def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, split: b
     units = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
 
     done, undecided, nr = [], units, 0
-    docs = {i: r["docs"] for i, r in enumerate(sums)}
+    # documents of the largest source that may be undecided, and the same for each row's source
+    most_docs, docs = max((r["docs"] for r in sums), default=0), F.col("_docs")
     while True:
-        count = {i: -(-n // block) for i, n in docs.items()}
-        last = max(count.values(), default=1) <= 1
-        many = F.element_at(F.create_map(*[F.lit(x) for i, c in count.items() for x in (i, max(1, c))]), F.col("_nr")) if count else F.lit(1)
+        count, many = -(-most_docs // block), F.greatest(F.lit(1), F.ceil(docs / block))
+        last = count <= 1
         flown = written(_flown(undecided, many, nr, seed, last, split), f"mix-round{nr}")
         if last:
             done.append(flown)
@@ -139,7 +139,7 @@ def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, split: b
         open_ = "pi > 0 and pi < 1"
         done.append(flown.where(f"not ({open_})"))
         undecided = flown.where(open_)
-        docs = {i: min(n, 2 * count[i]) for i, n in docs.items()}
+        most_docs, docs = min(most_docs, 2 * count), F.least(docs, 2 * many)
         nr += 1
     out = done[0]
     for x in done[1:]:
