@@ -72,6 +72,16 @@ def _packed(rows: DataFrame, size: int, by_term: bool) -> DataFrame:
     return rows.mapInArrow(step, "ids binary, ends binary, places binary, weights binary")
 
 
+PARTS = ("ids", "ends", "places", "weights")
+
+
+def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The blocks, written, with numbers 0, 1, ... and how many there are; one small row for each is numbered in order."""
+    path_order = written(written(blocks, "topk-blocks").withColumn("_part", F.monotonically_increasing_id()), "topk-marked")
+    numbers = path_order.select("_part").withColumn(name, F.row_number().over(Window.orderBy("_part")).cast("int") - 1)
+    return path_order.join(numbers, "_part").drop("_part"), path_order.count()
+
+
 def accumulate(queries, candidates, k: int) -> list[tuple[int, int, int, int]]:
     """(query's place, query id, candidate id, score) of the k best of one candidate block for each query of a block."""
     q_ids, q_ends, q_terms, q_weights = queries
@@ -106,15 +116,11 @@ def accumulate(queries, candidates, k: int) -> list[tuple[int, int, int, int]]:
 def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of df for each row that `is_query` (over vec_id) picks."""
     rows = integer_rows(df, vec_id, embedding, scale)
-    asked = _packed(rows.where(is_query), QUERIES, False)
-    # block numbers without gaps; one row for each block passes here
-    asked = written(asked, "topk-queries")
-    asked = written(asked.withColumn("_part", F.monotonically_increasing_id()), "topk-numbered")
-    numbers = asked.select("_part").withColumn("q", F.row_number().over(Window.orderBy("_part")).cast("int") - 1)
-    n = numbers.count()
-    asked = asked.join(numbers, "_part").select("q", *[F.col(c).alias(f"q_{c}") for c in ("ids", "ends", "places", "weights")])
-    given = written(_packed(rows, CANDIDATES, True), "topk-candidates")
-    pairs = given.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>"))).join(asked, "q")
+    asked, _ = _numbered(_packed(rows.where(is_query), QUERIES, False), "q")
+    given, n = _numbered(_packed(rows, CANDIDATES, True), "c")
+    # a query block is a small part of a candidate block: it is what travels to each of them
+    everywhere = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    pairs = asked.withColumnsRenamed({c: f"q_{c}" for c in PARTS}).withColumn("c", F.explode(everywhere)).join(given, "c")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = ["<i8", "<i8", "<i4", "<i8"]
@@ -125,6 +131,6 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, vec_
                 cols = [pa.array([r["q"]] * len(found), pa.int32())] + [pa.array([x[i] for x in found], pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, ["q", "place", "query_id", "vec_id", "score"])
 
-    found = pairs.repartition("q", F.xxhash64("ids")).mapInArrow(step, "q int, place long, query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(step, "q int, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q", "place", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
