@@ -33,7 +33,7 @@ _MASK = (1 << TABLE_BITS) - 1
 _SLOTS = (1 << SLOT_BITS) - 1
 
 #: where each interval's end is drawn to after an id of each class
-_GOALS = np.array([[(1 << WEIGHT_BITS) - (3 - k) * LEAST if cls <= k else (k + 1) * LEAST for k in range(3)] + [1 << WEIGHT_BITS] for cls in range(4)], np.int16)
+_GOALS = np.array([[(1 << WEIGHT_BITS) - (3 - k) * LEAST if cls <= k else (k + 1) * LEAST for k in range(3)] + [1 << WEIGHT_BITS] for cls in range(4)], np.int16).view(np.int64).ravel()
 
 
 class _Model:
@@ -47,8 +47,8 @@ class _Model:
         self.lane5 = np.arange(n, dtype=np.int64) * 5
         self.next1, self.next2 = np.zeros(n << TABLE_BITS, self.kind), np.zeros(n << TABLE_BITS, self.kind)
         self.recent = np.zeros(n << SLOT_BITS, self.kind)
-        #: ends of the intervals of order 2, order 1, order 0's table and "any id"
-        self.ends = np.tile(np.array([800, 1600, 2800, 1 << WEIGHT_BITS], np.int16), (n * STATES, 1))
+        #: ends of the intervals of order 2, order 1, order 0's table and "any id": four 16-bit numbers in one
+        self.ends = np.full(n * STATES, np.array([800, 1600, 2800, 1 << WEIGHT_BITS], np.int16).view(np.int64)[0])
         self.edges = np.zeros((n, 5), np.int16)
         self.before, self.context = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.right = np.zeros(n, np.int64)  # two bits for order 2, two for order 1
@@ -58,9 +58,12 @@ class _Model:
         self.i1 = (self.before[:n] & _MASK) + self.base[:n]
         self.i2 = self.context[:n] + self.base[:n]
         self.p1, self.p2 = self.next1.take(self.i1), self.next2.take(self.i2)
-        self.state = self.states[:n] + self.right[:n]
-        self.state[self.p1 == self.p2] += 16
-        self.edges[:n, 1:] = self.ends.take(self.state, axis=0)
+        self.state = (self.p1 == self.p2).astype(np.int64)
+        self.state <<= 4
+        self.state += self.states[:n]
+        self.state += self.right[:n]
+        self.own = self.ends.take(self.state).view(np.int16).reshape(n, 4)
+        self.edges[:n, 1:] = self.own
 
     def bounds(self, n: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the class's interval."""
@@ -75,12 +78,11 @@ class _Model:
         self.next1[self.i1] = x16
         self.next2[self.i2] = x16
         self.recent[self.slots[:n] + (x & _SLOTS)] = x16
-        own = self.edges[:n, 1:]
-        step = _GOALS.take(cls, axis=0)
-        step -= own
+        step = _GOALS.take(cls).view(np.int16).reshape(n, 4)
+        step -= self.own
         step >>= RATE
-        step += own
-        self.ends[self.state] = step
+        step += self.own
+        self.ends[self.state] = step.view(np.int64).ravel()
         right = self.right[:n]
         right <<= 1
         right &= 10  # the older bit of each order stays
@@ -101,15 +103,14 @@ def _lengths(total: int, block: int) -> np.ndarray:
     return out
 
 
-def _carried(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """words (a row for each lane, each up to 17 bits) with carries added to the words before."""
+def _carry(words: np.ndarray, ends: np.ndarray) -> None:
+    """Add the carries (bit 16) of each lane's words to the words before them, in place."""
     over = np.zeros(len(words), np.uint32)
     for k in range(int(ends.max()) - 1, -1, -1):
         w = words[:, k]
         w += over
         over = w >> 16
         w &= 0xFFFF
-    return words.astype("<u2")
 
 
 def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
@@ -118,34 +119,35 @@ def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
     lanes = len(sizes)
     if not lanes:
         return []
-    padded = np.zeros(lanes * block, np.int32)
+    padded = np.zeros(lanes * block, np.uint16 if width <= 16 else np.uint32)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)  # one row for each step
     del padded
     m = _Model(lanes, width)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
-    most = 2 * block + 8
+    most = block // 2 + 64  # words a lane has room for so far; each id may take three
     out = np.zeros(lanes * most, np.uint32)
     at = np.arange(lanes, dtype=np.int64) * most
+    ahead = 16
     unit_bits = np.uint64(WEIGHT_BITS + width)
     scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
     for t in range(block):
         n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
+        if t % ahead == 0 and int((at - np.arange(lanes) * most).max()) + 3 * ahead + 8 > most:
+            out = np.pad(out.reshape(lanes, most), ((0, 0), (0, most // 2 + 64))).ravel()
+            at += np.arange(lanes) * (most // 2 + 64)
+            most += most // 2 + 64
         x = steps[t, :n].astype(np.int64)
         x16 = x.astype(m.kind)
         m.predict(n)
         slot = x & _SLOTS
-        cls = np.full(n, 3)
-        cls[m.recent.take(m.slots[:n] + slot) == x16] = 2
-        cls[m.p1 == x16] = 1
-        cls[m.p2 == x16] = 0
+        cls = np.where(m.p2 == x16, 0, np.where(m.p1 == x16, 1, np.where(m.recent.take(m.slots[:n] + slot) == x16, 2, 3)))
         start, size = m.bounds(n, cls)
         size <<= scale.take(cls)
         start <<= width
-        flat = np.flatnonzero(cls >= 2)
-        start[flat] += size[flat] * np.where(cls[flat] == 2, slot[flat], x[flat])
+        start += size * np.where(cls == 3, x, np.where(cls == 2, slot, 0))
         l, s = low[:n], span[:n]
         unit = s >> unit_bits
         l += unit * start.view(np.uint64)
@@ -169,16 +171,17 @@ def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
         at += 1
         low = (low & _REST) << _WORD
     ends = at - np.arange(lanes) * most
-    words = _carried(out.reshape(lanes, most), ends)
-    return [words[i, : ends[i]].tobytes() for i in range(lanes)]
+    words = out.reshape(lanes, most)
+    _carry(words, ends)
+    return [words[i, : ends[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
 def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
-    """The ids (int64) of all blocks."""
+    """The ids (unsigned 32-bit) of all blocks."""
     sizes = _lengths(total, block)
     lanes = len(sizes)
     if not lanes:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint32)
     most = max(map(len, blocks)) // 2 + 4
     data = np.zeros((lanes, most), np.uint16)
     for i, b in enumerate(blocks):
@@ -190,7 +193,7 @@ def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarra
         code = (code << _WORD) | data[:, k].astype(np.uint64)
     data = data.ravel()
     at = np.arange(lanes, dtype=np.int64) * most + 3
-    out = np.zeros((block, lanes), np.int32)
+    out = np.zeros((block, lanes), m.kind)
     unit_bits = np.uint64(WEIGHT_BITS + width)
     last = (1 << (WEIGHT_BITS + width)) - 1
     scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
@@ -211,14 +214,12 @@ def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarra
         start, size = m.bounds(n, cls)
         size <<= scale.take(cls)
         start <<= width
-        x16 = np.where(cls == 0, m.p2, m.p1)
-        flat = np.flatnonzero(cls >= 2)
-        own = size[flat]
-        nr = (value[flat] - start[flat]) // own
-        start[flat] += nr * own
-        x16[flat] = np.where(cls[flat] == 2, m.recent.take(m.slots[flat] + (nr & _SLOTS)), nr)
+        nr = (value - start) // size  # 0 for the orders' one id
+        start += nr * size
+        x16 = m.recent.take(m.slots[:n] + (nr & _SLOTS))
+        x16 = np.where(cls == 3, nr.astype(m.kind), np.where(cls == 2, x16, np.where(cls == 1, m.p1, m.p2)))
         x = x16.astype(np.int64)
-        out[t, :n] = x
+        out[t, :n] = x16
         c -= unit * start.view(np.uint64)
         np.multiply(unit, size.view(np.uint64), out=s)
         m.learn(n, x, x16, cls)
@@ -233,4 +234,4 @@ def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarra
             part = s.take(open_) << _WORD
             s[open_] = part
             open_ = open_[part < _BOTTOM]
-    return np.ascontiguousarray(out.T).reshape(-1)[:total].astype(np.int64)
+    return out.T.astype(np.uint32).reshape(-1)[:total]

@@ -37,11 +37,11 @@ WIDTH = 16
 #: Distinct words a worker keeps encoded (some 50 bytes each); the table is emptied when it is full.
 KEEP = 3_000_000
 #: New words that are looked for one by one before the index takes them in.
-RECENT = 200_000
+RECENT = 100_000
 #: Words that one call of the library encodes as one text.
 TOGETHER = 256
 #: Bytes of text that are split and looked up together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 
 _ENCODERS: dict[str, WordEncoder] = {}
 _SPACE = np.zeros(256, bool)
@@ -249,7 +249,7 @@ def parse_file(raw: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
         sums.append((count, crc))
         at += 12 + size
     ids = range_coder.decode(coded, n, block, width)
-    plain = ids.astype("<u4").tobytes()
+    plain = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
     for i, (count, crc) in enumerate(sums):
         if zlib.crc32(plain[4 * i * block : 4 * (i * block + count)]) != crc:
             raise ValueError(f"block {i}: the checksum differs")
@@ -276,7 +276,9 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, text: st
 
         def close() -> pa.RecordBatch:
             nonlocal docs, parts, n, nr
-            raw = file_bytes(docs, np.concatenate(parts))
+            ids = np.concatenate(parts)
+            parts = []
+            raw = file_bytes(docs, ids)
             name = f"{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(raw)
@@ -318,7 +320,7 @@ def read(manifest: DataFrame, folder: str, ids: str | None = None) -> DataFrame:
             for row in batch.to_pylist():
                 with fs.open_input_file(f"{root}/{row['file']}") as f:
                     docs, values = parse_file(f.read())
-                plain, at = memoryview(values.astype("<u4").tobytes()), 0
+                plain, at = (memoryview(values.astype("<u4", copy=False)).cast("B") if len(values) else memoryview(b"")), 0
                 for k in range(0, len(docs), 4096):
                     out = []
                     for d, n in docs[k : k + 4096]:
