@@ -68,12 +68,16 @@ def detections(gt: DataFrame, pred: DataFrame, thresholds=THRESHOLDS, max_dets:
 def average_precision(gt: DataFrame, dets: DataFrame, thresholds=THRESHOLDS, area: tuple[float, float] = (0.0, 1e10)) -> DataFrame:
     """category_id, thr, n_gt, ap (101 recall points), recall; categories with boxes in the range.
 
-    Detections are ranked once for a category.  A curve needs its hits only: precision peaks at hits, and a hit's
+    Detections are ranked once for a category, without one sort over all of them.  A curve needs its hits only: precision peaks at hits, and a hit's
     place is its rank less the ignored detections before it.
     """
     n = gt.where((F.col("area") >= F.lit(area[0])) & (F.col("area") <= F.lit(area[1]))).groupBy("category_id").agg(F.count("*").alias("n_gt"))
     thr = dets.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "_t int, thr double")
-    ranked = dets.withColumn("_r", F.row_number().over(Window.partitionBy("category_id").orderBy(F.col("score").desc(), "image_id", "ord")))
+    # a detection's rank: those with better scores, counted by score, and its place among equals
+    better = Window.partitionBy("category_id").orderBy(F.col("score").desc())
+    starts = dets.groupBy("category_id", "score").agg(F.count("*").alias("_n")).select("category_id", "score", (F.sum("_n").over(better) - F.col("_n")).alias("_s"))
+    equal = Window.partitionBy("category_id", "score").orderBy("image_id", "ord")
+    ranked = dets.join(starts, ["category_id", "score"]).withColumn("_r", F.col("_s") + F.row_number().over(equal))
     each = ranked.select("category_id", "_r", F.posexplode(F.arrays_zip("tp", "ignored")).alias("_t", "z"))
     each = each.select("category_id", "_r", "_t", F.col("z.tp").alias("tp"), F.col("z.ignored").alias("ignored")).where("tp or ignored")
     curve = Window.partitionBy("category_id", "_t").orderBy("_r")
