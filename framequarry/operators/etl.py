@@ -63,7 +63,7 @@ def exported_sequences(images: DataFrame, with_ids: bool = True) -> DataFrame:
 def static_cost_log(frames: DataFrame, on: bool, tiles: Column | int = 0, latency_ms: float = 0.0) -> DataFrame:
     """A cost row for each frame of a constant schedule."""
     n = tiles if isinstance(tiles, Column) else F.lit(int(tiles))
-    return frames.select("video_id", F.col("frame_idx").alias("t"), "image_id", F.lit(int(on)).alias("sahi_on"), (n if on else F.lit(0)).alias("tiles_used"), F.lit(float(latency_ms)).alias("latency_ms"))
+    return frames.select("video_id", F.col("frame_idx").alias("t"), "image_id", F.lit(int(on)).alias("verifier_on"), (n if on else F.lit(0)).alias("tiles_used"), F.lit(float(latency_ms)).alias("latency_ms"))
 
 
 def target_bundle(stats: DataFrame, ratio: float, images: int, tolerance: int, min_images: int = 1, trials: int = 20, seed: int = 0, most: int = 100_000) -> dict:

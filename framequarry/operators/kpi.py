@@ -24,7 +24,7 @@ def frame_facts(frames: DataFrame, gt: DataFrame, pred: DataFrame, cost: DataFra
     match = matching.frame_match(frames, gt, pred, iou_thr, conf_thr)
     counts = pred.groupBy("image_id").agg(F.count_if(F.col("score") >= F.lit(conf_thr)).alias("n_pred"), F.array(*[F.count_if(F.col("score") >= F.lit(t)) for t in taus]).alias("n_ge"))
     out = index.join(match, "image_id").join(counts, "image_id", "left").join(cost, "image_id", "left")
-    return out.withColumns({"n_pred": F.coalesce("n_pred", F.lit(0)), "n_ge": F.coalesce("n_ge", F.array(*[F.lit(0).cast("long") for _ in taus])), "sahi_on": F.coalesce("sahi_on", F.lit(0)), "tiles_used": F.coalesce("tiles_used", F.lit(0)), "latency_ms": F.coalesce("latency_ms", F.lit(0.0))})
+    return out.withColumns({"n_pred": F.coalesce("n_pred", F.lit(0)), "n_ge": F.coalesce("n_ge", F.array(*[F.lit(0).cast("long") for _ in taus])), "verifier_on": F.coalesce("verifier_on", F.lit(0)), "tiles_used": F.coalesce("tiles_used", F.lit(0)), "latency_ms": F.coalesce("latency_ms", F.lit(0.0))})
 
 
 def _mean_if(cond: Column, value: Column) -> Column:
@@ -33,12 +33,12 @@ def _mean_if(cond: Column, value: Column) -> Column:
 
 def per_video(facts: DataFrame) -> DataFrame:
     """One KPI row for each video (conditional aggregation), with its segments' delays and misses."""
-    empty, pos, on = F.col("is_empty"), F.col("is_pos"), F.col("sahi_on") == 1
+    empty, pos, on = F.col("is_empty"), F.col("is_pos"), F.col("verifier_on") == 1
     rows = facts.groupBy("video_id").agg(
         F.count("*").alias("num_frames"),
         F.count_if(pos).alias("num_pos_frames"),
         F.count_if(empty).alias("num_empty_frames"),
-        F.avg(F.col("sahi_on").cast("double")).alias("sahi_on_ratio"),
+        F.avg(F.col("verifier_on").cast("double")).alias("verifier_on_ratio"),
         F.avg(F.col("tiles_used").cast("double")).alias("avg_tiles"),
         F.avg("latency_ms").alias("avg_latency_ms"),
         F.count_if(empty & on).alias("_eo"),
@@ -61,8 +61,8 @@ def per_video(facts: DataFrame) -> DataFrame:
         {
             "presence_ratio": ratio(c("num_pos_frames"), c("num_frames")),
             "fps": maybe_ratio(F.lit(1000.0), c("avg_latency_ms")),
-            "empty_sahi_on_ratio": ratio(c("_eo"), c("num_empty_frames")),
-            "pos_sahi_on_ratio": ratio(c("_po"), c("num_frames") - c("num_empty_frames")),
+            "empty_verifier_on_ratio": ratio(c("_eo"), c("num_empty_frames")),
+            "pos_verifier_on_ratio": ratio(c("_po"), c("num_frames") - c("num_empty_frames")),
             "empty_fp_rate": ratio(c("_ef"), c("num_empty_frames")),
         }
     ).drop("_eo", "_po", "_ef")
@@ -71,7 +71,7 @@ def per_video(facts: DataFrame) -> DataFrame:
 
 def summary(facts: DataFrame) -> DataFrame:
     """One row over all frames (not an average of the videos' rows)."""
-    empty, on = F.col("is_empty"), F.col("sahi_on") == 1
+    empty, on = F.col("is_empty"), F.col("verifier_on") == 1
     t = facts.agg(
         F.count("*").alias("num_frames"),
         F.count_if(empty).alias("num_empty_frames"),
@@ -79,7 +79,7 @@ def summary(facts: DataFrame) -> DataFrame:
         F.count_if(F.col("fp") > 0).alias("fp_frames"),
         F.sum("fn").alias("fn_frames"),
         F.sum("n_pred").alias("num_pred_boxes"),
-        F.count_if(on).alias("sahi_on_frames"),
+        F.count_if(on).alias("verifier_on_frames"),
         F.sum("tiles_used").alias("total_tiles"),
         F.sum(F.when(on, F.col("tiles_used"))).alias("tiles_on"),
         F.count_if(empty & on).alias("empty_on_frames"),
@@ -90,9 +90,9 @@ def summary(facts: DataFrame) -> DataFrame:
     c = F.col
     return t.withColumns(
         {
-            "sahi_on_ratio": ratio(c("sahi_on_frames"), c("num_frames")),
+            "verifier_on_ratio": ratio(c("verifier_on_frames"), c("num_frames")),
             "avg_tiles": ratio(c("total_tiles"), c("num_frames")),
-            "avg_tiles_on": ratio(c("tiles_on"), c("sahi_on_frames")),
+            "avg_tiles_on": ratio(c("tiles_on"), c("verifier_on_frames")),
             "empty_fp_rate": ratio(c("empty_fp_frames"), c("num_empty_frames")),
             "fps": maybe_ratio(F.lit(1000.0), c("avg_latency_ms")),
         }

@@ -42,14 +42,14 @@ def prevalence_input(mask: DataFrame, pred: DataFrame, cost: DataFrame, taus=TAU
     """One row for each frame: mask, cost (0 without one), number of predictions and top score, and n_ge: their numbers by tau."""
     by_tau = F.array(*[F.count_if(F.col("score") >= F.lit(t)) for t in taus])
     per_image = pred.groupBy("image_id").agg(F.count("*").alias("pred_count"), F.max("score").alias("top_score"), by_tau.alias("n_ge"))
-    out = mask.join(per_image, "image_id", "left").join(cost.select("image_id", "sahi_on", "tiles_used", "latency_ms"), "image_id", "left")
+    out = mask.join(per_image, "image_id", "left").join(cost.select("image_id", "verifier_on", "tiles_used", "latency_ms"), "image_id", "left")
     none = F.array(*[F.lit(0).cast("long") for _ in taus])
     return out.withColumns(
         {
             "pred_count": F.coalesce("pred_count", F.lit(0)),
             "top_score": F.coalesce("top_score", F.lit(0.0)),
             "n_ge": F.coalesce("n_ge", none),
-            "sahi_on": F.coalesce("sahi_on", F.lit(0)),
+            "verifier_on": F.coalesce("verifier_on", F.lit(0)),
             "tiles_used": F.coalesce("tiles_used", F.lit(0)),
             "latency_ms": F.coalesce("latency_ms", F.lit(0.0)),
         }
@@ -58,14 +58,14 @@ def prevalence_input(mask: DataFrame, pred: DataFrame, cost: DataFrame, taus=TAU
 
 def high_conf_labels(rows: DataFrame, taus=TAUS) -> DataFrame:
     """Long form: one row for each frame and tau with has_high_conf_fp, fp_count, max_fp_conf."""
-    long = rows.select("image_id", "video_id", "is_empty", "sahi_on", "top_score", F.posexplode("n_ge").alias("_k", "pred_count_ge"))
+    long = rows.select("image_id", "video_id", "is_empty", "verifier_on", "top_score", F.posexplode("n_ge").alias("_k", "pred_count_ge"))
     tau = F.element_at(F.array(*[F.lit(float(t)) for t in taus]), F.col("_k") + 1)
     fp = F.col("is_empty") & (F.col("pred_count_ge") > 0)
     return long.select(
         "image_id",
         "video_id",
         "is_empty",
-        "sahi_on",
+        "verifier_on",
         tau.alias("tau"),
         "pred_count_ge",
         fp.alias("has_high_conf_fp"),
@@ -76,7 +76,7 @@ def high_conf_labels(rows: DataFrame, taus=TAUS) -> DataFrame:
 
 def prevalence_table(labels: DataFrame, *groups: str) -> DataFrame:
     """Prevalence over empty frames by tau (and `groups`), overall and with the verifier on or off."""
-    on = F.col("sahi_on") == 1
+    on = F.col("verifier_on") == 1
     fp = F.col("has_high_conf_fp")
     # labels of non-empty frames count nothing: they needn't pass the shuffle
     t = (
@@ -85,9 +85,9 @@ def prevalence_table(labels: DataFrame, *groups: str) -> DataFrame:
         .agg(
             F.count("*").alias("num_empty_frames"),
             F.count_if(fp).alias("num_empty_fp_frames"),
-            F.count_if(on).alias("num_empty_sahi_on_frames"),
+            F.count_if(on).alias("num_empty_verifier_on_frames"),
             F.count_if(on & fp).alias("num_empty_fp_on_frames"),
-            F.count_if(~on).alias("num_empty_sahi_off_frames"),
+            F.count_if(~on).alias("num_empty_verifier_off_frames"),
             F.count_if(~on & fp).alias("num_empty_fp_off_frames"),
             F.sum("fp_count").alias("_fp"),
             # scores are hundredths: their sum in integers doesn't depend on the order of rows
@@ -95,7 +95,7 @@ def prevalence_table(labels: DataFrame, *groups: str) -> DataFrame:
         )
     )
     c = F.col
-    on_ratio, off_ratio = ratio(c("num_empty_fp_on_frames"), c("num_empty_sahi_on_frames")), ratio(c("num_empty_fp_off_frames"), c("num_empty_sahi_off_frames"))
+    on_ratio, off_ratio = ratio(c("num_empty_fp_on_frames"), c("num_empty_verifier_on_frames")), ratio(c("num_empty_fp_off_frames"), c("num_empty_verifier_off_frames"))
     return t.withColumns(
         {
             "prevalence_on_empty": ratio(c("num_empty_fp_frames"), c("num_empty_frames")),

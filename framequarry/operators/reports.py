@@ -20,12 +20,12 @@ def mode_log(log: DataFrame, flags: list[str], *groups: str) -> DataFrame:
     log: mode, num_tiles, risk and the flags (booleans, null counts as false).
     """
     ran = F.col("mode") != "skip"
-    cols = [F.count("*").alias("num_frames"), F.count_if(ran).alias("do_sahi_frames"), _share(ran).alias("do_sahi_ratio")]
+    cols = [F.count("*").alias("num_frames"), F.count_if(ran).alias("do_verify_frames"), _share(ran).alias("do_verify_ratio")]
     for m in ("full", "subset", "skip"):
         cols += [F.count_if(F.col("mode") == m).alias(f"n_{m}"), _share(F.col("mode") == m).alias(f"share_{m}")]
     tiles = F.when(ran, F.col("num_tiles").cast("double"))
     cols += [F.coalesce(F.avg(tiles), F.lit(0.0)).alias("tiles_mean"), F.coalesce(F.percentile(tiles, 0.5), F.lit(0.0)).alias("tiles_p50"), F.coalesce(F.percentile(tiles, 0.95), F.lit(0.0)).alias("tiles_p95"), F.coalesce(F.max(tiles), F.lit(0.0)).alias("tiles_max")]
-    for name, cond in (("all", F.lit(True)), ("do_sahi", ran), ("skip", ~ran)):
+    for name, cond in (("all", F.lit(True)), ("do_verify", ran), ("skip", ~ran)):
         r = F.when(cond, F.col("risk"))
         cols += [F.coalesce(F.avg(r), F.lit(0.0)).alias(f"risk_mean_{name}"), F.coalesce(F.percentile(r, 0.95), F.lit(0.0)).alias(f"risk_p95_{name}")]
     cols += [_share(F.coalesce(F.col(f), F.lit(False))).alias(f"share_{f}") for f in flags]

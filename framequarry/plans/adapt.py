@@ -17,7 +17,7 @@ WIDTH, HEIGHT, TARGET = 640, 360, 14
 @dataclass(frozen=True)
 class Views:
     """frames: image_id, video_id, frame_idx, width, height; gt and pred: image_id, ord, category_id, x, y, w, h
-    and area or score; cost: image_id, sahi_on, tiles_used, latency_ms."""
+    and area or score; cost: image_id, verifier_on, tiles_used, latency_ms."""
 
     frames: DataFrame
     gt: DataFrame
@@ -58,7 +58,7 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
     key, on = F.col("o_orderkey"), F.col("o_orderkey") % 4 == 0
     cost = orders.select(
         key.alias("image_id"),
-        on.cast("int").alias("sahi_on"),
+        on.cast("int").alias("verifier_on"),
         F.when(on, 1 + key % 6).otherwise(F.lit(0)).cast("int").alias("tiles_used"),
         (5 + key % 11 + F.when(on, F.lit(20)).otherwise(F.lit(0))).cast("double").alias("latency_ms"),
     )
@@ -86,7 +86,7 @@ WITH vx_frames AS (
   SELECT image_id, ord, 14 AS category_id, bx + t * CAST(100 AS DOUBLE) AS x, by_ + d * CAST(60 AS DOUBLE) AS y, w, h, score
   FROM vx_inst WHERE d < CAST(0.09 AS DOUBLE)
 ), vx_cost AS (
-  SELECT o_orderkey AS image_id, CAST(o_orderkey % 4 = 0 AS INTEGER) AS sahi_on,
+  SELECT o_orderkey AS image_id, CAST(o_orderkey % 4 = 0 AS INTEGER) AS verifier_on,
          CAST(CASE WHEN o_orderkey % 4 = 0 THEN 1 + o_orderkey % 6 ELSE 0 END AS INTEGER) AS tiles_used,
          CAST(5 + o_orderkey % 11 + CASE WHEN o_orderkey % 4 = 0 THEN 20 ELSE 0 END AS DOUBLE) AS latency_ms
   FROM orders

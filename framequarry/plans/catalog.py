@@ -52,7 +52,7 @@ _MASK = """, mask AS (
 ), tops AS (
   SELECT image_id, max(score) AS top_score, count(*) AS pred_count FROM vx_pred GROUP BY ALL
 ), labels AS (
-  SELECT m.image_id, m.video_id, m.is_empty, c.sahi_on, t.tau, coalesce(s.n, 0) AS pred_count_ge,
+  SELECT m.image_id, m.video_id, m.is_empty, c.verifier_on, t.tau, coalesce(s.n, 0) AS pred_count_ge,
          m.is_empty AND coalesce(s.n, 0) > 0 AS has_high_conf_fp,
          CASE WHEN m.is_empty THEN coalesce(s.n, 0) ELSE 0 END AS fp_count,
          CASE WHEN m.is_empty AND coalesce(s.n, 0) > 0 THEN p.top_score ELSE CAST(0 AS DOUBLE) END AS max_fp_conf
@@ -71,17 +71,17 @@ def _labels(v: adapt.Views) -> DataFrame:
     _MASK
     + """, agg AS (
   SELECT tau, count(*) AS num_empty_frames, count(*) FILTER (has_high_conf_fp) AS num_empty_fp_frames,
-         count(*) FILTER (sahi_on = 1) AS num_empty_sahi_on_frames, count(*) FILTER (sahi_on = 1 AND has_high_conf_fp) AS num_empty_fp_on_frames,
-         count(*) FILTER (sahi_on <> 1) AS num_empty_sahi_off_frames, count(*) FILTER (sahi_on <> 1 AND has_high_conf_fp) AS num_empty_fp_off_frames,
+         count(*) FILTER (verifier_on = 1) AS num_empty_verifier_on_frames, count(*) FILTER (verifier_on = 1 AND has_high_conf_fp) AS num_empty_fp_on_frames,
+         count(*) FILTER (verifier_on <> 1) AS num_empty_verifier_off_frames, count(*) FILTER (verifier_on <> 1 AND has_high_conf_fp) AS num_empty_fp_off_frames,
          sum(fp_count) AS fp, sum(CAST(round(max_fp_conf * 1e6) AS BIGINT)) FILTER (has_high_conf_fp) AS conf
   FROM labels WHERE is_empty GROUP BY tau
 )
-SELECT tau, num_empty_frames, num_empty_fp_frames, num_empty_sahi_on_frames, num_empty_fp_on_frames, num_empty_sahi_off_frames, num_empty_fp_off_frames,
+SELECT tau, num_empty_frames, num_empty_fp_frames, num_empty_verifier_on_frames, num_empty_fp_on_frames, num_empty_verifier_off_frames, num_empty_fp_off_frames,
        round(num_empty_fp_frames / num_empty_frames, 9) AS prevalence_on_empty,
-       round(num_empty_fp_on_frames / num_empty_sahi_on_frames, 9) AS prevalence_given_on,
-       round(num_empty_fp_off_frames / num_empty_sahi_off_frames, 9) AS prevalence_given_off,
-       round((num_empty_fp_on_frames / num_empty_sahi_on_frames) / (num_empty_fp_off_frames / num_empty_sahi_off_frames), 9) AS amplification_ratio,
-       round(num_empty_fp_on_frames / num_empty_sahi_on_frames - num_empty_fp_off_frames / num_empty_sahi_off_frames, 9) AS amplification_diff,
+       round(num_empty_fp_on_frames / num_empty_verifier_on_frames, 9) AS prevalence_given_on,
+       round(num_empty_fp_off_frames / num_empty_verifier_off_frames, 9) AS prevalence_given_off,
+       round((num_empty_fp_on_frames / num_empty_verifier_on_frames) / (num_empty_fp_off_frames / num_empty_verifier_off_frames), 9) AS amplification_ratio,
+       round(num_empty_fp_on_frames / num_empty_verifier_on_frames - num_empty_fp_off_frames / num_empty_verifier_off_frames, 9) AS amplification_diff,
        round(CAST(fp AS DOUBLE) / num_empty_frames, 9) AS mean_fp_count_on_empty,
        round(CAST(conf AS DOUBLE) / num_empty_fp_frames / 1e6, 9) AS mean_max_fp_conf
 FROM agg"""
@@ -108,7 +108,7 @@ def empty_mask_summary(spark, sf_dir):
     return prevalence.empty_mask_summary(prevalence.empty_mask(v.frames, v.gt)).select("video_id", "num_frames", "num_empty_frames", _r("empty_ratio"))
 
 
-@query(_MASK + "SELECT image_id, video_id, is_empty, sahi_on, tau, pred_count_ge, has_high_conf_fp, fp_count, max_fp_conf FROM labels")
+@query(_MASK + "SELECT image_id, video_id, is_empty, verifier_on, tau, pred_count_ge, has_high_conf_fp, fp_count, max_fp_conf FROM labels")
 def high_conf_fp_labels(spark, sf_dir):
     return _labels(views(spark, sf_dir))
 
@@ -124,11 +124,11 @@ def effr_efpd(spark, sf_dir):
 
 @query(
     _MASK
-    + """SELECT sahi_on, tau, count(*) AS num_empty, round(count(*) FILTER (has_high_conf_fp) / count(*), 9) AS effr, round(CAST(sum(fp_count) AS DOUBLE) / count(*), 9) AS efpd
-FROM labels WHERE is_empty GROUP BY sahi_on, tau"""
+    + """SELECT verifier_on, tau, count(*) AS num_empty, round(count(*) FILTER (has_high_conf_fp) / count(*), 9) AS effr, round(CAST(sum(fp_count) AS DOUBLE) / count(*), 9) AS efpd
+FROM labels WHERE is_empty GROUP BY verifier_on, tau"""
 )
 def effr_efpd_on_off(spark, sf_dir):
-    return prevalence.effr_efpd(_labels(views(spark, sf_dir)), "sahi_on").select("sahi_on", "tau", "num_empty", _r("effr"), _r("efpd"))
+    return prevalence.effr_efpd(_labels(views(spark, sf_dir)), "verifier_on").select("verifier_on", "tau", "num_empty", _r("effr"), _r("efpd"))
 
 
 @query(
@@ -713,7 +713,7 @@ _FACTS = (
     + """, sm AS (SELECT image_id, count(*) AS n_gt, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.01 AS INTEGER)) AS s0, max(CAST(area / CAST(230400 AS DOUBLE) <= 0.02 AS INTEGER)) AS s1 FROM vx_gt GROUP BY image_id),
 ge AS (SELECT image_id, count(*) FILTER (score >= 0.3) AS a, count(*) FILTER (score >= 0.5) AS b, count(*) FILTER (score >= 0.7) AS c FROM vx_pred GROUP BY image_id), facts AS (
   SELECT f.image_id, f.video_id, f.frame_idx, coalesce(n_gt, 0) AS n_gt, coalesce(s0, 0) AS has_small_0, coalesce(s1, 0) AS has_small_1, coalesce(n_gt, 0) > 0 AS is_pos, coalesce(n_gt, 0) = 0 AS is_empty,
-         tp, fp, fn, max_conf, coalesce(np.n, 0) AS n_pred, coalesce(a, 0) AS n_ge_03, coalesce(b, 0) AS n_ge_05, coalesce(c, 0) AS n_ge_07, sahi_on, tiles_used, latency_ms
+         tp, fp, fn, max_conf, coalesce(np.n, 0) AS n_pred, coalesce(a, 0) AS n_ge_03, coalesce(b, 0) AS n_ge_05, coalesce(c, 0) AS n_ge_07, verifier_on, tiles_used, latency_ms
   FROM vx_frames f JOIN fm USING (image_id) JOIN vx_cost USING (image_id) LEFT JOIN sm ON sm.image_id = f.image_id LEFT JOIN ge ON ge.image_id = f.image_id LEFT JOIN np ON np.image_id = f.image_id
 )
 """
@@ -736,11 +736,11 @@ ms AS (SELECT video_id, island, frame_idx - row_number() OVER (PARTITION BY vide
 mr AS (SELECT video_id, island, max(l) AS miss FROM (SELECT video_id, island, CASE WHEN fn = 1 THEN count(*) ELSE 0 END AS l FROM ms GROUP BY video_id, island, fn, miss_run) GROUP BY ALL),
 sv AS (SELECT video_id, count(*) AS num_segments, avg(delay) AS dm, quantile_cont(delay, 0.5) AS d5, quantile_cont(delay, 0.9) AS d9, avg(miss) AS mm, quantile_cont(miss, 0.9) AS m9 FROM sg JOIN mr USING (video_id, island) GROUP BY video_id)
 SELECT f.video_id, count(*) AS num_frames, count(*) FILTER (is_pos) AS num_pos_frames, count(*) FILTER (is_empty) AS num_empty_frames,
-       round(avg(sahi_on), 9) AS sahi_on_ratio, round(avg(tiles_used), 9) AS avg_tiles, round(avg(latency_ms), 9) AS avg_latency_ms,
+       round(avg(verifier_on), 9) AS verifier_on_ratio, round(avg(tiles_used), 9) AS avg_tiles, round(avg(latency_ms), 9) AS avg_latency_ms,
        round(avg(tiles_used) FILTER (is_empty), 9) AS empty_avg_tiles, round(avg(tiles_used) FILTER (NOT is_empty), 9) AS pos_avg_tiles, max(has_small_0) AS has_small,
        round(count(*) FILTER (is_pos) / count(*), 9) AS presence_ratio, round(1000 / avg(latency_ms), 9) AS fps,
-       round(coalesce(count(*) FILTER (is_empty AND sahi_on = 1) / nullif(count(*) FILTER (is_empty), 0), 0), 9) AS empty_sahi_on_ratio,
-       round(coalesce(count(*) FILTER (NOT is_empty AND sahi_on = 1) / nullif(count(*) FILTER (NOT is_empty), 0), 0), 9) AS pos_sahi_on_ratio,
+       round(coalesce(count(*) FILTER (is_empty AND verifier_on = 1) / nullif(count(*) FILTER (is_empty), 0), 0), 9) AS empty_verifier_on_ratio,
+       round(coalesce(count(*) FILTER (NOT is_empty AND verifier_on = 1) / nullif(count(*) FILTER (NOT is_empty), 0), 0), 9) AS pos_verifier_on_ratio,
        round(coalesce(count(*) FILTER (is_empty AND fp > 0) / nullif(count(*) FILTER (is_empty), 0), 0), 9) AS empty_fp_rate,
        coalesce(any_value(num_segments), 0) AS num_segments, round(any_value(dm), 9) AS delay_mean, round(any_value(d5), 9) AS delay_p50, round(any_value(d9), 9) AS delay_p90,
        round(any_value(mm), 9) AS miss_mean, round(any_value(m9), 9) AS miss_p90
@@ -756,16 +756,16 @@ def frame_kpi_video(spark, sf_dir):
     _MATCHED
     + """, e AS (SELECT image_id, image_id NOT IN (SELECT image_id FROM vx_gt) AS empty FROM vx_frames), j AS (SELECT * FROM fm JOIN e USING (image_id) JOIN vx_cost USING (image_id) LEFT JOIN np USING (image_id))
 SELECT count(*) AS num_frames, count(*) FILTER (empty) AS num_empty_frames, CAST(sum(tp) AS BIGINT) AS tp_frames, count(*) FILTER (fp > 0) AS fp_frames, CAST(sum(fn) AS BIGINT) AS fn_frames,
-       CAST(sum(coalesce(n, 0)) AS BIGINT) AS num_pred_boxes, count(*) FILTER (sahi_on = 1) AS sahi_on_frames, CAST(sum(tiles_used) AS BIGINT) AS total_tiles, CAST(sum(tiles_used) FILTER (sahi_on = 1) AS BIGINT) AS tiles_on,
-       count(*) FILTER (empty AND sahi_on = 1) AS empty_on_frames, count(*) FILTER (empty AND fp > 0) AS empty_fp_frames, CAST(sum(tiles_used) FILTER (empty) AS BIGINT) AS empty_tiles,
-       round(avg(latency_ms), 9) AS avg_latency_ms, round(count(*) FILTER (sahi_on = 1) / count(*), 9) AS sahi_on_ratio, round(CAST(sum(tiles_used) AS DOUBLE) / count(*), 9) AS avg_tiles,
-       round(CAST(sum(tiles_used) FILTER (sahi_on = 1) AS DOUBLE) / count(*) FILTER (sahi_on = 1), 9) AS avg_tiles_on,
+       CAST(sum(coalesce(n, 0)) AS BIGINT) AS num_pred_boxes, count(*) FILTER (verifier_on = 1) AS verifier_on_frames, CAST(sum(tiles_used) AS BIGINT) AS total_tiles, CAST(sum(tiles_used) FILTER (verifier_on = 1) AS BIGINT) AS tiles_on,
+       count(*) FILTER (empty AND verifier_on = 1) AS empty_on_frames, count(*) FILTER (empty AND fp > 0) AS empty_fp_frames, CAST(sum(tiles_used) FILTER (empty) AS BIGINT) AS empty_tiles,
+       round(avg(latency_ms), 9) AS avg_latency_ms, round(count(*) FILTER (verifier_on = 1) / count(*), 9) AS verifier_on_ratio, round(CAST(sum(tiles_used) AS DOUBLE) / count(*), 9) AS avg_tiles,
+       round(CAST(sum(tiles_used) FILTER (verifier_on = 1) AS DOUBLE) / count(*) FILTER (verifier_on = 1), 9) AS avg_tiles_on,
        round(count(*) FILTER (empty AND fp > 0) / count(*) FILTER (empty), 9) AS empty_fp_rate, round(1000 / avg(latency_ms), 9) AS fps
 FROM j"""
 )
 def kpi_summary(spark, sf_dir):
     t = kpi.summary(_facts(views(spark, sf_dir)))
-    fractions = ("avg_latency_ms", "sahi_on_ratio", "avg_tiles", "avg_tiles_on", "empty_fp_rate", "fps")
+    fractions = ("avg_latency_ms", "verifier_on_ratio", "avg_tiles", "avg_tiles_on", "empty_fp_rate", "fps")
     return t.select(*[_r(c) if c in fractions else c for c in t.columns])
 
 
@@ -780,13 +780,13 @@ def gt_index(spark, sf_dir):
 
 
 @query(
-    """SELECT sahi_on, count(*) AS frames, round(avg(latency_ms), 9) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 9) AS p50_ms, round(quantile_cont(latency_ms, 0.9), 9) AS p90_ms,
+    """SELECT verifier_on, count(*) AS frames, round(avg(latency_ms), 9) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 9) AS p50_ms, round(quantile_cont(latency_ms, 0.9), 9) AS p90_ms,
        round(quantile_cont(latency_ms, 0.95), 9) AS p95_ms, round(1000 / avg(latency_ms), 9) AS fps
-FROM vx_cost GROUP BY sahi_on"""
+FROM vx_cost GROUP BY verifier_on"""
 )
 def latency_percentiles(spark, sf_dir):
-    t = kpi.latency_stats(views(spark, sf_dir).cost, "sahi_on")
-    return t.select("sahi_on", "frames", *[_r(c) for c in ("mean_ms", "p50_ms", "p90_ms", "p95_ms", "fps")])
+    t = kpi.latency_stats(views(spark, sf_dir).cost, "verifier_on")
+    return t.select("verifier_on", "frames", *[_r(c) for c in ("mean_ms", "p50_ms", "p90_ms", "p95_ms", "fps")])
 
 
 @query("SELECT video_id, list_sort(list(latency_ms))[CAST(floor(0.9 * (count(*) - 1)) AS INTEGER) + 1] AS p90_truncated FROM vx_cost JOIN vx_frames USING (image_id) GROUP BY video_id")
@@ -908,7 +908,7 @@ def ema_zscore(spark, sf_dir):
 
 
 @query(
-    """, fr AS (SELECT video_id, frame_idx, sahi_on = 1 AS wants FROM vx_frames JOIN vx_cost USING (image_id)), fold AS (
+    """, fr AS (SELECT video_id, frame_idx, verifier_on = 1 AS wants FROM vx_frames JOIN vx_cost USING (image_id)), fold AS (
   SELECT DISTINCT video_id, -1 AS frame_idx, FALSE AS spent, CAST(2 AS DOUBLE) AS tokens FROM vx_frames
   UNION ALL
   SELECT video_id, frame_idx, wants AND t >= 1 AS spent, CASE WHEN wants AND t >= 1 THEN t - 1 ELSE t END AS tokens FROM (
@@ -918,7 +918,7 @@ SELECT video_id, frame_idx, spent, round(tokens, 9) AS tokens FROM fold WHERE fr
 )
 def token_bucket(spark, sf_dir):
     v = views(spark, sf_dir)
-    wants = v.frames.join(v.cost.select("image_id", (F.col("sahi_on") == 1).alias("wants")), "image_id")
+    wants = v.frames.join(v.cost.select("image_id", (F.col("verifier_on") == 1).alias("wants")), "image_id")
     return state.fold(wants, state.token_bucket(rate=0.2)).select("video_id", "frame_idx", "spent", _r("tokens"))
 
 
@@ -985,10 +985,10 @@ def controller_generations(spark, sf_dir):
 
 
 @query(
-    "SELECT image_id, video_id, frame_idx, CASE WHEN frame_idx % 4 = 0 THEN 1 ELSE 0 END AS sahi_on FROM vx_frames"
+    "SELECT image_id, video_id, frame_idx, CASE WHEN frame_idx % 4 = 0 THEN 1 ELSE 0 END AS verifier_on FROM vx_frames"
 )
 def keyframe_schedule(spark, sf_dir):
-    return views(spark, sf_dir).frames.select("image_id", "video_id", "frame_idx", (F.col("frame_idx") % 4 == 0).cast("int").alias("sahi_on"))
+    return views(spark, sf_dir).frames.select("image_id", "video_id", "frame_idx", (F.col("frame_idx") % 4 == 0).cast("int").alias("verifier_on"))
 
 
 # --- AP, bootstrap -----------------------------------------------------------------------------
@@ -1023,15 +1023,15 @@ def bootstrap_track_ci(spark, sf_dir):
 @query(
     _FLAGS
     + _TP
-    + """SELECT c.sahi_on, flag AS has_gt, count(*) AS frames, CAST(sum(tp) AS BIGINT) AS tp_frames, CAST(sum(fn) AS BIGINT) AS fn_frames, round(sum(fn) / (SELECT sum(fn) FROM tpf), 9) AS fn_share
-FROM tpf JOIN vx_cost c USING (image_id) GROUP BY c.sahi_on, flag"""
+    + """SELECT c.verifier_on, flag AS has_gt, count(*) AS frames, CAST(sum(tp) AS BIGINT) AS tp_frames, CAST(sum(fn) AS BIGINT) AS fn_frames, round(sum(fn) / (SELECT sum(fn) FROM tpf), 9) AS fn_share
+FROM tpf JOIN vx_cost c USING (image_id) GROUP BY c.verifier_on, flag"""
 )
 def miss_breakdown(spark, sf_dir):
     """Misses by verifier and ground truth, with each cell's share of all misses."""
     v = views(spark, sf_dir)
-    t = _tp_flags(v).join(v.cost, "image_id").groupBy("sahi_on", F.col("flag").alias("has_gt")).agg(F.count("*").alias("frames"), F.sum("tp").alias("tp_frames"), F.sum("fn").alias("fn_frames"))
+    t = _tp_flags(v).join(v.cost, "image_id").groupBy("verifier_on", F.col("flag").alias("has_gt")).agg(F.count("*").alias("frames"), F.sum("tp").alias("tp_frames"), F.sum("fn").alias("fn_frames"))
     total = F.sum("fn_frames").over(Window.partitionBy())  # four rows at most
-    return t.select("sahi_on", "has_gt", "frames", "tp_frames", "fn_frames", _r(F.col("fn_frames") / total, "fn_share"))
+    return t.select("verifier_on", "has_gt", "frames", "tp_frames", "fn_frames", _r(F.col("fn_frames") / total, "fn_share"))
 
 
 # --- reports and ETL ---------------------------------------------------------------------------
@@ -1114,7 +1114,7 @@ def keep_by_either(spark, sf_dir):
     return kept.select("image_id", F.col("seq_id").alias("location"))
 
 
-@query("SELECT video_id, frame_idx AS t, image_id, 1 AS sahi_on, 15 AS tiles_used, CAST(0 AS DOUBLE) AS latency_ms FROM vx_frames")
+@query("SELECT video_id, frame_idx AS t, image_id, 1 AS verifier_on, 15 AS tiles_used, CAST(0 AS DOUBLE) AS latency_ms FROM vx_frames")
 def dense_cost_log(spark, sf_dir):
     return etl.static_cost_log(views(spark, sf_dir).frames, True, 15)
 

@@ -71,7 +71,7 @@ def cost_log(spark: SparkSession, path: str | None) -> DataFrame | None:
         return None
     rows = lines(spark, path, COST).where("image_id >= 0")
     last = rows.groupBy("image_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "image_id"]), "ord").alias("v"))
-    return last.select("image_id", "v.*").drop("ord")
+    return last.select("image_id", "v.*").drop("ord").withColumnRenamed("sahi_on", "verifier_on")
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
