@@ -1,13 +1,20 @@
 """Personal data: base patterns and a skip-chain conditional random field.
 
 The base detector finds e-mail addresses, IP addresses, payment cards and phone numbers.  The
-random field then labels the other tokens that hold digits or "@": neighbours form a chain, and
-distant tokens with the same digits or the same letters share skip potentials; loopy sum-product
-messages make a document's labels agree.  Base spans are observed labels.  A token becomes a span
-only if its skip component holds a base span, so documents without personal data stay as they are.
+random field then labels what else holds digits or "@": neighbours form a chain, and writings of
+one value share skip potentials; loopy sum-product messages make a document's labels agree.  A base
+span is one node with an observed label.  Other nodes are stretches of neighbouring digit groups
+that write a base span's value anew, and the remaining tokens.  A node becomes a span only if its
+skip component holds a base span, so documents without personal data stay as they are.
+
+Writings of one value: the same digits, however they are grouped; of a phone number also any ending
+of SKIP_DIGITS digits or more (no country or area code), after zeros or an exit code as well; of an
+address the same letters and digits; of any base span the digits of one of its tokens.
 
 The field's weights are log ratios of counts over a bounded sample of documents, labelled by the
 base detector: label by token shape, label by neighbouring label, agreement over skip links.
+Writings that the detector can't see aren't counted.  A skip link outweighs a shape and both
+neighbours, whatever the counts.
 
 Defined cases: a null text is an empty one without spans; offsets are code points with an exclusive
 end; texts of any length are read whole; repeated rows get equal results; an empty table gives an
@@ -17,6 +24,7 @@ empty one (and weights from smoothing alone); input columns with a result's name
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,6 +55,10 @@ LABELS = 1 + len(KINDS)  # 0: none
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("added", T.BooleanType())])
 _MARK = re.compile(r"[0-9@]+")
 _EDGE = ".,;:!?\"'()[]{}<>|"
+_GROUP = re.compile(r"[0-9]+")
+#: what may stand between two digit groups of one number, and the most digits of one (a card after an exit code)
+_BETWEEN = re.compile(r"[\s()\[\].,/+_\u2010-\u2015-]{1,4}")
+_MOST_DIGITS = 22
 
 
 def luhn(digits: str) -> bool:
@@ -123,43 +135,144 @@ SHAPES = 96
 
 
 def skip_key(token: str) -> str | None:
-    """Equal keys make tokens similar: their digits, or their letters if they hold "@"."""
+    """Equal keys make tokens similar: their digits, or their letters and digits if they hold "@"."""
     if "@" in token:
-        return token.lower()
+        return "@" + "".join(filter(str.isalnum, token.lower()))
     digits = "".join(c for c in token if "0" <= c <= "9")
     return digits if len(digits) >= SKIP_DIGITS else None
 
 
+def _value_keys(span: str, kind: int) -> list[str]:
+    """The keys of a base span's value, its own first."""
+    key = skip_key(span)
+    if key is None or KINDS[kind] != "phone":
+        return [key] if key else []
+    return [key[i:] for i in range(len(key) - SKIP_DIGITS + 1)]
+
+
+def _value(digits: str, values: dict[str, int]) -> int | None:
+    """The value that the digits write, with zeros or an exit code before it or not."""
+    for d in (digits, digits.lstrip("0"), digits[3:] if digits.startswith("011") else ""):
+        if len(d) >= SKIP_DIGITS and d in values:
+            return values[d]
+    return None
+
+
+def _writings(t: str, toks: list[tuple[int, int]], values: dict[str, int], busy: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, value) of neighbouring digit groups outside of `busy` that write a value: the longest from each start."""
+    groups, k = [], 0
+    for m in _GROUP.finditer(t):
+        while k < len(busy) and busy[k][1] <= m.start():
+            k += 1
+        if k == len(busy) or busy[k][0] >= m.end():
+            groups.append(m.span())
+    ends = [e for _, e in toks]
+    i = 0
+    while i < len(groups):
+        near, digits, j = [], "", i
+        while j < len(groups) and (j == i or _BETWEEN.fullmatch(t, groups[j - 1][1], groups[j][0])):
+            digits += t[slice(*groups[j])]
+            if len(digits) > _MOST_DIGITS:
+                break
+            near.append(digits)
+            j += 1
+        hit = next(((i + n, v) for n in range(len(near) - 1, -1, -1) if (v := _value(near[n], values)) is not None), None)
+        if hit is None:
+            i += 1
+            continue
+        a, b = groups[i][0], groups[hit[0]][1]
+        # whole tokens, if they hold no other digits
+        first, last = bisect_left(ends, a + 1), bisect_left(ends, b)
+        if first < len(toks) and toks[first][0] <= a and not _GROUP.search(t, toks[first][0], a):
+            low = toks[first][0]
+        else:
+            low = a
+        high = toks[last][1] if last < len(toks) and toks[last][0] < b and not _GROUP.search(t, b, toks[last][1]) else b
+        if any(s < high and e > low for s, e in busy[max(0, bisect_left(busy, (low, low)) - 1) :][:2]):
+            low, high = a, b
+        if low and t[low - 1] == "(" and ")" in t[low:high]:
+            low -= 1
+        if low and t[low - 1] == "+":
+            low -= 1
+        yield low, high, hit[1]
+        i = hit[0] + 1
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _apart(toks: list[tuple[int, int]], busy: list[tuple[int, int]]) -> list[tuple[bool, int]]:
+    """For each token whether it overlaps no stretch of `busy` (sorted, disjoint), and the first one that ends after its start."""
+    out, k = [], 0
+    for a, b in toks:
+        while k < len(busy) and busy[k][1] <= a:
+            k += 1
+        out.append((k == len(busy) or busy[k][0] >= b, k))
+    return out
+
+
 class Graph:
-    """One batch's field: nodes of all its documents, chain and skip edges."""
+    """One batch's field: nodes of all its documents, chain and skip edges.
+
+    A skip edge runs from a base span to the next of its value, then from a base span to each other writing
+    of its value (one step for the messages), and from each remaining token to its next similar one.
+    """
 
     def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
         self.doc, self.at, self.shapes, self.seen = [], [], [], []
-        chain, skip = [], []
+        chain, skip, written = [], [], []
         for d, (t, base) in enumerate(zip(texts, bases)):
             if not base:
                 continue
-            last: dict[str, int] = {}
-            before, k = None, 0
-            for a, b in tokens(t):
-                while k < len(base) and max(x[2] for x in base[k : k + 1]) <= a:
-                    k += 1
-                label = next((kind + 1 for s, kind, e in base[max(0, k - 4) : k + 4] if s < b and e > a), 0)
-                node = len(self.doc)
-                token = t[a:b]
+            toks = tokens(t)
+            busy = _merged([(a, b) for a, _, b in base])
+            values: dict[str, int] = {}
+            own: list[int | None] = []
+            for i, (a, kind, b) in enumerate(base):
+                keys = _value_keys(t[a:b], kind)
+                own.append(values.setdefault(keys[0], i) if keys else None)
+                for key in keys:
+                    values.setdefault(key, i)
+            starts = [x[0] for x in base]
+            for (a, b), (free, k) in zip(toks, _apart(toks, busy)):
+                if not free and (key := skip_key(t[a:b])):
+                    i = bisect_left(starts, busy[k][0])
+                    values.setdefault(key, i if own[i] is None else own[i])
+                    own[i] = values[key] if own[i] is None else own[i]
+            nodes = [(a, b, kind + 1, v) for (a, kind, b), v in zip(base, own)]
+            found = list(_writings(t, toks, values, busy))
+            nodes += [(a, b, 0, v) for a, b, v in found]
+            busy = _merged(busy + [x[:2] for x in found])
+            for (a, b), (free, _) in zip(toks, _apart(toks, busy)):
+                if free:
+                    key = skip_key(t[a:b])
+                    nodes.append((a, b, 0, values.get(key, key)))
+            nodes.sort(key=lambda x: x[:3])
+            last: dict[int | str, int] = {}
+            before = None
+            for node, (a, b, label, value) in enumerate(nodes, len(self.doc)):
                 self.doc.append(d)
                 self.at.append((a, b))
-                self.shapes.append(shape(token))
+                self.shapes.append(shape(t[a:b]))
                 self.seen.append(label)
-                if before is not None and a - self.at[before][1] <= 2:
+                if before is not None and 0 <= a - self.at[before][1] <= 2:
                     chain.append((before, node))
                 before = node
-                if key := skip_key(token):
-                    if key in last:
-                        skip.append((last[key], node))
-                    last[key] = node
+                if value is not None and (label or isinstance(value, str)):
+                    if value in last:
+                        skip.append((last[value], node))
+                    last[value] = node
+            first = len(self.doc) - len(nodes)
+            written += [(last[v], first + i) for i, (_, _, label, v) in enumerate(nodes) if not label and isinstance(v, int)]
         self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
-        self.skip = np.array(skip, dtype=np.int64).reshape(-1, 2)
+        self.skip = np.array(skip + written, dtype=np.int64).reshape(-1, 2)
 
 
 class Weights:
@@ -175,7 +288,8 @@ class Weights:
         p = c.sum(axis=1) / c.sum()
         self.chain = np.clip(np.log(c / c.sum() / np.outer(p, p)), -3, 3)
         same, other = agree[0] + 1.0, agree[1] + 0.05
-        self.skip = np.eye(LABELS) * np.clip(np.log(same / other), 5, 8)
+        against = np.ptp(self.unary, axis=1).max() + 4 * np.abs(self.chain).max()
+        self.skip = np.eye(LABELS) * (against + np.clip(np.log(same / other), 5, 8))
 
 
 def beliefs(g: Graph, w: Weights) -> np.ndarray:
@@ -184,7 +298,7 @@ def beliefs(g: Graph, w: Weights) -> np.ndarray:
     unary = w.unary[np.array(g.shapes)]
     seen = np.array(g.seen)
     observed = seen > 0
-    unary = np.where(observed[:, None], np.where(np.arange(LABELS) == seen[:, None], 0.0, -30.0), unary)
+    unary = np.where(observed[:, None], np.where(np.arange(LABELS) == seen[:, None], 0.0, -1e6), unary)
     edges = np.concatenate([g.chain, g.skip])
     pot = np.concatenate([np.broadcast_to(w.chain, (len(g.chain), LABELS, LABELS)), np.broadcast_to(w.skip, (len(g.skip), LABELS, LABELS))])
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -211,9 +325,9 @@ def beliefs(g: Graph, w: Weights) -> np.ndarray:
 
 
 def _tied(g: Graph) -> np.ndarray:
-    """Whether a node's skip component holds an observed label (skip edges run from each token to its next similar one)."""
+    """Whether a node's skip component holds an observed label."""
     root = np.arange(len(g.doc))
-    for a, b in g.skip:  # b has no earlier edge into it: one pass labels the paths
+    for a, b in g.skip:  # each node has one edge into it at most, and a's stands before b's: one pass labels the paths
         root[b] = root[a]
     held = np.zeros(len(g.doc), dtype=bool)
     np.logical_or.at(held, root, np.array(g.seen) > 0)
@@ -242,10 +356,11 @@ def find(texts: list[str | None], w: Weights) -> list[list[tuple[int, int, int,
 def _counted(texts: list[str | None]) -> Counter:
     texts = [t or "" for t in texts]
     g = Graph(texts, [base_spans(t) for t in texts])
+    known = ((np.array(g.seen) > 0) | ~_tied(g)).tolist()  # the detector can't label other writings of its spans
     out: Counter = Counter()
-    out.update(("shape", s, y) for s, y in zip(g.shapes, g.seen))
-    out.update(("chain", g.seen[a], g.seen[b]) for a, b in g.chain.tolist())
-    out.update(("skip", int(g.seen[a] == g.seen[b]), 0) for a, b in g.skip.tolist())
+    out.update(("shape", s, y) for s, y, k in zip(g.shapes, g.seen, known) if k)
+    out.update(("chain", g.seen[a], g.seen[b]) for a, b in g.chain.tolist() if known[a] and known[b])
+    out.update(("skip", int(g.seen[a] == g.seen[b]), 0) for a, b in g.skip.tolist() if known[a] and known[b])
     return out
 
 
