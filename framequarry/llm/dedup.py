@@ -14,9 +14,9 @@ are in one component already.
 
 Defined cases: a document without words (or null) has no shingles, is linked with nothing and
 forms its own component; with fewer words than a shingle takes, the whole sequence is its one
-shingle; rows that repeat a doc_id share its fate; a null doc_id is no component's smallest id
-unless all its ids are null; an empty table gives an empty one; input columns with a result's name
-are replaced.
+shingle; in `kept` rows that repeat a doc_id of one component share its fate, without_duplicates
+keeps one row of each component; a null doc_id is no component's smallest id unless all its ids are
+null; an empty table gives an empty one; input columns with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -72,8 +72,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketched(df: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128-bit digest of the set; null: empty), sig."""
+def _row_key(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _sketched(df: DataFrame, text: str, doc_id: str, n: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, cls (128-bit digest of the set; null: empty), sig; keyed: `digest` of the text as well."""
+    extra = ["digest"] if keyed else []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +90,10 @@ def _sketched(df: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
                 if full:
                     for i, row in zip(full, signatures([sets[i] for i in full])):
                         cls[i], sig[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), *map(part.column, extra)], ["doc_id", "n_shingles", "cls", "sig", *extra])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(step, "doc_id long, n_shingles long, cls binary, sig binary")
+    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *[_row_key(text).alias(c) for c in extra])
+    return rows.mapInArrow(step, "doc_id long, n_shingles long, cls binary, sig binary" + "".join(f", {c} binary" for c in extra))
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -307,10 +312,10 @@ def _links_within(groups: DataFrame, classes: DataFrame, docs: DataFrame, n: int
     return rows.mapInArrow(step, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row of df."""
+def _rooted(df: DataFrame, shingle: int, percent: int, text: str, doc_id: str, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows; cls, doc_id (the smallest) and root (a number of the component) of each class."""
     docs = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = written(_sketched(df, text, doc_id, shingle), "dedup-rows")
+    rows = written(_sketched(df, text, doc_id, shingle, keyed), "dedup-rows")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
 
@@ -334,7 +339,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     links = first.toDF("a", "b").union(_links_within(members, classes, docs, shingle, percent))
     roots = components(links)
 
-    of_class = classes.join(roots, "node", "left").select("cls", "doc_id", F.coalesce("root", "node").alias("root"))
+    return rows, classes.join(roots, "node", "left").select("cls", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row of df."""
+    rows, of_class = _rooted(df, shingle, percent, text, doc_id)
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = of_class.select("cls", "root").join(smallest, "root").select("cls", "component_id")
     out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
@@ -344,6 +354,20 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
 
 
 def without_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df's rows of which each near-duplicate component keeps the smallest doc_id."""
-    gone = near_duplicates(df, shingle, percent, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    """df with one row of each near-duplicate component: of the smallest doc_id (null last), then the smallest digest of the text.
+
+    Rows without shingles all stay.  Of rows equal in doc_id and text any one stays.
+    """
+    rows, of_class = _rooted(df, shingle, percent, text, doc_id, keyed=True)
+    keys = rows.where("cls is not null").groupBy("cls", "doc_id", "digest").agg((F.count("*") > 1).alias("_many"))
+    keys = written(keys.join(of_class.select("cls", "root"), "cls").select("root", "doc_id", "digest", "_many"), "dedup-rooted")
+    lead = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("lead"))
+    keys = keys.join(lead, "root").select("doc_id", "digest", "_many", (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))).alias("_led"))
+    # True: all rows of the key go; False: all but one
+    odd = keys.where("not _led or _many").select(F.col("doc_id").alias("_odd"), F.col("digest").alias("_odd_digest"), (~F.col("_led")).alias("_gone"))
+    odd = written(odd, "dedup-odd")
+
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_odd")) & (_row_key(text) == F.col("_odd_digest"))
+    single = df.join(odd, same, "left_anti")
+    many = df.join(odd.where("not _gone"), same).dropDuplicates(["_odd", "_odd_digest"]).select(*df.columns)
+    return single.unionAll(many)

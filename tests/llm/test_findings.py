@@ -2,7 +2,7 @@
 
 import random
 
-from framequarry.llm import pii
+from framequarry.llm import dedup, pii
 
 
 def added(t, weights=None):
@@ -35,3 +35,18 @@ def test_pii_nodes_disjoint():
         assert [s[:3] for s in spans if not s[3]] == pii.base_spans(t)
         for a, _, b, x in spans:
             assert not x or all(q <= a or p >= b or (p, q) == (a, b) for p, _, q, _ in spans)
+
+
+def test_without_duplicates_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 0), (None, a + " more", 1), (None, b, 2), (None, b, 3), (None, c, 4), (2, c + " end", 5), (2, c + " fin", 6), (2, "q " + b[:50], 7), (5, "x y z", 8), (5, "x y z", 9), (6, "", 10), (6, "", 11), (None, None, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    out = dedup.without_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(r.n for r in out.collect())
+    one = lambda *n: sum(x in got for x in n) == 1
+    assert 0 in got and 1 not in got  # the row with an id stays
+    assert one(2, 3)  # unique among the null ids but for its copy
+    assert 4 not in got and one(5, 6)  # one doc_id, two texts of one component
+    assert 7 in got and one(8, 9) and {10, 11, 12} <= set(got)
+    assert len(got) == 8
