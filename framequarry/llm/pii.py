@@ -11,7 +11,7 @@ Writings of one value: the same digits, however they are grouped; of a phone num
 of SKIP_DIGITS digits or more (no country or area code), after zeros or an exit code as well; of an
 address the same letters and digits; of any base span the digits of one of its tokens.
 
-The field's weights are log ratios of counts over a bounded sample of documents, labelled by the
+The field's weights are log ratios of counts over all documents with a base span, labelled by the
 base detector: label by token shape, label by neighbouring label, agreement over skip links.
 Writings that the detector can't see aren't counted.  A skip link outweighs a shape and both
 neighbours, whatever the counts.
@@ -44,8 +44,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Documents whose counts give the weights, picked by a hash of their id.
-TRAIN_DOCS = 2000
 #: Rounds of messages; least belief of a label that is reported; least digits of a token with skip links.
 ROUNDS = 8
 BELIEF = 0.6
@@ -364,10 +362,9 @@ def _counted(texts: list[str | None]) -> Counter:
     return out
 
 
-def fit(df: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int = TRAIN_DOCS) -> Weights:
-    """Weights from `docs` documents; the driver gets counts, one row for each kind of event and batch."""
-    ids = df.select(F.col(doc_id).alias("_pick")).where("_pick is not null").distinct().orderBy(F.xxhash64("_pick"), "_pick").limit(docs)
-    picked = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_pick")).select("_text")
+def fit(df: DataFrame, text: str = "text") -> Weights:
+    """Weights from all documents; the driver gets sums, one row for each kind of event."""
+    picked = df.select(F.col(text).alias("_text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -407,7 +404,7 @@ def redacted(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str |
 
 def detect(df: DataFrame, weights: Weights | None = None, text: str = "text", doc_id: str = "doc_id", spans: str = "spans", clean: str | None = None) -> DataFrame:
     """Adds `spans` (array of kind, start, end, added) and, if named, `clean` (the redacted text; null stays null)."""
-    given = df.sparkSession.sparkContext.broadcast(weights or fit(df, text, doc_id))
+    given = df.sparkSession.sparkContext.broadcast(weights or fit(df, text))
     df = without(df, [spans] + ([clean] if clean and clean != text else []))
     fields = [f for f in df.schema.fields]
     own = [T.StructField(spans, T.ArrayType(SPAN))] + ([T.StructField(clean, T.StringType())] if clean and clean != text else [])

@@ -50,3 +50,15 @@ def test_without_duplicates_by_row(spark):
     assert 4 not in got and one(5, 6)  # one doc_id, two texts of one component
     assert 7 in got and one(8, 9) and {10, 11, 12} <= set(got)
     assert len(got) == 8
+
+
+def test_pii_weights_count_all_documents(spark):
+    texts = [f"Call +1 (017) 555-{i:04d} or 17 now" for i in range(3000)] + ["no data"] * 10
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    total = pii._counted(texts)
+    shapes = [[total["shape", x, y] for y in range(pii.LABELS)] for x in range(pii.SHAPES)]
+    chain = [[total["chain", x, y] for y in range(pii.LABELS)] for x in range(pii.LABELS)]
+    want = pii.Weights(shapes, chain, (total["skip", 1, 0], total["skip", 0, 0]))
+    got = pii.fit(df)
+    assert sum(map(sum, shapes)) == 6000
+    assert (got.unary == want.unary).all() and (got.chain == want.chain).all() and (got.skip == want.skip).all()
