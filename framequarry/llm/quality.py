@@ -3,7 +3,8 @@
 Whole texts give base statistics and two base rules.  A forest of random splits, fitted on a
 bounded sample of labelled rows, turns the statistics into path lengths; short mean paths are
 anomalous, and the threshold lies half-way between the score that all but GOOD_LOSS
-of the sample's good rows keep within and the nearest scores of bad rows beyond it.
+of the sample's good rows keep within and the nearest scores of bad rows beyond it.  The limit of
+repeated words isn't fixed: it is the largest share among the sample's good rows.
 
 Defined cases: a null text has no words and fails the base rules; without labelled rows of both
 kinds no threshold can be set and the verdict is the base rules'; a document labelled several
@@ -31,7 +32,7 @@ MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 #: Limits of the rules whose excess the forest sees (characters a word; shares of words, lines, characters).
 LEAST_LENGTH, MOST_LENGTH = 3.0, 10.0
-MOST_SYMBOLS, MOST_EXCLAIM, MOST_REPEATS = 0.1, 0.1, 0.5
+MOST_SYMBOLS, MOST_EXCLAIM = 0.1, 0.1
 MOST_DUP_LINES, MOST_UPPER = 0.5, 0.3
 
 #: The forest: its bound on labelled rows, trees, rows a tree, and the share of good rows it may lose.
@@ -92,7 +93,7 @@ def text_stats(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """By how much each ratio exceeds its rule's limit; 0 within. None depends on a text's length."""
+    """By how much each ratio exceeds its rule's limit; 0 within; the share of repeated words as it is. None depends on a text's length."""
     words = np.maximum(s["n_words"], 1)
     chars = np.maximum(s["word_chars"], 1)
     lines = np.maximum(s["n_lines"], 1)
@@ -101,13 +102,16 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
         np.maximum(LEAST_LENGTH - length, 0) + np.maximum(length - MOST_LENGTH, 0),
         s["n_symbols"] / words - MOST_SYMBOLS,
         s["n_dup_lines"] / lines - MOST_DUP_LINES,
-        s["n_repeat_words"] / words - MOST_REPEATS,
+        s["n_repeat_words"] / words,
         s["n_upper"] / chars - MOST_UPPER,
         s["n_exclaim"] / words - MOST_EXCLAIM,
     ]
     return np.maximum(np.stack(over, axis=1), 0)
 
 
+REPEATS = 3  # its place in features()
+
+
 def _expected(n: np.ndarray | int) -> np.ndarray:
     """Mean path length of an unsuccessful search among n rows."""
     n = np.asarray(n, dtype=float)
@@ -115,10 +119,12 @@ def _expected(n: np.ndarray | int) -> np.ndarray:
 
 
 class Forest:
-    """Random splits; score() is near 1 for rows that few splits isolate."""
+    """Random splits; score() is near 1 for rows that few splits isolate. Repeated words count beyond `most_repeats`."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, x: np.ndarray, most_repeats: float = 0.0, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        self.most_repeats = most_repeats
+        x = self._beyond(x)
         rows = min(rows, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
         width = 2 ** (self.depth + 1)
@@ -129,6 +135,11 @@ class Forest:
         for t in range(trees):
             self._grow(t, 1, x[rng.choice(len(x), rows, replace=False)], 0, rng)
 
+    def _beyond(self, x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        x[:, REPEATS] = np.maximum(x[:, REPEATS] - self.most_repeats, 0)
+        return x
+
     def _grow(self, t: int, node: int, x: np.ndarray, depth: int, rng) -> None:
         low, high = x.min(axis=0), x.max(axis=0)
         able = np.flatnonzero(high > low)
@@ -147,6 +158,7 @@ class Forest:
         self._grow(t, 2 * node + 1, x[~left], depth + 1, rng)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        x = self._beyond(x)
         trees = np.arange(len(self.cut))[:, None]
         rows = np.arange(len(x))[None, :]
         node = np.ones((len(self.cut), len(x)), dtype=np.int64)
@@ -165,7 +177,7 @@ def calibrated(s: dict[str, np.ndarray], good: np.ndarray, good_loss: float = GO
     x, good = features(s)[use], good[use]
     if good.all() or not good.any():
         return None
-    forest = Forest(x)
+    forest = Forest(x, float(x[good, REPEATS].max()))
     own, other = np.sort(forest.score(x[good])), forest.score(x[~good])
     cut = own[len(own) - 1 - int(good_loss * len(own))]
     beyond = other[other > cut]

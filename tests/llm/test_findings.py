@@ -2,7 +2,7 @@
 
 import random
 
-from framequarry.llm import dedup, pii
+from framequarry.llm import dedup, pii, quality
 
 
 def added(t, weights=None):
@@ -62,3 +62,21 @@ def test_pii_weights_count_all_documents(spark):
     got = pii.fit(df)
     assert sum(map(sum, shapes)) == 6000
     assert (got.unary == want.unary).all() and (got.chain == want.chain).all() and (got.skip == want.skip).all()
+
+
+def test_quality_repeats_by_labels():
+    rng = random.Random(9)
+
+    def text(repeats):  # of 200 words
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        return " ".join(words[: 200 - repeats // 2] + words[: repeats // 2])
+
+    def kept(good_repeats, bad_repeats, asked):
+        texts = [text(rng.randrange(0, good_repeats + 1)) for _ in range(450)] + [text(good_repeats)] + [text(bad_repeats + rng.randrange(5)) for _ in range(50)]
+        forest, cut = quality.calibrated(quality.text_stats(texts), quality.np.arange(len(texts)) < 451)
+        s = quality.text_stats([text(n) for n in asked])
+        assert not quality.base_failed(s).any()
+        return (forest.score(quality.features(s)) <= cut).tolist()
+
+    assert kept(40, 88, [0, 30, 90]) == [True, True, False]
+    assert kept(90, 94, [0, 30, 86]) == [True, True, True]
