@@ -1,10 +1,12 @@
 """Quality rules: an isolation forest over rule statistics.
 
-Whole texts give base statistics and two base rules.  A forest of random splits, fitted on a
-bounded sample of labelled rows, turns the statistics into path lengths; short mean paths are
-anomalous, and the threshold lies half-way between the score that all but GOOD_LOSS
-of the sample's good rows keep within and the nearest scores of bad rows beyond it.  The limit of
-repeated words isn't fixed: it is the largest share among the sample's good rows.
+Whole texts give base statistics and two base rules.  The forest's rows are the statistics'
+ratios as they are (shares on a logarithmic scale); no limit is set by hand.  Its trees hold good
+labelled rows, but their random splits fall anywhere in the range of all labelled rows, so a place
+where no good row lies is cut off early: short mean paths are anomalous.  The threshold lies
+half-way between the score that all but GOOD_LOSS of the sample's good rows keep within and the
+nearest scores of bad rows beyond it.  Forest and threshold come from a sample of labelled rows
+(TRAIN_ROWS ids at most, and TRAIN_ROWS rows); statistics and verdicts cover all rows.
 
 Defined cases: a null text has no words and fails the base rules; without labelled rows of both
 kinds no threshold can be set and the verdict is the base rules'; a document labelled several
@@ -30,15 +32,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-#: Limits of the rules whose excess the forest sees (characters a word; shares of words, lines, characters).
-LEAST_LENGTH, MOST_LENGTH = 3.0, 10.0
-MOST_SYMBOLS, MOST_EXCLAIM = 0.1, 0.1
-MOST_DUP_LINES, MOST_UPPER = 0.5, 0.3
-
 #: The forest: its bound on labelled rows, trees, rows a tree, and the share of good rows it may lose.
 TRAIN_ROWS = 8192
-TREES = 100
-TREE_ROWS = 256
+TREES = 200
+TREE_ROWS = 1024
 GOOD_LOSS = 0.005
 SEED = 11
 
@@ -93,23 +90,12 @@ def text_stats(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """By how much each ratio exceeds its rule's limit; 0 within; the share of repeated words as it is. None depends on a text's length."""
+    """Characters a word, and shares of symbols, repeated lines, repeated words, capitals and exclamation marks; none depends on a text's length."""
     words = np.maximum(s["n_words"], 1)
     chars = np.maximum(s["word_chars"], 1)
     lines = np.maximum(s["n_lines"], 1)
-    length = s["word_chars"] / words
-    over = [
-        np.maximum(LEAST_LENGTH - length, 0) + np.maximum(length - MOST_LENGTH, 0),
-        s["n_symbols"] / words - MOST_SYMBOLS,
-        s["n_dup_lines"] / lines - MOST_DUP_LINES,
-        s["n_repeat_words"] / words,
-        s["n_upper"] / chars - MOST_UPPER,
-        s["n_exclaim"] / words - MOST_EXCLAIM,
-    ]
-    return np.maximum(np.stack(over, axis=1), 0)
-
-
-REPEATS = 3  # its place in features()
+    shares = [s["n_symbols"] / words, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["n_upper"] / chars, s["n_exclaim"] / words]
+    return np.stack([s["word_chars"] / words, *(np.log1p(100 * x) for x in shares)], axis=1)
 
 
 def _expected(n: np.ndarray | int) -> np.ndarray:
@@ -119,12 +105,11 @@ def _expected(n: np.ndarray | int) -> np.ndarray:
 
 
 class Forest:
-    """Random splits; score() is near 1 for rows that few splits isolate. Repeated words count beyond `most_repeats`."""
+    """Trees of random splits over rows x, drawn from the range of `around` (x itself if not given); score() is near 1 for rows that few splits isolate."""
 
-    def __init__(self, x: np.ndarray, most_repeats: float = 0.0, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, x: np.ndarray, around: np.ndarray | None = None, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.most_repeats = most_repeats
-        x = self._beyond(x)
+        around = x if around is None else around
         rows = min(rows, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
         width = 2 ** (self.depth + 1)
@@ -133,15 +118,10 @@ class Forest:
         self.length = np.zeros((trees, width))
         self.norm = float(_expected(rows)) or 1.0
         for t in range(trees):
-            self._grow(t, 1, x[rng.choice(len(x), rows, replace=False)], 0, rng)
-
-    def _beyond(self, x: np.ndarray) -> np.ndarray:
-        x = x.copy()
-        x[:, REPEATS] = np.maximum(x[:, REPEATS] - self.most_repeats, 0)
-        return x
+            self._grow(t, 1, x[rng.choice(len(x), rows, replace=False)], around.min(axis=0), around.max(axis=0), 0, rng)
 
-    def _grow(self, t: int, node: int, x: np.ndarray, depth: int, rng) -> None:
-        low, high = x.min(axis=0), x.max(axis=0)
+    def _grow(self, t: int, node: int, x: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, rng) -> None:
+        """low, high: the corners of the node's box."""
         able = np.flatnonzero(high > low)
         if depth == self.depth or len(x) <= 1 or not len(able):
             while node < self.cut.shape[1]:
@@ -151,14 +131,13 @@ class Forest:
         f = rng.choice(able)
         cut = rng.uniform(low[f], high[f])
         left = x[:, f] <= cut
-        if left.all():  # rounding
-            cut, left = low[f], x[:, f] <= low[f]
         self.feature[t, node], self.cut[t, node] = f, cut
-        self._grow(t, 2 * node, x[left], depth + 1, rng)
-        self._grow(t, 2 * node + 1, x[~left], depth + 1, rng)
+        middle_high, middle_low = high.copy(), low.copy()
+        middle_high[f] = middle_low[f] = cut
+        self._grow(t, 2 * node, x[left], low, middle_high, depth + 1, rng)
+        self._grow(t, 2 * node + 1, x[~left], middle_low, high, depth + 1, rng)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        x = self._beyond(x)
         trees = np.arange(len(self.cut))[:, None]
         rows = np.arange(len(x))[None, :]
         node = np.ones((len(self.cut), len(x)), dtype=np.int64)
@@ -177,7 +156,7 @@ def calibrated(s: dict[str, np.ndarray], good: np.ndarray, good_loss: float = GO
     x, good = features(s)[use], good[use]
     if good.all() or not good.any():
         return None
-    forest = Forest(x, float(x[good, REPEATS].max()))
+    forest = Forest(x[good], around=x)
     own, other = np.sort(forest.score(x[good])), forest.score(x[~good])
     cut = own[len(own) - 1 - int(good_loss * len(own))]
     beyond = other[other > cut]
@@ -185,7 +164,7 @@ def calibrated(s: dict[str, np.ndarray], good: np.ndarray, good_loss: float = GO
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Statistics and labels of at most `rows` labelled documents, picked by a hash of their id."""
+    """Statistics and labels of at most `rows` labelled ids and rows, picked by a hash of the id (and, of more rows, the statistics)."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_marked")
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marks), F.col("_id") == F.col("_marked")).select("_id", "_text", "_quality")
@@ -197,7 +176,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
             yield pa.RecordBatch.from_arrays(cols + [pa.array(s[k]) for k in STATS + EXTRA], ["_id", "_quality", *STATS, *EXTRA])
 
     schema = "_id long, _quality int, " + ", ".join(f"{k} long" for k in STATS + EXTRA)
-    got = picked.mapInArrow(step, schema).toPandas().sort_values(["_id", "_quality", *STATS], kind="stable")
+    # a labelled id may stand on many rows: the bound holds for rows, too
+    got = picked.mapInArrow(step, schema).orderBy(F.xxhash64("_id", *STATS), "_id", *STATS, *EXTRA).limit(rows)
+    got = got.toPandas().sort_values(["_id", "_quality", *STATS], kind="stable")
     return {k: got[k].to_numpy(dtype=np.int64) for k in STATS + EXTRA}, (got["_quality"] == 1).to_numpy()
 
 

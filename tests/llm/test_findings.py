@@ -2,6 +2,9 @@
 
 import random
 
+import duckdb
+import numpy as np
+
 from framequarry.llm import dedup, pii, quality
 
 
@@ -64,6 +67,32 @@ def test_pii_weights_count_all_documents(spark):
     assert (got.unary == want.unary).all() and (got.chain == want.chain).all() and (got.skip == want.skip).all()
 
 
+def labelled():
+    rows = duckdb.sql("select text, quality from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by hash(doc_id), text").fetchall()
+    s, good = quality.text_stats([r[0] for r in rows]), np.array([r[1] == 1 for r in rows])
+    use = ~quality.base_failed(s)
+    return {k: v[use] for k, v in s.items()}, good[use]
+
+
+def test_quality_forest_decides():
+    """Held out, the verdicts meet the labels, and no limit on one statistic gives the same verdicts."""
+    s, good = labelled()
+    x, half = quality.features(s), len(good) // 2
+    assert len(np.unique(x[good], axis=0)) > 0.9 * good.sum()  # the forest sees the statistics, not excesses over limits
+    forest, cut = quality.calibrated({k: v[:half] for k, v in s.items()}, good[:half])
+    gone, held = forest.score(x[half:]) > cut, good[half:]
+    assert gone[held].mean() <= 0.005 and gone[~held].mean() >= 0.9
+    for values in x[half:].T:
+        for sign in (1, -1):
+            # the best limit for these verdicts: all rows beyond the least flagged value or some value above it
+            for limit in np.unique(sign * values[gone]):
+                assert ((sign * values >= limit) != gone).any()
+    # rows that are rare in several statistics at once, each within what good rows show alone
+    top = np.quantile(x[good], 0.999, axis=0)
+    mixed = np.where(np.arange(x.shape[1]) == 1, 0, top)[None]
+    assert (mixed <= x[good].max(axis=0)).all() and forest.score(mixed)[0] > cut
+
+
 def test_quality_repeats_by_labels():
     rng = random.Random(9)
 
@@ -73,10 +102,17 @@ def test_quality_repeats_by_labels():
 
     def kept(good_repeats, bad_repeats, asked):
         texts = [text(rng.randrange(0, good_repeats + 1)) for _ in range(450)] + [text(good_repeats)] + [text(bad_repeats + rng.randrange(5)) for _ in range(50)]
-        forest, cut = quality.calibrated(quality.text_stats(texts), quality.np.arange(len(texts)) < 451)
+        forest, cut = quality.calibrated(quality.text_stats(texts), np.arange(len(texts)) < 451)
         s = quality.text_stats([text(n) for n in asked])
         assert not quality.base_failed(s).any()
         return (forest.score(quality.features(s)) <= cut).tolist()
 
     assert kept(40, 88, [0, 30, 90]) == [True, True, False]
     assert kept(90, 94, [0, 30, 86]) == [True, True, True]
+
+
+def test_labelled_sample_bounds_rows(spark):
+    docs = spark.createDataFrame([(1, f"a b {i}") for i in range(50)] + [(2, "c d")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    s, good = quality.labelled_sample(docs, labels, "text", "doc_id", 20)
+    assert len(good) == 20 and len(s["n_words"]) == 20
