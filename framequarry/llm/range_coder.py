@@ -1,27 +1,42 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block of ids is coded with a model that starts empty.  Three predictors work at once: order 2
-(the id that last followed the two previous ids), order 1 (that last followed the previous id) and
-order 0 (recently seen ids in a direct-mapped table, else any id alike).  The probability of an id
-is their mixture; its weights depend on whether the predictors of orders 1 and 2 were right for the
-last two ids and whether they agree now, and adapt after each id.  The mixture drives a range coder.
-
-Blocks don't depend on each other, so all blocks of a file are coded in step: every operation works
-on one id of each block at once (a lane for each block).  Words are written with room for a carry;
-carries run through each lane's words at the end.
+A block of ids is coded with a model that starts empty and counts what has passed:
+
+* order 0 counts the block's ids; its counts are taken over at marks (MARKS), which lie closer at the
+  block's start.  Ids that aren't in them share an escape probability, which adapts, and are told
+  apart by counts of the upper bits of such ids;
+* order 1 (by the previous id) and order 2 (by a hash of the two previous ids) hold for each context
+  a candidate, how often it has followed and how often the context has passed: its probability, the
+  rest of which falls to order 0.
+
+The probability of an id is the weighted sum of the three orders' probabilities.  Weights stand for
+each state of the two candidates' counts and move to what each order gave the id that came (Bayes'
+rule, drawn in by RATE).  An id that a candidate names has one interval with its whole mixed
+probability; the others have intervals by cumulative order-0 counts without the candidates.
+
+Blocks don't depend on each other, so many blocks are coded in step: every operation works on one id
+of each block at once (a lane for each block).  Floating point is confined to sums, products and
+quotients of single numbers, which every machine rounds alike.  Words are written with room for a
+carry; carries run through each lane's words at the end.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Fixed values of the format: entries of the context tables, slots of the order-0 table, weights' total and rate.
-TABLE_BITS = 12
-SLOT_BITS = 8
-WEIGHT_BITS = 12
-RATE = 4
-LEAST = 24
-STATES = 32
+#: Fixed values of the format: most ids of a block, units of the mixture, weights' rate and start.
+MOST_BLOCK = 4096
+UNIT_BITS = 22
+RATE = 0.06
+START = 1 / 3
+#: The escape's rate and limits, and the least probability that order 0 is taken to give.
+ESCAPE_RATE, ESCAPE_LEAST, ESCAPE_MOST = 0.03, 1 / 256, 0.875
+LEAST = 2.0**-17
+#: Bits of an unseen id that are counted, and what one adds.
+HIGH_BITS = 4
+HIGH_STEP = 12
+#: Lanes that are coded in step.
+LANES = 2048
 
 #: The range lies in [BOTTOM, BOTTOM << 16); a word of 16 bits leaves or enters below.
 _LOW_BITS = np.uint64(32)
@@ -29,70 +44,217 @@ _BOTTOM = np.uint64(1 << 32)
 _REST = np.uint64((1 << 32) - 1)
 _FULL = (1 << 48) - 1
 _WORD = np.uint64(16)
-_MASK = (1 << TABLE_BITS) - 1
-_SLOTS = (1 << SLOT_BITS) - 1
+_UNIT = np.uint64(UNIT_BITS)
+_UNITS = 1 << UNIT_BITS
+
+#: Bits of a count of order 0.
+COUNT_BITS = 13
+_COUNT = (1 << COUNT_BITS) - 1
+#: A slot: candidate << STATE_BITS | state; a state: twice the candidate's count << 5 | the context's count.
+STATE_BITS = 11
+_STATES = 1 << STATE_BITS
+
+
+def _marks() -> list[int]:
+    out = [16]
+    while out[-1] < MOST_BLOCK:
+        out.append(out[-1] + max(16, out[-1] // 8))
+    return out
+
+
+#: Order 0 takes its counts over before these ids.
+MARKS = _marks()
+
+
+def _tables():
+    """Order 1's and 2's probability of a state's candidate; weights' context; the next states after a miss and a hit (1 << 15: a new candidate)."""
+    q1, q2, level = np.zeros(_STATES), np.zeros(_STATES), np.zeros(_STATES, np.int64)
+    after = np.zeros(2 * _STATES, np.int32)
+    for s in range(_STATES):
+        twice, n = s >> 5, s & 31
+        if n:
+            q1[s], q2[s] = min(0.99, twice / 2 / (n + 0.8)), min(0.99, twice / 2 / (n + 0.5))
+        level[s] = min(twice // 2, 3)
+        for hit in (0, 1):
+            a, m, new = twice + (2 if hit else -1), n + 1, 0
+            if a <= 1 or not n:
+                a, m, new = 2, min(max(n, 1), 2), 1 << 15
+            if m > 30 or a > 63:
+                a, m = a // 2, m // 2
+            after[s + hit * _STATES] = a << 5 | m | new
+    return q1, q2, level, after
+
+
+_Q1, _Q2, _LEVEL1, _LEVEL2, _HIT, _AFTER = *(t := _tables())[:2], t[2] * 2, t[2] * 8, np.int32(_STATES), t[3]
+#: row p: what an unseen id adds to the sums after place p
+_LATER = (np.arange(1 << HIGH_BITS)[None, :] > np.arange(1 << HIGH_BITS)[:, None]).astype(np.uint16) * np.uint16(HIGH_STEP)
+
+
+class _Unseen:
+    """Counts and running sums of the 2**HIGH_BITS values of unseen ids' upper bits in each lane."""
+
+    def __init__(self, lanes: int):
+        self.counts = np.ones(lanes << HIGH_BITS, np.uint16)
+        self.total = np.full(lanes, 1 << HIGH_BITS, np.int64)
+        self.sums = np.tile(np.arange(1 << HIGH_BITS, dtype=np.uint16), lanes).reshape(lanes, -1)
+
+    def find(self, lanes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The counter that holds the c-th unit."""
+        return (self.sums.take(lanes, axis=0) <= c.astype(np.uint16)[:, None]).sum(axis=1) - 1
+
+    def at(self, lanes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum before x and x's count."""
+        place = (lanes << HIGH_BITS) + x
+        return self.sums.ravel().take(place).astype(np.int64), self.counts.take(place).astype(np.int64)
 
-#: where each interval's end is drawn to after an id of each class
-_GOALS = np.array([[(1 << WEIGHT_BITS) - (3 - k) * LEAST if cls <= k else (k + 1) * LEAST for k in range(3)] + [1 << WEIGHT_BITS] for cls in range(4)], np.int16).view(np.int64).ravel()
+    def add(self, lanes: np.ndarray, x: np.ndarray) -> None:
+        self.counts[(lanes << HIGH_BITS) + x] += HIGH_STEP
+        self.total[lanes] += HIGH_STEP
+        self.sums[lanes] += _LATER.take(x, axis=0)
 
 
 class _Model:
-    """The predictors' tables and weights of n lanes."""
+    """The counts and weights of n lanes. Ids are numbered by their first place in the block."""
 
     def __init__(self, n: int, width: int):
-        self.kind = np.uint16 if width <= 16 else np.uint32
-        self.base = np.arange(n, dtype=np.int64) << TABLE_BITS
-        self.slots = np.arange(n, dtype=np.int64) << SLOT_BITS
-        self.states = np.arange(n, dtype=np.int64) * STATES
-        self.lane5 = np.arange(n, dtype=np.int64) * 5
-        self.next1, self.next2 = np.zeros(n << TABLE_BITS, self.kind), np.zeros(n << TABLE_BITS, self.kind)
-        self.recent = np.zeros(n << SLOT_BITS, self.kind)
-        #: ends of the intervals of order 2, order 1, order 0's table and "any id": four 16-bit numbers in one
-        self.ends = np.full(n * STATES, np.array([800, 1600, 2800, 1 << WEIGHT_BITS], np.int16).view(np.int64)[0])
-        self.edges = np.zeros((n, 5), np.int16)
-        self.before, self.context = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.right = np.zeros(n, np.int64)  # two bits for order 2, two for order 1
+        self.low_bits = max(0, width - HIGH_BITS)
+        self.base = np.arange(n, dtype=np.int64) * MOST_BLOCK
+        self.weights = np.arange(n, dtype=np.int64) * 32
+        self.next1, self.next2 = np.zeros(n * MOST_BLOCK, np.int32), np.zeros(n * MOST_BLOCK, np.int32)
+        self.w1, self.w2 = np.full(n * 32, START), np.full(n * 32, START)
+        self.counts = np.zeros((n, MOST_BLOCK), np.uint16)
+        self.order0 = np.zeros((n, MOST_BLOCK), np.int32)  # sum before << COUNT_BITS | count
+        self.total, self.known = 0, np.zeros(n, np.int64)
+        self.escape = np.full(n, 0.5)
+        self.unseen = _Unseen(n)
+        self.i1, self.i2 = self.base.copy(), self.base.copy()
+
+    def take_over(self, n: int, passed: np.ndarray, since: int) -> None:
+        """Order 0 counts the first rows of `passed` (one for each id so far), of which it knows those before `since`."""
+        own = passed[since:, :n].astype(np.int64)
+        most = np.maximum(self.known[:n], own.max(axis=0) + 1)
+        own += self.base[:n]
+        np.add.at(self.counts.ravel(), own.ravel(), np.uint16(1))
+        self.known[:n] = most
+        self.total = len(passed)
+        self.distinct = int(most.max())
+        counts = self.counts[:n, : self.distinct]
+        sums = np.cumsum(counts, axis=1, dtype=np.int32)
+        sums -= counts
+        sums <<= COUNT_BITS
+        np.bitwise_or(sums, counts, out=self.order0[:n, : self.distinct])
 
     def predict(self, n: int) -> None:
-        """For the next id of the first n lanes."""
-        self.i1 = (self.before[:n] & _MASK) + self.base[:n]
-        self.i2 = self.context[:n] + self.base[:n]
-        self.p1, self.p2 = self.next1.take(self.i1), self.next2.take(self.i2)
-        self.state = (self.p1 == self.p2).astype(np.int64)
-        self.state <<= 4
-        self.state += self.states[:n]
-        self.state += self.right[:n]
-        self.own = self.ends.take(self.state).view(np.int16).reshape(n, 4)
-        self.edges[:n, 1:] = self.own
-
-    def bounds(self, n: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the class's interval."""
-        at = self.lane5[:n] + cls
-        flat = self.edges.ravel()
-        low = flat.take(at).astype(np.int64)
-        at += 1
-        return low, flat.take(at) - low
-
-    def learn(self, n: int, x: np.ndarray, x16: np.ndarray, cls: np.ndarray) -> None:
-        """x: the ids that came (x16: in the tables' type); cls: 0 order 2, 1 order 1, 2 order 0's table, 3 any."""
-        self.next1[self.i1] = x16
-        self.next2[self.i2] = x16
-        self.recent[self.slots[:n] + (x & _SLOTS)] = x16
-        step = _GOALS.take(cls).view(np.int16).reshape(n, 4)
-        step -= self.own
-        step >>= RATE
-        step += self.own
-        self.ends[self.state] = step.view(np.int64).ravel()
-        right = self.right[:n]
-        right <<= 1
-        right &= 10  # the older bit of each order stays
-        right += (self.p2 == x16) * 4 + (self.p1 == x16)
-        c = self.before[:n] * 40503
+        """The candidates a (order 2) and b (order 1), and units for each, for a count of order 0, and for unseen ids."""
+        base, order0 = self.base[:n], self.order0.ravel()
+        e1, e2 = self.next1.take(self.i1[:n]), self.next2.take(self.i2[:n])
+        self.b, self.a = e1 >> STATE_BITS, e2 >> STATE_BITS
+        self.s1, self.s2 = e1 & (_STATES - 1), e2 & (_STATES - 1)
+        same = self.a == self.b
+        self.q1, self.q2 = _Q1.take(self.s1), _Q2.take(self.s2)
+        at = _LEVEL2.take(self.s2)
+        at += _LEVEL1.take(self.s1)
+        at += same
+        at += self.weights[:n]
+        self.at = at
+        self.v1, self.v2 = self.w1.take(at), self.w2.take(at)
+        p2, p1 = self.v2 * self.q2, self.v1 * self.q1
+        one = 1.0 - p2
+        one -= p1
+        if self.total:
+            self.each = (1.0 - self.escape[:n]) / self.total  # of one count, given order 0
+            one *= self.each
+            self.own_a, self.own_b = order0.take(base + self.a), order0.take(base + self.b)
+            self.na, self.nb = self.own_a & _COUNT, (self.own_b & _COUNT) * ~same
+        else:
+            self.each = one = np.zeros(n)
+            self.na = self.nb = np.zeros(n, np.int32)
+        both = p1 * same
+        p1 -= both
+        p2 += both
+        p2 += self.na * one
+        p1 += self.nb * one
+        p2 *= _UNITS
+        p1 *= _UNITS
+        one = one * _UNITS
+        self.fa, self.one = p2.astype(np.int64), one.astype(np.int64)
+        self.named = self.fa + p1.astype(np.int64)
+        self.others = self.total - self.na
+        self.others -= self.nb
+        self.end = self.one * self.others
+        self.end += self.named
+
+    def interval(self, n: int, x: np.ndarray, place: np.ndarray, is_a, is_b, unseen) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of x in units; place: x's in the tables."""
+        own = self.order0.ravel().take(place)
+        self.nx = own & _COUNT
+        self.nx[unseen] = 0
+        own >>= COUNT_BITS
+        own -= self.na * (self.a < x)
+        own -= self.nb * (self.b < x)
+        start = own * self.one
+        start += self.named
+        size = self.one * self.nx
+        named = is_a | is_b
+        start[unseen] = self.end[unseen]
+        size[unseen] = _UNITS - self.end[unseen]
+        at = named.nonzero()[0]
+        first = is_a[at]
+        fa, end = self.fa[at], self.named[at]
+        start[at] = np.where(first, 0, fa)
+        size[at] = np.where(first, fa, end - fa)
+        return start, size
+
+    def learn(self, n: int, x: np.ndarray, place: np.ndarray, is_named: np.ndarray, unseen: np.ndarray) -> None:
+        """x: the numbers that came; unseen: places of lanes that coded an escape; is_named: lanes whose id was named by a candidate."""
+        hit1, hit2 = x == self.b, x == self.a
+        hit = hit1 | hit2
+        given0 = np.ones(n)  # of ids that no candidate names the probability cancels out
+        at = hit.nonzero()[0]
+        given0[at] = np.maximum(self.each[at] * self.nx[at], LEAST)
+        m2, m1 = 1.0 - self.q2, 1.0 - self.q1
+        m2 *= given0
+        m1 *= given0
+        m2 += self.q2 * hit2
+        m1 += self.q1 * hit1
+        m2 *= self.v2
+        m1 *= self.v1
+        left = 1.0 - self.v2
+        left -= self.v1
+        left *= given0
+        left += m2
+        left += m1
+        share = RATE / left
+        m2 *= share
+        m1 *= share
+        m2 += (1.0 - RATE) * self.v2
+        m1 += (1.0 - RATE) * self.v1
+        self.w2[self.at] = m2
+        self.w1[self.at] = m1
+        x32 = x.astype(np.int32)
+        for table, i, s, hit, candidate in ((self.next1, self.i1, self.s1, hit1, self.b), (self.next2, self.i2, self.s2, hit2, self.a)):
+            after = _AFTER.take(s + hit * _HIT)
+            own = np.where(after >= 1 << 15, x32, candidate)
+            own <<= STATE_BITS
+            after &= _STATES - 1
+            own |= after
+            table[i[:n]] = own
+        if self.total:
+            escape = self.escape[:n]
+            more = escape * -ESCAPE_RATE
+            more[unseen] += ESCAPE_RATE
+            more *= ~is_named
+            escape += more
+            np.maximum(escape, ESCAPE_LEAST, out=escape)
+            np.minimum(escape, ESCAPE_MOST, out=escape)
+        base = self.base[:n]
+        c = (self.i1[:n] - base) * 40503
         c += x * 60493
         c ^= c >> 7
-        c &= _MASK
-        self.context[:n] = c
-        self.before[:n] = x
+        c &= MOST_BLOCK - 1
+        c += base
+        self.i2[:n] = c
+        self.i1[:n] = place
 
 
 def _lengths(total: int, block: int) -> np.ndarray:
@@ -113,76 +275,149 @@ def _carry(words: np.ndarray, ends: np.ndarray) -> None:
         w &= 0xFFFF
 
 
-def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
-    """One byte string for each block of `block` ids (the last may be shorter); ids below 2**width, width <= 20."""
+def _numbered(ids: np.ndarray, sizes: np.ndarray, block: int, width: int) -> np.ndarray:
+    """Each id's number in its block by first place; one row for each block."""
+    out = np.zeros((len(sizes), block), np.uint16)
+    first = np.zeros(1 << width, np.uint16)
+    places = np.arange(block, dtype=np.uint16)
+    for i, n in enumerate(sizes.tolist()):
+        own, at = ids[i * block : i * block + n], places[:n]
+        first[own[::-1]] = at[::-1]  # the last one assigned stays: the first place
+        at0 = first[own]
+        out[i, :n] = (np.cumsum(at0 == at) - 1)[at0]
+    return out
+
+
+class _Writer:
+    """Words of each lane."""
+
+    def __init__(self, lanes: int, most: int):
+        self.lanes, self.most = lanes, most
+        self.out = np.zeros(lanes * most, np.uint32)
+        self.at = np.arange(lanes, dtype=np.int64) * most
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
+
+    def room(self, words: int) -> None:
+        if int((self.at - np.arange(self.lanes) * self.most).max()) + words > self.most:
+            more = self.most // 2 + words
+            self.out = np.pad(self.out.reshape(self.lanes, self.most), ((0, 0), (0, more))).ravel()
+            self.at += np.arange(self.lanes) * more
+            self.most += more
+
+    def settle(self, open_: np.ndarray) -> None:
+        """Write words of the lanes in `open_` until their span is large."""
+        while len(open_):
+            part = self.low.take(open_)
+            to = self.at.take(open_)
+            self.out[to] = part >> _LOW_BITS
+            to += 1
+            self.at[open_] = to
+            part &= _REST
+            part <<= _WORD
+            self.low[open_] = part
+            part = self.span.take(open_) << _WORD
+            self.span[open_] = part
+            open_ = open_[part < _BOTTOM]
+
+    def done(self) -> list[bytes]:
+        self.room(8)
+        for _ in range(3):  # the rest of low
+            self.out[self.at] = (self.low >> _LOW_BITS).astype(np.uint32)
+            self.at += 1
+            self.low = (self.low & _REST) << _WORD
+        ends = self.at - np.arange(self.lanes) * self.most
+        words = self.out.reshape(self.lanes, self.most)
+        _carry(words, ends)
+        return [words[i, : ends[i]].astype("<u2").tobytes() for i in range(self.lanes)]
+
+
+class _Names:
+    """The decoder's ids by number and numbers by id: a hash table for each lane with twice as many slots as numbers."""
+
+    def __init__(self, lanes: int, width: int):
+        self.ids = np.zeros(lanes * MOST_BLOCK, np.uint16 if width <= 16 else np.uint32)
+        self.slots = np.zeros(lanes * MOST_BLOCK * 2, np.uint16)  # numbers from 1
+        self.distinct = np.zeros(lanes, np.int64)
+
+    def numbers(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The ids' numbers, one id for each of the lanes; new ids get the next."""
+        out = np.empty(len(ids), np.int64)
+        at, slot, base = np.arange(len(ids)), (ids * 40503 >> 3) & (2 * MOST_BLOCK - 1), lanes * MOST_BLOCK
+        while len(at):
+            place = 2 * base + slot
+            found = self.slots.take(place).astype(np.int64)
+            fresh = (found == 0).nonzero()[0]
+            if len(fresh):
+                lane = lanes[fresh]
+                self.ids[base[fresh] + self.distinct[lane]] = ids[fresh]
+                self.distinct[lane] += 1
+                found[fresh] = self.distinct[lane]
+                self.slots[place[fresh]] = found[fresh]
+            found -= 1
+            out[at] = found
+            other = (self.ids.take(base + found) != ids).nonzero()[0]
+            at, lanes, ids, base, slot = at[other], lanes[other], ids[other], base[other], (slot[other] + 1) & (2 * MOST_BLOCK - 1)
+        return out
+
+
+def _encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
     sizes = _lengths(len(ids), block)
     lanes = len(sizes)
-    if not lanes:
-        return []
-    padded = np.zeros(lanes * block, np.uint16 if width <= 16 else np.uint32)
-    padded[: len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, block).T)  # one row for each step
-    del padded
-    m = _Model(lanes, width)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
-    most = block // 2 + 64  # words a lane has room for so far; each id may take three
-    out = np.zeros(lanes * most, np.uint32)
-    at = np.arange(lanes, dtype=np.int64) * most
-    ahead = 16
-    unit_bits = np.uint64(WEIGHT_BITS + width)
-    scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
+    steps = np.ascontiguousarray(_numbered(ids, sizes, block, width).T)  # one row for each step
+    m, w = _Model(lanes, width), _Writer(lanes, block // 2 + 64)
+    ahead, marks = 16, set(MARKS)
+    low_mask = (1 << m.low_bits) - 1
     for t in range(block):
         n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
-        if t % ahead == 0 and int((at - np.arange(lanes) * most).max()) + 3 * ahead + 8 > most:
-            out = np.pad(out.reshape(lanes, most), ((0, 0), (0, most // 2 + 64))).ravel()
-            at += np.arange(lanes) * (most // 2 + 64)
-            most += most // 2 + 64
+        if t % ahead == 0:
+            w.room(5 * ahead + 8)
+        if t in marks:
+            m.take_over(n, steps[:t], m.total)
         x = steps[t, :n].astype(np.int64)
-        x16 = x.astype(m.kind)
         m.predict(n)
-        slot = x & _SLOTS
-        cls = np.where(m.p2 == x16, 0, np.where(m.p1 == x16, 1, np.where(m.recent.take(m.slots[:n] + slot) == x16, 2, 3)))
-        start, size = m.bounds(n, cls)
-        size <<= scale.take(cls)
-        start <<= width
-        start += size * np.where(cls == 3, x, np.where(cls == 2, slot, 0))
-        l, s = low[:n], span[:n]
-        unit = s >> unit_bits
-        l += unit * start.view(np.uint64)
-        np.multiply(unit, size.view(np.uint64), out=s)
-        m.learn(n, x, x16, cls)
-        open_ = np.flatnonzero(s < _BOTTOM)
-        while len(open_):
-            part = l.take(open_)
-            to = at.take(open_)
-            out[to] = part >> _LOW_BITS
-            to += 1
-            at[open_] = to
-            part &= _REST
-            part <<= _WORD
-            l[open_] = part
-            part = s.take(open_) << _WORD
-            s[open_] = part
-            open_ = open_[part < _BOTTOM]
-    for _ in range(3):  # the rest of low
-        out[at] = (low >> _LOW_BITS).astype(np.uint32)
-        at += 1
-        low = (low & _REST) << _WORD
-    ends = at - np.arange(lanes) * most
-    words = out.reshape(lanes, most)
-    _carry(words, ends)
-    return [words[i, : ends[i]].astype("<u2").tobytes() for i in range(lanes)]
+        place = x + m.base[:n]
+        is_a = (x == m.a) & (m.fa > 0)
+        is_b = (x == m.b) & (m.named > m.fa) & ~is_a
+        is_named = is_a | is_b
+        unseen = ((x >= m.known[:n]) & ~is_named).nonzero()[0]
+        start, size = m.interval(n, x, place, is_a, is_b, unseen)
+        unit = w.span[:n] >> _UNIT
+        start = start.view(np.uint64)
+        start *= unit
+        w.low[:n] += start
+        np.multiply(unit, size.view(np.uint64), out=w.span[:n])
+        w.settle((w.span[:n] < _BOTTOM).nonzero()[0])
+        if len(unseen):
+            own = ids[unseen * block + t].astype(np.int64)
+            high, low = own >> m.low_bits, own & low_mask
+            before, count = m.unseen.at(unseen, high)
+            unit = w.span[unseen] // (m.unseen.total[unseen] << m.low_bits).view(np.uint64)
+            start = (before << m.low_bits) + low * count
+            w.low[unseen] += unit * start.view(np.uint64)
+            unit *= count.view(np.uint64)
+            w.span[unseen] = unit
+            m.unseen.add(unseen, high)
+            w.settle(unseen[unit < _BOTTOM])
+        m.learn(n, x, place, is_named, unseen)
+    return w.done()
 
 
-def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
-    """The ids (unsigned 32-bit) of all blocks."""
+def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
+    """One byte string for each block of `block` ids (the last may be shorter); ids below 2**width, width <= 20, block <= MOST_BLOCK."""
+    if block > MOST_BLOCK or width > 20:
+        raise ValueError("blocks or ids are too large for the coder")
+    out = []
+    for k in range(0, len(ids), block * LANES):
+        out += _encode(ids[k : k + block * LANES], block, width)
+    return out
+
+
+def _decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
     sizes = _lengths(total, block)
     lanes = len(sizes)
-    if not lanes:
-        return np.empty(0, np.uint32)
-    most = max(map(len, blocks)) // 2 + 4
+    most = max(map(len, blocks)) // 2 + 8
     data = np.zeros((lanes, most), np.uint16)
     for i, b in enumerate(blocks):
         data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
@@ -193,45 +428,84 @@ def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarra
         code = (code << _WORD) | data[:, k].astype(np.uint64)
     data = data.ravel()
     at = np.arange(lanes, dtype=np.int64) * most + 3
-    out = np.zeros((block, lanes), m.kind)
-    unit_bits = np.uint64(WEIGHT_BITS + width)
-    last = (1 << (WEIGHT_BITS + width)) - 1
-    scale = np.array([width, width, width - SLOT_BITS, 0], np.int64)
-    for t in range(block):
-        n = lanes if t < sizes[-1] else lanes - 1
-        if not n:
-            break
-        m.predict(n)
-        c, s = code[:n], span[:n]
-        unit = s >> unit_bits
-        value = (c // unit).view(np.int64)
-        np.minimum(value, last, out=value)
-        weight = value >> width
-        edges = m.edges[:n]
-        cls = (weight >= edges[:, 1]).astype(np.int64)
-        cls += weight >= edges[:, 2]
-        cls += weight >= edges[:, 3]
-        start, size = m.bounds(n, cls)
-        size <<= scale.take(cls)
-        start <<= width
-        nr = (value - start) // size  # 0 for the orders' one id
-        start += nr * size
-        x16 = m.recent.take(m.slots[:n] + (nr & _SLOTS))
-        x16 = np.where(cls == 3, nr.astype(m.kind), np.where(cls == 2, x16, np.where(cls == 1, m.p1, m.p2)))
-        x = x16.astype(np.int64)
-        out[t, :n] = x16
-        c -= unit * start.view(np.uint64)
-        np.multiply(unit, size.view(np.uint64), out=s)
-        m.learn(n, x, x16, cls)
-        open_ = np.flatnonzero(s < _BOTTOM)
+    out, names = np.zeros((block, lanes), np.uint16), _Names(lanes, width)
+    slots, marks = np.zeros(1, np.uint16), set(MARKS)
+    lane_slots = np.zeros(lanes, np.int64)
+
+    def settle(open_: np.ndarray) -> None:
         while len(open_):
             to = at.take(open_)
-            part = c.take(open_) << _WORD
-            part |= data.take(to)
-            c[open_] = part
+            part = code.take(open_) << _WORD
+            part |= data.take(to, mode="clip")
+            code[open_] = part
             to += 1
             at[open_] = to
-            part = s.take(open_) << _WORD
-            s[open_] = part
+            part = span.take(open_) << _WORD
+            span[open_] = part
             open_ = open_[part < _BOTTOM]
-    return out.T.astype(np.uint32).reshape(-1)[:total]
+
+    def quotient(value: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        return (value / unit).astype(np.int64)  # both are below 2**48, the quotient below 2**28: rounding can't reach the next whole number
+
+    for t in range(block):
+        n = lanes if t < sizes[-1] else lanes - 1
+        if not n:
+            break
+        if t in marks:
+            m.take_over(n, out[:t], m.total)
+            # the t counts of each lane, one slot for each
+            slots = np.repeat(np.tile(np.arange(m.distinct, dtype=np.uint16), n), m.counts[:n, : m.distinct].ravel())
+            lane_slots = np.arange(lanes, dtype=np.int64) * t
+        m.predict(n)
+        unit = span[:n] >> _UNIT
+        value = quotient(code[:n], unit)
+        np.minimum(value, _UNITS - 1, out=value)
+        is_a, is_named = value < m.fa, value < m.named
+        is_b = is_named & ~is_a
+        unseen = (value >= m.end).nonzero()[0]
+        if m.total:
+            c = quotient(value - m.named, m.one)
+            before_a, before_b = m.own_a >> COUNT_BITS, m.own_b >> COUNT_BITS
+            before_a -= m.nb * (m.b < m.a)
+            before_b -= m.na * (m.a < m.b)
+            whole = c + m.na * (c >= before_a)
+            whole += m.nb * (c >= before_b)
+            np.maximum(whole, 0, out=whole)  # lanes that have another kind of id
+            np.minimum(whole, m.total - 1, out=whole)
+            whole += lane_slots[:n]
+            x = slots.take(whole).astype(np.int64)
+        else:
+            x = np.zeros(n, np.int64)
+        named = is_named.nonzero()[0]
+        x[named] = np.where(is_a[named], m.a[named], m.b[named])
+        start, size = m.interval(n, x, m.base[:n] + x, is_a, is_b, unseen)
+        start = start.view(np.uint64)
+        start *= unit
+        code[:n] -= start
+        np.multiply(unit, size.view(np.uint64), out=span[:n])
+        settle((span[:n] < _BOTTOM).nonzero()[0])
+        if len(unseen):
+            all_ = m.unseen.total[unseen] << m.low_bits
+            unit = span[unseen] // all_.view(np.uint64)
+            value = np.minimum(quotient(code[unseen], unit), all_ - 1)
+            high = m.unseen.find(unseen, value >> m.low_bits)
+            before, count = m.unseen.at(unseen, high)
+            low = (value - (before << m.low_bits)) // count
+            start = (before << m.low_bits) + low * count
+            code[unseen] -= unit * start.view(np.uint64)
+            unit *= count.view(np.uint64)
+            span[unseen] = unit
+            m.unseen.add(unseen, high)
+            settle(unseen[unit < _BOTTOM])
+            x[unseen] = names.numbers(unseen, (high << m.low_bits) + low)
+        out[t, :n] = x
+        m.learn(n, x, m.base[:n] + x, is_named, unseen)
+    return names.ids.take(out.T.astype(np.int64) + m.base[:, None]).astype(np.uint32).reshape(-1)[:total]
+
+
+def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
+    """The ids (unsigned 32-bit) of all blocks."""
+    out = [np.empty(0, np.uint32)]
+    for k in range(0, len(blocks), LANES):
+        out.append(_decode(blocks[k : k + LANES], min(total - k * block, LANES * block), block, width))
+    return np.concatenate(out)

@@ -141,7 +141,7 @@ def test_warc(spark):
 @pytest.mark.parametrize("block,width", [(4096, 16), (64, 16), (64, 20)])
 def test_range_coder(block, width):
     rng = np.random.default_rng(0)
-    cases = [np.array([], int), np.array([5]), rng.integers(0, 2**width, 3001), np.zeros(500, int), np.tile(np.arange(50), 20), np.full(100, 2**width - 1), rng.zipf(1.3, 5000) % 2**width]
+    cases = [np.array([], int), np.array([5]), rng.integers(0, 2**width, 3001), np.zeros(500, int), np.tile(np.arange(50), 20), np.full(100, 2**width - 1), rng.zipf(1.3, 5000) % 2**width, rng.zipf(1.1, 40000) % 2**width]
     for ids in cases:
         assert (range_coder.decode(range_coder.encode(ids, block, width), len(ids), block, width) == ids).all()
     text = np.tile(rng.integers(0, 40000, 300), 40)
