@@ -55,7 +55,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_email, n_ip, n_card and n_phone count base spans; the spans that the method adds are in `spans` and n_added."""
+    """n_email, n_ip, n_card and n_phone count base spans; n_spans counts all, n_added those that the random field adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detect(docs)
     base = F.filter("spans", lambda s: ~s["added"])
@@ -66,6 +66,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in pii.KINDS],
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
         F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"),
     )
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from framequarry.llm import bpe, dedup, mixing, pii, quality, queries, range_coder, token_counts, token_output, topk, url_filter, warc
 from framequarry.llm.common import scratch_path
 
+from .test_findings import weights
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t ", "one", "ab" * 30000, "The the THE\u00a0x\u2003y", "日本語 😀 <|endoftext|> <|startoftext|>  \n\n x", "İstanbul ΣΣ ǅ 'll 've's 123456", "a\x1cb\x85c"]
@@ -241,11 +243,11 @@ def test_base_spans(texts):
 
 
 def test_pii_field(spark, odd):
-    w = pii.Weights()
+    w = weights()
     t = "Call +1 (017) 555-7713 now. Not 555-7712, but 555-7713x or a@b.cd; also 1.2.3.4 and 4111 1111 1111 1111."
     spans = pii.find([t, "no data 555-7713", None, ""], w)
     assert [s for s in spans[0] if not s[3]] == [(*s, False) for s in brute_pii(t)]
-    assert spans[1:] == [[], [], []]  # nothing is added without a base span
+    assert spans[1:] == [[], [], []]
     twice = "Mail to +1 (017) 5557713 or ask 0175557713 and (017)5557713 again 0175557713"
     base = brute_pii(twice)
     found = pii.find([twice], w)[0]
@@ -263,14 +265,16 @@ def test_beliefs_on_a_tree():
     """On a graph without loops the messages give exact marginals."""
     rng = np.random.default_rng(3)
     g = pii.Graph([], [])
-    g.doc, g.shapes, g.seen = [0] * 4, [0, 1, 2, 3], [0, 0, 2, 0]
-    g.chain, g.skip = np.array([[0, 1], [1, 2]]), np.array([[1, 3]])
-    w = pii.Weights(rng.random((pii.SHAPES, pii.LABELS)) * 5, rng.random((pii.LABELS, pii.LABELS)) * 5, (3, 1))
+    g.doc, g.masks, g.seen = [0] * 4, [1, 2, 4, 9], [0, 0, 2, 0]
+    g.chain, g.skip = np.array([[0, 1], [1, 2]]), np.array([[1, 3, 1]])
+    chain = rng.normal(size=(pii.LABELS, pii.LABELS))
+    w = pii.Weights(rng.normal(size=(pii.FEATURES, pii.LABELS)), chain + chain.T, rng.normal(size=(pii.LINKS, pii.LABELS)))
+    unary = pii.feature_rows(g.masks) @ w.unary
     total = np.zeros((4, pii.LABELS))
     for y in np.ndindex(*[pii.LABELS] * 4):
         if y[2] != 2:
             continue
-        e = sum(w.unary[g.shapes[i], y[i]] for i in (0, 1, 3)) + w.chain[y[0], y[1]] + w.chain[y[1], y[2]] + w.skip[y[1], y[3]]
+        e = sum(unary[i, y[i]] for i in (0, 1, 3)) + w.chain[y[0], y[1]] + w.chain[y[1], y[2]] + (w.skip[1, y[1]] if y[1] == y[3] else 0)
         for i in range(4):
             total[i, y[i]] += np.exp(e)
     want = total / total.sum(axis=1, keepdims=True)
