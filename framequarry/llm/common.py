@@ -14,11 +14,17 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: A key that more than one in MOST_HOT rows share is hot: there are fewer than MOST_HOT such keys.
+MOST_HOT = 4000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a local temporary one only where it is unset."""
+    """The shared folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="framequarry-")
         sc.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
@@ -44,6 +50,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows left joined with `table` (one row for each key), however many rows share a key; `n` (dropped): table's count of its key's rows.
+
+    Keys of more than total / MOST_HOT rows, fewer than MOST_HOT, are broadcast; their rows are dealt evenly to the
+    join of the other keys, where they find nothing.
+    """
+    names = [c for c in table.columns if c not in (key, n)]
+    hot = F.col(n) * MOST_HOT > total
+    often = table.where(hot).select(F.col(key).alias("_hot"), F.struct(*names).alias("_given"))
+    rest = table.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), F.struct(*names).alias("_found"))
+    out = rows.join(F.broadcast(often), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    out = out.join(rest, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_deal")), "left")
+    got = F.coalesce("_given", "_found")
+    return out.withColumns({c: got[c] for c in names}).drop("_hot", "_given", "_key", "_deal", "_found", "_at")
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns whose names clash (ignoring case) with the result columns in `names`."""
     taken = {n.lower() for n in names}

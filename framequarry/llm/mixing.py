@@ -96,10 +96,10 @@ def fly(size: np.ndarray, pi: np.ndarray, rng, land: bool = False, split: bool =
 
 def _flown(units: DataFrame, blocks, round_nr: int, seed: int, land: bool, split: bool) -> DataFrame:
     """One round: units (id, source, size, pi, ...) with their new pi; blocks: column with the source's number of blocks."""
-    dealt = units.withColumn("_block", F.pmod(F.xxhash64(F.lit(round_nr), "_uid"), blocks).cast("int"))
+    dealt = units.withColumn("_block", F.pmod(F.xxhash64(F.lit(round_nr), "_uid", "_row"), blocks).cast("int"))
 
     def flight(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_uid", "size"], kind="stable")
+        group = group.sort_values(["_uid", "size", "_row"], kind="stable")
         name = f"{seed}/{round_nr}/{group['_nr'].iloc[0]}/{group['_block'].iloc[0]}"
         rng = np.random.default_rng(xxhash.xxh64_intdigest(name))
         pi = fly(group["size"].to_numpy(), group["pi"].to_numpy(), rng, land, split)
@@ -108,15 +108,21 @@ def _flown(units: DataFrame, blocks, round_nr: int, seed: int, land: bool, split
     return dealt.groupBy("_nr", "_block").applyInPandas(flight, units.schema)
 
 
-def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, split: bool = True, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words, repeats counted) of each row of df.
+def _row_key(df: DataFrame):
+    """128 bits of all columns: equal for equal rows only."""
+    names = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.concat_ws("/", F.xxhash64(F.lit(1), *names), F.xxhash64(F.lit(2), *reversed(names)))
+
+
+def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, split: bool = True, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, seed: int = SEED, key=None) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words, repeats counted) of each row of df; key: a column that names the row.
 
     The driver gets one row for each source, as the weights are set by source.
     """
     spark = df.sparkSession
     text_col, id_col, source_col = F.col(text), F.col(doc_id), F.col(source)
     # the row's own number decides ties among equal ids; equal rows may change places
-    rows = df.select(id_col.alias("doc_id"), source_col.alias("source"), n_words(text_col).alias("size"), F.xxhash64(id_col, source_col, text_col).alias("_uid"))
+    rows = df.select(id_col.alias("doc_id"), source_col.alias("source"), n_words(text_col).alias("size"), F.xxhash64(id_col, source_col, text_col).alias("_uid"), (F.lit("") if key is None else key).alias("_row"))
     rows = written(rows, "mix-rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # str compares by code points
@@ -145,20 +151,21 @@ def mix(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, split: b
     for x in done[1:]:
         out = out.unionByName(x)
     taken = F.col("_whole") * F.col("size") + F.round(F.col("pi") * F.col("size")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "_uid", "_whole", F.col("pi").alias("_part"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "_row", "_whole", F.col("pi").alias("_part"))
 
 
 def mixed(df: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_REPEATS, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """df's rows as often as the mix takes their document: none, once or more; whole documents only."""
-    plan = mix(df, weights, share, most, split=False, text=text, doc_id=doc_id, source=source)
-    copies = plan.select(F.col("doc_id").alias("_id"), F.col("_uid").alias("_key"), (F.col("_whole") + F.col("_part")).cast("int").alias("_copies"))
-    # equal rows share a key; one of them stands for all
-    copies = copies.groupBy("_id", "_key").agg(F.sum("_copies").cast("int").alias("_copies"), F.count("*").alias("_same")).where("_copies > 0")
+    """df's rows as often as the mix takes them: none, once or more; whole documents only.
+
+    Rows are told apart by all their columns.  Rows equal in all columns share their copies: any of them stands for all.
+    """
+    plan = mix(df, weights, share, most, split=False, text=text, doc_id=doc_id, source=source, key=_row_key(df))
+    copies = plan.select(F.col("_row").alias("_key"), (F.col("_whole") + F.col("_part")).cast("int").alias("_copies"))
+    copies = copies.groupBy("_key").agg(F.sum("_copies").cast("int").alias("_copies"), F.count("*").alias("_same")).where("_copies > 0")
     copies = written(copies, "mix-copies")
-    keyed = df.withColumn("_uid", F.xxhash64(doc_id, source, text))
-    out = keyed.join(copies, (F.col("_uid") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    out = df.withColumn("_row", _row_key(df)).join(copies, F.col("_row") == F.col("_key"))
     repeated = lambda x: x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
     if copies.where("_same > 1").isEmpty():
         return repeated(out)
-    same = out.where("_same > 1").dropDuplicates(["_uid", "_id"])
+    same = out.where("_same > 1").dropDuplicates(["_row"])
     return repeated(out.where("_same = 1")).unionByName(repeated(same))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, without
+from .common import joined, scratch_path, without, written
 
 RESULTS = ["n_bytes", "n_tokens"]
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -82,9 +82,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
 
     rows = df.select(F.col(doc_id).alias("_id"), content.alias("_text"), digest.alias("_digest"))
     # one row of each distinct missing text is encoded: the smallest id's
-    first = rows.groupBy("_digest").agg(F.min("_id").alias("_first"))
+    distinct = written(rows.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")), "token-digests")
     known = stored(spark, cache_path, version).select(F.col("digest").alias("_digest"))
-    first = first.join(known, "_digest", "left_anti").withColumnRenamed("_digest", "_want")
+    first = distinct.join(known, "_digest", "left_anti").select(F.col("_digest").alias("_want"), "_first")
     # the id is part of the key, so that copies of one text are not dealt to one task
     misses = rows.join(first, (F.col("_digest") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_first"))).select("_digest", "_text")
 
@@ -97,7 +97,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n)), part.column("_digest"), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = stored(spark, cache_path, version).withColumnRenamed("digest", "_digest")
+    counts = stored(spark, cache_path, version).withColumnRenamed("digest", "_digest").join(distinct.select("_digest", "_n"), "_digest")
+    total = distinct.agg(F.sum("_n")).first()[0] or 0
     keep = df.columns
     keyed = df.withColumns({"n_bytes": F.octet_length(content).cast("long"), "_digest": digest})
-    return keyed.join(counts, "_digest").select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "n_tokens")
+    return joined(keyed, counts, "_digest", "_n", total).select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "n_tokens")

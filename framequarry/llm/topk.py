@@ -8,8 +8,8 @@ into dense score arrays, of which a partition selection keeps the k best; the ke
 Defined cases: vectors that are null or hold a null or non-finite component take no part, neither as
 query nor as candidate; missing components of shorter vectors count 0; a query never finds rows with
 its own id; rows that repeat an id are candidates each, and queries each (their rows then repeat);
-equal scores rank by id; a null id is no query, and as a candidate no row; scores must fit 64 bits;
-an empty table gives an empty result.
+equal scores rank by id; a null id is no query, and as a candidate no row; a component so large that
+scores might exceed 64 bits is an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,11 @@ def integer_rows(df: DataFrame, vec_id: str, embedding: str, scale: int) -> Data
     """vec_id, items (array of long) of the rows that take part."""
     v = F.col(embedding)
     usable = F.col(vec_id).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    items = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    scaled = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    # two vectors within these limits have a product within 64 bits: n terms of at most sqrt(2**63 / n)**2
+    too_large = F.exists(v, lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) + 1 > F.sqrt(F.lit(2.0**63) / F.size(v)))
+    error = F.raise_error(F.concat(F.lit("vec_id "), F.col(vec_id).cast("string"), F.lit(": scores may exceed 64 bits")))
+    items = F.when(usable & too_large, error.cast("array<long>")).otherwise(scaled.cast("array<long>"))
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), items.alias("items"), usable.alias("_use")).where("_use").drop("_use")
 
 

@@ -16,13 +16,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, without
+from .common import ascii_lower, joined, without
 
 #: Up to so many rules the index is part of the expression; beyond, it is a joined table.
 INLINE_RULES = 500
+#: Bytes of patterns and names up to which that table is broadcast.
+BROADCAST_BYTES = 32 << 20
 RESULTS = ["host", "path", "rule", "verdict"]
 
 
@@ -38,9 +40,10 @@ class Rule:
 
 
 def tokens_of(text: str, open_end: bool) -> tuple[str, ...]:
-    """Whole alphanumeric tokens; a last one that the URL may continue is no literal token."""
+    """Whole alphanumeric tokens, A-Z lower-cased as the URLs' are; a last one that the URL may continue is no literal token."""
+    text = re.sub("[A-Z]", lambda m: m.group().lower(), text)
     found = re.findall(r"[a-z0-9]+", text)
-    if open_end and re.search(r"[a-z0-9]$", text) and found:
+    if open_end and re.search(r"[a-z0-9]\Z", text) and found:
         found = found[:-1]
     return tuple(dict.fromkeys(found))
 
@@ -56,6 +59,23 @@ def pattern_rule(verdict: str, pattern: str, tokens: tuple[str, ...]) -> Rule:
     return Rule(None, verdict, pattern, tokens, (1, 0, pattern))
 
 
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a text file: `block host/path`, or `block /pattern/ token token`; empty lines and those with # are left out.
+
+    The whole rule set comes to the driver.
+    """
+    out = []
+    for (line,) in spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").collect():
+        verdict, what = line.strip().split(None, 1)
+        if what.startswith("/"):
+            pattern, _, words = what[1:].rpartition("/")
+            out.append(pattern_rule(verdict, pattern, tuple(t for w in words.split() for t in tokens_of(w, False))))
+        else:
+            host, slash, path_start = what.partition("/")
+            out.append(site_rule(verdict, host.lower(), slash + path_start))
+    return out
+
+
 #: The site rules of the registered query.
 SITE_RULES = (
     site_rule("block", "net", "/"),
@@ -126,18 +146,23 @@ def _inline(df: DataFrame, rules: list[Rule], filed: list[str | None]) -> DataFr
 
 
 def _joined(df: DataFrame, rules: list[Rule], filed: list[str | None]) -> DataFrame:
-    """For large rule sets: distinct host/path pairs meet the index in a join on the token."""
+    """For large rule sets: distinct host/path pairs meet the index in a join on the token; rules without tokens run on all of them."""
     spark = df.sparkSession
     index = spark.createDataFrame([(t, i, r.pattern, r.name, r.verdict) for i, (t, r) in enumerate(zip(filed, rules)) if t], "token string, nr int, pattern string, name string, says string")
-    urls = df.select("host", "path").distinct()
-    hits = urls.withColumn("token", F.explode(_tokens())).join(index, "token").where("rlike(concat(host, path), pattern)")
-    always = [(i, r) for i, (t, r) in enumerate(zip(filed, rules)) if not t]
-    hits = hits.select("host", "path", F.struct("nr", "name", "says").alias("hit"))
-    for i, r in always:
-        row = F.struct(F.lit(i).alias("nr"), F.lit(r.name).cast("string").alias("name"), F.lit(r.verdict).alias("says"))
-        hits = hits.unionByName(urls.where(F.rlike(F.concat("host", "path"), F.lit(r.pattern))).select("host", "path", row.alias("hit")))
-    best = hits.groupBy("host", "path").agg(F.min("hit").alias("hit"))
-    return df.join(best, ["host", "path"], "left").withColumns({"rule": F.col("hit.name"), "verdict": F.col("hit.says")}).drop("hit")
+    if sum(len(r.pattern) + len(r.name or "") + 100 for r in rules) <= BROADCAST_BYTES:
+        index = F.broadcast(index)
+    # a host has no "/" and a path starts with one: together they stand for both
+    urls = df.groupBy(F.concat("host", "path").alias("url")).agg(F.count("*").alias("n"))
+    tokens = F.explode(F.array_distinct(F.split(ascii_lower(F.col("url")), "[^a-z0-9]+"))).alias("token")
+    hits = urls.select("url", "n", tokens).join(index, "token").where("rlike(url, pattern)").select("url", "n", F.struct("nr", "name", "says").alias("hit"))
+    always = [F.struct(F.lit(i).alias("nr"), F.lit(r.name).cast("string").alias("name"), F.lit(r.verdict).alias("says"), F.lit(r.pattern).alias("pattern")) for i, (t, r) in enumerate(zip(filed, rules)) if not t]
+    if always:
+        fits = F.array_min(F.filter(F.array(*always), lambda r: F.rlike(F.col("url"), r["pattern"]))).alias("r")
+        found = urls.select("url", "n", fits).where("r is not null")
+        hits = hits.unionByName(found.select("url", "n", F.struct("r.nr", "r.name", "r.says").alias("hit")))
+    best = hits.groupBy("url").agg(F.first("n").alias("n"), F.min("hit").alias("hit")).withColumnsRenamed({"url": "_site", "n": "_n", "hit": "_hit"})
+    out = joined(df.withColumn("_url", F.concat("host", "path")), best.withColumnRenamed("_site", "_url"), "_url", "_n", df.count())
+    return out.withColumns({"rule": F.col("_hit.name"), "verdict": F.col("_hit.says")}).drop("_hit", "_url")
 
 
 def judge(df: DataFrame, rules=SITE_RULES + PATTERN_RULES, default: str = "allow", url: str = "url") -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import joined, written
+
 #: Payloads from this size are written once.
 REVISIT_BYTES = 1000
 #: Bytes of records after which a package is closed; bytes of one range read.
@@ -162,8 +164,11 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body).alias("digest"))
     large = F.octet_length("html") >= REVISIT_BYTES
     # only payloads that occur twice reach the join: of others nothing refers to anything
-    twice = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_same"), "last")
-    out = rows.join(twice, (F.col("digest") == F.col("_same")) & large, "left")
+    twice = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    twice = written(twice.select(F.col("digest").alias("_same"), "last", "n"), "warc-twice")
+    # pages of twice's rows are no more than all pages: a key is hot by its share of them
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    out = joined(rows.withColumn("_same", F.when(large, F.col("digest")).otherwise(F.concat_ws(":", F.lit("small"), "digest", F.xxhash64("page_id", "url")))), twice, "_same", "n", total)
     return out.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
@@ -247,8 +252,6 @@ def read(packages: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str, **options) -> DataFrame:
     """Write packages, then read all their records back (without payloads)."""
-    from .common import written
-
     packages = written(write(pages, folder, **options), "warc-packages")
     # a package's bytes are bounded, so tasks are dealt packages, not bytes
     tasks = min(max(1, packages.count()), MOST_TASKS)

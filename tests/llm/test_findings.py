@@ -2,12 +2,15 @@
 
 import functools
 import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from framequarry.llm import dedup, pii, quality
+from framequarry.llm import common, dedup, mixing, pii, quality, queries, token_counts, topk, url_filter, warc
 
 
 @functools.cache
@@ -191,3 +194,128 @@ def test_labelled_sample_bounds_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     s, good = quality.labelled_sample(docs, labels, "text", "doc_id", 20)
     assert len(good) == 20 and len(s["n_words"]) == 20
+
+
+def test_mixed_keeps_rows_apart(spark):
+    """Rows that differ in another column only are rows of their own."""
+    rows = [(1, "a b c", "en", "x"), (1, "a b c", "de", "x"), (None, "a b c", None, "x"), (2, None, "en", "x"), (3, "d e", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixed(df, share=2.0)  # every source twice
+    assert out.columns == df.columns
+    got = Counter(map(tuple, out.collect()))
+    assert {r for r in rows if r[1]} <= set(got) <= set(rows) and all(got[r] == 2 for r in rows if r[1])
+    same = spark.createDataFrame([rows[0]] * 4 + [rows[1]], df.schema)
+    got = Counter(map(tuple, mixing.mixed(same, share=2.0).collect()))
+    assert got == {rows[0]: 8, rows[1]: 2}
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def brute_targets(sizes):
+    """Shares by weight of the sources still below twice their size, until none is above."""
+    weight = dict(zip(sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""])), [5, 2, 1] * len(sizes)))
+    out, left, free = {s: 0.0 for s in sizes}, 1.5 * sum(sizes.values()), {s for s in sizes if sizes[s]}
+    while free:
+        part = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if part[s] > 2 * sizes[s]}
+        if not over:
+            return out | part
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2.0 * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_source_mix_query(spark, sf_dir):
+    """op1 as registered: size, source_size and target made anew."""
+    rows = duckdb.sql(f"select doc_id, text, source from '{sf_dir}/documents.parquet'").fetchall()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    total = Counter()
+    for i, _, s in rows:
+        total[s] += size[i]
+    goal, source, taken = brute_targets(total), {i: s for i, _, s in rows}, Counter()
+    got = queries.op1_source_mix(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    for r in got:
+        s = source[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], total[s]) and abs(r.target - goal[s]) < 1e-6 * goal[s] + 1e-9
+        assert 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 2 for s in total)
+
+
+def test_url_rules_with_capitals(spark, tmp_path):
+    urls = ["http://a.example.com/Foo/x", "http://a.example.com/foo/x", "http://A.EXAMPLE.com/%7Eme/", "http://b.org/A%20b/c", "http://c.net/12", None, "http://d.net/x-9"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    (tmp_path / "rules.txt").write_text("# rules\nblock example.com/Foo/\n\nblock Example.com/%7Eme\nblock b.org/A%20b/\nblock /[.]net/[0-9]{2}$/ net\nblock /-[0-9]$/\n")
+    rules = url_filter.read_rules(spark, f"file://{tmp_path}/rules.txt")
+    want = ["block", "allow", "block", "block", "block", "allow", "block"]
+    old = url_filter.INLINE_RULES, url_filter.BROADCAST_BYTES
+    try:
+        for plan in (old, (0, old[1]), (0, 0)):
+            url_filter.INLINE_RULES, url_filter.BROADCAST_BYTES = plan
+            assert [r.verdict for r in sorted(url_filter.judge(df, rules).collect(), key=lambda r: r.page_id)] == want
+            assert [r.verdict for r in url_filter.judge(df, rules[-1:]).collect()].count("block") == 1
+    finally:
+        url_filter.INLINE_RULES, url_filter.BROADCAST_BYTES = old
+    assert "foo" in url_filter.site_rule("block", "example.com", "/Foo/").tokens
+
+
+def test_topk_overflow_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="may exceed 64 bits"):
+        topk.search(df, F.col("vec_id") == 0).collect()
+    large = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6, 1e6]), (2, None), (3, [float("inf")])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(large, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 0)]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://there:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        common.scratch_root(Session())
+
+
+def test_joined_deals_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 100}") for i in range(3000)], "id long, k string")
+    table = rows.where("k is not null and k <> 'k7'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("last")).withColumn("maybe", F.when(F.col("k") != "hot", F.col("last")))
+    old, common.MOST_HOT = common.MOST_HOT, 10
+    try:
+        out = common.joined(rows, table, "k", "n", 3000)
+        got = {r.id: (r.k, r.last, r.maybe) for r in out.collect()}
+    finally:
+        common.MOST_HOT = old
+    last = {r.k: r.last for r in table.collect()}
+    assert out.columns == ["id", "k", "last", "maybe"] and len(got) == 3000
+    assert all((x, y) == (last.get(k), None if k == "hot" else last.get(k)) for k, x, y in got.values())
+
+
+def test_hot_texts_and_pages(spark):
+    """One text, one page and one digest make up most rows."""
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i if i % 5 else None, "the same text" if i % 3 else f"text {i % 7}") for i in range(600)], "doc_id long, text string")
+    pages = spark.createDataFrame([(i, "u", "x" * 1200 if i % 3 else "y" * (1000 + i % 7)) for i in range(600)], "page_id long, url string, html string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = token_counts.load_counter(path)
+    old, common.MOST_HOT = common.MOST_HOT, 8
+    try:
+        got = token_counts.count_tokens(docs, path).collect()
+        records = warc.round_trip(spark, pages, common.scratch_path(spark, "hot")).collect()
+    finally:
+        common.MOST_HOT = old
+    assert len(got) == 600 and all(r.n_tokens == count([r.text])[0] and r.n_bytes == len(r.text) for r in got)
+    last = {}
+    for r in pages.collect():
+        last[r.html] = max(last.get(r.html, -1), r.page_id)
+    want = {r.page_id: None if last[r.html] == r.page_id else last[r.html] for r in pages.collect()}
+    assert len(records) == 600 and {r.page_id: r.refers_to for r in records} == want
