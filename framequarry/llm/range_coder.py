@@ -3,8 +3,8 @@
 A block of ids is coded with a model that starts empty and counts what has passed:
 
 * order 0 counts the block's ids; its counts are taken over at marks (MARKS), which lie closer at the
-  block's start.  Ids that aren't in them share an escape probability, which adapts, and are told
-  apart by counts of the upper bits of such ids;
+  block's start.  Ids that aren't in them share an escape probability, which adapts; they follow in a
+  stream of their own, coded by counts of the upper bits of such ids;
 * order 1 (by the previous id) and order 2 (by a hash of the two previous ids) hold for each context
   a candidate, how often it has followed and how often the context has passed: its probability, the
   rest of which falls to order 0.
@@ -22,6 +22,8 @@ carry; carries run through each lane's words at the end.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 #: Fixed values of the format: most ids of a block, units of the mixture, weights' rate and start.
@@ -29,7 +31,7 @@ MOST_BLOCK = 4096
 UNIT_BITS = 22
 RATE = 0.06
 START = 1 / 3
-#: The escape's rate and limits, and the least probability that order 0 is taken to give.
+#: The escape's rate and what it moves to after known and unseen ids, and the least probability that order 0 is taken to give.
 ESCAPE_RATE, ESCAPE_LEAST, ESCAPE_MOST = 0.03, 1 / 256, 0.875
 LEAST = 2.0**-17
 #: Bits of an unseen id that are counted, and what one adds.
@@ -85,39 +87,15 @@ def _tables():
     return q1, q2, level, after
 
 
-_Q1, _Q2, _LEVEL1, _LEVEL2, _HIT, _AFTER = *(t := _tables())[:2], t[2] * 2, t[2] * 8, np.int32(_STATES), t[3]
+_Q1, _Q2, _LEVEL1, _LEVEL2, _AFTER = *(t := _tables())[:2], t[2] * 2, t[2] * 8, t[3]
 #: row p: what an unseen id adds to the sums after place p
 _LATER = (np.arange(1 << HIGH_BITS)[None, :] > np.arange(1 << HIGH_BITS)[:, None]).astype(np.uint16) * np.uint16(HIGH_STEP)
 
 
-class _Unseen:
-    """Counts and running sums of the 2**HIGH_BITS values of unseen ids' upper bits in each lane."""
-
-    def __init__(self, lanes: int):
-        self.counts = np.ones(lanes << HIGH_BITS, np.uint16)
-        self.total = np.full(lanes, 1 << HIGH_BITS, np.int64)
-        self.sums = np.tile(np.arange(1 << HIGH_BITS, dtype=np.uint16), lanes).reshape(lanes, -1)
-
-    def find(self, lanes: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The counter that holds the c-th unit."""
-        return (self.sums.take(lanes, axis=0) <= c.astype(np.uint16)[:, None]).sum(axis=1) - 1
-
-    def at(self, lanes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sum before x and x's count."""
-        place = (lanes << HIGH_BITS) + x
-        return self.sums.ravel().take(place).astype(np.int64), self.counts.take(place).astype(np.int64)
-
-    def add(self, lanes: np.ndarray, x: np.ndarray) -> None:
-        self.counts[(lanes << HIGH_BITS) + x] += HIGH_STEP
-        self.total[lanes] += HIGH_STEP
-        self.sums[lanes] += _LATER.take(x, axis=0)
-
-
 class _Model:
     """The counts and weights of n lanes. Ids are numbered by their first place in the block."""
 
-    def __init__(self, n: int, width: int):
-        self.low_bits = max(0, width - HIGH_BITS)
+    def __init__(self, n: int):
         self.base = np.arange(n, dtype=np.int64) * MOST_BLOCK
         self.weights = np.arange(n, dtype=np.int64) * 32
         self.next1, self.next2 = np.zeros(n * MOST_BLOCK, np.int32), np.zeros(n * MOST_BLOCK, np.int32)
@@ -126,7 +104,6 @@ class _Model:
         self.order0 = np.zeros((n, MOST_BLOCK), np.int32)  # sum before << COUNT_BITS | count
         self.total, self.known = 0, np.zeros(n, np.int64)
         self.escape = np.full(n, 0.5)
-        self.unseen = _Unseen(n)
         self.i1, self.i2 = self.base.copy(), self.base.copy()
 
     def take_over(self, n: int, passed: np.ndarray, since: int) -> None:
@@ -149,107 +126,113 @@ class _Model:
         base, order0 = self.base[:n], self.order0.ravel()
         e1, e2 = self.next1.take(self.i1[:n]), self.next2.take(self.i2[:n])
         self.b, self.a = e1 >> STATE_BITS, e2 >> STATE_BITS
-        self.s1, self.s2 = e1 & (_STATES - 1), e2 & (_STATES - 1)
-        same = self.a == self.b
-        self.q1, self.q2 = _Q1.take(self.s1), _Q2.take(self.s2)
-        at = _LEVEL2.take(self.s2)
-        at += _LEVEL1.take(self.s1)
-        at += same
+        e1 &= _STATES - 1
+        e2 &= _STATES - 1
+        self.s1, self.s2 = e1, e2
+        same = (self.a == self.b).nonzero()[0]
+        at = _LEVEL2.take(e2)
+        at += _LEVEL1.take(e1)
+        at[same] += 1
         at += self.weights[:n]
         self.at = at
         self.v1, self.v2 = self.w1.take(at), self.w2.take(at)
-        p2, p1 = self.v2 * self.q2, self.v1 * self.q1
-        one = 1.0 - p2
-        one -= p1
+        self.q1, self.q2 = _Q1.take(e1), _Q2.take(e2)
+        self.p1, self.p2 = self.v1 * self.q1, self.v2 * self.q2
+        self.rest = 1.0 - self.p2
+        self.rest -= self.p1  # order 0's weight with what the others leave to it
+        p1, p2 = self.p1.copy(), self.p2.copy()
+        both = p1.take(same)
+        p1[same] = 0.0
+        p2[same] += both
         if self.total:
             self.each = (1.0 - self.escape[:n]) / self.total  # of one count, given order 0
-            one *= self.each
+            one = self.rest * self.each
             self.own_a, self.own_b = order0.take(base + self.a), order0.take(base + self.b)
-            self.na, self.nb = self.own_a & _COUNT, (self.own_b & _COUNT) * ~same
+            self.na, self.nb = self.own_a & _COUNT, self.own_b & _COUNT
+            self.nb[same] = 0
+            p2 += self.na * one
+            p1 += self.nb * one
+            one *= _UNITS
+            self.one = one.astype(np.int64)
+            self.end = self.total - self.na
+            self.end = (self.end - self.nb) * self.one
         else:
-            self.each = one = np.zeros(n)
+            self.each = np.zeros(n)
             self.na = self.nb = np.zeros(n, np.int32)
-        both = p1 * same
-        p1 -= both
-        p2 += both
-        p2 += self.na * one
-        p1 += self.nb * one
+            self.one, self.end = np.zeros(n, np.int64), np.zeros(n, np.int64)
         p2 *= _UNITS
         p1 *= _UNITS
-        one = one * _UNITS
-        self.fa, self.one = p2.astype(np.int64), one.astype(np.int64)
-        self.named = self.fa + p1.astype(np.int64)
-        self.others = self.total - self.na
-        self.others -= self.nb
-        self.end = self.one * self.others
+        self.fa = p2.astype(np.int64)
+        self.named = p1.astype(np.int64)
+        self.named += self.fa
         self.end += self.named
 
-    def interval(self, n: int, x: np.ndarray, place: np.ndarray, is_a, is_b, unseen) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of x in units; place: x's in the tables."""
+    def before(self, sums: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Order 0's counts before x without the candidates', from the sums with them."""
+        for candidate, count in ((self.a, self.na), (self.b, self.nb)):
+            less = candidate - x
+            less >>= 31  # all bits, if the candidate stands before x
+            less &= count
+            sums = sums - less
+        return sums
+
+    def interval(self, x: np.ndarray, place: np.ndarray, named: np.ndarray, named_a: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of x in units; place: x's in the tables; unseen: the lanes that escape."""
         own = self.order0.ravel().take(place)
         self.nx = own & _COUNT
-        self.nx[unseen] = 0
         own >>= COUNT_BITS
-        own -= self.na * (self.a < x)
-        own -= self.nb * (self.b < x)
-        start = own * self.one
+        start = self.before(own, x) * self.one
         start += self.named
         size = self.one * self.nx
-        named = is_a | is_b
-        start[unseen] = self.end[unseen]
-        size[unseen] = _UNITS - self.end[unseen]
+        end = self.end.take(unseen)
+        start[unseen] = end
+        np.subtract(_UNITS, end, out=end)
+        size[unseen] = end
         at = named.nonzero()[0]
-        first = is_a[at]
-        fa, end = self.fa[at], self.named[at]
-        start[at] = np.where(first, 0, fa)
-        size[at] = np.where(first, fa, end - fa)
+        first, fa = named_a.take(at), self.fa.take(at)
+        start[at] = fa * ~first
+        size[at] = np.where(first, fa, self.named.take(at) - fa)
         return start, size
 
-    def learn(self, n: int, x: np.ndarray, place: np.ndarray, is_named: np.ndarray, unseen: np.ndarray) -> None:
-        """x: the numbers that came; unseen: places of lanes that coded an escape; is_named: lanes whose id was named by a candidate."""
-        hit1, hit2 = x == self.b, x == self.a
-        hit = hit1 | hit2
-        given0 = np.ones(n)  # of ids that no candidate names the probability cancels out
-        at = hit.nonzero()[0]
-        given0[at] = np.maximum(self.each[at] * self.nx[at], LEAST)
-        m2, m1 = 1.0 - self.q2, 1.0 - self.q1
-        m2 *= given0
-        m1 *= given0
-        m2 += self.q2 * hit2
-        m1 += self.q1 * hit1
-        m2 *= self.v2
-        m1 *= self.v1
-        left = 1.0 - self.v2
-        left -= self.v1
-        left *= given0
-        left += m2
-        left += m1
-        share = RATE / left
-        m2 *= share
-        m1 *= share
-        m2 += (1.0 - RATE) * self.v2
-        m1 += (1.0 - RATE) * self.v1
-        self.w2[self.at] = m2
-        self.w1[self.at] = m1
-        x32 = x.astype(np.int32)
-        for table, i, s, hit, candidate in ((self.next1, self.i1, self.s1, hit1, self.b), (self.next2, self.i2, self.s2, hit2, self.a)):
-            after = _AFTER.take(s + hit * _HIT)
-            own = np.where(after >= 1 << 15, x32, candidate)
+    def learn(self, n: int, x: np.ndarray, place: np.ndarray, named: np.ndarray, unseen: np.ndarray) -> None:
+        """x: the numbers that came; named: whether they were coded as a candidate; unseen: the lanes that escaped."""
+        is_a, is_b = x == self.a, x == self.b
+        # of ids that no candidate names order 0's probability cancels out: the orders give 1 - q2, 1 - q1 and 1
+        share = RATE / self.rest
+        for table, v, p in ((self.w2, self.v2, self.p2), (self.w1, self.v1, self.p1)):
+            new = v - p
+            new *= share
+            new += (1.0 - RATE) * v
+            table[self.at] = new
+        at = (is_a | is_b).nonzero()[0]
+        given0 = np.maximum(self.each.take(at) * self.nx.take(at), LEAST)
+        v2, v1, p2, p1 = self.v2.take(at), self.v1.take(at), self.p2.take(at), self.p1.take(at)
+        m2, m1 = p2 * is_a.take(at) + (v2 - p2) * given0, p1 * is_b.take(at) + (v1 - p1) * given0
+        share = RATE / (m2 + m1 + (1.0 - v2 - v1) * given0)
+        place_at = self.at.take(at)
+        self.w2[place_at] = (1.0 - RATE) * v2 + share * m2
+        self.w1[place_at] = (1.0 - RATE) * v1 + share * m1
+        for table, i, s, hit, candidate in ((self.next1, self.i1, self.s1, is_b, self.b), (self.next2, self.i2, self.s2, is_a, self.a)):
+            s[hit] += _STATES
+            after = _AFTER.take(s)
+            own = x - candidate
+            own *= after >> 15  # 1: a new candidate
+            own += candidate
             own <<= STATE_BITS
             after &= _STATES - 1
             own |= after
             table[i[:n]] = own
         if self.total:
             escape = self.escape[:n]
-            more = escape * -ESCAPE_RATE
-            more[unseen] += ESCAPE_RATE
-            more *= ~is_named
+            more = ESCAPE_LEAST - escape
+            more *= ESCAPE_RATE
+            more[unseen] += (ESCAPE_MOST - ESCAPE_LEAST) * ESCAPE_RATE
+            more[named] = 0.0
             escape += more
-            np.maximum(escape, ESCAPE_LEAST, out=escape)
-            np.minimum(escape, ESCAPE_MOST, out=escape)
         base = self.base[:n]
-        c = (self.i1[:n] - base) * 40503
-        c += x * 60493
+        c = self.i1[:n] - base
+        c *= 40503
+        c += x * np.int64(60493)
         c ^= c >> 7
         c &= MOST_BLOCK - 1
         c += base
@@ -275,17 +258,12 @@ def _carry(words: np.ndarray, ends: np.ndarray) -> None:
         w &= 0xFFFF
 
 
-def _numbered(ids: np.ndarray, sizes: np.ndarray, block: int, width: int) -> np.ndarray:
-    """Each id's number in its block by first place; one row for each block."""
-    out = np.zeros((len(sizes), block), np.uint16)
-    first = np.zeros(1 << width, np.uint16)
-    places = np.arange(block, dtype=np.uint16)
-    for i, n in enumerate(sizes.tolist()):
-        own, at = ids[i * block : i * block + n], places[:n]
-        first[own[::-1]] = at[::-1]  # the last one assigned stays: the first place
-        at0 = first[own]
-        out[i, :n] = (np.cumsum(at0 == at) - 1)[at0]
-    return out
+def _numbered(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each id's number by first place; first: room for a number for each id there may be."""
+    places = np.arange(len(ids), dtype=np.uint16)
+    first[ids[::-1]] = places[::-1]  # the last one assigned stays: the first place
+    at = first[ids]
+    return (np.cumsum(at == places) - 1)[at].astype(np.uint16)
 
 
 class _Writer:
@@ -331,77 +309,152 @@ class _Writer:
         return [words[i, : ends[i]].astype("<u2").tobytes() for i in range(self.lanes)]
 
 
-class _Names:
-    """The decoder's ids by number and numbers by id: a hash table for each lane with twice as many slots as numbers."""
+class _Reader:
+    """Words of each lane's bytes."""
+
+    def __init__(self, coded: list[bytes]):
+        lanes, most = len(coded), max(map(len, coded)) // 2 + 8
+        data = np.zeros((lanes, most), np.uint16)
+        for i, b in enumerate(coded):
+            data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+        self.span = np.full(lanes, _FULL, np.uint64)
+        self.code = np.zeros(lanes, np.uint64)  # the code's distance from the range's low end
+        for k in range(3):
+            self.code = (self.code << _WORD) | data[:, k].astype(np.uint64)
+        self.data = data.ravel()
+        self.at = np.arange(lanes, dtype=np.int64) * most + 3
+
+    def settle(self, open_: np.ndarray) -> None:
+        """Read words of the lanes in `open_` until their span is large."""
+        while len(open_):
+            to = self.at.take(open_)
+            part = self.code.take(open_) << _WORD
+            part |= self.data.take(to, mode="clip")
+            self.code[open_] = part
+            to += 1
+            self.at[open_] = to
+            part = self.span.take(open_) << _WORD
+            self.span[open_] = part
+            open_ = open_[part < _BOTTOM]
+
+
+def _quotient(value: np.ndarray, unit) -> np.ndarray:
+    """Whole quotients of numbers below 2**48; they are below 2**28, so rounding can't reach the next whole number."""
+    return (value / unit).astype(np.int64)
+
+
+class _Upper:
+    """Counts and running sums of the upper bits of unseen ids in each lane; all lanes have had equally many."""
 
     def __init__(self, lanes: int, width: int):
-        self.ids = np.zeros(lanes * MOST_BLOCK, np.uint16 if width <= 16 else np.uint32)
-        self.slots = np.zeros(lanes * MOST_BLOCK * 2, np.uint16)  # numbers from 1
-        self.distinct = np.zeros(lanes, np.int64)
-
-    def numbers(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The ids' numbers, one id for each of the lanes; new ids get the next."""
-        out = np.empty(len(ids), np.int64)
-        at, slot, base = np.arange(len(ids)), (ids * 40503 >> 3) & (2 * MOST_BLOCK - 1), lanes * MOST_BLOCK
-        while len(at):
-            place = 2 * base + slot
-            found = self.slots.take(place).astype(np.int64)
-            fresh = (found == 0).nonzero()[0]
-            if len(fresh):
-                lane = lanes[fresh]
-                self.ids[base[fresh] + self.distinct[lane]] = ids[fresh]
-                self.distinct[lane] += 1
-                found[fresh] = self.distinct[lane]
-                self.slots[place[fresh]] = found[fresh]
-            found -= 1
-            out[at] = found
-            other = (self.ids.take(base + found) != ids).nonzero()[0]
-            at, lanes, ids, base, slot = at[other], lanes[other], ids[other], base[other], (slot[other] + 1) & (2 * MOST_BLOCK - 1)
-        return out
+        self.low_bits = max(0, width - HIGH_BITS)
+        self.base = np.arange(lanes, dtype=np.int64) << HIGH_BITS
+        self.counts = np.ones(lanes << HIGH_BITS, np.int64)
+        self.sums = np.tile(np.arange(1 << HIGH_BITS, dtype=np.uint16), lanes).reshape(lanes, -1)
+        self.total = 1 << HIGH_BITS
+
+    def interval(self, n: int, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.base[:n] + high
+        return self.sums.ravel().take(place).astype(np.int64) << self.low_bits, self.counts.take(place)
+
+    def add(self, n: int, high: np.ndarray) -> None:
+        self.counts[self.base[:n] + high] += HIGH_STEP
+        self.sums[:n] += _LATER.take(high, axis=0)
+        self.total += HIGH_STEP
+
+
+def _encode_unseen(ids: list[np.ndarray], width: int) -> list[bytes]:
+    """One byte string for each list of ids, whatever their lengths."""
+    order = np.argsort([-len(x) for x in ids], kind="stable")
+    sizes = np.array([len(ids[i]) for i in order])
+    most = int(sizes[0])
+    steps = np.zeros((most, len(ids)), np.int64)
+    for k, i in enumerate(order.tolist()):
+        steps[: sizes[k], k] = ids[i]
+    m, w = _Upper(len(ids), width), _Writer(len(ids), 2 * most + 16)
+    alive = np.searchsorted(-sizes, -np.arange(most), side="left").tolist()
+    for t, n in enumerate(alive):
+        high = steps[t, :n] >> m.low_bits
+        start, size = m.interval(n, high)
+        start += (steps[t, :n] & ((1 << m.low_bits) - 1)) * size
+        unit = w.span[:n] // np.uint64(m.total << m.low_bits)
+        w.low[:n] += unit * start.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=w.span[:n])
+        m.add(n, high)
+        w.settle((w.span[:n] < _BOTTOM).nonzero()[0])
+    out: list[bytes] = [b""] * len(ids)
+    for i, coded in zip(order.tolist(), w.done()):
+        out[i] = coded
+    return out
+
+
+def _decode_unseen(coded: list[bytes], sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    most = int(sizes[0])
+    m, r = _Upper(len(coded), width), _Reader([coded[i] for i in order.tolist()])
+    steps = np.zeros((most, len(coded)), np.uint32)
+    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(most), side="left").tolist()):
+        total = m.total << m.low_bits
+        unit = r.span[:n] // np.uint64(total)
+        value = np.minimum(_quotient(r.code[:n], unit), total - 1)
+        high = (m.sums[:n] <= (value >> m.low_bits).astype(np.uint16)[:, None]).sum(axis=1) - 1
+        start, size = m.interval(n, high)
+        low = (value - start) // size
+        start += low * size
+        r.code[:n] -= unit * start.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=r.span[:n])
+        steps[t, :n] = (high << m.low_bits) + low
+        m.add(n, high)
+        r.settle((r.span[:n] < _BOTTOM).nonzero()[0])
+    out: list[np.ndarray] = [steps[:0, 0]] * len(coded)
+    for k, i in enumerate(order.tolist()):
+        out[i] = steps[: sizes[k], k]
+    return out
+
+
+#: Before a block's two streams: the first one's bytes and the number of unseen ids.
+_HEAD = struct.Struct("<IH")
 
 
 def _encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
     sizes = _lengths(len(ids), block)
     lanes = len(sizes)
-    steps = np.ascontiguousarray(_numbered(ids, sizes, block, width).T)  # one row for each step
-    m, w = _Model(lanes, width), _Writer(lanes, block // 2 + 64)
+    own = [ids[i * block : i * block + k] for i, k in enumerate(sizes.tolist())]
+    steps, first = np.zeros((block, lanes), np.uint16), np.zeros(1 << width, np.uint16)  # one row for each step
+    for i, x in enumerate(own):
+        steps[: len(x), i] = _numbered(x, first)
+    escaped = np.zeros((block, lanes), bool)
+    m, w = _Model(lanes), _Writer(lanes, block // 2 + 64)
     ahead, marks = 16, set(MARKS)
-    low_mask = (1 << m.low_bits) - 1
     for t in range(block):
         n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
         if t % ahead == 0:
-            w.room(5 * ahead + 8)
+            w.room(3 * ahead + 8)
         if t in marks:
             m.take_over(n, steps[:t], m.total)
-        x = steps[t, :n].astype(np.int64)
+        x = steps[t, :n].astype(np.int32)
         m.predict(n)
         place = x + m.base[:n]
-        is_a = (x == m.a) & (m.fa > 0)
-        is_b = (x == m.b) & (m.named > m.fa) & ~is_a
-        is_named = is_a | is_b
-        unseen = ((x >= m.known[:n]) & ~is_named).nonzero()[0]
-        start, size = m.interval(n, x, place, is_a, is_b, unseen)
+        named_a = (x == m.a) & (m.fa > 0)
+        named = (x == m.b) & (m.named > m.fa)
+        named |= named_a
+        unseen = x >= m.known[:n]
+        unseen &= ~named
+        escaped[t, :n] = unseen
+        unseen = unseen.nonzero()[0]
+        start, size = m.interval(x, place, named, named_a, unseen)
         unit = w.span[:n] >> _UNIT
         start = start.view(np.uint64)
         start *= unit
         w.low[:n] += start
         np.multiply(unit, size.view(np.uint64), out=w.span[:n])
         w.settle((w.span[:n] < _BOTTOM).nonzero()[0])
-        if len(unseen):
-            own = ids[unseen * block + t].astype(np.int64)
-            high, low = own >> m.low_bits, own & low_mask
-            before, count = m.unseen.at(unseen, high)
-            unit = w.span[unseen] // (m.unseen.total[unseen] << m.low_bits).view(np.uint64)
-            start = (before << m.low_bits) + low * count
-            w.low[unseen] += unit * start.view(np.uint64)
-            unit *= count.view(np.uint64)
-            w.span[unseen] = unit
-            m.unseen.add(unseen, high)
-            w.settle(unseen[unit < _BOTTOM])
-        m.learn(n, x, place, is_named, unseen)
-    return w.done()
+        m.learn(n, x, place, named, unseen)
+    rest = [x[escaped[: len(x), i]] for i, x in enumerate(own)]
+    return [_HEAD.pack(len(a), len(x)) + a + b for a, b, x in zip(w.done(), _encode_unseen(rest, width), rest)]
 
 
 def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
@@ -417,36 +470,18 @@ def encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
 def _decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
     sizes = _lengths(total, block)
     lanes = len(sizes)
-    most = max(map(len, blocks)) // 2 + 8
-    data = np.zeros((lanes, most), np.uint16)
-    for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    m = _Model(lanes, width)
-    span = np.full(lanes, _FULL, np.uint64)
-    code = np.zeros(lanes, np.uint64)  # the code's distance from the range's low end
-    for k in range(3):
-        code = (code << _WORD) | data[:, k].astype(np.uint64)
-    data = data.ravel()
-    at = np.arange(lanes, dtype=np.int64) * most + 3
-    out, names = np.zeros((block, lanes), np.uint16), _Names(lanes, width)
-    slots, marks = np.zeros(1, np.uint16), set(MARKS)
-    lane_slots = np.zeros(lanes, np.int64)
-
-    def settle(open_: np.ndarray) -> None:
-        while len(open_):
-            to = at.take(open_)
-            part = code.take(open_) << _WORD
-            part |= data.take(to, mode="clip")
-            code[open_] = part
-            to += 1
-            at[open_] = to
-            part = span.take(open_) << _WORD
-            span[open_] = part
-            open_ = open_[part < _BOTTOM]
-
-    def quotient(value: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        return (value / unit).astype(np.int64)  # both are below 2**48, the quotient below 2**28: rounding can't reach the next whole number
-
+    heads = [_HEAD.unpack_from(b) for b in blocks]
+    rest = _decode_unseen([b[_HEAD.size + k :] for b, (k, _) in zip(blocks, heads)], np.array([k for _, k in heads]), width)
+    names, first = np.zeros((lanes, MOST_BLOCK), np.uint32), np.zeros(1 << width, np.uint16)
+    numbers = []
+    for i, x in enumerate(rest):
+        numbers.append(_numbered(x, first))
+        names[i][numbers[-1]] = x
+    next_ = np.cumsum([0, *map(len, rest)])[:-1]  # the place of each lane's next unseen id
+    numbers = np.concatenate(numbers).astype(np.int32)
+    m, r = _Model(lanes), _Reader([b[_HEAD.size : _HEAD.size + k] for b, (k, _) in zip(blocks, heads)])
+    out, marks = np.zeros((block, lanes), np.uint16), set(MARKS)
+    slots, lane_slots = np.zeros(1, np.uint16), np.zeros(lanes, np.int64)
     for t in range(block):
         n = lanes if t < sizes[-1] else lanes - 1
         if not n:
@@ -457,50 +492,47 @@ def _decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarr
             slots = np.repeat(np.tile(np.arange(m.distinct, dtype=np.uint16), n), m.counts[:n, : m.distinct].ravel())
             lane_slots = np.arange(lanes, dtype=np.int64) * t
         m.predict(n)
-        unit = span[:n] >> _UNIT
-        value = quotient(code[:n], unit)
+        unit = r.span[:n] >> _UNIT
+        value = _quotient(r.code[:n], unit)
         np.minimum(value, _UNITS - 1, out=value)
-        is_a, is_named = value < m.fa, value < m.named
-        is_b = is_named & ~is_a
+        named_a, named = value < m.fa, value < m.named
         unseen = (value >= m.end).nonzero()[0]
         if m.total:
-            c = quotient(value - m.named, m.one)
-            before_a, before_b = m.own_a >> COUNT_BITS, m.own_b >> COUNT_BITS
-            before_a -= m.nb * (m.b < m.a)
-            before_b -= m.na * (m.a < m.b)
-            whole = c + m.na * (c >= before_a)
-            whole += m.nb * (c >= before_b)
-            np.maximum(whole, 0, out=whole)  # lanes that have another kind of id
-            np.minimum(whole, m.total - 1, out=whole)
-            whole += lane_slots[:n]
-            x = slots.take(whole).astype(np.int64)
+            value -= m.named
+            np.maximum(value, 0, out=value)  # lanes that have a named id
+            c = _quotient(value, m.one).astype(np.int32)
+            # the candidates' counts before it
+            whole = c.copy()
+            for candidate, count, own, other, other_count in ((m.a, m.na, m.own_a, m.b, m.nb), (m.b, m.nb, m.own_b, m.a, m.na)):
+                less = other - candidate
+                less >>= 31
+                less &= other_count
+                less += c
+                less -= own >> COUNT_BITS
+                less >>= 31  # all bits, if c stands before the candidate
+                np.invert(less, out=less)
+                less &= count
+                whole += less
+            np.minimum(whole, m.total - 1, out=whole)  # lanes that have an unseen id
+            x = slots.take(whole + lane_slots[:n]).astype(np.int32)
         else:
-            x = np.zeros(n, np.int64)
-        named = is_named.nonzero()[0]
-        x[named] = np.where(is_a[named], m.a[named], m.b[named])
-        start, size = m.interval(n, x, m.base[:n] + x, is_a, is_b, unseen)
+            x = np.zeros(n, np.int32)
+        at = named.nonzero()[0]
+        x[at] = np.where(named_a[at], m.a[at], m.b[at])
+        place = next_.take(unseen)
+        x[unseen] = numbers.take(place)
+        place += 1
+        next_[unseen] = place
+        place = x + m.base[:n]
+        start, size = m.interval(x, place, named, named_a, unseen)
         start = start.view(np.uint64)
         start *= unit
-        code[:n] -= start
-        np.multiply(unit, size.view(np.uint64), out=span[:n])
-        settle((span[:n] < _BOTTOM).nonzero()[0])
-        if len(unseen):
-            all_ = m.unseen.total[unseen] << m.low_bits
-            unit = span[unseen] // all_.view(np.uint64)
-            value = np.minimum(quotient(code[unseen], unit), all_ - 1)
-            high = m.unseen.find(unseen, value >> m.low_bits)
-            before, count = m.unseen.at(unseen, high)
-            low = (value - (before << m.low_bits)) // count
-            start = (before << m.low_bits) + low * count
-            code[unseen] -= unit * start.view(np.uint64)
-            unit *= count.view(np.uint64)
-            span[unseen] = unit
-            m.unseen.add(unseen, high)
-            settle(unseen[unit < _BOTTOM])
-            x[unseen] = names.numbers(unseen, (high << m.low_bits) + low)
+        r.code[:n] -= start
+        np.multiply(unit, size.view(np.uint64), out=r.span[:n])
+        r.settle((r.span[:n] < _BOTTOM).nonzero()[0])
         out[t, :n] = x
-        m.learn(n, x, m.base[:n] + x, is_named, unseen)
-    return names.ids.take(out.T.astype(np.int64) + m.base[:, None]).astype(np.uint32).reshape(-1)[:total]
+        m.learn(n, x, place, named, unseen)
+    return names.ravel().take(out.T.astype(np.int64) + m.base[:, None]).reshape(-1)[:total]
 
 
 def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:
