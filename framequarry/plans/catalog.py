@@ -994,16 +994,61 @@ def keyframe_schedule(spark, sf_dir):
 # --- AP, bootstrap -----------------------------------------------------------------------------
 
 
-@query()
+# A frame's detections by score take their best free box at each threshold (all boxes of these views are of one category and no
+# crowds): one step of the recursion for each rank.  %s: a box's and a detection's range.
+_AP = f""", det AS (
+  SELECT p.image_id, p.ord, p.score, p.w * p.h AS area, row_number() OVER (PARTITION BY p.image_id ORDER BY p.score DESC, p.ord) AS r FROM vx_pred p
+), thr AS (
+  SELECT t, CAST(50 + 5 * t AS DOUBLE) / 100 AS v FROM (SELECT CAST(unnest(range(10)) AS INTEGER) AS t)
+), ov AS MATERIALIZED (
+  SELECT image_id, r, list({{'g': -go, 'i': v, 'o': go, 'a': a}} ORDER BY a DESC, v DESC, go DESC) AS boxes
+  FROM (SELECT d.image_id, d.r, g.ord AS go, CAST(g.area BETWEEN %(low)s AND %(high)s AS INTEGER) AS a, {iou_sql('p', 'g')} AS v
+        FROM det d JOIN vx_pred p ON p.image_id = d.image_id AND p.ord = d.ord JOIN vx_gt g ON g.image_id = d.image_id)
+  WHERE v >= 0.5 GROUP BY ALL
+), ms AS (
+  SELECT DISTINCT image_id, t, v, CAST(0 AS BIGINT) AS r, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS box, 0 AS a FROM det, thr
+  UNION ALL
+  SELECT image_id, t, v, r, CASE WHEN m IS NULL THEN used ELSE list_append(used, m.o) END, m.o, coalesce(m.a, 0)
+  FROM (SELECT s.image_id, s.t, s.v, d.r, s.used, list_filter(coalesce(o.boxes, []), lambda b: b.i >= s.v AND NOT list_contains(s.used, b.o))[1] AS m
+        FROM ms s JOIN det d ON d.image_id = s.image_id AND d.r = s.r + 1 LEFT JOIN ov o ON o.image_id = d.image_id AND o.r = d.r)
+), dt AS (
+  SELECT m.t, d.score, d.image_id, d.ord, CAST(m.box IS NOT NULL AND m.a = 1 AS INTEGER) AS tp
+  FROM ms m JOIN det d ON d.image_id = m.image_id AND d.r = m.r
+  WHERE CASE WHEN m.box IS NULL THEN d.area BETWEEN %(low)s AND %(high)s ELSE m.a = 1 END
+), ng AS (
+  SELECT count(*) AS n FROM vx_gt WHERE area BETWEEN %(low)s AND %(high)s
+), cv AS (
+  SELECT t, sum(tp) OVER w AS tps, row_number() OVER w AS k, tp FROM dt WINDOW w AS (PARTITION BY t ORDER BY score DESC, image_id, ord ROWS UNBOUNDED PRECEDING)
+), ht AS (
+  SELECT t, tps / n AS recall, max(tps / k) OVER (PARTITION BY t ORDER BY tps DESC ROWS UNBOUNDED PRECEDING) AS best FROM cv, ng WHERE tp = 1
+), pt AS (
+  SELECT t, max(best) AS q FROM ht, (SELECT CAST(unnest(range(101)) AS DOUBLE) / 100 AS p) WHERE recall >= p GROUP BY t, p
+), ap AS (
+  SELECT thr.t, coalesce((SELECT sum(q) FROM pt WHERE pt.t = thr.t), 0) / 101 AS ap, coalesce((SELECT max(recall) FROM ht WHERE ht.t = thr.t), 0) AS recall FROM thr
+)
+"""
+
+
+@query(_AP % {"low": 0, "high": 1e10} + "SELECT round(avg(ap), 7) AS ap, round(avg(ap) FILTER (t = 0), 7) AS ap50, round(avg(ap) FILTER (t = 5), 7) AS ap75, round(avg(recall), 7) AS ar_100 FROM ap")
 def coco_ap(spark, sf_dir):
     v = views(spark, sf_dir)
-    return coco.summary(v.gt, v.pred)
+    t = coco.summary(v.gt, v.pred)
+    return t.select(*[F.round(c, 7).alias(c) for c in ("ap", "ap50", "ap75", "ar_100")])
 
 
-@query()
+@query(_AP % {"low": 0, "high": SMALL} + "SELECT round(avg(ap), 7) AS ap_small, round(avg(recall), 7) AS ar_small FROM ap")
 def coco_ap_small(spark, sf_dir):
     v = views(spark, sf_dir)
-    return coco.summary(v.gt, v.pred, area=(0.0, SMALL))
+    return coco.summary(v.gt, v.pred, areas=coco.split_at(SMALL)).select(*[F.round(c, 7).alias(c) for c in ("ap_small", "ar_small")])
+
+
+@query()
+def coco_by_category(spark, sf_dir):
+    """All ranges and numbers of detections, with three categories and some crowds."""
+    v = views(spark, sf_dir)
+    category = (F.col("ord") % 3).cast("int")
+    gt = v.gt.withColumns({"category_id": category, "iscrowd": (F.col("image_id") % 11 == 0).cast("int")})
+    return coco.by_category(gt, v.pred.withColumn("category_id", category))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,11 +183,81 @@ def test_average_precision(spark, seed):
     rng = random.Random(seed)
     gt, pred = random_boxes(rng, 25, 3), random_boxes(rng, 25, 5)
     d = coco.detections(spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX), thresholds=(0.3, 0.5))
-    for r in coco.average_precision(spark.createDataFrame(gt, BOX), d, (0.3, 0.5)).collect():
+    rows = coco.average_precision(spark.createDataFrame(gt, BOX), d, (0.3, 0.5)).where("area = 'all' and max_dets = 100").collect()
+    assert {r.thr for r in rows} == {0.3, 0.5}
+    for r in rows:
         ap, recall = naive_ap(gt, pred, r.thr)
         assert r.ap == pytest.approx(ap) and r.recall == pytest.approx(recall)
 
 
+def naive_protocol(gt, pred, thr, low, high, most):
+    """The protocol step by step for one category. gt: image, ord, box, area, crowd; pred: image, ord, box, score."""
+    found, n = [], sum(1 for g in gt if not g[4] and low <= g[3] <= high)
+    for i in {p[0] for p in pred}:
+        boxes = sorted((g for g in gt if g[0] == i), key=lambda g: g[1])
+        skip = [bool(g[4]) or not low <= g[3] <= high for g in boxes]
+        used = set()
+        for p in sorted((p for p in pred if p[0] == i), key=lambda p: (-p[3], p[1]))[:most]:
+            match = None
+            for pass_skipped in (False, True):
+                best = min(thr, 1 - 1e-10)
+                for k, g in enumerate(boxes):
+                    if skip[k] != pass_skipped or (k in used and not g[4]):
+                        continue
+                    (x, y, w, h), (a, b, c, d) = p[2], g[2]
+                    shared = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
+                    v = shared / (w * h if g[4] else w * h + c * d - shared)
+                    if v >= best:
+                        best, match = v, k
+                if match is not None:
+                    break
+            if match is not None:
+                used.add(match)
+            ignored = skip[match] if match is not None else not low <= p[2][2] * p[2][3] <= high
+            if not ignored:
+                found.append((-p[3], i, p[1], match is not None))
+    found.sort()
+    tp, curve = 0, []
+    for k, f in enumerate(found):
+        tp += f[3]
+        curve.append((tp / n if n else 0, tp / (k + 1)))
+    points = [max((p for rec, p in curve if rec >= r), default=0.0) for r in np.linspace(0.0, 1.0, 101)]
+    return n, sum(points) / 101, tp / n if n else 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_full_protocol(spark, seed):
+    """Crowds, area ranges, numbers of detections, ties in scores, an image without boxes and one without detections."""
+    rng = random.Random(seed)
+    box = lambda: (float(rng.randrange(0, 60)), float(rng.randrange(0, 60)), float(rng.choice([8, 20, 40, 90])), float(rng.choice([8, 20, 40, 90])))
+    gt, pred = [], []
+    for i in range(24):
+        for k in range(rng.randrange(0, 6) if i != 3 else 0):
+            b = box()
+            gt.append((i, k, b, b[2] * b[3] * rng.choice([1, 0.7]), int(rng.random() < 0.2)))
+        for k in range(rng.randrange(0, 16) if i != 4 else 0):
+            near = rng.choice([g[2] for g in gt if g[0] == i] or [box()])
+            b = near if rng.random() < 0.2 else (near[0] + rng.randrange(-4, 5), near[1] + rng.randrange(-4, 5), near[2], near[3]) if rng.random() < 0.7 else box()
+            pred.append((i, k, b, rng.choice([0.1, 0.5, 0.5, 0.9, 1.0]) if rng.random() < 0.5 else round(rng.random(), 3)))
+    g = spark.createDataFrame([(i, k, 7, *b, area, crowd) for i, k, b, area, crowd in gt], "image_id long, ord int, category_id int, x double, y double, w double, h double, area double, iscrowd int")
+    p = spark.createDataFrame([(i, k, 7, *b, s) for i, k, b, s in pred], "image_id long, ord int, category_id int, x double, y double, w double, h double, score double")
+    areas, dets = (("all", 0.0, 1e10), ("small", 0.0, 400.0), ("large", 400.0, 1e10)), (1, 3, 10)
+    old, coco.BUCKETS = coco.BUCKETS, 8
+    try:
+        rows = coco.by_category(g, p, dets, areas).collect()
+        total = coco.summary(g, p, dets, areas).first()
+    finally:
+        coco.BUCKETS = old
+    assert len(rows) == 5 * 10
+    limits = {a: (low, high) for a, low, high in areas}
+    for r in rows:
+        n, ap, recall = naive_protocol(gt, pred, r.thr, *limits[r.area], r.max_dets)
+        assert (r.category_id, r.n_gt) == (7, n) and r.ap == pytest.approx(ap) and r.recall == pytest.approx(recall), (r.area, r.max_dets, r.thr)
+    mean = lambda area, most, c: np.mean([r[c] for r in rows if (r.area, r.max_dets) == (area, most)])
+    assert total.ap == pytest.approx(mean("all", 10, "ap")) and total.ar_3 == pytest.approx(mean("all", 3, "recall")) and total.ap_small == pytest.approx(mean("small", 10, "ap"))
+    assert coco.summary(g, p.limit(0)).first().ap == 0.0 and coco.summary(g.limit(0), p).first().ap == -1.0
+
+
 def test_budget_reasons():
     quiet = {"has_det": False, "num_active": 0, "max_miss_streak": 0, "recent_lost": False, "motion_z": 0.0, "motion_peak": 0.0, "diff_gap": 0.0, "diff_std": 0.0, "has_target": False, "num_unconfirmed": 0, "num_confirmed": 0}
     rows = [{**quiet, "no_det_streak": k} for k in range(1, 6)]
