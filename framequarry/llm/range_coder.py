@@ -95,13 +95,14 @@ _LATER = (np.arange(1 << HIGH_BITS)[None, :] > np.arange(1 << HIGH_BITS)[:, None
 class _Model:
     """The counts and weights of n lanes. Ids are numbered by their first place in the block."""
 
-    def __init__(self, n: int):
-        self.base = np.arange(n, dtype=np.int64) * MOST_BLOCK
+    def __init__(self, n: int, block: int):
+        self.size = size = 1 << max(4, (block - 1).bit_length())  # numbers, and slots of a context table
+        self.base = np.arange(n, dtype=np.int64) * size
         self.weights = np.arange(n, dtype=np.int64) * 32
-        self.next1, self.next2 = np.zeros(n * MOST_BLOCK, np.int32), np.zeros(n * MOST_BLOCK, np.int32)
+        self.next1, self.next2 = np.zeros(n * size, np.int32), np.zeros(n * size, np.int32)
         self.w1, self.w2 = np.full(n * 32, START), np.full(n * 32, START)
-        self.counts = np.zeros((n, MOST_BLOCK), np.uint16)
-        self.order0 = np.zeros((n, MOST_BLOCK), np.int32)  # sum before << COUNT_BITS | count
+        self.counts = np.zeros((n, size), np.uint16)
+        self.order0 = np.zeros((n, size), np.int32)  # sum before << COUNT_BITS | count
         self.total, self.known = 0, np.zeros(n, np.int64)
         self.escape = np.full(n, 0.5)
         self.i1, self.i2 = self.base.copy(), self.base.copy()
@@ -234,7 +235,7 @@ class _Model:
         c *= 40503
         c += x * np.int64(60493)
         c ^= c >> 7
-        c &= MOST_BLOCK - 1
+        c &= self.size - 1
         c += base
         self.i2[:n] = c
         self.i1[:n] = place
@@ -425,7 +426,7 @@ def _encode(ids: np.ndarray, block: int, width: int) -> list[bytes]:
     for i, x in enumerate(own):
         steps[: len(x), i] = _numbered(x, first)
     escaped = np.zeros((block, lanes), bool)
-    m, w = _Model(lanes), _Writer(lanes, block // 2 + 64)
+    m, w = _Model(lanes, block), _Writer(lanes, block // 2 + 64)
     ahead, marks = 16, set(MARKS)
     for t in range(block):
         n = lanes if t < sizes[-1] else lanes - 1
@@ -472,14 +473,15 @@ def _decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarr
     lanes = len(sizes)
     heads = [_HEAD.unpack_from(b) for b in blocks]
     rest = _decode_unseen([b[_HEAD.size + k :] for b, (k, _) in zip(blocks, heads)], np.array([k for _, k in heads]), width)
-    names, first = np.zeros((lanes, MOST_BLOCK), np.uint32), np.zeros(1 << width, np.uint16)
+    m = _Model(lanes, block)
+    names, first = np.zeros((lanes, m.size), np.uint16 if width <= 16 else np.uint32), np.zeros(1 << width, np.uint16)
     numbers = []
     for i, x in enumerate(rest):
         numbers.append(_numbered(x, first))
         names[i][numbers[-1]] = x
     next_ = np.cumsum([0, *map(len, rest)])[:-1]  # the place of each lane's next unseen id
-    numbers = np.concatenate(numbers).astype(np.int32)
-    m, r = _Model(lanes), _Reader([b[_HEAD.size : _HEAD.size + k] for b, (k, _) in zip(blocks, heads)])
+    numbers = np.concatenate(numbers)
+    r = _Reader([b[_HEAD.size : _HEAD.size + k] for b, (k, _) in zip(blocks, heads)])
     out, marks = np.zeros((block, lanes), np.uint16), set(MARKS)
     slots, lane_slots = np.zeros(1, np.uint16), np.zeros(lanes, np.int64)
     for t in range(block):
@@ -532,7 +534,10 @@ def _decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarr
         r.settle((r.span[:n] < _BOTTOM).nonzero()[0])
         out[t, :n] = x
         m.learn(n, x, place, named, unseen)
-    return names.ravel().take(out.T.astype(np.int64) + m.base[:, None]).reshape(-1)[:total]
+    plain = np.empty(lanes * block, np.uint32)
+    for i in range(lanes):
+        plain[i * block : (i + 1) * block] = names[i].take(out[:, i])
+    return plain[:total]
 
 
 def decode(blocks: list[bytes], total: int, block: int, width: int) -> np.ndarray:

@@ -12,6 +12,7 @@ encoded whole; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -31,7 +32,7 @@ from .common import written
 
 MAGIC = b"FQTOK001"
 #: Ids of a block and of a file; bits of an id.
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 FILE_IDS = 8_000_000
 WIDTH = 16
 #: Distinct words a worker keeps encoded (some 50 bytes each); the table is emptied when it is full.
@@ -70,37 +71,72 @@ def _digests(eights: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
     return h
 
 
+class _Collision(Exception):
+    """Two words share a digest."""
+
+
+def _eights(data) -> np.ndarray:
+    """Item i: the eight bytes from i on."""
+    return np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,))
+
+
+def _differ(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> bool:
+    """Whether some words differ: in a from `at`, in b from `bt`, of equal sizes."""
+    k = 0
+    while len(size):
+        if ((a[at + k] ^ b[bt + k]) & _FIRST[np.minimum(size - k, 8)]).any():
+            return True
+        k += 8
+        more = np.flatnonzero(size > k)
+        at, bt, size = at[more], bt[more], size[more]
+    return False
+
+
 class _Pool:
-    """Ids of words by digest: arrays that grow, an index over most digests and a dictionary of recent ones."""
+    """Ids of words by digest: arrays that grow, an index over most digests and a dictionary of recent ones. The words' bytes are kept and compared."""
 
     def __init__(self):
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lengths, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32), 0
         self.keys = np.empty(1 << 18, np.uint64)
+        self.text, self.text_used = np.zeros(1 << 21, np.uint8), 0
+        self.at, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
         self.index, self.indexed = pd.Index(np.empty(0, np.uint64)), 0
         self.recent: dict[int, int] = {}
 
-    def places(self, digests: np.ndarray) -> np.ndarray:
+    def places(self, digests: np.ndarray, eights: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The words' places; -1: unknown."""
         out = self.index.get_indexer(digests).astype(np.int64)
         if self.recent:
             open_ = np.flatnonzero(out < 0)
             out[open_] = [self.recent.get(d, -1) for d in digests[open_].tolist()]
+        known = np.flatnonzero(out >= 0)
+        self.compare(out[known], eights, first[known], size[known])
         return out
 
-    def add(self, digests: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def compare(self, places: np.ndarray, eights: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        if (self.sizes[places] != size).any() or _differ(eights, first, _eights(self.text), self.at[places], size):
+            raise _Collision
+
+    def add(self, digests: np.ndarray, ids: np.ndarray, lengths: np.ndarray, words: list[bytes]) -> None:
         """Words whose ids follow each other."""
         n, m = len(digests), len(ids)
+        text = b"".join(words)
         while self.used + m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.text_used + len(text) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.count + n > len(self.keys):
-            self.keys, self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.keys, self.starts, self.lengths))
+            self.keys, self.starts, self.lengths, self.at, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.keys, self.starts, self.lengths, self.at, self.sizes))
         self.ids[self.used : self.used + m] = ids
+        self.text[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
         new = slice(self.count, self.count + n)
         self.keys[new], self.lengths[new] = digests, lengths
         self.starts[new] = self.used + np.cumsum(lengths) - lengths
+        self.sizes[new] = [len(w) for w in words]
+        self.at[new] = self.text_used + np.cumsum(self.sizes[new]) - self.sizes[new]
         self.recent.update(zip(digests.tolist(), range(self.count, self.count + n)))
-        self.used, self.count = self.used + m, self.count + n
+        self.used, self.text_used, self.count = self.used + m, self.text_used + len(text), self.count + n
         if len(self.recent) > RECENT:
             self.index = pd.Index(self.keys[: self.count].copy())
             self.recent.clear()
@@ -112,13 +148,42 @@ class _Pool:
         return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[places] - (ends - lengths), lengths)]
 
 
+#: The normalizers and the split that let stretches without white space be encoded apart, in lower case.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def words_apart(path: str) -> bool:
+    """Whether the vocabulary file says that texts may be encoded word by word: its normalizer, pre-tokenizer, model and special tokens are of the known kind."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    normal, split = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    parts = split.get("pretokenizers") or [{}, {}]
+    return (
+        normal.get("type") == "Sequence"
+        and normal.get("normalizers") == WORD_NORMALIZERS
+        and split.get("type") == "Sequence"
+        and len(parts) == 2
+        and parts[0] == {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}
+        and parts[1].get("type") == "ByteLevel"
+        and not parts[1].get("add_prefix_space")
+        and not parts[1].get("use_regex")
+        and said["model"].get("type") == "BPE"
+        and not said["model"].get("dropout")
+        and said.get("post_processor") is None
+        and bool(said.get("added_tokens"))
+        and all(t["special"] and "<" in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"]))) for t in said["added_tokens"])
+    )
+
+
 class WordEncoder:
-    """From texts to ids, for word-end BPE that lower-cases.
+    """From texts to the library's ids.
 
-    Pre-tokens of such vocabularies hold no white space, so the library encodes each distinct stretch without ASCII
-    white space once.  Stretches are found and told apart (by a 64-bit digest) with array operations over many texts
-    at once; new ones go to the library many at a time, with a special token between them, which it splits off
-    before all else.
+    Where the vocabulary file allows it (words_apart), the library encodes each distinct stretch without ASCII white
+    space once.  Stretches are found and looked up (by a 64-bit digest, then by their bytes) with array operations over
+    many texts at once; new ones go to the library many at a time, with a special token between them, which it splits
+    off before all else.  Other vocabularies, and texts of which two words share a digest, take the library's way as
+    they are.
     """
 
     def __init__(self, path: str):
@@ -128,6 +193,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.apart = words_apart(path)
         marks = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not any(map(str.isspace, t.content))]
         self.mark, self.mark_id = marks[0] if marks else (None, None)
         self.specials = [m.encode() for m, _ in marks]
@@ -138,7 +204,7 @@ class WordEncoder:
         alone = np.array([self.mark is None or (b"<" in w and any(m in w for m in self.specials)) for w in words], bool)
         for i in np.flatnonzero(alone).tolist():
             ids = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
-            self.pool.add(digests[i : i + 1], ids, np.array([len(ids)]))
+            self.pool.add(digests[i : i + 1], ids, np.array([len(ids)]), words[i : i + 1])
         rest = np.flatnonzero(~alone)
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
         texts = [self.mark.join([words[i].decode() for i in g]) for g in groups]
@@ -147,7 +213,7 @@ class WordEncoder:
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(g) - 1:
                 raise ValueError("the tokenizer doesn't keep its special token apart")
-            self.pool.add(digests[g], ids[ids != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            self.pool.add(digests[g], ids[ids != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, [words[i] for i in g])
 
     def _learn(self, data: bytes, text: np.ndarray, eights: np.ndarray, first: np.ndarray, size: np.ndarray, digests: np.ndarray) -> None:
         """Make new distinct words known."""
@@ -160,12 +226,12 @@ class WordEncoder:
         keys = np.concatenate([digests[~ended], stems, marks])
         starts, sizes = np.concatenate([first[~ended], first[e], last[e]]), np.concatenate([size[~ended], size[e] - 1, np.ones(len(e), np.int64)])
         keys, at = np.unique(keys, return_index=True)
-        fresh = self.pool.places(keys) < 0
+        fresh = self.pool.places(keys, eights, starts[at], sizes[at]) < 0
         at = at[fresh]
         self._library([data[a : a + n] for a, n in zip(starts[at].tolist(), sizes[at].tolist())], keys[fresh])
         if len(e):
-            parts = np.stack([self.pool.places(stems), self.pool.places(marks)], axis=1)
-            self.pool.add(digests[e], self.pool.of(parts.ravel()), self.pool.lengths[parts].sum(axis=1))
+            parts = np.stack([self.pool.places(stems, eights, first[e], size[e] - 1), self.pool.places(marks, eights, last[e], np.ones(len(e), np.int64))], axis=1)
+            self.pool.add(digests[e], self.pool.of(parts.ravel()), self.pool.lengths[parts].sum(axis=1), [data[a : a + n] for a, n in zip(first[e].tolist(), size[e].tolist())])
 
     def _chunk(self, raws: list[bytes], end: np.uint32) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and their numbers."""
@@ -179,16 +245,17 @@ class WordEncoder:
         first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # the joined text ends with white space
         size = stop - first
         data = text.tobytes()
-        eights = np.ndarray((len(text) - 7,), np.dtype("<u8"), data, 0, (1,))
+        eights = _eights(data)
         code, distinct = pd.factorize(_digests(eights, first, size))
-        places = self.pool.places(distinct)
+        sample = np.empty(len(distinct), np.int64)
+        sample[code] = np.arange(len(code))
+        places = self.pool.places(distinct, eights, first[sample], size[sample])
         new = np.flatnonzero(places < 0)
         if len(new):
-            sample = np.empty(len(distinct), np.int64)
-            sample[code] = np.arange(len(code))
             where = sample[new]
             self._learn(data, text, eights, first[where], size[where], distinct[new])
-            places[new] = self.pool.places(distinct[new])
+            places[new] = self.pool.places(distinct[new], eights, first[where], size[where])
+        self.pool.compare(places[code], eights, first, size)
         # the words of a text stand before its end; -1 marks the ends
         words = np.insert(places[code], np.searchsorted(first, limits), -1)
         stops = np.flatnonzero(words < 0)
@@ -202,8 +269,15 @@ class WordEncoder:
         ids[last] = end
         return ids, np.diff(last, prepend=-1)
 
+    def _whole(self, texts: list[str], end: np.uint32) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library alone."""
+        found = [np.array([*e.ids, end], np.uint32) for k in range(0, len(texts), TOGETHER) for e in self.tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
+        return (np.concatenate(found) if found else np.empty(0, np.uint32)), np.array([len(x) for x in found], np.int64)
+
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, `end` after each, and how many each text has."""
+        if not self.apart:
+            return self._whole([t or "" for t in texts], np.uint32(end))
         raws = [(t or "").encode() for t in texts]
         out, k = [], 0
         while k < len(raws):
@@ -211,7 +285,10 @@ class WordEncoder:
             while stop < len(raws) and (stop == k or size + len(raws[stop]) <= CHUNK_BYTES):
                 size += len(raws[stop])
                 stop += 1
-            out.append(self._chunk(raws[k:stop], np.uint32(end)))
+            try:
+                out.append(self._chunk(raws[k:stop], np.uint32(end)))
+            except _Collision:
+                out.append(self._whole([r.decode() for r in raws[k:stop]], np.uint32(end)))
             k = stop
         if not out:
             return np.empty(0, np.uint32), np.empty(0, np.int64)

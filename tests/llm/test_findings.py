@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framequarry.llm import common, dedup, mixing, pii, quality, queries, token_counts, topk, url_filter, warc
+from framequarry.llm import common, dedup, mixing, pii, quality, queries, range_coder, token_counts, token_output, topk, url_filter, warc
 
 
 @functools.cache
@@ -319,3 +319,55 @@ def test_hot_texts_and_pages(spark):
         last[r.html] = max(last.get(r.html, -1), r.page_id)
     want = {r.page_id: None if last[r.html] == r.page_id else last[r.html] for r in pages.collect()}
     assert len(records) == 600 and {r.page_id: r.refers_to for r in records} == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_of_any_vocabulary(name):
+    """The library's ids, also where a vocabulary doesn't allow words apart."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t, e = Tokenizer.from_file(path), token_output.WordEncoder(path)
+    assert e.apart == (name == "word_bpe_49k.json")
+    rng = random.Random(2)
+    parts = ["Hello", " ", "big", "World.", "\n", "\t ", ",", "ÉTÉ", "e\u0301", "<|endoftext|>", "<", "'ll", "123", "日本", "\x1c", "\u2003", "x" * 30, "ΣΑΣ", "a.", "b,", "🙂"]
+    texts = ["Hello big World.", None, "", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(2000)), *documents()[:100]]
+    ids, sizes = e(texts, 2)
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_words_that_share_a_digest(monkeypatch):
+    """Digests of a few bits: words are told apart by their bytes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, old = Tokenizer.from_file(path), token_output._digests
+    monkeypatch.setattr(token_output, "_digests", lambda *a: old(*a) & np.uint64(1023))
+    e = token_output.WordEncoder(path)
+    for k in range(0, 60, 3):
+        texts = documents()[k : k + 3]
+        ids, _ = e(texts, 2)
+        assert ids.tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
+
+
+def test_coder_mixes_and_saves():
+    """Fewer bits than an adaptive order-0 count model; the files' blocks are independent."""
+    import public_tokenizers
+
+    e = token_output.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, _ = e(documents()[:400], 2)
+    block = token_output.BLOCK_IDS
+    ids = ids[: len(ids) // block * block]
+    coded = range_coder.encode(ids, block, 16)
+    plain = 0.0
+    for k in range(0, len(ids), block):
+        seen: Counter = Counter()
+        for i, x in enumerate(ids[k : k + block].tolist()):
+            plain -= np.log2((seen[x] + 1 / 8) / (i + 49408 / 8))
+            seen[x] += 1
+    assert 8 * sum(map(len, coded)) < 0.98 * plain
+    for k in (0, 3, len(coded) - 1):
+        assert (range_coder.decode([coded[k]], block, block, 16) == ids[k * block : (k + 1) * block]).all()
