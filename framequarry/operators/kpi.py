@@ -18,13 +18,16 @@ def gt_index(frames: DataFrame, gt: DataFrame, small_taus=(0.01, 0.02)) -> DataF
     return out.withColumns({"is_pos": F.col("n_gt") > 0, "is_empty": F.col("n_gt") == 0})
 
 
-def frame_facts(frames: DataFrame, gt: DataFrame, pred: DataFrame, cost: DataFrame, iou_thr: float = 0.5, conf_thr: float = 0.25, small_taus=(0.01, 0.02), taus=prevalence.TAUS) -> DataFrame:
-    """One row for each frame: ground-truth flags, match results, predictions by tau, cost. The base of all KPI tables."""
+def frame_facts(frames: DataFrame, gt: DataFrame, pred: DataFrame, cost: DataFrame, iou_thr: float = 0.5, conf_thr: float = 0.25, small_taus=(0.01, 0.02), taus=prevalence.TAUS, average: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """One row for each frame: ground-truth flags, match results, predictions by tau, cost. The base of all KPI tables.
+
+    average: the run's mean tiles and latency, which stand for frames without a cost (the verifier ran if the tiles are above 0).
+    """
     index = gt_index(frames, gt, small_taus)
     match = matching.frame_match(frames, gt, pred, iou_thr, conf_thr)
     counts = pred.groupBy("image_id").agg(F.count_if(F.col("score") >= F.lit(conf_thr)).alias("n_pred"), F.array(*[F.count_if(F.col("score") >= F.lit(t)) for t in taus]).alias("n_ge"))
     out = index.join(match, "image_id").join(counts, "image_id", "left").join(cost, "image_id", "left")
-    return out.withColumns({"n_pred": F.coalesce("n_pred", F.lit(0)), "n_ge": F.coalesce("n_ge", F.array(*[F.lit(0).cast("long") for _ in taus])), "verifier_on": F.coalesce("verifier_on", F.lit(0)), "tiles_used": F.coalesce("tiles_used", F.lit(0)), "latency_ms": F.coalesce("latency_ms", F.lit(0.0))})
+    return out.withColumns({"n_pred": F.coalesce("n_pred", F.lit(0)), "n_ge": F.coalesce("n_ge", F.array(*[F.lit(0).cast("long") for _ in taus])), "verifier_on": F.coalesce("verifier_on", F.lit(int(average[0] > 0))), "tiles_used": F.coalesce("tiles_used", F.lit(average[0] or 0)), "latency_ms": F.coalesce("latency_ms", F.lit(float(average[1])))})
 
 
 def _mean_if(cond: Column, value: Column) -> Column:

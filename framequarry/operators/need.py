@@ -69,11 +69,29 @@ def time_index(frames: DataFrame, per_video: bool = True) -> DataFrame:
     return frames.join(starts, "frame_idx").select("image_id", "video_id", (F.col("_s") + inside - 1).cast("long").alias("t"))
 
 
+#: Stretches of time that failures are dealt to where no group splits them.
+STRETCHES = 4096
+
+
 def intervals(failures: DataFrame, times: DataFrame, *groups: str) -> DataFrame:
-    """Mean and 95th percentile of the distances between consecutive failure times, and their inverses."""
-    w = Window.partitionBy(*groups).orderBy("t") if groups else Window.orderBy("t")
-    d = failures.where("failure").join(times, "image_id").withColumn("delta", F.col("t") - F.lag("t").over(w)).where("delta is not null")
-    t = d.groupBy(*groups).agg(F.count("*").alias("n_intervals"), F.avg("delta").alias("mean_delta"), F.percentile("delta", 0.95).alias("p95_delta"))
+    """Mean and 95th percentile of the distances between consecutive failure times, and their inverses.
+
+    Without groups the failures are one sequence: they are dealt to STRETCHES of time, whose ends (one row each)
+    bridge the gaps between them.
+    """
+    at = failures.where("failure").join(times, "image_id")
+    if groups:
+        w = Window.partitionBy(*groups).orderBy("t")
+        d = at.withColumn("delta", F.col("t") - F.lag("t").over(w))
+    else:
+        limits = times.agg(F.min("t").alias("_a"), F.max("t").alias("_z"))  # one row
+        stretch = F.floor((F.col("t") - F.col("_a")) / (F.floor((F.col("_z") - F.col("_a")) / STRETCHES) + 1))
+        at = at.join(F.broadcast(limits)).withColumn("_s", stretch)
+        ends = at.groupBy("_s").agg(F.max("t").alias("_e"))
+        ends = ends.select("_s", F.lag("_e").over(Window.orderBy("_s")).alias("_before"))
+        w = Window.partitionBy("_s").orderBy("t")
+        d = at.join(F.broadcast(ends), "_s").withColumn("delta", F.col("t") - F.coalesce(F.lag("t").over(w), "_before"))
+    t = d.where("delta is not null").groupBy(*groups).agg(F.count("*").alias("n_intervals"), F.avg("delta").alias("mean_delta"), F.percentile("delta", 0.95).alias("p95_delta"))
     inverse = lambda c: F.when(F.col(c) > 0, F.lit(1.0) / F.col(c))
     return t.withColumns({"csf_mean": inverse("mean_delta"), "csf_p95": inverse("p95_delta")})
 

@@ -64,12 +64,22 @@ def scored(scores: Sequence[float], mode: str) -> list[float]:
     return peaks(scores, {"p95": 95.0, "p99": 99.0, "top1_gap": 95.0}[mode]) if mode in ("p95", "p99", "top1_gap") else list(scores)
 
 
+def sized(values: Sequence[float], n: int) -> list[float]:
+    """The first n values, then zeros."""
+    return [*values, *[0.0] * n][:n]
+
+
 def blended(diff: Sequence[float], motion: Sequence[float], source: str) -> list[float]:
-    """The explore score of each tile: one signal, or both, each over its maximum."""
+    """The explore score of each tile: one signal, or both, each over its maximum where that is above 0; a shorter signal ends in zeros."""
     if source in ("diff", "motion"):
         return list(diff if source == "diff" else motion)
-    share = lambda v: [x / (max(v) + 1e-6) for x in v]
-    return [a + b for a, b in zip(share(diff), share(motion))]
+
+    def share(v: Sequence[float]) -> list[float]:
+        top = max(v, default=0.0)
+        return [x / (top + 1e-6) for x in v] if top > 0 else list(v)
+
+    n = max(len(diff), len(motion))
+    return [a + b for a, b in zip(share(sized(diff, n)), share(sized(motion, n)))]
 
 
 def with_row_quota(ranked: Sequence[int], tiles: Sequence[Tile], k: int, both_ends: bool) -> list[int]:
@@ -95,10 +105,13 @@ class PlannerConfig:
     both_ends: bool = False
     memory_ttl: int = 0
     source: str = "mixed"
+    #: memory applies always, or where the row's `gap` (top1_gap) or `motion_z` (motion) is below this limit, if it is above 0
+    memory_when: str = "always"
+    memory_limit: float = 0.0
 
 
 def tile_planner(tiles: Sequence[Tile], config: PlannerConfig = PlannerConfig()) -> Machine:
-    """Rows: mode, k, protect_frac, tracks (array of x, y, w, h, score), diff and motion (score of each tile), hard.
+    """Rows: mode, k, protect_frac, tracks (array of x, y, w, h, score), diff and motion (score of each tile), hard, and what memory_when asks for.
 
     hard: no seed and no detection for long; only then quota and memory apply.
     """
@@ -116,11 +129,13 @@ def tile_planner(tiles: Sequence[Tile], config: PlannerConfig = PlannerConfig())
         k_explore = k - k_protect
         tracks = [tuple(t[f] for f in ("x", "y", "w", "h", "score")) for t in row["tracks"]]
         protect = protected(tiles, tracks, k_protect, c.hops)
-        scores = scored(blended(row["diff"], row["motion"], c.source), c.score_mode)
+        scores = sized(scored(blended(row["diff"], row["motion"], c.source), c.score_mode), len(tiles))
         explore = []
         if k_explore:
             ranked = sorted(range(len(scores)), key=lambda i: (-scores[i], i))[: k_explore + c.extra]
-            remembers = row["hard"] and c.memory_ttl > 0
+            signal = {"top1_gap": "gap", "motion": "motion_z"}.get(c.memory_when)
+            calm = signal is None or c.memory_limit <= 0 or row[signal] < c.memory_limit
+            remembers = row["hard"] and c.memory_ttl > 0 and calm
             if remembers:
                 ranked = list(dict.fromkeys([*map(int, left), *ranked]))
             explore = with_row_quota(ranked, tiles, k_explore, c.both_ends) if row["hard"] and c.row_quota else ranked[:k_explore]

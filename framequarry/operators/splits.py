@@ -5,6 +5,9 @@ Seeded choices use md5 of the seed and the key, so that any engine reproduces th
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,12 +127,27 @@ def union_dedupe(parts: list[DataFrame], name: str, id_name: str = "id") -> Data
     return numbered(rows, name, id_name).withColumnRenamed("_src", "source_nr")
 
 
-def numbered(rows: DataFrame, name: str, id_name: str = "id", width: int = 2) -> DataFrame:
-    """rows with 1, 2, ... by `name` (unique strings): counts by a short prefix give the starts, ranks within it the rest."""
-    prefix = F.substring(F.col(name), 1, width)
-    t = rows.withColumn("_x", prefix)
+#: Names that are looked at to cut all names into ranges, and ranges.
+CUT_NAMES, RANGES = 20_000, 1000
+
+
+def numbered(rows: DataFrame, name: str, id_name: str = "id") -> DataFrame:
+    """rows with 1, 2, ... by `name` (unique strings): counts by range of names give the starts, ranks within it the rest.
+
+    The ranges are cut at names of a sample by hash (CUT_NAMES at most), so that common beginnings of names don't
+    matter; numbers don't depend on them.  The driver gets the sample, each task RANGES cuts.
+    """
+    sample = sorted(r[0] for r in rows.where(F.col(name).isNotNull()).select(name).orderBy(F.xxhash64(name), name).limit(CUT_NAMES).collect())
+    step = max(1, len(sample) // RANGES)
+    cuts = [x.encode() for x in sample[step::step]]
+
+    @F.pandas_udf("int")
+    def place(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: -1 if x is None else bisect_right(cuts, x.encode())).astype("int32")
+
+    t = rows.withColumn("_x", place(F.col(name)))
     counts = t.groupBy("_x").agg(F.count("*").alias("_n"))
-    starts = counts.select("_x", (F.sum("_n").over(Window.orderBy("_x")) - F.col("_n")).alias("_s"))
+    starts = counts.select("_x", (F.sum("_n").over(Window.orderBy("_x")) - F.col("_n")).alias("_s"))  # RANGES rows
     inside = F.row_number().over(Window.partitionBy("_x").orderBy(name))
     return t.join(F.broadcast(starts), "_x").withColumn(id_name, (F.col("_s") + inside).cast("long")).drop("_x", "_s")
 
@@ -165,25 +183,36 @@ def with_negatives(events: DataFrame, negatives: DataFrame, target: float, toler
     """events and as many shuffled negative windows as bring the share of flagged frames to `target`.
 
     events, negatives: video_id, start, end, pos_frames, len_frames.  A video gives max_per_video windows in all; a number
-    near the target is computed, then corrected one window at a time.  Windows are selected by rank in one ordered
-    list; the driver gets sums and at most `rounds` rows beyond the first guess.
+    near the target is computed, then corrected one window at a time, `rounds` times at most.  Windows are ranked by a
+    seeded hash: its first digits deal them to 4096 groups, whose counts and sums and those of 2 * rounds + 1 windows
+    reach the driver.
     """
     pos, size = events.agg(F.sum("pos_frames"), F.sum("len_frames")).first()
+    pos, size = pos or 0, size or 0
     used = events.groupBy("video_id").agg(F.count("*").alias("_u"))
     inside = F.row_number().over(Window.partitionBy("video_id").orderBy(draw(seed, F.col("video_id"), F.col("start")), "start"))
     free = negatives.join(used, "video_id", "left").withColumn("_k", inside).where(F.col("_k") + F.coalesce("_u", F.lit(0)) <= max_per_video).drop("_u", "_k")
     mean = negatives.agg(F.avg("len_frames")).first()[0] or 50.0
-    need = -(-max(0, -(-(pos or 0) // target) - (size or 0)) // round(mean)) if target > 0 else 0
-    order = [draw(seed + 1, F.col("video_id"), F.col("start")), F.col("video_id"), F.col("start")]
-    first = free.orderBy(*order).limit(int(need) + rounds)
-    listed = first.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-    sums = {r["_i"]: (r["pos_frames"], r["len_frames"]) for r in listed.select("_i", "pos_frames", "len_frames").collect()}
-    n = min(int(need), len(sums))
+    need = int(-(-max(0, -(-pos // target) - size) // round(mean)) if target > 0 else 0)
+    free = free.withColumn("_d", draw(seed + 1, F.col("video_id"), F.col("start"))).withColumn("_g", F.substring("_d", 1, 3))
+    groups = sorted(map(tuple, free.groupBy("_g").agg(F.count("*"), F.sum("pos_frames"), F.sum("len_frames")).collect()))
+    total = sum(g[1] for g in groups)
+    n = min(need, total)
+    first, last = max(1, n - rounds), min(total, n + rounds)
+    starts, count, p, t = [], 0, 0, 0
+    for g, k, own_pos, own_len in groups:
+        starts.append((g, count, p, t))
+        count, p, t = count + k, p + own_pos, t + own_len
+    starts = events.sparkSession.createDataFrame(starts, "_g string, _c long, _p long, _t long")
+    order = Window.partitionBy("_g").orderBy("_d", "video_id", "start")
+    ranked = free.join(F.broadcast(starts), "_g").withColumn("_i", F.col("_c") + F.row_number().over(order))
+    sums = ranked.withColumns({"_p": F.col("_p") + F.sum("pos_frames").over(order), "_t": F.col("_t") + F.sum("len_frames").over(order)})
+    at = {r["_i"]: (r["_p"], r["_t"]) for r in sums.where(F.col("_i").between(first, last)).select("_i", "_p", "_t").collect()} | {0: (0, 0)}
     for _ in range(rounds):
-        p = (pos or 0) + sum(sums[i][0] for i in range(1, n + 1))
-        t = (size or 0) + sum(sums[i][1] for i in range(1, n + 1))
-        share = p / t if t else 0.0
-        if abs(share - target) <= tolerance or (share > target and n == len(sums)) or (share < target and n == 0):
+        frames = size + at[n][1]
+        share = (pos + at[n][0]) / frames if frames else 0.0
+        if abs(share - target) <= tolerance or (share > target and n == total) or (share < target and n == 0):
             break
         n += 1 if share > target else -1
-    return events.unionByName(listed.where(F.col("_i") <= n).drop("_i"), allowMissingColumns=True)
+    chosen = ranked.where(F.col("_i") <= n).drop("_i", "_g", "_d", "_c", "_p", "_t")
+    return events.unionByName(chosen, allowMissingColumns=True)

@@ -12,15 +12,20 @@ from . import matching, runs
 from .state import Machine, fold, iou
 
 
-def linker(iou_thr: float = 0.3, center: float | None = None) -> Machine:
-    """Links a frame's boxes to tracks of the frame before; frames without boxes needn't be rows: gaps end all tracks."""
+def linker(iou_thr: float = 0.3, center: float | None = None, center_frac: float = 0.0) -> Machine:
+    """Links a frame's boxes to tracks of the frame before; frames without boxes needn't be rows: gaps end all tracks.
+
+    center: by distance of centres of at most that many pixels or, if it is 0 or less, of center_frac diagonals of the
+    new box (a pixel at least); as the rule stands, a distance of a whole pixel or more never links.
+    """
 
     def score(a, b) -> float | None:
         if center is None:
             v = iou(a, b)
             return v if v >= iou_thr else None
         d = ((a[0] + a[2] / 2 - b[0] - b[2] / 2) ** 2 + (a[1] + a[3] / 2 - b[1] - b[3] / 2) ** 2) ** 0.5
-        return -d if d <= center else None
+        reach = center if center > 0 else center_frac * max(1.0, (b[2] ** 2 + b[3] ** 2) ** 0.5)
+        return -d if d <= reach and d < 1.0 else None
 
     def step(s: dict, row: dict):
         boxes = [tuple(b[k] for k in "xywh") for b in row["boxes"]]
@@ -43,7 +48,7 @@ def linker(iou_thr: float = 0.3, center: float | None = None) -> Machine:
     return Machine("linker", lambda: {"active": [], "before": -2, "born": 0}, step, kinds)
 
 
-def pseudo_tracks(frames: DataFrame, gt: DataFrame, iou_thr: float = 0.3, center: float | None = None) -> DataFrame:
+def pseudo_tracks(frames: DataFrame, gt: DataFrame, iou_thr: float = 0.3, center: float | None = None, center_frac: float = 0.0) -> DataFrame:
     """image_id, video_id, frame_idx, ord, x, y, w, h, local_id, pos: boxes linked over consecutive frames.
 
     Tracks in the order of their birth take the best free box (IoU, or nearest centre within `center`); a track without one
@@ -52,7 +57,7 @@ def pseudo_tracks(frames: DataFrame, gt: DataFrame, iou_thr: float = 0.3, center
     """
     boxes = gt.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", *"xywh"))).alias("boxes"))
     rows = frames.select("image_id", "video_id", "frame_idx").join(boxes, "image_id")
-    linked = fold(rows, linker(iou_thr, center), carry=["image_id", "frame_idx", "boxes"])
+    linked = fold(rows, linker(iou_thr, center, center_frac), carry=["image_id", "frame_idx", "boxes"])
     each = linked.select("image_id", "video_id", "frame_idx", F.explode(F.arrays_zip("boxes", "ids", "places")).alias("z"))
     return each.select("image_id", "video_id", "frame_idx", *[F.col(f"z.boxes.{c}").alias(c) for c in ("ord", *"xywh")], F.col("z.ids").alias("local_id"), F.col("z.places").alias("pos"))
 

@@ -1055,14 +1055,14 @@ def coco_by_category(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     v = views(spark, sf_dir)
     clips = splits.clip_presence(v.frames, v.gt)
-    return bootstrap.mean_ci(clips, "presence", ["video_id"], trials=200)
+    return bootstrap.mean_ci(clips, "presence", ["video_id"])
 
 
 @query()
 def bootstrap_track_ci(spark, sf_dir):
     v = views(spark, sf_dir)
     facts = tracks.track_facts(tracks.track_hits(_tracks(v), v.pred.where(F.col("score") >= CONF), IOU), 2)
-    return bootstrap.track_ci(facts, trials=100)
+    return bootstrap.track_ci(facts)
 
 
 @query(

@@ -36,11 +36,13 @@ def sequence_list(frames: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def markdown(df: DataFrame, digits: int = 4, rows: int = 1000) -> str:
-    """A report of at most `rows` rows as a Markdown table; null is NA."""
+    """A report as a Markdown table; null is NA. More than `rows` rows are an error: such a table is no report."""
 
     def cell(v) -> str:
         return "NA" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
 
-    found = df.limit(rows).collect()
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows for a Markdown table")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in found)])

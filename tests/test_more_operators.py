@@ -1,11 +1,14 @@
 """Planner, reports, ETL, detector seam, discovery."""
 
+import hashlib
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framequarry.operators import detect, etl, planner, reports
+from framequarry.operators import bootstrap, detect, etl, need, planner, reports, splits, tracks
 from framequarry.sources import discovery
 
 GRID = [(x, y, 10, 10) for y in (0, 10, 20) for x in (0, 10, 20, 30)]
@@ -111,3 +114,114 @@ def test_discovery(spark, tmp_path):
     assert discovery.flat_settings("a: 1\nb: 0.5 # half\nc: 'x'\n# no\nd: true\ne:") == {"a": 1, "b": 0.5, "c": "x", "d": True, "e": None}
     assert discovery.listed_ids({"n": 3, "other": [{"video_id": "v"}], "videos": ["w", 2]}) == ["w", "2"]
     assert discovery.split_map(json.loads('{"splits": {"train": [1], "info": "x"}}')) == {"train": ["1"]}
+
+
+def test_bootstrap_weights():
+    """Every trial draws n of n; blocks share the draws as one draw would."""
+    sizes, trials = [7, 0, 30, 13], 400
+    w = [bootstrap.weights(sizes, b, trials, 5) for b in range(4)]
+    assert [x.shape for x in w] == [(trials, n) for n in sizes]
+    assert (sum(x.sum(axis=1) for x in w) == 50).all()
+    each = np.concatenate(w, axis=1)
+    assert abs(each.mean() - 1) < 1e-9 and abs(each.var() - 49 / 50) < 0.05
+    assert abs(np.cov(each[:, 0], each[:, -1])[0, 1] + 1 / 50) < 0.15
+
+
+def test_bootstrap_sums(spark):
+    rows = [(i, float(i % 9), None if i % 4 else i % 5) for i in range(300)]
+    items = spark.createDataFrame(rows, "id int, v double, first_hit int")
+    sizes = [len([1 for r in bootstrap._blocks(items, ["id"], 60)[0].collect() if r["_block"] == b]) for b in range(5)]
+    dealt = sorted((r["_block"], r["id"], r["v"], r["first_hit"]) for r in bootstrap._blocks(items, ["id"], 60)[0].collect())
+    w = np.concatenate([bootstrap.weights(sizes, b, 50, 3) for b in range(5)], axis=1)
+    got = {r.trial: (r.n, r.v) for r in bootstrap.summed(items.repartition(7), ["id"], ["v"], 50, 3, 60).collect()}
+    for t in range(50):
+        assert got[t][0] == 300 and abs(got[t][1] - sum(k * r[2] for k, r in zip(w[t], dealt))) < 1e-6
+    counts = {(r.trial, r.value): r.weight for r in bootstrap.counted(items, ["id"], "first_hit", 50, 3, 60).collect()}
+    want = {}
+    for t in range(50):
+        for k, r in zip(w[t], dealt):
+            if r[3] is not None and k:
+                want[t, float(r[3])] = want.get((t, float(r[3])), 0) + int(k)
+    assert counts == want
+    ci = bootstrap.mean_ci(items, "v", ["id"], trials=1000).first()
+    sd = np.std([r[1] for r in rows]) / 300**0.5
+    assert ci.n_boot == 1000 and abs(ci.mean - np.mean([r[1] for r in rows])) < 0.1 and abs(ci.ci_high - ci.ci_low - 2 * 1.96 * sd) < 0.1
+    none = bootstrap.mean_ci(items.limit(0), "v", ["id"], trials=10).first()
+    assert none.n_boot == 0 and none.mean is None
+
+
+def test_numbered_names(spark):
+    rng = random.Random(1)
+    names = list({"common/prefix/" + "".join(rng.choices("aböz0Z😀", k=rng.randint(0, 6))) for _ in range(500)})
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i int").repartition(5)
+    old = splits.CUT_NAMES, splits.RANGES
+    try:
+        for splits.CUT_NAMES, splits.RANGES in (old, (40, 7), (1, 1)):
+            got = {r.name: r.id for r in splits.numbered(df, "name").collect()}
+            assert got == {n: k + 1 for k, n in enumerate(sorted(names))}
+    finally:
+        splits.CUT_NAMES, splits.RANGES = old
+    assert splits.numbered(df.limit(0), "name").count() == 0
+
+
+def test_intervals_in_stretches(spark):
+    rng = random.Random(4)
+    for most in (1, 40, 100_000):
+        times = sorted(rng.sample(range(most), min(most, 300)))
+        bad = [t for t in times if rng.random() < 0.4]
+        rows = spark.createDataFrame([(t, t) for t in times], "image_id long, t long")
+        fails = spark.createDataFrame([(t, t in bad) for t in times], "image_id long, failure boolean")
+        old = need.STRETCHES
+        try:
+            for need.STRETCHES in (old, 7):
+                got = need.intervals(fails, rows).first()
+                d = np.diff(bad)
+                assert got.n_intervals == len(d)
+                if len(d):
+                    assert abs(got.mean_delta - d.mean()) < 1e-9 and abs(got.p95_delta - np.percentile(d, 95)) < 1e-9
+        finally:
+            need.STRETCHES = old
+
+
+@pytest.mark.parametrize("target", [0.0, 0.1, 0.3, 0.9])
+def test_negatives_by_rank(spark, target):
+    rng = random.Random(int(target * 10))
+    events = [(v, 10, 15, rng.randint(1, 6), 6) for v in range(0, 40, 2)]
+    neg = [(v, s, s + 5, rng.randint(0, 2), 6) for v in range(40) for s in range(0, 60, 6)]
+    schema = "video_id long, start int, end int, pos_frames long, len_frames long"
+    e, n = spark.createDataFrame(events, schema), spark.createDataFrame(neg, schema)
+    got = {(r.video_id, r.start) for r in splits.with_negatives(e, n, target, 0.01, 4, seed=3).collect()} - {(v, s) for v, s, *_ in events if s == 10}
+    draw = lambda seed, *k: hashlib.md5("/".join(map(str, (seed, *k))).encode()).hexdigest()
+    free = []
+    for v in range(40):
+        own = sorted((r for r in neg if r[0] == v), key=lambda r: (draw(3, v, r[1]), r[1]))
+        free += own[: 4 - (v % 2 == 0)]
+    free.sort(key=lambda r: (draw(4, r[0], r[1]), r[0], r[1]))
+    pos, size = sum(r[3] for r in events), sum(r[4] for r in events)
+    k = min(int(-(-max(0, -(-pos // target) - size) // 6)) if target else 0, len(free))
+    for _ in range(10):
+        share = (pos + sum(r[3] for r in free[:k])) / (size + sum(r[4] for r in free[:k]))
+        if abs(share - target) <= 0.01 or (share > target and k == len(free)) or (share < target and k == 0):
+            break
+        k += 1 if share > target else -1
+    assert got == {(r[0], r[1]) for r in free[:k]}
+
+
+def test_blended_scores():
+    assert planner.blended([], [], "mixed") == [] and planner.blended([0.0, -1.0], [0.0], "mixed") == [0.0, -1.0]
+    assert planner.blended([2.0, 1.0, 0.0], [4.0], "mixed") == pytest.approx([2.0, 0.5, 0.0], abs=1e-5)
+    assert planner.sized([1.0], 3) == [1.0, 0.0, 0.0]
+    grid = [(0, 0, 10, 10), (10, 0, 10, 10), (0, 10, 10, 10)]
+    row = {"mode": "subset", "k": 1, "protect_frac": 0.0, "tracks": [], "diff": [], "motion": [0.0, 3.0, 1.0], "hard": True, "gap": 5.0}
+    for limit, kept in ((0.0, [1, 1]), (1.0, [1, 2]), (9.0, [1, 1])):
+        machine = planner.tile_planner(grid, planner.PlannerConfig(memory_ttl=3, memory_when="top1_gap", memory_limit=limit))
+        out = list(machine.run([row, {**row, "motion": [0.0, 0.0, 1.0]}]))
+        assert [o["tiles_explore"][0] for o in out] == kept
+
+
+def test_link_by_diagonal(spark):
+    frames = spark.createDataFrame([(i, 1, i) for i in range(3)], "image_id long, video_id int, frame_idx int")
+    box = "image_id long, ord int, x double, y double, w double, h double"
+    boxes = spark.createDataFrame([(0, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 0.5, 0.0, 10.0, 10.0), (2, 0, 3.0, 0.0, 10.0, 10.0)], box)
+    ids = lambda **k: [r.local_id for r in sorted(tracks.pseudo_tracks(frames, boxes, **k).collect(), key=lambda r: r.image_id)]
+    assert ids(center=0.0, center_frac=0.1) == [1, 1, 2] and ids(center=0.0, center_frac=0.01) == [1, 2, 3] and ids(center=5.0) == [1, 1, 2]
