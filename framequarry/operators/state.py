@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,51 +191,64 @@ def token_bucket(rate: float = 0.1, cap: float = 2.0, cost: float = 1.0, column:
     return Machine("token_bucket", lambda: {"tokens": cap}, step, (("spent", T.BooleanType()), ("tokens", T.DoubleType())))
 
 
+class Tier(NamedTuple):
+    """Frames from this risk on get a budget of `low` to `high` tiles."""
+
+    risk: float
+    low: int
+    high: int
+
+
+class Bucket(NamedTuple):
+    """Tokens a frame, most tokens, tokens that one exploration takes."""
+
+    rate: float
+    cap: float
+    cost: float
+
+
+class Verify(NamedTuple):
+    """Full frames of a burst, frames between bursts, unconfirmed boxes that ask for one, and whether confirmed boxes forbid it."""
+
+    burst: int
+    cooldown: int
+    unconfirmed: int
+    without_confirmed: bool
+
+
+#: Fixed values of the risk policies: terms of the risk (weight, scale); tiers; streaks of high risk and of failures that
+#: force full frames, and how many; shares of the budget that protect, with and without tracks; verification; token buckets
+#: of frames without a seed that look empty and that look positive; peak of motion and relative gap of the difference that
+#: look positive.
+RISK_TERMS = {"det": (0.45, 3.0), "track": (0.45, 3.0), "lost": (0.25, 1.0), "motion": (0.05, 3.0), "diff": (0.05, 5.0)}
+MID, HIGH = Tier(0.33, 2, 3), Tier(0.66, 4, 6)
+DEADLINE = (5, 2, 2)
+PROTECT = (0.7, 0.1)
+VERIFY = Verify(1, 5, 1, True)
+EMPTY_BUCKET, POSITIVE_BUCKET = Bucket(0.1, 2.0, 1.0), Bucket(0.15, 2.0, 1.0)
+LIKELY = (1e9, 1.5)
+
+
 @dataclass(frozen=True)
 class PolicyConfig:
-    """Thresholds and scales of the risk policies (generation 7 uses all of them, 6 those without budgets)."""
+    """Settings of the risk policies by part (generation 6 has no buckets and no verification). pos None: one bucket for all."""
 
-    mid_risk: float = 0.33
-    high_risk: float = 0.66
-    det_scale: float = 3.0
-    miss_scale: float = 3.0
+    terms: dict = field(default_factory=lambda: dict(RISK_TERMS))
     motion_zero: float = 0.0
-    motion_scale: float = 3.0
-    k_mid: tuple[int, int] = (2, 3)
-    k_high: tuple[int, int] = (4, 6)
-    full_ttl: int = 2
-    deadline_risk_streak: int = 5
-    deadline_fail_streak: int = 2
-    protect_with_track: float = 0.7
-    protect_without: float = 0.1
-    verify_burst: int = 1
-    verify_cooldown: int = 5
-    verify_unconfirmed: int = 1
-    verify_only_unconfirmed: bool = True
-    empty_rate: float = 0.1
-    empty_cap: float = 2.0
-    empty_cost: float = 1.0
-    pos_rate: float = 0.15
-    pos_cap: float = 2.0
-    pos_cost: float = 1.0
-    pos_motion_peak: float = 1e9
-    pos_diff_ratio: float = 1.5
-    dual_budget: bool = True
-    targeted_verify: bool = True
-    weights: dict = field(default_factory=lambda: {"det": 0.45, "track": 0.45, "lost": 0.25, "motion": 0.05, "diff": 0.05})
+    tiers: tuple[Tier, Tier] = (MID, HIGH)
+    deadline: tuple[int, int, int] = DEADLINE
+    protect: tuple[float, float] = PROTECT
+    verify: Verify | None = VERIFY
+    empty: Bucket = EMPTY_BUCKET
+    pos: Bucket | None = POSITIVE_BUCKET
+    likely: tuple[float, float] = LIKELY
 
 
 def risk_of(e: dict, c: PolicyConfig) -> float:
     """Weighted sum of clipped terms, clipped to [0, 1]."""
     clip = lambda v: min(1.0, max(0.0, v))
-    terms = {
-        "det": clip(e["no_det_streak"] / max(1e-6, c.det_scale)),
-        "track": clip(e["max_miss_streak"] / max(1e-6, c.miss_scale)),
-        "lost": 1.0 if e["recent_lost"] else 0.0,
-        "motion": clip((e["motion_z"] - c.motion_zero) / max(1e-6, c.motion_scale)),
-        "diff": clip(e["diff_gap"] / (e["diff_std"] + 1e-6) / 5.0),
-    }
-    return clip(sum(c.weights[k] * v for k, v in terms.items()))
+    raw = {"det": e["no_det_streak"], "track": e["max_miss_streak"], "lost": bool(e["recent_lost"]), "motion": e["motion_z"] - c.motion_zero, "diff": e["diff_gap"] / (e["diff_std"] + 1e-6)}
+    return clip(sum(weight * clip(raw[name] / max(1e-6, scale)) for name, (weight, scale) in c.terms.items()))
 
 
 def _cause(e: dict) -> str:
@@ -256,104 +270,111 @@ def policy(generation: int = 7, config: PolicyConfig = PolicyConfig(), k_full: i
     unconfirmed boxes with a burst of full frames.
     """
     c = config
-    mid, high = tuple(min(k, k_full) for k in c.k_mid), tuple(min(k, k_full) for k in c.k_high)
+    (mid_risk, *mid), (high_risk, *high) = ((t.risk, min(t.low, k_full), min(t.high, k_full)) for t in c.tiers)
+    late_risk, late_fail, late_frames = c.deadline
     budgeted = generation >= 7
+    buckets = {"empty": c.empty} | ({"pos": c.pos} if c.pos else {})
     some = "subset"
 
     def start() -> dict:
-        return {"ttl": 0, "risk_streak": 0, "fail_streak": 0, "verify": 0, "cooldown": 0, "empty": c.empty_cap, "pos": c.pos_cap}
+        return {"ttl": 0, "risk_streak": 0, "fail_streak": 0, "verify": 0, "cooldown": 0, "empty": c.empty.cap, "pos": c.pos.cap if c.pos else 0.0}
 
     def empty_frame(s: dict, e: dict, risk: float) -> tuple[str, int, str, str]:
         """mode, budget, reason, bucket of a frame without detections and tracks."""
         if not budgeted:
             k = max(high[0], mid[1])
             return (some if high[0] else "skip"), k, "seed_empty", "none"
-        if risk < c.mid_risk:
+        if risk < mid_risk:
             return "skip", 0, "seed_empty_skip", "none"
-        likely = c.dual_budget and (e["has_det"] or e["motion_peak"] >= c.pos_motion_peak or e["diff_gap"] / max(1e-6, e["diff_std"]) >= c.pos_diff_ratio)
-        bucket, price = ("pos", c.pos_cost) if likely else ("empty", c.empty_cost)
+        likely = bool(c.pos) and (e["has_det"] or e["motion_peak"] >= c.likely[0] or e["diff_gap"] / max(1e-6, e["diff_std"]) >= c.likely[1])
+        bucket = "pos" if likely else "empty"
+        price = buckets[bucket].cost
         if s[bucket] < price:
             return "skip", 0, f"{bucket}_budget_skip", "none"
         s[bucket] -= price
-        k = _between(*mid, (risk - c.mid_risk) / max(1e-6, c.high_risk - c.mid_risk))
+        k = _between(*mid, (risk - mid_risk) / max(1e-6, high_risk - mid_risk))
         return (some if mid[0] else "skip"), k, "pos_budget_explore" if likely else "seed_empty_explore", bucket
 
     def plan(s: dict, e: dict, risk: float, empty: bool) -> tuple[str, int, str, str]:
         if s["ttl"] > 0:
             s["ttl"] -= 1
             return ("full" if k_full else "skip"), k_full, "ttl", "none"
-        if k_full and s["risk_streak"] >= c.deadline_risk_streak and s["fail_streak"] >= c.deadline_fail_streak:
-            s["ttl"] = max(0, c.full_ttl - 1)
+        if k_full and s["risk_streak"] >= late_risk and s["fail_streak"] >= late_fail:
+            s["ttl"] = max(0, late_frames - 1)
             return "full", k_full, "csf_deadline", "none"
         if empty:
             return empty_frame(s, e, risk)
-        if risk >= c.high_risk:
-            return (some if high[0] else "skip"), _between(*high, (risk - c.high_risk) / max(1e-6, 1 - c.high_risk)), _cause(e), "none"
-        if risk >= c.mid_risk:
-            return (some if mid[0] else "skip"), _between(*mid, (risk - c.mid_risk) / max(1e-6, c.high_risk - c.mid_risk)), _cause(e), "none"
+        for least, most, (low, top) in ((high_risk, 1.0, high), (mid_risk, high_risk, mid)):
+            if risk >= least:
+                return (some if low else "skip"), _between(low, top, (risk - least) / max(1e-6, most - least)), _cause(e), "none"
         return "skip", 0, "low_risk", "none"
 
     def feedback(s: dict, e: dict, mode: str, risk: float, empty: bool) -> None:
-        s["risk_streak"] = s["risk_streak"] + 1 if risk >= c.high_risk else 0
+        s["risk_streak"] = s["risk_streak"] + 1 if risk >= high_risk else 0
         looked = mode != "skip" and (empty or e["no_det_streak"] > 0)
         s["fail_streak"] = 0 if e["has_target"] else s["fail_streak"] + looked
-        wanted = e["num_unconfirmed"] >= c.verify_unconfirmed and not (c.verify_only_unconfirmed and e["num_confirmed"] > 0)
-        if budgeted and c.targeted_verify and s["cooldown"] == 0 and wanted and c.verify_burst > 0:
-            s["verify"], s["cooldown"] = c.verify_burst, c.verify_cooldown
+        if budgeted and c.verify and c.verify.burst > 0 and s["cooldown"] == 0:
+            if e["num_unconfirmed"] >= c.verify.unconfirmed and not (c.verify.without_confirmed and e["num_confirmed"] > 0):
+                s["verify"], s["cooldown"] = c.verify.burst, c.verify.cooldown
 
     def step(state: dict, e: dict):
         s = dict(state)
+        before = {b: s[b] for b in ("empty", "pos")}
         if budgeted:
-            s["empty"] = min(c.empty_cap, s["empty"] + c.empty_rate)
-            s["pos"] = min(c.pos_cap, s["pos"] + c.pos_rate) if c.dual_budget else 0.0
-            s["verify"], s["cooldown"] = (s["verify"], max(0, s["cooldown"] - 1)) if c.targeted_verify else (0, 0)
+            for name, bucket in buckets.items():
+                s[name] = min(bucket.cap, s[name] + bucket.rate)
+            s["verify"], s["cooldown"] = (s["verify"], max(0, s["cooldown"] - 1)) if c.verify else (0, 0)
+        charged = {b: s[b] for b in before}
         own = risk_of(e, c)
         empty = e["num_active"] == 0 and not e["has_det"]
-        tracked = c.protect_with_track if e["num_active"] > 0 else c.protect_without
+        tracked = c.protect[0 if e["num_active"] > 0 else 1]
         if s["verify"] > 0:
             s["verify"] -= 1
             mode, k, reason, bucket, shown, protect = ("full_burst" if k_full else "skip"), k_full, "verify_burst", "none", 1.0, tracked
         else:
             mode, k, reason, bucket = plan(s, e, own, empty)
-            shown, protect = own, min(0.1, c.protect_without) if empty else tracked
+            shown, protect = own, min(0.1, c.protect[1]) if empty else tracked
         feedback(s, e, mode, own, empty)
         out = {"mode": mode, "risk": float(shown), "k": int(k), "protect_frac": min(1.0, max(0.0, protect)), "reason": reason, "bucket_used": bucket, "empty_tokens": float(s["empty"]), "pos_tokens": float(s["pos"])}
+        for name in before:  # the ledger: tokens before the frame, what it brought and what it spent
+            out |= {f"{name}_before": float(before[name]), f"{name}_recharged": float(charged[name] - before[name]), f"{name}_spent": float(charged[name] - s[name])}
         return s, out
 
-    kinds = (("mode", T.StringType()), ("risk", T.DoubleType()), ("k", T.IntegerType()), ("protect_frac", T.DoubleType()), ("reason", T.StringType()), ("bucket_used", T.StringType()), ("empty_tokens", T.DoubleType()), ("pos_tokens", T.DoubleType()))
+    ledger = tuple((f"{b}_{what}", T.DoubleType()) for b in ("empty", "pos") for what in ("before", "recharged", "spent"))
+    kinds = (("mode", T.StringType()), ("risk", T.DoubleType()), ("k", T.IntegerType()), ("protect_frac", T.DoubleType()), ("reason", T.StringType()), ("bucket_used", T.StringType()), ("empty_tokens", T.DoubleType()), ("pos_tokens", T.DoubleType()), *ledger)
     return Machine(f"policy_v{generation}", start, step, kinds)
 
 
-#: Budgets and confidence thresholds of the burst experiments, by number.
-BURST_PARAMETERS = {
-    60: {"k_mid": 3, "conf_hard": 0.25, "budget": "run1"},
-    61: {"k_mid": 3, "conf_hard": 0.15, "budget": "run2"},
-    62: {"k_mid": 4, "conf_hard": 0.25, "budget": "run3"},
-}
+#: Tiles of a subset and the confidence threshold of hard frames in the burst experiments, by number.
+BURST_PARAMETERS = {60: (3, 0.25), 61: (3, 0.15), 62: (4, 0.25)}
+#: Frames without a detection from which an empty frame is hard.
+HARD_STREAK = 6
 
 
 def keyframe_burst(experiment: int = 60, k_full: int = 15, burst: int = 1, cooldown: int = 1, conf: float = 0.25) -> Machine:
-    """Burst experiments: full frames on long empty stretches, subsets at medium risk."""
-    p = BURST_PARAMETERS[experiment]
+    """Burst experiments: full frames on long empty stretches, `cooldown` frames apart, subsets at medium risk.
+
+    Rules in order, the first that holds decides: name, mode, whether the hard threshold applies.
+    """
+    k_subset, hard_conf = BURST_PARAMETERS[experiment]
+    tiles = {"skip": 0, "subset": k_subset, "full_burst": k_full}
 
     def step(state: dict, e: dict):
-        cool, left = max(0, state["cool"] - 1), state["left"]
-        empty = e["num_active"] == 0 and not e["has_det"]
-        hard = empty and e["no_det_streak"] >= 6
-        low = e["has_det"] or (e["num_active"] > 0 and e["max_miss_streak"] <= 1)
-        if low:
-            mode, k, reason, thr = "skip", 0, "low_risk", conf
-        elif hard and cool <= 0 and k_full > 0:
-            mode, k, reason, thr = "full_burst", k_full, "hard_case_full", p["conf_hard"]
-            cool, left = cooldown, burst - 1
-        elif hard:
-            mode, k, reason, thr = "subset", p["k_mid"], "hard_case_subset", p["conf_hard"]
-        else:
-            mode, k, reason, thr = "subset", p["k_mid"], "mid_risk", conf
-        # a burst goes on from its own frame on
-        if left > 0 and k_full > 0:
-            mode, k, reason, thr, left = "full_burst", k_full, "hard_case_full_cont", p["conf_hard"], left - 1
-        return {"cool": cool, "left": left}, {"mode": mode, "k": k, "reason": reason, "conf_thr": thr}
+        wait = max(0, state["cool"] - 1)
+        calm = e["has_det"] or 0 < e["num_active"] and e["max_miss_streak"] <= 1
+        hard = not calm and e["num_active"] == 0 and e["no_det_streak"] >= HARD_STREAK
+        opens = hard and wait == 0 and k_full > 0
+        left = burst - 1 if opens else state["left"]
+        goes_on = left > 0 and k_full > 0  # also in the frame that opened it
+        rules = (
+            (goes_on, "hard_case_full_cont", "full_burst", True),
+            (opens, "hard_case_full", "full_burst", True),
+            (calm, "low_risk", "skip", False),
+            (hard, "hard_case_subset", "subset", True),
+            (True, "mid_risk", "subset", False),
+        )
+        reason, mode, strict = next(rule[1:] for rule in rules if rule[0])
+        return {"cool": cooldown if opens else wait, "left": left - goes_on}, {"mode": mode, "k": tiles[mode], "reason": reason, "conf_thr": hard_conf if strict else conf}
 
     kinds = (("mode", T.StringType()), ("k", T.IntegerType()), ("reason", T.StringType()), ("conf_thr", T.DoubleType()))
     return Machine(f"keyframe_burst_{experiment}", lambda: {"cool": 0, "left": 0}, step, kinds)
