@@ -202,12 +202,12 @@ def clamp_boxes(spark, sf_dir):
     return v.pred.select("image_id", "ord", cut.x.alias("cx"), cut.y.alias("cy"), cut.w.alias("cw"), cut.h.alias("ch"), shifted.w.alias("sw"), shifted.h.alias("sh"), oob.alias("oob"))
 
 
-def _nms_sql(measure: str, thr: float) -> str:
+def _nms_sql(measure: str, thr: float, boxes: str = "vx_pred") -> str:
     """Greedy suppression: step k adds the k-th box of every image unless a kept one rivals it."""
-    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS k FROM vx_pred), rivals AS (
+    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS k FROM {boxes}), rivals AS (
   SELECT b.image_id, b.k, list(a.k) AS ks FROM rk b JOIN rk a ON a.image_id = b.image_id AND a.k < b.k WHERE {measure} > {thr} GROUP BY ALL
 ), steps AS (SELECT rk.image_id, rk.k, coalesce(ks, []) AS ks FROM rk LEFT JOIN rivals r ON r.image_id = rk.image_id AND r.k = rk.k), fold AS (
-  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM vx_pred
+  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM {boxes}
   UNION ALL
   SELECT s.image_id, s.k, CASE WHEN list_has_any(f.kept, s.ks) THEN f.kept ELSE list_append(f.kept, s.k) END FROM fold f JOIN steps s ON s.image_id = f.image_id AND s.k = f.k + 1
 ), last AS (SELECT image_id, arg_max(kept, k) AS kept FROM fold GROUP BY image_id)
@@ -232,10 +232,20 @@ def diou_nms(spark, sf_dir):
     return matching.suppress(views(spark, sf_dir).pred, 0.35, ["image_id", "category_id"], B.diou)
 
 
-@query()
+@query(
+    """, cut AS (
+  SELECT image_id, ord, score, greatest(CAST(0 AS DOUBLE), least(x, 640)) AS x, greatest(CAST(0 AS DOUBLE), least(y, 360)) AS y,
+         greatest(CAST(0 AS DOUBLE), least(x + w, 640)) - greatest(CAST(0 AS DOUBLE), least(x, 640)) AS w, greatest(CAST(0 AS DOUBLE), least(y + h, 360)) - greatest(CAST(0 AS DOUBLE), least(y, 360)) AS h
+  FROM vx_pred WHERE score >= 0.6
+), pp AS (SELECT * FROM cut WHERE w > 0 AND h > 0)"""
+    + _nms_sql(iou_sql("a", "b"), 0.35, "pp")
+    + """, best AS (SELECT image_id, ord, x, y, w, h, score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS INTEGER) AS rank FROM rk JOIN last USING (image_id) WHERE list_contains(kept, k))
+SELECT image_id, ord, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS w, round(h, 9) AS h, score, rank FROM best WHERE rank <= 100"""
+)
 def postprocess_preset(spark, sf_dir):
     v = views(spark, sf_dir)
-    return matching.postprocess(v.pred, v.frames)
+    t = matching.postprocess(v.pred, v.frames)
+    return t.select("image_id", "ord", *[_r(c) for c in "xywh"], "score", "rank")
 
 
 def _greedy_sql(takers: str, taken: str, order: str, thr: float) -> str:
@@ -435,7 +445,18 @@ def interval_merge_gaps(spark, sf_dir):
     return runs.merged_intervals(windows)
 
 
-@query()
+def _windows_sql(length: int, low: int, high: int, seed: int) -> str:
+    """Windows around segments: a seeded number of frames before the start, kept inside the video, at the segment's end if it is longer."""
+    return f""", sized AS (
+  SELECT seg.video_id, s, e, n, least({length}, n) AS own, {low} + CAST('0x' || substr(md5('{seed}/' || seg.video_id || '/' || s), 1, 8) AS BIGINT) % {high - low + 1} AS back
+  FROM seg JOIN (SELECT video_id, count(*) AS n FROM flags GROUP BY video_id) q ON q.video_id = seg.video_id WHERE flag
+), placed_at AS (SELECT *, greatest(0, least(greatest(0, s - back), n - own)) AS a FROM sized
+), windows AS (SELECT video_id, own, CASE WHEN e > a + own - 1 THEN greatest(0, e - own + 1) ELSE a END AS a FROM placed_at
+), dealt AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5('{seed}/' || video_id || '/' || a), a) AS r FROM windows)
+"""
+
+
+@query(_FLAGS + _windows_sql(8, 1, 3, 5) + """SELECT video_id, CAST(a AS INTEGER) AS start, CAST(a + own - 1 AS INTEGER) AS "end", 'event' AS type FROM dealt WHERE r <= 2 ORDER BY r, md5('5/' || video_id), video_id LIMIT 500""")
 def event_windows_balanced(spark, sf_dir):
     """Seeded windows around segments, then a round robin over videos (a report of 500 windows)."""
     return splits.balanced(splits.event_windows(_flags(views(spark, sf_dir)), 8, (1, 3), 5), 500, 2, 5)
@@ -1257,9 +1278,13 @@ def event_and_negative_windows(spark, sf_dir):
     return splits.with_negatives(ev.join(pos, ["video_id", "start"]), neg, 0.4, 0.01, 3)
 
 
-@query()
+@query(_SMALLGRID + """, n AS (SELECT DISTINCT image_id, tile_id FROM placed),
+cov AS (SELECT n.image_id, count(c.tile_id) < count(*) AS miss FROM n LEFT JOIN chosen c ON c.image_id = n.image_id AND c.tile_id = n.tile_id GROUP BY n.image_id),
+sg AS (SELECT miss, signal, v FROM (SELECT miss, latency_ms, CAST(tiles_used AS DOUBLE) AS tiles_used FROM cov JOIN vx_cost USING (image_id)) UNPIVOT (v FOR signal IN (latency_ms, tiles_used)))
+SELECT signal, round(avg(v) FILTER (miss), 7) AS mean_miss, round(stddev_pop(v) FILTER (miss), 7) AS std_miss, round(avg(v), 7) AS mean_all, round(stddev_pop(v), 7) AS std_all FROM sg GROUP BY signal""")
 def miss_signal_table(spark, sf_dir):
     v = views(spark, sf_dir)
     grid = _small_grid(v)
     miss = tiles.coverage(tiles.boxes_in_tiles(v.pred.where("score >= 0.5"), v.frames, grid), tiles.boxes_in_tiles(v.gt, v.frames, grid))
-    return signals.miss_signals(miss.join(v.cost, "image_id"), "miss", ["latency_ms", "tiles_used"])
+    t = signals.miss_signals(miss.join(v.cost, "image_id"), "miss", ["latency_ms", "tiles_used"])
+    return t.select("signal", *[F.round(c, 7).alias(c) for c in t.columns[1:]])
