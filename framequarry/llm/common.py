@@ -61,7 +61,9 @@ def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> D
     often = table.where(hot).select(F.col(key).alias("_hot"), F.struct(*names).alias("_given"))
     rest = table.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), F.struct(*names).alias("_found"))
     out = rows.join(F.broadcast(often), F.col(key) == F.col("_hot"), "left")
-    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    # rows without a key find nothing either
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_at", F.when(alone, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
     out = out.join(rest, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_deal")), "left")
     got = F.coalesce("_given", "_found")
     return out.withColumns({c: got[c] for c in names}).drop("_hot", "_given", "_key", "_deal", "_found", "_at")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import joined, written
 
 #: Signature: symbols of 16 bits, in chunks of CHUNK, each matched with ERRORS symbols left out.
 SYMBOLS = 48
@@ -139,7 +139,8 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, items: the full sets of some classes, made anew from the texts of their smallest doc_ids."""
-    need = nodes.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node")
+    # written, its size is known: the texts are shuffled only if it is too large to broadcast
+    need = written(nodes.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node"), "dedup-need")
     texts = docs.join(need, F.col("_id").eqNullSafe(F.col("_rep"))).select("node", "cls", "_text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,9 +346,12 @@ def _rooted(df: DataFrame, shingle: int, percent: int, text: str, doc_id: str, k
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per row of df."""
     rows, of_class = _rooted(df, shingle, percent, text, doc_id)
-    smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.select("cls", "root").join(smallest, "root").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    # classes of one component, and rows of one class, may be many: their counts deal the hot ones evenly
+    of_class = written(of_class.join(rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("_rows")), "cls"), "dedup-classed")
+    total = rows.count()
+    smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n"))
+    of_class = joined(of_class.select("cls", "root", "_rows"), smallest, "root", "_n", total).select("cls", "component_id", "_rows")
+    out = joined(rows.select("doc_id", "n_shingles", "cls"), of_class, "cls", "_rows", total)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -361,8 +365,8 @@ def without_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows, of_class = _rooted(df, shingle, percent, text, doc_id, keyed=True)
     keys = rows.where("cls is not null").groupBy("cls", "doc_id", "digest").agg((F.count("*") > 1).alias("_many"))
     keys = written(keys.join(of_class.select("cls", "root"), "cls").select("root", "doc_id", "digest", "_many"), "dedup-rooted")
-    lead = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("lead"))
-    keys = keys.join(lead, "root").select("doc_id", "digest", "_many", (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))).alias("_led"))
+    lead = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("lead"), F.count("*").alias("_n"))
+    keys = joined(keys, lead, "root", "_n", keys.count()).select("doc_id", "digest", "_many", (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))).alias("_led"))
     # True: all rows of the key go; False: all but one
     odd = keys.where("not _led or _many").select(F.col("doc_id").alias("_odd"), F.col("digest").alias("_odd_digest"), (~F.col("_led")).alias("_gone"))
     odd = written(odd, "dedup-odd")
