@@ -163,3 +163,25 @@ def round_robin(n_tiles: int, k: int, stride: int, cursor: int) -> tuple[list[in
     if n_tiles <= 0 or k <= 0:
         return [], cursor
     return [(cursor + i * stride) % n_tiles for i in range(k)], (cursor + k * stride) % n_tiles
+
+
+def budget_tiles(scores: Sequence[float], active: Sequence[int], k_max: int, k_min: int, threshold: float, keep_active: bool = True) -> list[int]:
+    """Active tiles by id, then others by score from the threshold on, at least k_min; k_max at most (score ties: the smaller id)."""
+    first = [t for t in sorted(active) if 0 <= t < len(scores)][:k_max] if keep_active else []
+    if keep_active and len(first) >= k_max and first:
+        return first
+    rest = sorted((t for t in range(len(scores)) if t not in first), key=lambda t: (-scores[t], t))
+    out = [*first, *[t for t in rest if scores[t] >= threshold][: max(0, k_max - len(first))]]
+    out += [t for t in rest if t not in out][: max(0, k_min - len(out))]
+    return out[:k_max]
+
+
+def activity(k_max: int, k_min: int, threshold: float, lifetime: int) -> Machine:
+    """A budget scheduler: tiles stay active for `lifetime` frames after a detection. Rows: scores (of each tile), hit_tiles (of this frame)."""
+
+    def step(s: dict, row: dict):
+        chosen = budget_tiles(row["scores"], [int(t) for t in s["left"]], k_max, k_min, threshold)
+        left = {t: n - 1 for t, n in s["left"].items() if n > 1} | {str(t): lifetime for t in row["hit_tiles"]}
+        return {"left": left}, {"tiles": chosen}
+
+    return Machine("activity", lambda: {"left": {}}, step, (("tiles", T.ArrayType(T.IntegerType())),))

@@ -127,3 +127,44 @@ def acceptance(windows: DataFrame, checks: list[tuple[str, str, Column]]) -> Dat
     row = windows.agg(*[c.alias(n) for n, _, c in checks])
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.when(F.col(n), F.lit("OK")).otherwise(F.lit(level)).alias("result")) for n, level, _ in checks])).alias("p")
     return row.select(parts).select("p.*")
+
+
+#: The least width and height of a focus window.
+LEAST_WINDOW = (240.0, 220.0)
+
+
+def union_boxes(boxes: DataFrame) -> DataFrame:
+    """image_id, x, y, w, h: the smallest box around all boxes of an image."""
+    low, high = [F.min(c).alias(c) for c in "xy"], [F.max(F.col(c) + F.col(s)).alias(f"_{c}") for c, s in (("x", "w"), ("y", "h"))]
+    t = boxes.groupBy("image_id").agg(*low, *high)
+    return t.select("image_id", "x", "y", (F.col("_x") - F.col("x")).alias("w"), (F.col("_y") - F.col("y")).alias("h"))
+
+
+def focus_windows(frames: DataFrame, gt: DataFrame, pred: DataFrame, margin: float = 120.0) -> DataFrame:
+    """image_id, x1, y1, x2, y2: what to show of each frame: all its boxes with a margin, widened to LEAST_WINDOW, inside the frame; without boxes the frame."""
+    around = union_boxes(gt.select("image_id", *"xywh").unionByName(pred.select("image_id", *"xywh")))
+    t = frames.select("image_id", F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h")).join(around, "image_id", "left")
+    out = {}
+    for c, size, end, least in (("x", "w", "_w", LEAST_WINDOW[0]), ("y", "h", "_h", LEAST_WINDOW[1])):
+        low, high = F.greatest(F.lit(0.0), F.col(c) - margin), F.least(F.col(end), F.col(c) + F.col(size) + margin)
+        more = F.greatest(F.lit(0.0), (F.lit(least) - (high - low)) / 2)
+        out[f"{c}1"] = F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.when(more > 0, F.greatest(F.lit(0.0), low - more)).otherwise(low))
+        out[f"{c}2"] = F.when(F.col(c).isNull(), F.col(end)).otherwise(F.when(more > 0, F.least(F.col(end), high + more)).otherwise(high))
+    return t.select("image_id", *[out[n].alias(n) for n in ("x1", "y1", "x2", "y2")])
+
+
+def split_report(clips: DataFrame) -> DataFrame:
+    """One row for each split: locations, clips, frames, presence over all frames, and truncating percentiles of the clips' presence.
+
+    clips: one row for each clip with split, location, n_frames, presence; clips are few beside frames.
+    """
+    positive = F.sum(F.bround(F.col("presence") * F.col("n_frames")).cast("long"))
+    t = clips.groupBy("split").agg(
+        F.count_distinct("location").alias("num_locations"),
+        F.count("*").alias("num_clips"),
+        F.sum("n_frames").alias("num_frames"),
+        positive.alias("_p"),
+        F.sort_array(F.collect_list("presence")).alias("_r"),
+    )
+    at = lambda p: F.get("_r", F.floor(F.lit(p) * (F.size("_r") - 1)).cast("int"))
+    return t.select("split", "num_locations", "num_clips", "num_frames", ratio(F.col("_p"), F.col("num_frames")).alias("overall_presence"), *[at(p / 100).alias(f"clip_presence_p{p}") for p in (25, 50, 75)])

@@ -216,3 +216,22 @@ def with_negatives(events: DataFrame, negatives: DataFrame, target: float, toler
         n += 1 if share > target else -1
     chosen = ranked.where(F.col("_i") <= n).drop("_i", "_g", "_d", "_c", "_p", "_t")
     return events.unionByName(chosen, allowMissingColumns=True)
+
+
+def merge_sequences(a: DataFrame, b: DataFrame, suffix: str = "_val", video: str = "video_id") -> DataFrame:
+    """Frames of two sequence lists; a video of b that a has, too, gets the suffix; rows without a video are dropped."""
+    seen = a.select(F.col(video).alias("_seen")).distinct()
+    rows = b.join(seen, F.col(video) == F.col("_seen"), "left")
+    rows = rows.withColumn(video, F.when(F.col("_seen").isNotNull(), F.concat(F.col(video).cast("string"), F.lit(suffix))).otherwise(F.col(video).cast("string"))).drop("_seen")
+    return a.withColumn(video, F.col(video).cast("string")).unionByName(rows, allowMissingColumns=True).where(F.col(video).isNotNull())
+
+
+def target_subsets(images: DataFrame, bundles: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """tag (as target20) and the images of each bundle's locations; with a listing (file_name), only images that are there.
+
+    bundles: target_empty_ratio, locations (array); an image may belong to several.  A manifest is the annotations of a tag's images.
+    """
+    tag = F.concat(F.lit("target"), F.lpad(F.bround(F.col("target_empty_ratio") * 100).cast("int").cast("string"), 2, "0"))
+    places = bundles.select(tag.alias("tag"), F.explode(F.array_distinct("locations")).alias("_at")).distinct()
+    out = images.join(places, images["location"].cast("string") == F.col("_at")).drop("_at")
+    return out if listing is None else out.join(listing.select("file_name").distinct(), "file_name", "left_semi")

@@ -124,6 +124,18 @@ def tracker(iou_thr: float = 0.3, max_miss: int = 3, history: int = 5, lost_wind
     return Machine("tracker", lambda: {"tracks": [], "next": 1, "lost": 0}, step, kinds)
 
 
+def stability_tracker(iou_thr: float = 0.3, max_miss: int = 2, column: str = "boxes") -> Machine:
+    """Only how many tracks there are, how many ended, and whether two or more of at least two are gone at once."""
+    inner = tracker(iou_thr, max_miss, history=2, column=column)
+
+    def step(s: dict, row: dict):
+        after, out = inner.step(s, row)
+        before, now = len(s["tracks"]), out["num_active"]
+        return after, {"num_tracks": now, "num_dropped": out["num_ended"], "tracking_fail": before >= 2 and now <= before - 2}
+
+    return Machine("stability_tracker", inner.start, step, (("num_tracks", T.IntegerType()), ("num_dropped", T.IntegerType()), ("tracking_fail", T.BooleanType())))
+
+
 # --- confirmation ------------------------------------------------------------------------------
 
 

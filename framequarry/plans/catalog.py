@@ -1134,6 +1134,52 @@ def location_bundles(spark, sf_dir):
     return t.select("bundle_size", F.array_join("locations", ",").alias("locations"), "num_images", "num_empty", _r("empty_ratio"))
 
 
+@query(""", un AS (SELECT image_id, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM (SELECT image_id, x, y, w, h FROM vx_gt UNION ALL SELECT image_id, x, y, w, h FROM vx_pred) GROUP BY image_id),
+mg AS (SELECT image_id, greatest(0, x1 - 120) AS x1, greatest(0, y1 - 120) AS y1, least(640, x2 + 120) AS x2, least(360, y2 + 120) AS y2 FROM un),
+wd AS (SELECT *, greatest(0, (240 - (x2 - x1)) / 2) AS mx, greatest(0, (220 - (y2 - y1)) / 2) AS my FROM mg)
+SELECT f.image_id, round(coalesce(greatest(0, x1 - mx), CAST(0 AS DOUBLE)), 9) AS x1, round(coalesce(greatest(0, y1 - my), CAST(0 AS DOUBLE)), 9) AS y1,
+       round(coalesce(least(640, x2 + mx), CAST(640 AS DOUBLE)), 9) AS x2, round(coalesce(least(360, y2 + my), CAST(360 AS DOUBLE)), 9) AS y2 FROM vx_frames f LEFT JOIN wd ON wd.image_id = f.image_id""")
+def focus_windows(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return reports.focus_windows(v.frames, v.gt, v.pred).select("image_id", *[_r(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+_CLIPS = _FLAGS + """, cl AS (SELECT f.video_id, CASE WHEN c_nationkey % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, c_nationkey AS location, count(*) AS n, count(*) FILTER (flag) / count(*) AS r
+  FROM flags f JOIN customer ON c_custkey = f.video_id GROUP BY ALL),
+li AS (SELECT split, count(DISTINCT location) AS num_locations, count(*) AS num_clips, CAST(sum(n) AS BIGINT) AS num_frames, sum(round_even(r * n, 0)) AS p, list_sort(list(r)) AS rs FROM cl GROUP BY split)
+"""
+
+
+@query(_CLIPS + """SELECT split, num_locations, num_clips, num_frames, round(p / num_frames, 9) AS overall_presence,
+       round(rs[CAST(floor(0.25 * (len(rs) - 1)) AS INTEGER) + 1], 9) AS clip_presence_p25, round(rs[CAST(floor(0.5 * (len(rs) - 1)) AS INTEGER) + 1], 9) AS clip_presence_p50, round(rs[CAST(floor(0.75 * (len(rs) - 1)) AS INTEGER) + 1], 9) AS clip_presence_p75 FROM li""")
+def split_report(spark, sf_dir):
+    v = views(spark, sf_dir)
+    where = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("video_id"), F.col("c_nationkey").alias("location"))
+    clips = splits.clip_presence(v.frames, v.gt).join(where, "video_id").withColumn("split", F.when(F.col("location") % 3 == 0, F.lit("holdout")).otherwise(F.lit("dev")))
+    t = reports.split_report(clips)
+    return t.select("split", "num_locations", "num_clips", "num_frames", *[_r(c) for c in t.columns[4:]])
+
+
+@query("""SELECT CASE WHEN video_id % 2 = 0 THEN video_id || '_val' ELSE CAST(video_id AS VARCHAR) END AS video_id, image_id FROM vx_frames WHERE frame_idx % 3 = 0
+UNION ALL SELECT CAST(video_id AS VARCHAR), image_id FROM vx_frames WHERE video_id % 2 = 0 AND frame_idx % 3 = 1""")
+def merged_sequences(spark, sf_dir):
+    """Even videos stand in both lists."""
+    f = views(spark, sf_dir).frames.select("video_id", "image_id", "frame_idx")
+    even = f.where("video_id % 2 = 0")
+    a, b = even.where("frame_idx % 3 = 1"), f.where("frame_idx % 3 = 0")
+    known = even.select("video_id").distinct()
+    a = a.drop("frame_idx").unionByName(known.withColumn("image_id", F.lit(None).cast("long")))  # a video without such a frame is known as well
+    return splits.merge_sequences(a, b.drop("frame_idx")).where("image_id is not null")
+
+
+@query(_LOCATIONS + """, bd AS (SELECT * FROM (VALUES (0.2, '1'), (0.2, '5'), (0.05, '5'), (0.05, '7')) AS t(ratio, location))
+SELECT CASE WHEN ratio = 0.2 THEN 'target20' ELSE 'target05' END AS tag, image_id FROM im JOIN bd USING (location)""")
+def target_subsets(spark, sf_dir):
+    images, _ = _located(spark, sf_dir)
+    bundles = spark.createDataFrame([(0.2, ["1", "5", "5"]), (0.05, ["5", "7"])], "target_empty_ratio double, locations array<string>")
+    return splits.target_subsets(images, bundles).select("tag", "image_id")
+
+
 @query("""SELECT 'score' AS "column", CAST(unnest([0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS DOUBLE) AS q,
        round(unnest(quantile_cont(score, [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])), 9) AS value FROM vx_pred""")
 def score_quantiles(spark, sf_dir):

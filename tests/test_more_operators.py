@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framequarry.operators import bootstrap, detect, etl, need, planner, reports, splits, tracks
+from framequarry.operators import bootstrap, detect, etl, need, planner, reports, splits, state, tracks
 from framequarry.sources import discovery
 
 GRID = [(x, y, 10, 10) for y in (0, 10, 20) for x in (0, 10, 20, 30)]
@@ -225,3 +225,20 @@ def test_link_by_diagonal(spark):
     boxes = spark.createDataFrame([(0, 0, 0.0, 0.0, 10.0, 10.0), (1, 0, 0.5, 0.0, 10.0, 10.0), (2, 0, 3.0, 0.0, 10.0, 10.0)], box)
     ids = lambda **k: [r.local_id for r in sorted(tracks.pseudo_tracks(frames, boxes, **k).collect(), key=lambda r: r.image_id)]
     assert ids(center=0.0, center_frac=0.1) == [1, 1, 2] and ids(center=0.0, center_frac=0.01) == [1, 2, 3] and ids(center=5.0) == [1, 1, 2]
+
+
+def test_budget_tiles():
+    scores = [0.1, 0.9, 0.5, 0.9, 0.2]
+    assert planner.budget_tiles(scores, {4, 0, 9}, 3, 1, 0.5) == [0, 4, 1]
+    assert planner.budget_tiles(scores, {4, 0}, 1, 1, 0.5) == [0]
+    assert planner.budget_tiles(scores, {4}, 5, 3, 0.8, keep_active=False) == [1, 3, 2]
+    assert planner.budget_tiles(scores, set(), 4, 2, 2.0) == [1, 3] and planner.budget_tiles([], {1}, 3, 1, 0.0) == []
+    rows = [{"scores": scores, "hit_tiles": [4] if t == 0 else []} for t in range(4)]
+    assert [o["tiles"] for o in planner.activity(2, 1, 0.95, 2).run(rows)] == [[1], [4], [4], [1]]
+
+
+def test_stability_tracker():
+    box = lambda x: {"x": float(x), "y": 0.0, "w": 10.0, "h": 10.0, "score": 0.9}
+    rows = [{"boxes": [box(0), box(100), box(200)]}, *[{"boxes": [box(200)]}] * 4, {"boxes": []}]
+    out = list(state.stability_tracker().run(rows))
+    assert [(o["num_tracks"], o["num_dropped"], o["tracking_fail"]) for o in out] == [(3, 0, False), (3, 0, False), (3, 0, False), (1, 2, True), (1, 0, False), (1, 0, False)]
