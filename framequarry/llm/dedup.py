@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joined, written
@@ -139,9 +139,9 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, items: the full sets of some classes, made anew from the texts of their smallest doc_ids."""
-    # written, its size is known: the texts are shuffled only if it is too large to broadcast
-    need = written(nodes.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node"), "dedup-need")
-    texts = docs.join(need, F.col("_id").eqNullSafe(F.col("_rep"))).select("node", "cls", "_text")
+    need = nodes.join(classes.select("node", "cls", F.col("doc_id").alias("_rep")), "node")
+    # the same plan at every size: one shuffle of the texts by id
+    texts = docs.join(need.hint("merge"), F.col("_id").eqNullSafe(F.col("_rep"))).select("node", "cls", "_text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +371,10 @@ def without_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text:
     odd = keys.where("not _led or _many").select(F.col("doc_id").alias("_odd"), F.col("digest").alias("_odd_digest"), (~F.col("_led")).alias("_gone"))
     odd = written(odd, "dedup-odd")
 
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_odd")) & (_row_key(text) == F.col("_odd_digest"))
-    single = df.join(odd, same, "left_anti")
-    many = df.join(odd.where("not _gone"), same).dropDuplicates(["_odd", "_odd_digest"]).select(*df.columns)
-    return single.unionAll(many)
+    # one shuffle of the texts, by id and digest; null ids have a key of their own
+    keyed = df.withColumns({"__dup_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), "__dup_none": F.col(doc_id).isNull(), "__dup_digest": _row_key(text)})
+    odd = odd.select(F.coalesce("_odd", F.lit(0).cast("long")).alias("__dup_id"), F.col("_odd").isNull().alias("__dup_none"), F.col("_odd_digest").alias("__dup_digest"), F.col("_gone").alias("__dup_gone"))
+    marked = keyed.join(odd.hint("merge"), ["__dup_id", "__dup_none", "__dup_digest"], "left")
+    nr = F.row_number().over(Window.partitionBy("__dup_id", "__dup_none", "__dup_digest").orderBy("__dup_id"))
+    kept = marked.withColumn("__dup_nr", nr).where("__dup_gone is null or (not __dup_gone and __dup_nr = 1)")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
