@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import written
 
-MAGIC = b"FQTOK001"
+MAGIC = b"FQTOK002"
 #: Ids of a block and of a file; bits of an id.
 BLOCK_IDS = 2048
 FILE_IDS = 8_000_000
@@ -152,6 +153,9 @@ class _Pool:
 WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: Words of lower-case Latin-1 letters alone: WORD_NORMALIZERS leave them as they are, WORD_SPLIT takes them whole.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
 
 def words_apart(path: str) -> bool:
     """Whether the vocabulary file says that texts may be encoded word by word: its normalizer, pre-tokenizer, model and special tokens are of the known kind."""
@@ -182,13 +186,14 @@ class WordEncoder:
     Where the vocabulary file allows it (words_apart), the library encodes each distinct stretch without ASCII white
     space once.  Stretches are found and looked up (by a 64-bit digest, then by their bytes) with array operations over
     many texts at once; new ones go to the library many at a time, with a special token between them, which it splits
-    off before all else.  Other vocabularies, and texts of which two words share a digest, take the library's way as
+    off before all else.  Words of plain letters (PLAIN) need neither: the library's model takes them divided by white
+    space, and their last tokens are known by the model's suffix.  Other vocabularies, and texts of which two words share a digest, take the library's way as
     they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -198,9 +203,28 @@ class WordEncoder:
         self.mark, self.mark_id = marks[0] if marks else (None, None)
         self.specials = [m.encode() for m, _ in marks]
         self.pool = _Pool()
+        self.plain, suffix = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.apart and suffix:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+            self.last[[i for t, i in self.plain.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _library(self, words: list[bytes], digests: np.ndarray) -> None:
         """Encode and keep words that aren't known."""
+        if self.plain is not None:
+            plain = np.array([PLAIN.fullmatch(w) is not None for w in words], bool)
+            at = np.flatnonzero(plain)
+            groups = [at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)]
+            texts = [b" ".join([words[i] for i in g]).decode() for g in groups]
+            for g, e in zip(groups, self.plain.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                stops = np.flatnonzero(self.last[ids])
+                if len(stops) == len(g) and stops[-1] == len(ids) - 1:
+                    self.pool.add(digests[g], ids, np.diff(stops, prepend=-1), [words[i] for i in g])
+                else:
+                    plain[g] = False  # words without an end
+            words, digests = [w for w, p in zip(words, plain.tolist()) if not p], digests[~plain]
         alone = np.array([self.mark is None or (b"<" in w and any(m in w for m in self.specials)) for w in words], bool)
         for i in np.flatnonzero(alone).tolist():
             ids = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
